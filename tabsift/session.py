@@ -16,6 +16,9 @@ _SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # JSON objects that repeat a key keep the last value instead of failing.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Streaming state lives on disk, not in the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 _local_scratch: dict[str, str] = {}
