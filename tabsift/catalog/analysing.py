@@ -44,7 +44,8 @@ def _all_aggregates(spark, sf_dir, **options):
         {"l_extendedprice": _ALL}, **options,
     )
     return out.select("l_returnflag", "l_linestatus", *[
-        rounded(f"l_extendedprice_{fn}", 2).alias(f"l_extendedprice_{fn}") for fn in _ALL
+        rounded(f"l_extendedprice_{fn}", 3 if fn == "median" else 2)
+        .alias(f"l_extendedprice_{fn}") for fn in _ALL
     ])
 
 
@@ -54,7 +55,7 @@ _ALL_SQL = """SELECT l_returnflag, l_linestatus,
   round(avg(l_extendedprice), 2) AS l_extendedprice_avg,
   round(min(l_extendedprice), 2) AS l_extendedprice_min,
   round(max(l_extendedprice), 2) AS l_extendedprice_max,
-  round(median(l_extendedprice), 2) AS l_extendedprice_median
+  round(median(l_extendedprice), 3) AS l_extendedprice_median
 FROM lineitem GROUP BY ALL"""
 
 
@@ -192,7 +193,7 @@ def _as_text(df):
   CAST(o_totalprice AS VARCHAR) AS c,
   CASE WHEN o_orderstatus = 'O' THEN 'yes' ELSE 'No' END AS d,
   CASE WHEN o_orderstatus = 'O' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS e FROM orders)
-SELECT n AS "column", CASE WHEN bool_and(v = '' OR TRY_CAST(v AS BIGINT) IS NOT NULL)
+SELECT n AS "column", CASE WHEN bool_and(regexp_full_match(v, '-?[0-9]*'))
     THEN 'integer' WHEN bool_and(v = '' OR TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'number'
     WHEN bool_and(v = '' OR lower(v) IN ('true','false','0','1','yes','no')) THEN 'boolean'
     ELSE 'string' END AS type
@@ -464,7 +465,7 @@ def quality_format(spark, sf_dir):
 @query(_FLAWED + _MINORITY_SQL.format(
     """SELECT 'type_drift' AS kind, c AS "column", (total - best)::BIGINT AS affected,
   (total - best) / total AS share FROM (SELECT c, max(n) AS best, sum(n) AS total FROM (
-    SELECT c, CASE WHEN TRY_CAST(v AS BIGINT) IS NOT NULL THEN 'integer'
+    SELECT c, CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN 'integer'
         WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 'number' ELSE 'string' END AS tag,
       count(*) AS n
     FROM (UNPIVOT flawed ON status, day, customer INTO NAME c VALUE v) GROUP BY ALL) GROUP BY c)"""))

@@ -144,15 +144,15 @@ bare AS (SELECT id, t, regexp_replace(regexp_replace(regexp_replace(t, '"[^"]*"'
     '\r\n?', chr(10), 'g'), '\n+$', '') AS b,
   list_filter(string_split_regex(regexp_replace(t, '[\r\n]+$', ''), '\r\n|\r|\n'),
     lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')) AS lines FROM texts),
-runs AS (SELECT id, t, lines, string_split(regexp_replace(b, '[^,\n]+', '', 'g'), chr(10)) AS comma,
-  string_split(regexp_replace(b, '[^\t\n]+', '', 'g'), chr(10)) AS tab,
-  string_split(regexp_replace(b, '[^;\n]+', '', 'g'), chr(10)) AS semi,
-  string_split(regexp_replace(b, '[^|\n]+', '', 'g'), chr(10)) AS pipe FROM bare),
-even AS (SELECT id, t, lines, len(comma) AS n,
-  len(list_filter(comma, lambda x: x = comma[1])) AS ec, comma[1] <> '' AS hc,
-  len(list_filter(tab, lambda x: x = tab[1])) AS et, tab[1] <> '' AS ht,
-  len(list_filter(semi, lambda x: x = semi[1])) AS es, semi[1] <> '' AS hs,
-  len(list_filter(pipe, lambda x: x = pipe[1])) AS ep, pipe[1] <> '' AS hp FROM runs),
+runs AS (SELECT id, t, lines, string_split(regexp_replace(b, '[^,\n]+', '', 'g'), chr(10)) AS by_comma,
+  string_split(regexp_replace(b, '[^\t\n]+', '', 'g'), chr(10)) AS by_tab,
+  string_split(regexp_replace(b, '[^;\n]+', '', 'g'), chr(10)) AS by_semi,
+  string_split(regexp_replace(b, '[^|\n]+', '', 'g'), chr(10)) AS by_pipe FROM bare),
+even AS (SELECT id, t, lines, len(by_comma) AS n,
+  len(list_filter(by_comma, lambda x: x = by_comma[1])) AS ec, by_comma[1] <> '' AS hc,
+  len(list_filter(by_tab, lambda x: x = by_tab[1])) AS et, by_tab[1] <> '' AS ht,
+  len(list_filter(by_semi, lambda x: x = by_semi[1])) AS es, by_semi[1] <> '' AS hs,
+  len(list_filter(by_pipe, lambda x: x = by_pipe[1])) AS ep, by_pipe[1] <> '' AS hp FROM runs),
 found AS (SELECT *, CASE WHEN hc AND ec >= n * 0.95 THEN ',' WHEN ht AND et >= n * 0.95 THEN 't'
     WHEN hs AND es >= n * 0.95 THEN ';' WHEN hp AND ep >= n * 0.95 THEN '|' END AS d FROM even),
 judged AS (SELECT id, d, n,

@@ -9,7 +9,7 @@ from tabsift.catalog.base import (
     moment, query, requests, subscriptions, table, users,
 )
 from tabsift.functions.contracts import check_messages, valid_messages
-from tabsift.operators.ranking import first_wins
+from tabsift.operators.ranking import claims, first_wins
 from tabsift.plans.flow import current_recipes, replay, run_operations
 from tabsift.usage import audit, jobs, quota, retention, tiers
 from tabsift.usage.tiers import TierLimits
@@ -417,6 +417,21 @@ def idempotent_first(spark, sf_dir):
     return first_wins(rows, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
+@query("""WITH RECURSIVE c AS (
+  SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type UNION ALL
+  SELECT c.user_id, c.event_type, min(e.ts) FROM c JOIN events e ON e.user_id = c.user_id
+    AND e.event_type = c.event_type AND e.ts >= c.ts + INTERVAL 10 DAY
+  GROUP BY c.user_id, c.event_type, c.ts)
+SELECT user_id, event_type, epoch_us(ts) AS claimed_at FROM c""")
+def idempotent_claims(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    out = claims(
+        rows, ["user_id", "event_type"], "ts", "event_id", F.make_dt_interval(days=F.lit(10))
+    )
+    return out.select("user_id", "event_type", F.unix_micros(
+        F.col("ts").cast("timestamp")).alias("claimed_at"))
+
+
 @query("""SELECT o_orderkey AS id, o_custkey AS user_id FROM orders
 WHERE (o_orderkey, o_custkey) IN (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey
   ELSE -1 END FROM orders)""")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabsift.session import reliable_checkpoint
+
 SALTS = 32
 
 
@@ -38,21 +40,29 @@ def first_rows(
     )
 
 
-def rows_beyond(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """Every row after the first ``limit`` of its group. ``order`` must be unique in a group.
+def group_edges(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """``keys..., edge``: the ``limit``-th position of every group that has one."""
+    full = first_rows(df.select(*keys, *order), keys, order, limit).filter(F.col("rank") == limit)
+    return full.select(*keys, F.struct(*order).alias("edge"))
+
 
-    Only the ``limit``-th position of each full group is looked for; the rows are then compared
-    with it, so a huge group is never sorted in one task. A hot key of that join is split at run
-    time.
+def rows_after(df: DataFrame, edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows behind their group's edge, with the other columns of ``edges``.
+
+    Rows are only compared with the edge, so a huge group is never sorted in one task; a hot key
+    of the join is split at run time.
     """
-    last = F.struct(*order)
-    edge = (
-        first_rows(df.select(*keys, *order), keys, order, limit)
-        .filter(F.col("rank") == limit)
-        .select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], last.alias("_edge"))
+    extra = [c for c in edges.columns if c not in (*keys, "edge")]
+    side = edges.select(
+        *[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("edge").alias("_edge"), *extra
     )
-    match = reduce(and_, [df[k] == edge[f"_e{i}"] for i, k in enumerate(keys)])
-    return df.join(edge, match).filter(last > F.col("_edge")).select(df["*"])
+    match = reduce(and_, [df[k] == side[f"_e{i}"] for i, k in enumerate(keys)])
+    return df.join(side, match).filter(F.struct(*order) > F.col("_edge")).select(df["*"], *extra)
+
+
+def rows_beyond(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """Every row after the first ``limit`` of its group. ``order`` must be unique in a group."""
+    return rows_after(df, group_edges(df, keys, order, limit), keys, order)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -60,3 +70,24 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     pick = F.min_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(pick.alias("_p")).select(*keys, "_p.*").select(*df.columns)
+
+
+def claims(df: DataFrame, keys: list[str], ts: str, seq: str, lifetime: Column) -> DataFrame:
+    """The rows that win their key: the first, then the first one after its lifetime, and so on.
+
+    Each round takes the next winner of every key at once and keeps only the rows after its
+    lifetime, so the usual key is done in one round. What is left goes through reliable storage.
+    """
+    won, rest = None, df
+    while True:
+        firsts = first_wins(rest, keys, [ts, seq])
+        won = firsts if won is None else won.unionByName(firsts)
+        held = firsts.select(
+            *[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)],
+            (F.col(ts) + lifetime).alias("_free"),
+        )
+        match = reduce(and_, [rest[k] == held[f"_w{i}"] for i, k in enumerate(keys)])
+        later = rest.join(held, match).filter(F.col(ts) >= F.col("_free")).select(rest["*"])
+        rest = reliable_checkpoint(later)
+        if rest.isEmpty():
+            return won

@@ -198,45 +198,48 @@ _CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE.fields,
                         T.StructField("changes", T.IntegerType())])
 
 
+_EVENT = ("ts", "event_id", "status", "result_ref", "error")
+
+
 def _text(value):
     return value if isinstance(value, str) else None
 
 
-def _advance(state: tuple, event) -> tuple | None:
+def _essential(batches: Iterator[pd.DataFrame]) -> list[tuple]:
+    """The events that can change a job, in order: its first running, its first stop and its
+    completions. Heartbeats, the bulk of a busy job's events, go as each Arrow batch is read."""
+    run, stop, done = None, None, []
+    for batch in batches:
+        for event in zip(*(batch[c] for c in _EVENT)):
+            if event[2] == RUNNING:
+                run = event if run is None else min(run, event, key=lambda e: e[:2])
+            elif event[2] == "completed":
+                done.append(event)
+            elif event[2] in TERMINAL:
+                stop = event if stop is None else min(stop, event, key=lambda e: e[:2])
+    return sorted([e for e in (run, stop) if e] + done, key=lambda e: e[:2])
+
+
+def _advance(state: tuple, event: tuple) -> tuple | None:
     """The state after one event, or None when the event changes nothing."""
     status, started, finished, result_ref, error = state
-    if event.status not in TRANSITIONS.get(status, ()):
+    ts, _, now, new_ref, new_error = event
+    if now not in TRANSITIONS.get(status, ()):
         return None
-    when = event.ts.to_pydatetime()
+    when = ts.to_pydatetime()
     return (
-        event.status,
-        when if event.status == RUNNING and started is None else started,
-        when if event.status in TERMINAL else finished,
-        _text(event.result_ref) or result_ref,
-        _text(event.error) or error,
+        now,
+        when if now == RUNNING and started is None else started,
+        when if now in TERMINAL else finished,
+        _text(new_ref) or result_ref,
+        _text(new_error) or error,
     )
 
 
-def _essential(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The events that can change a job: its first running, first stop and its completions.
-
-    Heartbeats, the bulk of a busy job's events, go as each Arrow batch is read.
-    """
-    kept = pd.DataFrame()
-    for batch in batches:
-        rows = pd.concat([kept, batch]).sort_values(["ts", "event_id"], kind="stable")
-        kept = pd.concat([
-            rows[rows["status"] == RUNNING].head(1),
-            rows[rows["status"].isin(["failed", "cancelled"])].head(1),
-            rows[rows["status"] == "completed"],
-        ])
-    return kept.sort_values(["ts", "event_id"], kind="stable")
-
-
 def _fold(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
     state = tuple(held.get) if held.exists else (QUEUED, None, None, None, None)
     changes = 0
-    for event in _essential(batches).itertuples():
+    for event in _essential(batches):
         after = _advance(state, event)
         if after is not None:
             state, changes = after, changes + 1

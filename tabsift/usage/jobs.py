@@ -50,24 +50,28 @@ def fold_jobs(
     have = [c for c in ("result_ref", "error") if c in events.columns]
     fields = [ts, seq, "status", *have]
     status = F.col("status")
+
+    def at(name: str) -> Column:
+        return F.struct(f"{name}.{ts}", f"{name}.{seq}")
+
     # Only four kinds of event matter; heartbeats collapse to the first one per task.
     marks = events.groupBy("job_id").agg(
         _first(status == RUNNING, fields).alias("run"),
         _first(status.isin("failed", "cancelled"), fields).alias("stop"),
-        F.count_if(status == "completed").alias("completions"),
+        _first(status == "completed", fields).alias("first_done"),
+    )
+    # A completion before the start does not count: only such jobs need a second look.
+    early = at("first_done") < at("run")
+    again = marks.filter(early).select("job_id", "run")
+    later = (
+        events.filter(status == "completed").select("job_id", F.struct(*fields).alias("e"))
+        .join(again, "job_id").filter(at("e") > at("run"))
+        .groupBy("job_id").agg(F.min("e").alias("later_done"))
     )
-    finishing = events.filter(status == "completed").select("job_id", F.struct(*fields).alias("e"))
-    done = (
-        finishing.join(
-            marks.filter((F.col("completions") > 0) & F.col("run").isNotNull())
-            .select("job_id", "run"),
-            "job_id",
-        )
-        .filter(F.struct(f"e.{ts}", f"e.{seq}") > F.struct(f"run.{ts}", f"run.{seq}"))
-        .groupBy("job_id").agg(F.min("e").alias("done"))
+    folded = marks.join(later, "job_id", "left").withColumn(
+        "done", F.when(F.col("run").isNotNull(),
+                       F.when(early, F.col("later_done")).otherwise(F.col("first_done")))
     )
-    at = lambda name: F.struct(f"{name}.{ts}", f"{name}.{seq}")
-    folded = marks.join(done, "job_id", "left")
     end = (
         F.when(F.col("stop").isNull(), F.col("done"))
         .when(F.col("done").isNull() | (at("stop") < at("done")), F.col("stop"))

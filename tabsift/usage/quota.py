@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsift.operators.ranking import first_rows, rows_beyond
+from tabsift.operators.ranking import first_rows, group_edges, rows_after, rows_beyond
 from tabsift.usage.tiers import FREE, PAID, TierLimits, with_tier
 
 # Path rules, the per-minute limit and the reject codes.
@@ -71,15 +71,17 @@ def quota_rejects(
     order: tuple[str, ...] = ("ts", "event_id"),
 ) -> DataFrame:
     """Events after the cap-th of their user's day, with ``day, tier, cap, retry_after``."""
-    dated = with_tier(events, tiers).withColumn("day", F.to_date("ts"))
-    parts = [
-        rows_beyond(dated.filter(F.col("tier") == tier), ["user_id", "day"], list(order), cap)
-        .withColumn("cap", F.lit(cap))
+    keys, order = ["user_id", "day"], list(order)
+    dated = events.withColumn("day", F.to_date("ts"))
+    # Only the users at the edge of a cap need their tier looked up.
+    edges = [
+        with_tier(group_edges(dated, keys, order, cap), tiers)
+        .filter(F.col("tier") == tier).withColumn("cap", F.lit(cap))
         for tier, cap in _capped(limits)
     ]
-    if not parts:
-        return dated.withColumn("cap", F.lit(0)).limit(0)
-    out = reduce(DataFrame.unionByName, parts)
+    if not edges:
+        return dated.withColumns({"tier": F.lit(FREE), "cap": F.lit(0), "retry_after": F.lit(0)}).limit(0)
+    out = rows_after(dated, reduce(DataFrame.unionByName, edges), keys, order)
     return out.withColumn("retry_after", seconds_left_in_day(F.col("ts")))
 
 
