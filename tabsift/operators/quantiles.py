@@ -128,15 +128,17 @@ def exact_quantiles(
     for mi, v in enumerate(values):
         for pi, p in enumerate(probs):
             low, high = F.col(f"b_{v}.at")[2 * pi], F.col(f"b_{v}.at")[2 * pi + 1]
+            # In a small group one rank is more than the margin, so all its values are candidates.
+            few = F.col(f"b_{v}.n") <= 4 * accuracy
             # A value below the bracket only matters as one more row to skip.
             entries.append(
                 F.when(
-                    F.col(v) <= high,
+                    F.col(v).isNotNull() & (few | (F.col(v) <= high)),
                     F.struct(
                         F.lit(mi).alias("mi"),
                         F.lit(p).alias("prob"),
                         F.col(f"b_{v}.n").alias("n"),
-                        F.when(F.col(v) >= low, F.col(v)).alias("v"),
+                        F.when(few | (F.col(v) >= low), F.col(v)).alias("v"),
                     ),
                 )
             )
