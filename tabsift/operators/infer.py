@@ -35,7 +35,8 @@ def _facts(name: str) -> Column:
         F.every(text.rlike(_NUMBER)).alias("all_number"),
         F.every(text.rlike(_BOOLEAN)).alias("all_boolean"),
         F.max(digits).alias("digits"),
-        F.every(text.try_cast("bigint").isNotNull()).alias("fits_long"),
+        F.every(F.when(text.isNotNull(), text.try_cast("bigint").isNotNull()))
+        .alias("fits_long"),
     )
 
 

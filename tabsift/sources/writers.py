@@ -24,7 +24,8 @@ def _flat(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
     (
         _flat(df).write.mode(mode).option("header", True).option("sep", sep)
-        .option("escape", '"').csv(path)
+        .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 
