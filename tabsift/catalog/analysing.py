@@ -98,7 +98,7 @@ def group_by_hidden_groups(spark, sf_dir):
 @query("""SELECT l_returnflag, 'l_extendedprice' AS measure, p AS prob,
   round(CASE p WHEN 0.1 THEN quantile_cont(l_extendedprice, 0.1)
                WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5)
-               ELSE quantile_cont(l_extendedprice, 0.99) END, 2) AS value
+               ELSE quantile_cont(l_extendedprice, 0.99) END, 5) AS value
 FROM lineitem CROSS JOIN (SELECT unnest([0.1, 0.5, 0.99]::DOUBLE[]) AS p)
 GROUP BY l_returnflag, p""")
 def quantiles_bracketed(spark, sf_dir):
@@ -107,7 +107,7 @@ def quantiles_bracketed(spark, sf_dir):
         lines, ["l_returnflag"], {"l_extendedprice": F.col("l_extendedprice")},
         [0.1, 0.5, 0.99], small_input=0,
     )
-    return out.withColumn("value", rounded("value", 2))
+    return out.withColumn("value", rounded("value", 5))
 
 
 def _number_sql(table_name, columns, extra=""):
