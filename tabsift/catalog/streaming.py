@@ -11,6 +11,7 @@ from tabsift.catalog.base import (
     SQL_REQUESTS, SQL_TIERS, job_events, query, requests, table,
 )
 from tabsift.catalog.usage import _FOLD, _LOW, _tiers, job_messages, shown_states
+from tabsift.functions.contracts import split_messages
 from tabsift.session import scratch_path
 from tabsift.streaming import streams
 
@@ -114,7 +115,7 @@ def _messages(spark, sf_dir):
   CASE WHEN value < 0.5 OR event_type IN ('signup', 'view') THEN 1
        WHEN event_type = 'error' THEN 2 ELSE 0 END::BIGINT AS problems FROM events""")
 def stream_validation(spark, sf_dir):
-    split = streams.split_messages(_messages(spark, sf_dir), "jobs")
+    split = split_messages(_messages(spark, sf_dir), "value", "jobs")
     out = split.select(
         "event_id", F.col("message").isNotNull().alias("good"),
         F.size("errors").cast("bigint").alias("problems"),

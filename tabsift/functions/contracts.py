@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsift.functions.exprs import whole_json
+
 # Formats of identifiers and times.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 DATE_TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
@@ -86,35 +88,47 @@ CONTRACTS: dict[str, dict[str, Field]] = {
 }
 
 
-def _type_of(tree: Column, key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(tree, f"$.{key}", "variant"))
+def _at(key: str, dtype: str) -> Column:
+    return F.try_variant_get("_tree", f"$.{key}", dtype)
+
+
+def _staged(df: DataFrame, value: str, rules: dict[str, Field]) -> DataFrame:
+    """Parse each message once and read each field once, as columns the checks refer to."""
+    parsed = df.withColumn("_tree", whole_json(F.col(value)))
+    reads = {"_keys": F.map_keys(F.try_variant_get("_tree", "$", "map<string,variant>"))}
+    for i, (key, rule) in enumerate(rules.items()):
+        reads[f"_kind{i}"] = F.schema_of_variant(_at(key, "variant"))
+        if rule.kind in ("integer", "number"):
+            reads[f"_value{i}"] = _at(key, "double")
+        elif rule.kind != "object":
+            reads[f"_value{i}"] = _at(key, "string")
+        for j, inner in enumerate(rule.keys):
+            reads[f"_kind{i}_{j}"] = F.schema_of_variant(_at(f"{key}.{inner}", "variant"))
+    return parsed.withColumns(reads)
 
 
-def _field_ok(tree: Column, key: str, rule: Field) -> Column:
+def _field_ok(i: int, rule: Field) -> Column:
     """Whether a present value meets its rule."""
-    kind = _type_of(tree, key)
-    text = F.try_variant_get(tree, f"$.{key}", "string")
-    number = F.try_variant_get(tree, f"$.{key}", "double")
-    is_text = kind == "STRING"
+    kind, value = F.col(f"_kind{i}"), F.col(f"_value{i}")
     whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
-    if rule.kind == "uuid":
-        return is_text & text.rlike(UUID)
-    if rule.kind == "time":
-        return is_text & text.rlike(DATE_TIME)
-    if rule.kind == "enum":
-        return is_text & text.isin(*rule.allowed)
     if rule.kind == "object":
         ok = kind.startswith("OBJECT")
-        for k in rule.keys:
-            ok = ok & (_type_of(tree, f"{key}.{k}") == "STRING")
+        for j in range(len(rule.keys)):
+            ok = ok & (F.col(f"_kind{i}_{j}") == "STRING")
         return ok
-    size = F.length(text) if rule.kind == "text" else number
-    if rule.kind == "text":
-        ok = is_text
-    elif rule.kind == "integer":
+    size = value
+    if rule.kind == "integer":
         ok = whole
-    else:
+    elif rule.kind == "number":
         ok = whole | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    else:
+        ok, size = kind == "STRING", F.length(value)
+    if rule.kind == "uuid":
+        return ok & value.rlike(UUID)
+    if rule.kind == "time":
+        return ok & value.rlike(DATE_TIME)
+    if rule.kind == "enum":
+        return ok & value.isin(*rule.allowed)
     if rule.low is not None:
         ok = ok & (size >= rule.low)
     if rule.high is not None:
@@ -122,51 +136,55 @@ def _field_ok(tree: Column, key: str, rule: Field) -> Column:
     return ok
 
 
-def contract_errors(message: Column, contract: str) -> Column:
-    """What is wrong with a JSON message, as ``array<string>``; empty for a valid one."""
-    rules = CONTRACTS[contract]
-    tree = F.try_parse_json(message)
-    keys = F.json_object_keys(message)
-
-    def problems(tree: Column) -> Column:
-        found = []
-        for key, rule in rules.items():
-            present = F.array_contains(keys, key)
-            if rule.required:
-                found.append(F.when(~present, F.lit(f"missing {key}")))
-            ok = F.coalesce(_field_ok(tree, key, rule), F.lit(False))
-            found.append(F.when(present & ~ok, F.lit(f"invalid {key}")))
-        extra = F.transform(
-            F.array_except(keys, F.array(*[F.lit(k) for k in rules])),
-            lambda k: F.concat(F.lit("unexpected "), k),
-        )
-        return F.concat(F.array_compact(F.array(*found)), F.array_sort(extra))
-
-    is_object = keys.isNotNull() & tree.isNotNull()
-    return F.when(is_object, problems(tree)).otherwise(F.array(F.lit("not a JSON object")))
-
-
-def typed_message(message: Column, contract: str) -> Column:
-    """The message as a struct with the contract's fields, null where absent."""
-    tree = F.try_parse_json(message)
-    return F.struct(*[
-        F.try_variant_get(tree, f"$.{k}", r.sql).alias(k) for k, r in CONTRACTS[contract].items()
-    ])
+def _errors(rules: dict[str, Field]) -> Column:
+    keys, found = F.col("_keys"), []
+    for i, (key, rule) in enumerate(rules.items()):
+        present = F.array_contains(keys, key)
+        if rule.required:
+            found.append(F.when(~present, F.lit(f"missing {key}")))
+        ok = F.coalesce(_field_ok(i, rule), F.lit(False))
+        found.append(F.when(present & ~ok, F.lit(f"invalid {key}")))
+    extra = F.transform(
+        F.array_except(keys, F.array(*[F.lit(k) for k in rules])),
+        lambda k: F.concat(F.lit("unexpected "), k),
+    )
+    problems = F.concat(F.array_compact(F.array(*found)), F.array_sort(extra))
+    return F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(problems)
+
+
+def _typed(rules: dict[str, Field]) -> Column:
+    return F.struct(*[_at(k, r.sql).alias(k) for k, r in rules.items()])
 
 
 def check_messages(df: DataFrame, value: str, contract: str) -> DataFrame:
-    """Adds ``errors``; works on batches and streams alike."""
-    return df.withColumn("errors", contract_errors(F.col(value), contract))
+    """Adds ``errors``, what is wrong with each JSON message; empty for a valid one.
+
+    Works on batches and streams alike.
+    """
+    rules = CONTRACTS[contract]
+    return _staged(df, value, rules).select(*df.columns, _errors(rules).alias("errors"))
+
+
+def split_messages(df: DataFrame, value: str, contract: str) -> DataFrame:
+    """Adds ``errors`` and the typed ``message``, a struct that is null for an invalid one."""
+    rules = CONTRACTS[contract]
+    checked = _staged(df, value, rules).select(*df.columns, "_tree", _errors(rules).alias("errors"))
+    return checked.select(
+        *df.columns, "errors", F.when(F.size("errors") == 0, _typed(rules)).alias("message")
+    )
 
 
 def valid_messages(df: DataFrame, value: str, contract: str) -> DataFrame:
     """Valid messages only, with their typed fields beside the other columns."""
-    good = check_messages(df, value, contract).filter(F.size("errors") == 0)
     others = [c for c in df.columns if c != value]
-    return good.select(*others, typed_message(F.col(value), contract).alias("_m")).select(
-        *others, "_m.*"
+    # A filter would be pushed below the parse and repeat it; unfolding zero or one message is not.
+    return split_messages(df, value, contract).select(
+        *others, F.inline(F.array_compact(F.array("message")))
     )
 
 
 def dead_letters(df: DataFrame, value: str, contract: str) -> DataFrame:
-    return check_messages(df, value, contract).filter(F.size("errors") > 0)
+    """Invalid messages with their ``errors``."""
+    checked = check_messages(df, value, contract)
+    bad = F.when(F.size("errors") > 0, F.array(F.struct("errors")))
+    return checked.select(*df.columns, F.inline(bad))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsift.functions.exprs import whole_json
 from tabsift.functions.tags import variant_tag
 
 def text_depth(text: Column) -> Column:
@@ -28,29 +29,26 @@ def text_depth(text: Column) -> Column:
     return walk + 1
 
 
-def _children(node: Column, path: Column, collapse_arrays: bool) -> Column:
-    """Child nodes of an object or array as ``array<struct<path, v>>``; null for a leaf."""
-    step = F.lit("[*]") if collapse_arrays else None
+def _children(node: Column, path: Column, level: int, collapse_arrays: bool) -> Column:
+    """Child nodes of an object or array, empty for an empty one, null for a scalar."""
+
+    def child(step: Column, value: Column) -> Column:
+        return F.struct(
+            F.concat(path, F.lit("."), step).alias("path"), F.lit(level + 1).alias("depth"),
+            F.lit(None).cast("string").alias("type"), value.alias("v"),
+        )
+
+    def index(i: Column) -> Column:
+        if collapse_arrays:
+            return F.lit("[*]")
+        return F.concat(F.lit("["), i.cast("string"), F.lit("]"))
+
     fields = F.try_variant_get(node, "$", "map<string,variant>")
     items = F.try_variant_get(node, "$", "array<variant>")
-    from_object = F.transform(
-        F.map_entries(fields),
-        lambda e: F.struct(
-            F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")
-        ),
+    return F.coalesce(
+        F.transform(F.map_entries(fields), lambda e: child(e["key"], e["value"])),
+        F.transform(items, lambda v, i: child(index(i), v)),
     )
-    from_array = F.transform(
-        items,
-        lambda v, i: F.struct(
-            F.concat(
-                path, F.lit("."),
-                step if step is not None else F.concat(F.lit("["), i.cast("string"), F.lit("]")),
-            ).alias("path"),
-            v.alias("v"),
-        ),
-    )
-    is_object = F.schema_of_variant(node).startswith("OBJECT")
-    return F.when(is_object, from_object).otherwise(from_array)
 
 
 def document_nodes(
@@ -63,42 +61,36 @@ def document_nodes(
 ) -> DataFrame:
     """Every node of every JSON document: ``keep..., path, depth, type``.
 
-    The tree is unfolded one level per step in a single chain over one scan: each step keeps the
-    nodes it has and adds the children of the deepest ones. Without ``max_depth`` one aggregate
-    job finds how many steps the deepest document needs.
+    The tree is unfolded one level per step in a single chain over one scan: each step names the
+    type of the deepest nodes, lets go of their values and adds their children. Without
+    ``max_depth`` one aggregate job finds how many steps the deepest document needs.
     """
     kept = [F.col(k) for k in keep or []]
     if max_depth is None:
         max_depth = df.agg(F.max(text_depth(F.col(text)))).first()[0] or 1
-    nodes = df.select(
+    nodes = df.select(*kept, whole_json(F.col(text)).alias("v")).filter(F.col("v").isNotNull())
+    nodes = nodes.select(
         *kept, F.lit(root).alias("path"), F.lit(1).alias("depth"),
-        F.try_parse_json(F.col(text)).alias("v"),
-    ).filter(F.col("v").isNotNull())
-
-    def described(v: Column, path: Column, depth: Column) -> Column:
-        return F.struct(path.alias("path"), depth.alias("depth"), v.alias("v"))
-
-    for level in range(1, max_depth):
-        own = F.array(described(F.col("v"), F.col("path"), F.col("depth")))
-        grown = F.transform(
-            _children(F.col("v"), F.col("path"), collapse_arrays),
-            lambda c: F.struct(
-                c["path"].alias("path"), F.lit(level + 1).alias("depth"), c["v"].alias("v")
-            ),
+        F.lit(None).cast("string").alias("type"), "v",
+    )
+    path, depth, v = F.col("path"), F.col("depth"), F.col("v")
+    for level in range(1, max_depth + 1):
+        here = depth == level
+        kids = F.when(here, _children(v, path, level, collapse_arrays)).alias("kids")
+        found = (
+            F.when(~here, F.col("type")).when(F.size("kids") > 0, "object")
+            .when(F.col("kids").isNotNull(), "null").otherwise(variant_tag(v)).alias("type")
         )
-        both = F.when(F.col("depth") == level, F.concat(own, F.coalesce(grown, F.array().cast(
-            "array<struct<path:string,depth:int,v:variant>>"
-        )))).otherwise(own)
+        nodes = nodes.select(*kept, "path", "depth", "type", "v", kids)
+        if level == max_depth:
+            nodes = nodes.select(*kept, "path", "depth", found)
+            break
+        own = F.array(F.struct(
+            path.alias("path"), depth.alias("depth"), found, F.lit(None).cast("variant").alias("v")
+        ))
+        both = F.when(F.size("kids") > 0, F.concat(own, F.col("kids"))).otherwise(own)
         nodes = nodes.select(*kept, F.inline(both))
-    shape = F.schema_of_variant("v")
-    inner = (shape.startswith("OBJECT") & (shape != "OBJECT<>")) | (
-        shape.startswith("ARRAY")
-        & (F.size(F.try_variant_get("v", "$", "array<variant>")) > 0)
-    )
-    return nodes.select(
-        *kept, "path", "depth", F.when(inner, "object").otherwise(variant_tag(F.col("v")))
-        .alias("type"),
-    )
+    return nodes
 
 
 def path_profile(df: DataFrame, text: str, **options) -> DataFrame:

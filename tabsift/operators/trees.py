@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsift.functions.exprs import whole_json
+
 
 def as_tree(df: DataFrame, text: str, tree: str = "tree") -> DataFrame:
     """JSON text to a VARIANT column; text that is no JSON gives null."""
-    return df.withColumn(tree, F.try_parse_json(F.col(text)))
+    return df.withColumn(tree, whole_json(F.col(text)))
 
 
 def rows_to_tree(df: DataFrame, tree: str = "tree") -> DataFrame:
@@ -52,7 +54,7 @@ def tree_to_rows(
 
 def canonical_json(text: Column) -> Column:
     """Compact JSON with sorted keys."""
-    return F.to_json(F.try_parse_json(text))
+    return F.to_json(whole_json(text))
 
 
 def canonical_hash(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsift.functions.exprs import once, whole_json
+
 # Formats and the confidence each finding is worth.
 FORMATS = ("xlsx", "json", "jsonl", "xml", "tsv", "csv", "yaml")  # first wins a tie
 ACCEPT = 0.4
@@ -28,27 +30,13 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once per row."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _whole_json(text: Column) -> Column:
-    """The parsed text if it is one JSON value and nothing else, else null."""
-    # The parser stops after the first value; inside an array anything that follows is an error.
-    items = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]"))), "$", "array<variant>"
-    )
-    return F.when(F.size(items) == 1, items[0])
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"[\r\n]+$", ""), r"\r\n|\r|\n")
 
 
 def json_confidence(text: Column) -> Column:
     lead = F.substring(F.ltrim(text), 1, 1)
-    tree = _whole_json(F.when(lead.isin("{", "["), text))
+    tree = whole_json(F.when(lead.isin("{", "["), text))
     items = F.try_variant_get(tree, "$", "array<variant>")
     objects = F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
     return (
@@ -64,9 +52,9 @@ def jsonl_confidence(text: Column) -> Column:
 
     def judged(lines: Column) -> Column:
         good = F.size(F.filter(
-            lines, lambda x: F.ltrim(x).startswith("{") & _whole_json(x).isNotNull()
+            lines, lambda x: F.ltrim(x).startswith("{") & whole_json(x).isNotNull()
         ))
-        single = F.when(_whole_json(lines[0]).isNotNull(), JSONL_SINGLE).otherwise(_zero())
+        single = F.when(whole_json(lines[0]).isNotNull(), JSONL_SINGLE).otherwise(_zero())
         return (
             F.when(F.size(lines) == 0, _zero())
             .when(F.size(lines) == 1, single)
@@ -74,7 +62,7 @@ def jsonl_confidence(text: Column) -> Column:
         )
 
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    return F.when(F.ltrim(text).startswith("["), _zero()).otherwise(_once(lines, judged))
+    return F.when(F.ltrim(text).startswith("["), _zero()).otherwise(once(lines, judged))
 
 
 def well_formed(text: Column) -> Column:
@@ -149,9 +137,9 @@ def _delimited(text: Column) -> Column:
             )
 
         header = F.substring_index(marks, "\n", 1)
-        return F.when(header.contains(delimiter), _once(runs, judged))
+        return F.when(header.contains(delimiter), once(runs, judged))
 
-    return _once(marks, lambda m: F.array_max(F.array_compact(F.array(*[
+    return once(marks, lambda m: F.array_max(F.array_compact(F.array(*[
         reading(m, i, d) for i, d in enumerate(DELIMITERS)
     ]))))
 
@@ -211,7 +199,7 @@ def yaml_confidence(text: Column) -> Column:
         .when(lead.startswith("{") | lead.startswith("["),
               F.when(F.regexp_like(F.rtrim(text), F.lit(r"[}\]]\s*$")), YAML_JSON)
               .otherwise(_zero()))
-        .otherwise(_once(lines, block))
+        .otherwise(once(lines, block))
     )
 
 

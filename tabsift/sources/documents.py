@@ -30,11 +30,14 @@ def yaml_to_json(text: Column) -> Column:
     def convert(batch: pd.Series) -> pd.Series:
         import yaml
 
+        # The C parser where the library has it: same documents, many times faster.
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
         def one(source):
             if source is None:
                 return None
             try:
-                doc = yaml.safe_load(source)
+                doc = yaml.load(source, Loader=loader)
             except yaml.YAMLError:
                 return None
             return json.dumps(_plain({} if doc is None else doc), ensure_ascii=False)
@@ -51,10 +54,12 @@ def json_to_yaml(text: Column, as_item: bool = False) -> Column:
     def convert(batch: pd.Series) -> pd.Series:
         import yaml
 
+        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+
         def one(source):
             value = json.loads(source)
-            return yaml.safe_dump(
-                [value] if as_item else value,
+            return yaml.dump(
+                [value] if as_item else value, Dumper=dumper,
                 sort_keys=False, allow_unicode=True, default_flow_style=False,
             ).rstrip("\n")
 

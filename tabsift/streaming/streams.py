@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tabsift.functions.contracts import check_messages, typed_message
+from tabsift.functions.contracts import valid_messages
 from tabsift.usage.audit import month_of
 from tabsift.usage.jobs import QUEUED, RUNNING, TERMINAL, TRANSITIONS
 from tabsift.usage.quota import (
@@ -76,15 +75,6 @@ def run_batches(stream: DataFrame, sink, checkpoint: str, mode: str = "update"):
 
 # ---- messages --------------------------------------------------------------------------------
 
-def split_messages(stream: DataFrame, contract: str, value: str = "value") -> DataFrame:
-    """Adds ``errors`` and the typed ``message`` (null when invalid): one pass, so a sink can
-    write good and bad rows from the same micro-batch."""
-    checked = check_messages(stream, value, contract)
-    return checked.withColumn(
-        "message", F.when(F.size("errors") == 0, typed_message(F.col(value), contract))
-    )
-
-
 def route_jobs(messages: DataFrame, tiers: DataFrame, value: str = "value") -> DataFrame:
     """``key, value, topic``: job messages to their tier's lane, keyed by user."""
     user = F.get_json_object(value, "$.user_id")
@@ -175,8 +165,7 @@ def quarantined(
 
 def audit_log(messages: DataFrame, value: str = "value", lifetime: str = KEY_LIFETIME) -> DataFrame:
     """Valid audit messages as log rows with ``month``, each event once within its lifetime."""
-    good = split_messages(messages, "audit-events", value).filter(F.size("errors") == 0)
-    rows = good.select("message.*").select(
+    rows = valid_messages(messages.select(value), value, "audit-events").select(
         "event_id", "user_id", "action", "target",
         F.to_json("metadata").alias("metadata"), F.col("occurred_at").alias("created_at"),
     )
@@ -194,68 +183,65 @@ _STATE = T.StructType([
     T.StructField("result_ref", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
-_CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE.fields,
-                        T.StructField("changes", T.IntegerType())])
-
+_CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE.fields])
 
-_EVENT = ("ts", "event_id", "status", "result_ref", "error")
 
+def _position(event) -> tuple:
+    return event.ts, event.event_id
 
-def _text(value):
-    return value if isinstance(value, str) else None
 
-
-def _essential(batches: Iterator[pd.DataFrame]) -> list[tuple]:
+def _essential(events: Iterator[Row]) -> list[Row]:
     """The events that can change a job, in order: its first running, its first stop and its
-    completions. Heartbeats, the bulk of a busy job's events, go as each Arrow batch is read."""
+    completions. Heartbeats, the bulk of a busy job's events, go as they are read."""
     run, stop, done = None, None, []
-    for batch in batches:
-        for event in zip(*(batch[c] for c in _EVENT)):
-            if event[2] == RUNNING:
-                run = event if run is None else min(run, event, key=lambda e: e[:2])
-            elif event[2] == "completed":
-                done.append(event)
-            elif event[2] in TERMINAL:
-                stop = event if stop is None else min(stop, event, key=lambda e: e[:2])
-    return sorted([e for e in (run, stop) if e] + done, key=lambda e: e[:2])
-
-
-def _advance(state: tuple, event: tuple) -> tuple | None:
-    """The state after one event, or None when the event changes nothing."""
+    for event in events:
+        if event.status == RUNNING:
+            run = event if run is None else min(run, event, key=_position)
+        elif event.status == "completed":
+            done.append(event)
+        elif event.status in TERMINAL:
+            stop = event if stop is None else min(stop, event, key=_position)
+    return sorted([e for e in (run, stop) if e] + done, key=_position)
+
+
+def _advance(state: tuple, event: Row) -> tuple:
+    """The state after one event; an illegal transition changes nothing."""
     status, started, finished, result_ref, error = state
-    ts, _, now, new_ref, new_error = event
-    if now not in TRANSITIONS.get(status, ()):
-        return None
-    when = ts.to_pydatetime()
+    if event.status not in TRANSITIONS.get(status, ()):
+        return state
     return (
-        now,
-        when if now == RUNNING and started is None else started,
-        when if now in TERMINAL else finished,
-        _text(new_ref) or result_ref,
-        _text(new_error) or error,
+        event.status,
+        event.ts if event.status == RUNNING and started is None else started,
+        event.ts if event.status in TERMINAL else finished,
+        event.result_ref or result_ref,
+        event.error or error,
     )
 
 
-def _fold(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    state = tuple(held.get) if held.exists else (QUEUED, None, None, None, None)
-    changes = 0
-    for event in _essential(batches):
-        after = _advance(state, event)
-        if after is not None:
-            state, changes = after, changes + 1
-    held.update(state)
-    if changes:
-        row = pd.DataFrame([(str(key[0]), *state, changes)], columns=_CHANGE.fieldNames())
-        for c in ("started_at", "finished_at"):
-            row[c] = pd.to_datetime(row[c])
-        yield row
+class _JobMachine(StatefulProcessor):
+    """One small row of state per job."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._held = handle.getValueState("job", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self._held.get()
+        before = tuple(before) if before is not None else (QUEUED, None, None, None, None)
+        after = before
+        for event in _essential(rows):
+            after = _advance(after, event)
+        if after != before:
+            self._held.update(after)
+            yield Row(job_id=str(key[0]), **dict(zip(_STATE.fieldNames(), after)))
+
+    def close(self) -> None:
+        pass
 
 
 def job_states(events: DataFrame) -> DataFrame:
     """Changed jobs per micro-batch from ``job_id, status, ts, event_id, result_ref, error``.
 
     Micro-batches apply in arrival order, the events of one micro-batch by ``(ts, event_id)``.
-    The state is one small row per job.
     """
     data = events.select(
         F.col("job_id").cast("string").alias("job_id"), "status",
@@ -263,8 +249,9 @@ def job_states(events: DataFrame) -> DataFrame:
         F.col("result_ref").cast("string").alias("result_ref"),
         F.col("error").cast("string").alias("error"),
     )
-    return data.groupBy("job_id").applyInPandasWithState(
-        _fold, _CHANGE, _STATE, "update", GroupStateTimeout.NoTimeout
+    return data.groupBy("job_id").transformWithState(
+        statefulProcessor=_JobMachine(), outputStructType=_CHANGE, outputMode="Update",
+        timeMode="None",
     )
 
 

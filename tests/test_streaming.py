@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_usage import EVENT_DDL, JOB, U, random_job_events, run_machine
 
+from tabsift.functions.contracts import split_messages
 from tabsift.streaming import streams
 from tabsift.usage.tiers import TierLimits
 
@@ -90,7 +91,7 @@ def test_job_states_over_two_runs_equal_the_machine(spark, feed, tmp_path):
 
 def test_good_and_bad_messages(spark, feed, tmp_path):
     feed.add([(JOB,), ("this is not json",), ('{"job_id":"not-a-uuid"}',)], "value string")
-    split = streams.split_messages(feed.stream("value string"), "jobs")
+    split = split_messages(feed.stream("value string"), "value", "jobs")
     out = split.select(F.col("message.kind").alias("kind"), F.size("errors").alias("n"))
     streams.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).fillna("").collect())
