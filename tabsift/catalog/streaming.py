@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from tabsift.catalog.base import (
     SQL_REQUESTS, SQL_TIERS, job_events, query, requests, table,
 )
-from tabsift.catalog.usage import _FOLD, _LOW, _tiers, job_messages, shown_states
+from tabsift.catalog.usage import (
+    _FOLD, _LOW, SQL_REQUEST_FOLD, _tiers, job_messages, request_updates, shown_states,
+)
 from tabsift.functions.contracts import split_messages
 from tabsift.session import scratch_path
 from tabsift.streaming import streams
+from tabsift.usage import jobs
 
 def _event_stream(spark, sf_dir):
     batch = table(spark, sf_dir, "events")
@@ -107,6 +110,18 @@ def stream_job_states(spark, sf_dir):
     return shown_states(full)
 
 
+@query(SQL_REQUEST_FOLD)
+def stream_request_fold(spark, sf_dir):
+    """The request fold is a plain aggregate, so it runs on a stream as it is."""
+    folded = jobs.fold_requests(request_updates(_event_stream(spark, sf_dir)))
+    seen = _changes(spark, folded, "requests")
+    last = seen.groupBy("request_id").agg(
+        F.max_by(F.struct("status", "issue", "resolved_at"), "batch").alias("s")
+    )
+    return last.select("request_id", "s.status", "s.issue", F.unix_micros("s.resolved_at")
+                       .alias("resolved_at"))
+
+
 def _messages(spark, sf_dir):
     return job_messages(_event_stream(spark, sf_dir))
 

@@ -272,6 +272,17 @@ def retention_counts(spark, sf_dir):
     )
 
 
+@query("""SELECT event_id, CASE WHEN value < 10 THEN '10.1.' || user_id || '.9' ELSE '::1' END AS ip,
+  CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute_id FROM events""")
+def client_addresses(spark, sf_dir):
+    hops = F.concat(F.lit("10.1."), F.col("user_id"), F.lit(".9 , 172.16.0.1"))
+    forwarded = F.when(F.col("value") < 10, hops).otherwise("  ")
+    return table(spark, sf_dir, "events").select(
+        "event_id", quota.client_ip(forwarded, F.lit("::1")).alias("ip"),
+        F.expr("unix_seconds(cast(ts AS timestamp)) div 60").alias("minute_id"),
+    )
+
+
 @query("""SELECT stage, count(*) AS records FROM (SELECT
   CASE WHEN o_orderpriority = '1-URGENT' OR o_orderdate >= TIMESTAMP '2000-06-01' - INTERVAL 90 DAY
        THEN 'hot' WHEN o_orderdate >= TIMESTAMP '2000-06-01' - INTERVAL 455 DAY THEN 'archive'
@@ -334,6 +345,15 @@ def job_fold(spark, sf_dir):
     return shown_states(jobs.fold_jobs(job_events(table(spark, sf_dir, "events"))))
 
 
+@query(_FOLD.replace("FROM folded", """FROM folded WHERE job_id IN (SELECT job_id FROM job_events
+  WHERE status = 'completed')"""))
+def job_results_of_known_jobs(spark, sf_dir):
+    """Result events of listed jobs only; here the list holds the jobs with a completion."""
+    events = job_events(table(spark, sf_dir, "events"))
+    known = events.filter(F.col("status") == "completed").select("job_id").distinct()
+    return shown_states(jobs.fold_jobs(events, jobs=known))
+
+
 @query(f"""WITH {SQL_JOB_EVENTS} SELECT job_id, epoch_us(max(ts)) AS last_seen, count(*) AS beats
 FROM job_events WHERE status = 'running' GROUP BY job_id""")
 def heartbeats(spark, sf_dir):
@@ -369,32 +389,35 @@ def recent_topk(spark, sf_dir):
     return jobs.recent_jobs(log, 5).select("user_id", "id", *as_long("rank"))
 
 
-_UPDATES = """WITH updates AS (SELECT user_id AS request_id, event_id, ts,
+SQL_UPDATES = """WITH updates AS (SELECT user_id AS request_id, event_id, ts,
   CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'triaged' WHEN 'click' THEN 'in-progress'
     WHEN 'purchase' THEN 'shipped' ELSE 'rejected' END AS status,
   CASE WHEN json_extract(props, '$.k')::BIGINT < 20 THEN json_extract(props, '$.k')::BIGINT END AS issue
   FROM events) """
 
 
-def _updates(spark, sf_dir):
+def request_updates(events):
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("bigint")
     status = (
         F.when(kind == "signup", "open").when(kind == "view", "triaged")
         .when(kind == "click", "in-progress").when(kind == "purchase", "shipped")
         .otherwise("rejected")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("request_id"), "event_id", "ts", status.alias("status"),
         F.when(k < 20, k).alias("issue"),
     )
 
 
-@query(_UPDATES + """SELECT request_id, arg_max(status, (ts, event_id)) AS status,
+SQL_REQUEST_FOLD = SQL_UPDATES + """SELECT request_id, arg_max(status, (ts, event_id)) AS status,
   arg_max(issue, (ts, event_id)) FILTER (issue IS NOT NULL) AS issue,
   epoch_us(max(ts) FILTER (status IN ('shipped', 'rejected'))) AS resolved_at
-FROM updates GROUP BY request_id""")
+FROM updates GROUP BY request_id"""
+
+
+@query(SQL_REQUEST_FOLD)
 def request_fold(spark, sf_dir):
-    out = jobs.fold_requests(_updates(spark, sf_dir))
+    out = jobs.fold_requests(request_updates(table(spark, sf_dir, "events")))
     return out.withColumn("resolved_at", F.unix_micros(F.col("resolved_at").cast("timestamp")))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 from tabsift.functions.exprs import whole_json
 from tabsift.functions.tags import variant_tag
+from tabsift.session import reliable_checkpoint
+
+# Tree levels one plan unfolds; deeper documents go on in further rounds.
+LEVELS_PER_ROUND = 12
 
 def text_depth(text: Column) -> Column:
     """Upper bound of a JSON text's tree depth, from its brackets alone (a scalar has depth 1)."""
@@ -73,21 +77,41 @@ def document_nodes(
         *kept, F.lit(root).alias("path"), F.lit(1).alias("depth"),
         F.lit(None).cast("string").alias("type"), "v",
     )
+    named, level = None, 1
+    while True:
+        last = min(level + LEVELS_PER_ROUND - 1, max_depth)
+        nodes = _unfold(nodes, kept, level, last, last == max_depth, collapse_arrays)
+        done = nodes.select(*kept, "path", "depth", "type")
+        if last == max_depth:
+            return done if named is None else named.unionByName(done)
+        # The few documents that go deeper continue from reliable storage.
+        nodes = reliable_checkpoint(nodes)
+        done = nodes.filter(F.col("type").isNotNull()).select(*kept, "path", "depth", "type")
+        named = done if named is None else named.unionByName(done)
+        nodes = nodes.filter(F.col("type").isNull())
+        if nodes.isEmpty():
+            return named
+        level = last + 1
+
+
+def _unfold(
+    nodes: DataFrame, kept: list[Column], first: int, last: int, final: bool, collapse_arrays: bool
+) -> DataFrame:
+    """Name the types of the levels ``first`` to ``last``; children of the last are left unnamed,
+    or not added at all when it is the final one."""
     path, depth, v = F.col("path"), F.col("depth"), F.col("v")
-    for level in range(1, max_depth + 1):
+    for level in range(first, last + 1):
         here = depth == level
         kids = F.when(here, _children(v, path, level, collapse_arrays)).alias("kids")
         found = (
             F.when(~here, F.col("type")).when(F.size("kids") > 0, "object")
             .when(F.col("kids").isNotNull(), "null").otherwise(variant_tag(v)).alias("type")
         )
+        nothing = F.lit(None).cast("variant").alias("v")
         nodes = nodes.select(*kept, "path", "depth", "type", "v", kids)
-        if level == max_depth:
-            nodes = nodes.select(*kept, "path", "depth", found)
-            break
-        own = F.array(F.struct(
-            path.alias("path"), depth.alias("depth"), found, F.lit(None).cast("variant").alias("v")
-        ))
+        if final and level == last:
+            return nodes.select(*kept, "path", "depth", found, nothing)
+        own = F.array(F.struct(path.alias("path"), depth.alias("depth"), found, nothing))
         both = F.when(F.size("kids") > 0, F.concat(own, F.col("kids"))).otherwise(own)
         nodes = nodes.select(*kept, F.inline(both))
     return nodes

@@ -13,6 +13,12 @@ from tabsift.operators.quantiles import (
 )
 
 
+# A table of at most this many digests is sent to every task.
+BROADCAST_ROWS = 100_000
+# Texts up to this length are counted as they are, longer ones by digest.
+HEAD = 128
+
+
 def _as_key(field: T.StructField) -> Column:
     """A value as text, equal values giving equal text; empty text is no value."""
     c = F.col(f"`{field.name}`")
@@ -72,6 +78,60 @@ def cardinality(df: DataFrame, columns: list[str] | None = None, approx: bool =
     )
 
 
+def _text_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, head, digest, n``: values counted under their start and, where that is not all
+    of it, the digest of the whole. Long texts are told apart without shuffling them."""
+    fields = [f for f in df.schema if f.name in columns]
+    cells = F.array(*[
+        F.struct(F.lit(f.name).alias("column"), _as_key(f).alias("value")) for f in fields
+    ])
+    return (
+        df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+        .groupBy("column", *_head_and_digest()).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _head_and_digest() -> list[Column]:
+    long = F.length("value") > HEAD
+    return [
+        F.substring("value", 1, HEAD).alias("head"),
+        F.when(long, F.sha2("value", 256)).alias("digest"),
+    ]
+
+
+def _top_texts(df: DataFrame, counts: DataFrame, columns: list[str], top_n: int) -> DataFrame:
+    """``column, rank, value, n`` of the most frequent values.
+
+    The winners that were counted by digest are looked up again; there are at most ``top_n`` per
+    column.
+    """
+    order = W.partitionBy("column").orderBy(
+        F.col("n").desc(), F.col("head").asc(), F.col("digest").asc_nulls_first()
+    )
+    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    fields = [
+        f for f in df.schema if f.name in columns
+        and not isinstance(f.dataType, (T.BooleanType, T.DatetimeType, T.TimestampNTZType))
+    ]
+    if not fields:
+        return ranked.select("column", "rank", F.col("head").alias("value"), "n")
+    wanted = ranked.filter(F.col("digest").isNotNull()).select("column", "digest")
+    if top_n * len(columns) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    cells = F.array(*[
+        F.struct(F.lit(f.name).alias("column"), _as_key(f).alias("value")) for f in fields
+    ])
+    texts = (
+        df.select(F.inline(cells)).filter(F.length("value") > HEAD)
+        .select("column", F.sha2("value", 256).alias("digest"), "value")
+        .join(wanted, ["column", "digest"])
+        .groupBy("column", "digest").agg(F.first("value").alias("whole"))
+    )
+    return ranked.join(texts, ["column", "digest"], "left").select(
+        "column", "rank", F.coalesce("whole", "head").alias("value"), "n"
+    )
+
+
 def _distinct_numbers(df: DataFrame) -> DataFrame:
     """``column, d`` for the numeric columns, counted in their own types: text costs more."""
     out = df.sparkSession.createDataFrame([], "column string, d bigint")
@@ -105,13 +165,6 @@ def _digest(text: Column) -> Column:
     return F.when(F.length(text) <= 64, text).otherwise(F.sha2(text, 256))
 
 
-def top_values(counts: DataFrame, top_n: int) -> DataFrame:
-    """Most frequent values per column, ties by value. The rank limit is applied in every task
-    before the shuffle, so a column's values never meet in one task."""
-    order = W.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
-
-
 def _column_moments(df: DataFrame) -> DataFrame:
     """Counts and moments of every column in one scan; one row shuffled per task."""
     aggregates, cells = [], []
@@ -190,13 +243,13 @@ def summary(
     if numeric:
         facts.append(_medians(df, numeric, is_small(df, small_input), distinct=not approx))
     if texts:
-        counts = value_counts(df, texts)
+        counts = _text_counts(df, texts)
         # Summing over n keeps the column in the plan, so both uses of the counts share a shuffle.
         facts.append(counts.groupBy("column").agg(
             F.lit(None).cast("double").alias("median"),
             F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("d"),
         ))
-        top = top_values(counts, top_n).groupBy("column").agg(
+        top = _top_texts(df, counts, texts, top_n).groupBy("column").agg(
             F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top")
         )
         out = out.join(top, "column", "left")

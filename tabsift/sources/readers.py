@@ -155,15 +155,26 @@ READERS = {
 }
 
 
+# A file beyond this size is recognised by its first lines.
+DETECT_WHOLE, DETECT_LINES = 64 * 1024 * 1024, 1000
+
+
 def detect_path(spark: SparkSession, path: str) -> str:
-    """Format of the first file below a path."""
+    """Format of the files below a path, told from the smallest one that is not empty."""
     try:
-        first = list_blobs(spark, path).orderBy("path").first()
+        first = (
+            list_blobs(spark, path).filter(F.col("length") > 0).orderBy("length", "path").first()
+        )
     except AnalysisException as e:
         raise TabsiftError(NOT_FOUND, path) from e
     if first is None:
         raise TabsiftError(NOT_FOUND, path)
-    found = detect_formats(read_blobs(spark, first["path"]), "content").first()["format"]
+    if first["length"] <= DETECT_WHOLE:
+        sample = read_blobs(spark, first["path"]).select("content")
+    else:
+        head = spark.read.text(first["path"]).limit(DETECT_LINES)
+        sample = head.agg(F.concat_ws("\n", F.collect_list("value")).alias("content"))
+    found = detect_formats(sample, "content").first()["format"]
     if found == "unknown":
         raise TabsiftError(UNKNOWN_FORMAT, f"no format matches {path}")
     return found

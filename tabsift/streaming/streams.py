@@ -73,6 +73,14 @@ def run_batches(stream: DataFrame, sink, checkpoint: str, mode: str = "update"):
     return query
 
 
+def late_rows(query) -> int:
+    """Rows a query dropped because they came after the watermark."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for operator in progress["stateOperators"]
+    )
+
+
 # ---- messages --------------------------------------------------------------------------------
 
 def route_jobs(messages: DataFrame, tiers: DataFrame, value: str = "value") -> DataFrame:

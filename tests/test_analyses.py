@@ -114,6 +114,14 @@ def test_summary(spark, small_input):
     assert out[("id",)].position == 1
 
 
+def test_long_texts_keep_their_whole_value(spark):
+    start = "x" * 500
+    rows = [(start + "a",)] * 3 + [(start + "b",)] * 2 + [("short",)] * 2 + [("x" * 128,)]
+    out = by_key(summary(spark.createDataFrame(rows, "t string"), top_n=3), "column")[("t",)]
+    assert out.distinct == 4
+    assert [tuple(t) for t in out.top] == [(start + "a", 3), ("short", 2), (start + "b", 2)]
+
+
 def test_summary_of_an_empty_column(spark):
     df = spark.createDataFrame([(None, None)], "a long, b string")
     out = by_key(summary(df), "column")

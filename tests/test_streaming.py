@@ -148,3 +148,16 @@ def test_audit_stream(spark, feed, tmp_path):
     streams.run_available(log, out, str(tmp_path / "cp"), partition_by=["month"])
     got = spark.read.parquet(out).groupBy(F.col("month").cast("string").alias("m")).count().collect()
     assert {r.m: r["count"] for r in got} == {"2026_04": 1, "2026_05": 1}
+
+
+def test_late_rows_are_counted(spark, feed, tmp_path):
+    sink, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        counted = streams.ops_per_day(feed.stream(DDL))
+        return streams.run_batches(counted, streams.change_sink(sink), checkpoint)
+
+    feed.add([(1, "ann", at(0), "/x", "1", 1), (2, "ann", at(500_000), "/x", "1", 1)], DDL)
+    assert streams.late_rows(run()) == 0
+    feed.add([(3, "ann", at(10), "/x", "1", 1)], DDL)
+    assert streams.late_rows(run()) == 1

@@ -104,3 +104,14 @@ def test_struct_paths(spark):
 @pytest.mark.parametrize("text", ["", "   ", "nope", "{"])
 def test_text_that_is_no_json_has_no_paths(spark, text):
     assert profile(docs(spark, text)) == {}
+
+
+def test_deep_documents_take_several_rounds(spark):
+    deep, want = {"leaf": 1}, {}
+    for i in range(40):
+        deep = {"k": deep} if i % 2 else [deep, i]
+    walk(deep, "$", 1, want)
+    shallow = {"a": 1}
+    walk(shallow, "$", 1, want)
+    got = profile(docs(spark, deep, shallow, "[" * 500))
+    assert {p: (set(r.types), r.depth_min, r.depth_max, r.frequency) for p, r in got.items()} == want
