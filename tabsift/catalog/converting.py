@@ -8,7 +8,7 @@ from tabsift.catalog.base import query, table
 from tabsift.operators.filters import apply_filter
 from tabsift.operators.infer import apply_inferred
 from tabsift.operators.trees import tree_to_rows
-from tabsift.plans.flow import convert, run_job
+from tabsift.plans.flow import convert, preview_path, run_job
 from tabsift.session import scratch_path
 from tabsift.sources import readers, workbooks, writers
 from tabsift.sources.detect import detect_formats
@@ -214,12 +214,27 @@ def job_analyze(spark, sf_dir):
     return readers.read_jsonl(spark, path).select("o_orderstatus", "o_orderkey_count")
 
 
-@query("""SELECT count(*) AS files, min(l) > 0 AS filled FROM (SELECT 1 AS l FROM
-  (SELECT 1 FROM customer LIMIT 1))""")
+@query("""SELECT sum(length('{"c_custkey":' || c_custkey || '}') + 1)::BIGINT AS bytes, TRUE AS named
+FROM customer""")
 def blob_listing(spark, sf_dir):
     path = scratch_path(spark, "blobs")
-    writers.write_csv(apply_filter(
+    writers.write_jsonl(apply_filter(
         table(spark, sf_dir, "customer"), {"kind": "column", "keep": ["c_custkey"]}
-    ).coalesce(1), path)
-    blobs = readers.list_blobs(spark, path, "*.csv")
-    return blobs.agg(F.count(F.lit(1)).alias("files"), (F.min("length") > 0).alias("filled"))
+    ), path)
+    blobs = readers.list_blobs(spark, path, "*.json")
+    return blobs.agg(
+        F.sum("length").alias("bytes"), F.every(F.col("path").endswith(".json")).alias("named")
+    )
+
+
+@query("""SELECT count(*) AS shown, TRUE AS kept FROM (SELECT 1 FROM lineitem
+WHERE l_quantity > 20 LIMIT 20)""")
+def preview_csv(spark, sf_dir):
+    """A preview of a file: with known types nothing is read ahead."""
+    path = scratch_path(spark, "csv")
+    writers.write_csv(table(spark, sf_dir, "lineitem"), path)
+    spec = {"kind": "row", "predicate": {"col": "l_quantity", "op": "gt", "value": 20}}
+    shown = preview_path(
+        spark, path, spec, fmt="csv", multi_line=False, schema="l_orderkey bigint, l_quantity double"
+    )
+    return shown.agg(F.count(F.lit(1)).alias("shown"), F.every(F.col("l_quantity") > 20).alias("kept"))

@@ -17,7 +17,7 @@ _TOKEN = re.compile(
     r"""|(?P<ne>!=|<>)"""
     r"""|(?P<eq>==?)"""
     r"""|(?P<none>\bNone\b)"""
-    r"""|(?P<no>\bNOT\b(?=\s*\(|\s+[\w.`]+\s*(?:==?|<(?!>)|>)))""",
+    r"""|(?P<no>\bNOT\b(?=\s*\(|\s+[\w.`]+\s*(?:==?|<(?!>)|>))|!(?=\s*\())""",
     re.IGNORECASE,
 )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal
 from functools import reduce
 from operator import or_
@@ -104,12 +105,13 @@ def row_predicate(df: DataFrame, col: str, op: str, value=None) -> Column:
     if op == "is_not_null":
         return c.isNotNull()
     if op in TEXT_OPS:
-        text = as_text(c, dtype)
+        text, wanted = as_text(c, dtype), str(value)
+        if op == "regex":
+            return text.rlike(pattern_of(wanted))
         match = {
-            "contains": text.contains, "starts_with": text.startswith,
-            "ends_with": text.endswith, "regex": text.rlike,
+            "contains": text.contains, "starts_with": text.startswith, "ends_with": text.endswith,
         }
-        return match[op](str(value))
+        return match[op](wanted)
     if op in LIST_OPS:
         listed = [_literal(v, dtype) for v in value if v is not None]
         has_null = any(v is None for v in value)
@@ -154,11 +156,27 @@ def keep_rows(df: DataFrame, spec: dict) -> DataFrame:
 
 # ---- regex over every text column ------------------------------------------------------------
 
+def pattern_of(pattern: str, flags: str = "") -> str:
+    """A pattern in Spark's regex dialect.
+
+    Named groups are respelled, and character classes and case folding cover all of Unicode.
+    """
+    def name(m: re.Match) -> str:
+        return m.group(1).replace("_", "")
+
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m)}>", pattern)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{name(m)}>", out)
+    out = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
+    if "i" in flags or re.search(r"\\[wWdDsSbB]|\(\?[a-zA-Z]*i", out):
+        flags += "U"
+    return f"(?{flags}){out}" if flags else out
+
+
 def _pattern_problems(df: DataFrame, pattern: str) -> list[str]:
     """Compile the pattern with the engine that will run it."""
     jvm = df.sparkSession._jvm
     try:
-        jvm.java.util.regex.Pattern.compile(pattern)
+        jvm.java.util.regex.Pattern.compile(pattern_of(pattern))
     except Exception as e:
         reason = str(getattr(e, "java_exception", e)).splitlines()[0]
         return [f"invalid regex: {reason}"]
@@ -175,7 +193,7 @@ def _regex_problems(df: DataFrame, spec: dict) -> list[str]:
 def keep_matching(df: DataFrame, spec: dict) -> DataFrame:
     """Rows where any text column matches the pattern."""
     flags = "".join(dict.fromkeys(spec.get("flags") or ()))
-    pattern = f"(?{flags}){spec['pattern']}" if flags else spec["pattern"]
+    pattern = pattern_of(spec["pattern"], flags)
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df.filter(F.lit(False))

@@ -94,7 +94,11 @@ def apply_inferred(df: DataFrame) -> DataFrame:
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
-    target = {r["column"]: r["cast_to"] for r in infer_tags(df, text).collect()}
+    return apply_types(df, {r["column"]: r["cast_to"] for r in infer_tags(df, text).collect()})
+
+
+def apply_types(df: DataFrame, target: dict[str, str]) -> DataFrame:
+    """Cast the named text columns; empty text, and text that is no such value, is null."""
 
     def typed(name: str) -> Column:
         if name not in target:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabsift.operators.joins import keyed_join
 from tabsift.session import estimated_bytes
 
 ACCURACY = 10_000
@@ -114,11 +115,9 @@ def exact_quantiles(
         renamed = sketch.select(
             *[F.col(k).alias(f"s_{k}") for k in keys], *[f"b_{v}" for v in values]
         )
-        on = None
-        for k in keys:
-            match = data[k].eqNullSafe(renamed[f"s_{k}"])
-            on = match if on is None else on & match
-        joined = data.join(renamed, on).drop(*[f"s_{k}" for k in keys])
+        joined = keyed_join(data, renamed, {k: f"s_{k}" for k in keys}).drop(
+            *[f"s_{k}" for k in keys]
+        )
     else:
         one_row = data.agg(*bounds)
         bracket = one_row.select(F.struct(*[f"b_{v}" for v in values]).alias("b")).scalar()

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabsift.operators.joins import keyed_join
 from tabsift.session import reliable_checkpoint
 
 SALTS = 32
@@ -49,15 +47,14 @@ def group_edges(df: DataFrame, keys: list[str], order: list[str], limit: int) ->
 def rows_after(df: DataFrame, edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows behind their group's edge, with the other columns of ``edges``.
 
-    Rows are only compared with the edge, so a huge group is never sorted in one task; a hot key
-    of the join is split at run time.
+    Rows are only compared with the edge, so a huge group is never sorted in one task.
     """
     extra = [c for c in edges.columns if c not in (*keys, "edge")]
     side = edges.select(
         *[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("edge").alias("_edge"), *extra
     )
-    match = reduce(and_, [df[k] == side[f"_e{i}"] for i, k in enumerate(keys)])
-    return df.join(side, match).filter(F.struct(*order) > F.col("_edge")).select(df["*"], *extra)
+    joined = keyed_join(df, side, {k: f"_e{i}" for i, k in enumerate(keys)})
+    return joined.filter(F.struct(*order) > F.col("_edge")).select(df["*"], *extra)
 
 
 def rows_beyond(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
@@ -86,8 +83,9 @@ def claims(df: DataFrame, keys: list[str], ts: str, seq: str, lifetime: Column)
             *[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)],
             (F.col(ts) + lifetime).alias("_free"),
         )
-        match = reduce(and_, [rest[k] == held[f"_w{i}"] for i, k in enumerate(keys)])
-        later = rest.join(held, match).filter(F.col(ts) >= F.col("_free")).select(rest["*"])
-        rest = reliable_checkpoint(later)
+        joined = keyed_join(rest, held, {k: f"_w{i}" for i, k in enumerate(keys)})
+        rest = reliable_checkpoint(
+            joined.filter(F.col(ts) >= F.col("_free")).select(rest["*"])
+        )
         if rest.isEmpty():
             return won

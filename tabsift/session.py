@@ -14,6 +14,8 @@ _SETTINGS = {
     # A hot join key is split at run time even where that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rank limits of this size still cut each task's rows before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # JSON objects that repeat a key keep the last value instead of failing.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Streaming state lives on disk, not in the executors' heap.

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tabsift.errors import NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
-from tabsift.operators.infer import apply_inferred
+from tabsift.operators.infer import apply_inferred, apply_types
 from tabsift.sources import workbooks
 from tabsift.sources.detect import detect_formats
 from tabsift.sources.documents import yaml_to_json
@@ -40,7 +41,8 @@ def _has_wrapped_cells(spark: SparkSession, path: str) -> bool:
 
 
 def _delimited(
-    spark: SparkSession, path: str, sep: str, multi_line: bool | None, infer: bool
+    spark: SparkSession, path: str, sep: str, multi_line: bool | None, infer: bool,
+    schema: str | None,
 ) -> DataFrame:
     if multi_line is None:
         multi_line = _has_wrapped_cells(spark, path)
@@ -58,25 +60,35 @@ def _delimited(
             df = df.toDF(*[f"_c{i}" for i in range(len(names))]).select(
                 *[F.col(f"_c{i}").alias(n or "_empty") for n, i in last.items()]
             )
+    if schema is not None:
+        known = T.StructType.fromDDL(schema)
+        return apply_types(df, {f.name: f.dataType.simpleString() for f in known})
     return apply_inferred(df) if infer else df
 
 
-def read_csv(spark, path, sep=",", multi_line=None, infer=True) -> DataFrame:
-    """Comma-separated text with a header row; typed unless ``infer`` is off."""
-    return _delimited(spark, path, sep, multi_line, infer)
+def read_csv(spark, path, sep=",", multi_line=None, infer=True, schema=None) -> DataFrame:
+    """Comma-separated text with a header row, typed unless ``infer`` is off.
+
+    Inference reads every row. With ``schema`` (types of the columns to cast) and ``multi_line``
+    (whether quoted cells hold line ends) nothing is read ahead, so a preview stops early.
+    """
+    return _delimited(spark, path, sep, multi_line, infer, schema)
 
 
-def read_tsv(spark, path, multi_line=None, infer=True) -> DataFrame:
-    return _delimited(spark, path, "\t", multi_line, infer)
+def read_tsv(spark, path, multi_line=None, infer=True, schema=None) -> DataFrame:
+    return _delimited(spark, path, "\t", multi_line, infer, schema)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON array of objects per file as a table with the union of their keys."""
-    return spark.read.option("multiLine", True).json(path)
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One object per line; keys in the first object's order, bad lines in ``_corrupt_record``."""
+    if schema is not None:
+        return spark.read.schema(schema).json(path)
     df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path)
     head = (
         spark.read.text(path).select(F.json_object_keys("value").alias("k"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsift.functions.contracts import valid_messages
+from tabsift.operators.joins import keyed_join
 from tabsift.operators.ranking import first_wins
 from tabsift.operators.trees import canonical_hash
 
@@ -55,10 +56,9 @@ def answer_cache(
     alive = cache.filter(
         F.col("stored_at") > now - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
     )
-    newest = alive.groupBy("capability", "cache_key").agg(
+    newest = alive.groupBy(F.col("capability").alias("_c"), F.col("cache_key").alias("_k")).agg(
         F.max_by("answer", "stored_at").alias("answer")
     )
     keyed = requests.withColumn("cache_key", canonical_hash(F.col("payload")))
-    return keyed.join(newest, ["capability", "cache_key"], "left").withColumn(
-        "hit", F.col("answer").isNotNull()
-    )
+    found = keyed_join(keyed, newest, {"capability": "_c", "cache_key": "_k"}, "left")
+    return found.select(keyed["*"], "answer", F.col("answer").isNotNull().alias("hit"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsift.operators.joins import keyed_join
 from tabsift.operators.ranking import first_rows
 
 # States, legal transitions, job kinds and where their results go.
@@ -46,7 +47,7 @@ def fold_jobs(
     ``jobs`` (``job_id``) every listed job shows and events of unknown jobs are dropped.
     """
     if jobs is not None:
-        events = events.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+        events = keyed_join(events, jobs, {"job_id": "job_id"}, "left_semi")
     have = [c for c in ("result_ref", "error") if c in events.columns]
     fields = [ts, seq, "status", *have]
     status = F.col("status")
@@ -62,10 +63,10 @@ def fold_jobs(
     )
     # A completion before the start does not count: only such jobs need a second look.
     early = at("first_done") < at("run")
-    again = marks.filter(early).select("job_id", "run")
+    again = marks.filter(early).select(F.col("job_id").alias("_j"), "run")
+    finishing = events.filter(status == "completed").select("job_id", F.struct(*fields).alias("e"))
     later = (
-        events.filter(status == "completed").select("job_id", F.struct(*fields).alias("e"))
-        .join(again, "job_id").filter(at("e") > at("run"))
+        keyed_join(finishing, again, {"job_id": "_j"}).filter(at("e") > at("run"))
         .groupBy("job_id").agg(F.min("e").alias("later_done"))
     )
     folded = marks.join(later, "job_id", "left").withColumn(
@@ -110,13 +111,13 @@ def last_heartbeats(events: DataFrame, ts: str = "ts") -> DataFrame:
 def pending_messages(messages: DataFrame, states: DataFrame) -> DataFrame:
     """Job messages still to be run: a job that runs or has ended is skipped."""
     known = states.filter(F.col("status") != QUEUED).select("job_id")
-    return messages.join(known, "job_id", "left_anti")
+    return keyed_join(messages, known, {"job_id": "job_id"}, "left_anti")
 
 
 def cancellable(requests: DataFrame, states: DataFrame) -> DataFrame:
     """Cancel requests that hit a job which has not ended."""
     live = states.filter(~F.col("status").isin(*TERMINAL)).select("job_id")
-    return requests.join(live, "job_id", "left_semi")
+    return keyed_join(requests, live, {"job_id": "job_id"}, "left_semi")
 
 
 def recent_jobs(jobs: DataFrame, limit: int = RECENT) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsift.operators.joins import keyed_join
 from tabsift.operators.ranking import latest
 
 FREE, PAID = "free", "paid"
@@ -47,13 +48,9 @@ def effective_tiers(subscriptions: DataFrame, now: Column) -> DataFrame:
 
 
 def with_tier(df: DataFrame, tiers: DataFrame, user: str = "user_id") -> DataFrame:
-    """Adds ``tier``; users without a subscription are free.
-
-    Catalyst broadcasts the tiers only while they are small; else a hot user is split by the
-    adaptive skew join.
-    """
+    """Adds ``tier``; users without a subscription are free. ``tiers`` has one row per user."""
     side = tiers.select(F.col("user_id").alias("_u"), F.col("tier").alias("_tier"))
-    return df.join(side, df[user] == side["_u"], "left").select(
+    return keyed_join(df, side, {user: "_u"}, "left").select(
         df["*"], F.coalesce("_tier", F.lit(FREE)).alias("tier")
     )
 
@@ -111,7 +108,7 @@ def feature_gate(requests: DataFrame, registry: DataFrame, tiers: DataFrame) ->
         F.col("plugin_id").alias("_p"), F.col("required_tier").alias("required_tier")
     )
     seen = with_tier(requests, tiers)
-    joined = seen.join(needed, seen["plugin_id"] == needed["_p"], "left").drop("_p")
+    joined = keyed_join(seen, needed, {"plugin_id": "_p"}, "left").drop("_p")
     refused = F.coalesce(F.col("required_tier") == PAID, F.lit(False)) & (F.col("tier") != PAID)
     return joined.withColumn("allowed", ~refused)
 

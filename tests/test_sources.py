@@ -94,6 +94,14 @@ def test_csv_short_rows_and_repeated_headers(spark, tmp_path):
     assert rows(df, F.col("b").desc()) == [(3, 2), (None, None)]
 
 
+def test_known_types_need_no_second_look(spark, tmp_path):
+    path = put(tmp_path, "p.csv", "a,b\n1,x\nz,y\n")
+    df = readers.read_csv(spark, path, multi_line=False, schema="a bigint")
+    assert df.dtypes == [("a", "bigint"), ("b", "string")] and rows(df, "b") == [(1, "x"), (None, "y")]
+    lines = put(tmp_path, "p.jsonl", '{"a":1,"b":"x"}\n')
+    assert rows(readers.read_jsonl(spark, lines, "b string, a bigint")) == [("x", 1)]
+
+
 def test_untyped_cells_stay_text(spark, tmp_path):
     df = readers.read_csv(spark, put(tmp_path, "p.csv", "a\n007\n"), infer=False)
     assert rows(df) == [("007",)]

@@ -6,6 +6,7 @@ from conftest import ids
 from pyspark.sql import functions as F
 
 from tabsift.functions.contracts import check_messages, dead_letters, valid_messages
+from tabsift.operators.quantiles import exact_quantiles
 from tabsift.operators.ranking import claims, first_rows, first_wins, rows_beyond
 from tabsift.usage import audit, jobs, quota, retention, tiers
 from tabsift.usage.tiers import TierLimits
@@ -98,6 +99,39 @@ def test_rank_limit_runs_before_the_shuffle(spark):
     assert plan.count("row_number(), 3, Partial") == 2
 
 
+def test_hot_keys_of_joins_are_split(spark):
+    """With the thresholds of a small table, the adaptive plan splits the hot key."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rows, df = skewed(spark, 40_000)
+    saves = spark.createDataFrame(
+        [(i, f"k{i % 40}" if i else "hot", "paid", "active", NOW, None) for i in range(900)],
+        "id long, user_id string, tier string, status string, started_at timestamp_ntz, "
+        "expires_at timestamp_ntz",
+    )
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = tiers.with_tier(df, tiers.effective_tiers(saves, now()), "k")
+        beyond = rows_beyond(df, ["k"], ["t", "id"], 50)
+        middle = exact_quantiles(df, ["k"], {"t": F.col("t")}, [0.5], 200, small_input=0)
+        for out in (joined, beyond, middle):
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin(skew=true)" in plan
+        assert joined.filter("tier = 'paid'").count() == len(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_first_wins(spark):
     rows, df = skewed(spark)
     want = {}
