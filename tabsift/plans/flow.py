@@ -21,13 +21,15 @@ from tabsift.operators.profile import table_profile
 from tabsift.operators.quality import quality_report
 from tabsift.operators.ranking import latest
 from tabsift.operators.summary import summary
-from tabsift.sources.readers import READERS, read_any
+from tabsift.sources.readers import READERS, is_tree, read_any
 from tabsift.sources.writers import WRITERS, write_any
 from tabsift.usage.jobs import RESULT_PREFIX
 
 
 def _schema_infer(df: DataFrame, column: str | None = None, **options) -> DataFrame:
-    """Paths of a JSON text or VARIANT column, or of whole rows."""
+    """Paths of a JSON text or VARIANT column, of documents, or of whole rows."""
+    if column is None and is_tree(df):
+        column = df.columns[0]
     if column is None:
         return path_profile(df.select(F.to_json(F.struct("*")).alias("_t")), "_t", **options)
     if isinstance(df.schema[column].dataType, T.VariantType):
@@ -97,8 +99,8 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
 
 
 def tabular(df: DataFrame) -> DataFrame:
-    """Refuse a tree where rows are needed."""
-    if len(df.columns) == 1 and isinstance(df.schema[0].dataType, T.VariantType):
+    """Refuse documents where rows are needed."""
+    if is_tree(df):
         raise TabsiftError(NOT_TABULAR, "flatten the documents to columns first")
     return df
 
@@ -114,16 +116,23 @@ def analyze_path(
     spark: SparkSession, path: str, kind: str, analysis_options: dict | None = None,
     spec: dict | None = None, fmt: str | None = None, **options,
 ) -> DataFrame:
-    return analyze(tabular(load(spark, path, fmt, **options)), kind, analysis_options, spec)
+    data = load(spark, path, fmt, **options)
+    if is_tree(data) and kind == "schema_infer":
+        return analyze(data, kind, analysis_options)
+    return analyze(tabular(data), kind, analysis_options, spec)
 
 
 def convert(
     spark: SparkSession, source: str, target: str, to: str, spec: dict | None = None,
     fmt: str | None = None, mode: str = "error", **options,
 ) -> str:
-    """Read, filter and write in another format; any filter and any writable format."""
+    """Read, filter and write in another format; any filter and any writable format.
+
+    Documents are written as they are: filters are for rows.
+    """
     _require("format", to, WRITERS, UNKNOWN_OUTPUT_FORMAT)
-    write_any(filtered(tabular(load(spark, source, fmt, **options)), spec), target, to, mode=mode)
+    data = load(spark, source, fmt, **options)
+    write_any(data if is_tree(data) else filtered(data, spec), target, to, mode=mode)
     return target
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,10 +81,24 @@ def read_tsv(spark, path, multi_line=None, infer=True, schema=None) -> DataFrame
     return _delimited(spark, path, "\t", multi_line, infer, schema)
 
 
+def _first_line(spark: SparkSession, path: str, pattern: str) -> str | None:
+    """The first line that matches, read without looking further."""
+    row = spark.read.text(path).filter(F.col("value").rlike(pattern)).first()
+    return row["value"] if row else None
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A JSON array of objects per file as a table with the union of their keys."""
+    """A JSON array of objects per file as a table with the union of their keys; any other
+    document as a ``tree``."""
     reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    if schema is not None:
+        return reader.schema(schema).json(path)
+    lead = _first_line(spark, path, r"\S")
+    if lead is not None and lead.lstrip("\ufeff \t").startswith("["):
+        table = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        if table.columns != [CORRUPT]:
+            return table
+    return read_json_tree(spark, path).select("tree")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -116,18 +132,26 @@ def read_yaml_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """YAML lists of maps as a table with the union of their keys."""
-    rows = read_yaml_tree(spark, path).select(
-        F.explode(F.try_variant_get("tree", "$", "array<variant>")).alias("v")
-    ).select(F.to_json("v").alias("record"))
+    """YAML lists of maps as a table with the union of their keys; other documents as a ``tree``."""
+    trees = read_yaml_tree(spark, path).select("tree")
+    items = F.try_variant_get("tree", "$", "array<variant>")
+    listed = trees.agg(F.every(
+        (F.size(items) > 0) & F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    )).first()[0]
+    if not listed:
+        return trees
+    rows = trees.select(F.explode(items).alias("v")).select(F.to_json("v").alias("record"))
     return workbooks.records_to_table(rows)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
     """Rows of an XML file: attributes as ``@name``, text beside children as ``#text``.
 
-    Values stay text, trimmed, and empty ones are null.
+    Values stay text, trimmed, and empty ones are null. Without ``row_tag`` each document is one
+    ``tree``.
     """
+    if row_tag is None:
+        return read_xml_tree(spark, path)
     return (
         spark.read.format("xml").option("rowTag", row_tag)
         .option("attributePrefix", "@").option("valueTag", "#text")
@@ -137,15 +161,24 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     )
 
 
-def read_xml_tree(spark: SparkSession, path: str, root_tag: str) -> DataFrame:
-    """Documents as VARIANT: ``tree``."""
+def read_xml_tree(spark: SparkSession, path: str, root_tag: str | None = None) -> DataFrame:
+    """Documents as VARIANT: ``tree``. The root element is that of the first file."""
+    if root_tag is None:
+        line = _first_line(spark, path, r"<[A-Za-z_]")
+        root_tag = re.search(r"<([A-Za-z_][\w.:-]*)", line).group(1) if line else "root"
     return (
         spark.read.format("xml").option("rowTag", root_tag)
         .option("attributePrefix", "@").option("valueTag", "#text")
+        .option("ignoreSurroundingSpaces", True)
         .option("singleVariantColumn", "tree").load(path)
     )
 
 
+def is_tree(df: DataFrame) -> bool:
+    """Whether a table holds whole documents instead of rows."""
+    return len(df.columns) == 1 and isinstance(df.schema[0].dataType, T.VariantType)
+
+
 def read_xlsx(
     spark: SparkSession, path: str, sheet_name: str | None = None, with_origin: bool = False
 ) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsift.errors import UNKNOWN_OUTPUT_FORMAT, TabsiftError
+from tabsift.errors import NOT_TABULAR, UNKNOWN_OUTPUT_FORMAT, TabsiftError
 from tabsift.sources.documents import json_to_yaml
-from tabsift.sources.workbooks import make_workbooks
+from tabsift.sources.readers import is_tree
+from tabsift.sources.workbooks import make_workbooks, records_to_table
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -72,6 +73,18 @@ def write_xlsx(
     make_workbooks(df, rows_per_book).write.mode(mode).parquet(path)
 
 
+def write_yaml_tree(df: DataFrame, path: str, tree: str = "tree", mode: str = "error") -> None:
+    """One YAML document per row, each after a ``---`` line."""
+    text = F.concat(F.lit("---\n"), json_to_yaml(F.to_json(F.col(tree))))
+    df.select(text.alias("value")).write.mode(mode).text(path)
+
+
+def write_xml_tree(df: DataFrame, path: str, tree: str = "tree", mode: str = "error") -> None:
+    """One element per document, typed by a pass over all of them."""
+    records = df.select(F.to_json(F.col(tree)).alias("record"))
+    write_xml(records_to_table(records), path, "document", "documents", mode)
+
+
 WRITERS = {
     "csv": write_csv,
     "tsv": write_tsv,
@@ -81,12 +94,24 @@ WRITERS = {
     "yaml": write_yaml,
     "xlsx": write_xlsx,
 }
+TREE_WRITERS = {
+    "json": write_json_tree,
+    "jsonl": write_json_tree,
+    "xml": write_xml_tree,
+    "yaml": write_yaml_tree,
+}
 
 
 def write_any(df: DataFrame, path: str, fmt: str, **options) -> None:
+    """Write rows, or documents as read into a single ``tree`` column."""
     if fmt not in WRITERS:
         raise TabsiftError(UNKNOWN_OUTPUT_FORMAT, f"no writer for {fmt}")
-    WRITERS[fmt](df, path, **options)
+    if not is_tree(df):
+        WRITERS[fmt](df, path, **options)
+    elif fmt in TREE_WRITERS:
+        TREE_WRITERS[fmt](df, path, tree=df.columns[0], **options)
+    else:
+        raise TabsiftError(NOT_TABULAR, f"flatten the documents before writing {fmt}")
 
 
 def write_topic(df: DataFrame, servers: str, checkpoint: str, topic: str | None = None):

@@ -49,6 +49,48 @@ def test_trees_are_no_tables(spark, tmp_path):
     assert e.value.code == "NOT_TABULAR"
 
 
+@pytest.fixture
+def tree_file(tmp_path):
+    path = tmp_path / "d.json"
+    path.write_text('{"name": "Ada", "langs": ["x", "y"], "addr": {"city": "London"}}')
+    return str(path)
+
+
+def test_documents_of_a_file(spark, tree_file):
+    with pytest.raises(TabsiftError) as e:
+        flow.preview_path(spark, tree_file)
+    assert e.value.code == "NOT_TABULAR"
+    with pytest.raises(TabsiftError):
+        flow.analyze_path(spark, tree_file, "summary_stats")
+    paths = {r.path: r.types for r in flow.analyze_path(spark, tree_file, "schema_infer").collect()}
+    assert paths["$.addr.city"] == ["string"] and paths["$.langs.[1]"] == ["string"]
+
+
+@pytest.mark.parametrize("to,options", [("json", {"fmt": "json"}), ("yaml", {"fmt": "yaml"}),
+                                        ("xml", {"fmt": "xml", "row_tag": "document"})])
+def test_convert_documents(spark, tree_file, tmp_path, to, options):
+    target = flow.convert(spark, tree_file, str(tmp_path / "o"), to, ADULTS)
+    back = flow.load(spark, target, **options)
+    if to == "xml":
+        assert back.select("addr.city", "name").first() == ("London", "Ada")
+    else:
+        city = F.variant_get("tree", "$.addr.city", "string")
+        assert back.select(city).first()[0] == "London"
+
+
+def test_documents_do_not_become_csv(spark, tree_file, tmp_path):
+    with pytest.raises(TabsiftError) as e:
+        flow.convert(spark, tree_file, str(tmp_path / "o"), "csv")
+    assert e.value.code == "NOT_TABULAR"
+
+
+def test_xml_documents(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    path.write_text('<?xml version="1.0"?>\n<!-- c --><people><person id="1"><name>A</name></person></people>')
+    paths = {r.path for r in flow.analyze_path(spark, str(path), "schema_infer").collect()}
+    assert "$.person.@id" in paths
+
+
 def test_switched_off(people):
     flow.disable("filter-row", "analysis-profile")
     try:

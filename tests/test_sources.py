@@ -137,13 +137,26 @@ def test_yaml(spark, tmp_path):
     tree = readers.read_yaml_tree(spark, path).select("tree")
     assert tree.select(F.variant_get("tree", "$.languages[1]", "string")).first()[0] == "ada"
     assert tree.select(F.variant_get("tree", "$.when", "string")).first()[0] == "2020-01-02"
-    with pytest.raises(TabsiftError) as e:
-        readers.read_yaml(spark, path)
-    assert e.value.code == "NOT_TABULAR"
+    assert readers.is_tree(readers.read_yaml(spark, path))
     listed = readers.read_yaml(spark, put(tmp_path, "b.yaml", "- {a: 1, b: x}\n- {a: 2}\n"))
     assert rows(listed, "a") == [(1, "x"), (2, None)]
 
 
+def test_json_documents(spark, tmp_path):
+    for name, text, tree in [("a", '{"a":\n [1]}', True), ("b", "[1, 2]", True), ("c", '\n[{"a":1},\n{"b":2}]', False)]:
+        df = readers.read_any(spark, put(tmp_path, f"{name}.json", text))
+        assert readers.is_tree(df) == tree
+
+
+def test_attributes_and_text_in_xml(spark, tmp_path):
+    df = spark.createDataFrame([("1", "note", "x")], "`@id` string, `#text` string, k string")
+    writers.write_xml(df.coalesce(1), str(tmp_path / "o"), "item", "items")
+    text = "".join(p.read_text() for p in (tmp_path / "o").glob("*.xml"))
+    assert '<item id="1">' in text and "note" in text and text.startswith("<?xml")
+    assert rows(readers.read_xml(spark, str(tmp_path / "o"), "item").select("@id", "#text", "k")) == \
+        [("1", "note", "x")]
+
+
 def test_yaml_texts(spark):
     df = spark.createDataFrame([("",), ("a: [",), ("x: .inf",), (None,)], "t string")
     assert [r[0] for r in df.select(yaml_to_json(F.col("t"))).collect()] == \
