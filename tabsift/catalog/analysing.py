@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsift.catalog.base import as_long, query, rounded, table
+from tabsift.functions.tags import variant_tag
 from tabsift.operators import charts, quality
 from tabsift.operators.grouping import group_by
 from tabsift.operators.infer import apply_inferred, infer_tags
@@ -248,7 +249,7 @@ SELECT path, types, d AS depth_min, d AS depth_max, f * n AS frequency FROM o CR
   ('$.customer.id', 'integer', 3, 1), ('$.tags', 'object', 2, 1), ('$.tags.[*]', 'object', 3, 2),
   ('$.tags.[*].name', 'string', 4, 2), ('$.tags.[*].value', 'string', 4, 2)) v(path, types, d, f)""")
 def schema_paths_nested(spark, sf_dir):
-    out = path_profile(_order_documents(spark, sf_dir), "doc", collapse_arrays=True)
+    out = path_profile(_order_documents(spark, sf_dir), "doc", arrays="collapse")
     return out.select(
         "path", F.array_join("types", ",").alias("types"),
         *as_long("depth_min", "depth_max"), "frequency",
@@ -298,6 +299,22 @@ def table_to_tree(spark, sf_dir):
     })
 
 
+@query("""SELECT event_id, 'integer' AS k, 'string' AS kind,
+  CASE WHEN value = floor(value) THEN 'integer' ELSE 'number' END AS amount,
+  'boolean' AS flag, 'null' AS gone FROM events""")
+def json_value_tags(spark, sf_dir):
+    amount = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
+    text = F.concat(
+        F.lit('{"kind":"'), "event_type", F.lit('","amount":'), amount,
+        F.lit(',"flag":true,"gone":null,"k":'), F.get_json_object("props", "$.k"), F.lit("}"),
+    )
+    trees = as_tree(table(spark, sf_dir, "events").withColumn("doc", text), "doc")
+    return trees.select("event_id", *[
+        variant_tag(F.try_variant_get("tree", f"$.{n}", "variant")).alias(n)
+        for n in ("k", "kind", "amount", "flag", "gone")
+    ])
+
+
 @query("""SELECT 'k' AS key, count(*) AS rows FROM events UNION ALL
 SELECT 'big', count(*) FROM events WHERE value > 20""")
 def union_of_keys(spark, sf_dir):

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tabsift.catalog.base import query, table
 from tabsift.operators.filters import apply_filter
 from tabsift.operators.infer import apply_inferred
+from tabsift.operators.paths import path_profile
 from tabsift.operators.trees import tree_to_rows
 from tabsift.plans.flow import convert, preview_path, run_job
 from tabsift.session import scratch_path
 from tabsift.sources import readers, workbooks, writers
 from tabsift.sources.detect import detect_formats
-from tabsift.sources.documents import json_to_yaml, yaml_to_json
+from tabsift.sources.documents import json_to_yaml, xml_to_json, yaml_to_json
 
 _CUSTOMER = """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment
 FROM customer"""
@@ -79,6 +80,24 @@ def yaml_documents(spark, sf_dir):
     )
 
 
+@query("""SELECT 'order' AS path, 'object' AS types, 1::BIGINT AS depth, count(*) AS frequency FROM orders
+UNION ALL SELECT 'order.@id', 'string', 2, count(*) FROM orders
+UNION ALL SELECT 'order.tag', 'null,string', 2, 2 * count(*) FROM orders
+UNION ALL SELECT 'order.#text', 'string', 2, count(*) FROM orders""")
+def xml_documents(spark, sf_dir):
+    """Orders as XML documents; the repeated element has one path."""
+    text = F.concat(
+        F.lit('<?xml version="1.0"?><order id="'), "o_orderkey", F.lit('">'), "o_orderpriority",
+        F.lit("<tag> "), "o_orderstatus", F.lit(" </tag><tag/></order>"),
+    )
+    docs = table(spark, sf_dir, "orders").select(xml_to_json(text).alias("doc"))
+    out = path_profile(docs, "doc", root="order", arrays="repeat")
+    return out.select(
+        "path", F.array_join("types", ",").alias("types"),
+        F.col("depth_max").cast("bigint").alias("depth"), "frequency",
+    )
+
+
 def _books(spark, sf_dir):
     return workbooks.make_workbooks(table(spark, sf_dir, "customer"), rows_per_book=500)
 

@@ -55,9 +55,11 @@ def tags_by_name(df: DataFrame) -> dict[str, str]:
 def variant_tag(value: Column) -> Column:
     """Tag of one VARIANT value; objects and arrays, the inner tree nodes, are ``null``."""
     kind = F.schema_of_variant(value)
+    # Whole numbers of up to 18 digits are BIGINT, so a short decimal without fraction was 5.0.
+    long_integer = kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
     return (
         F.when(value.isNull() | kind.isin("VOID"), "null")
-        .when(kind.isin("BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+        .when(kind.isin("BIGINT") | long_integer, "integer")
         .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
         .when(kind.isin("BOOLEAN"), "boolean")
         .when(kind.isin("DATE", "TIMESTAMP", "TIMESTAMP_NTZ"), "datetime")

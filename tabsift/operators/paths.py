@@ -33,7 +33,7 @@ def text_depth(text: Column) -> Column:
     return walk + 1
 
 
-def _children(node: Column, path: Column, level: int, collapse_arrays: bool) -> Column:
+def _children(node: Column, path: Column, level: int, arrays: str) -> Column:
     """Child nodes of an object or array, empty for an empty one, null for a scalar."""
 
     def child(step: Column, value: Column) -> Column:
@@ -43,16 +43,21 @@ def _children(node: Column, path: Column, level: int, collapse_arrays: bool) ->
         )
 
     def index(i: Column) -> Column:
-        if collapse_arrays:
+        if arrays == "collapse":
             return F.lit("[*]")
         return F.concat(F.lit("["), i.cast("string"), F.lit("]"))
 
-    fields = F.try_variant_get(node, "$", "map<string,variant>")
-    items = F.try_variant_get(node, "$", "array<variant>")
-    return F.coalesce(
-        F.transform(F.map_entries(fields), lambda e: child(e["key"], e["value"])),
-        F.transform(items, lambda v, i: child(index(i), v)),
-    )
+    def items_of(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "array<variant>")
+
+    entries = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
+    if arrays == "repeat":
+        grown = F.flatten(F.transform(entries, lambda e: F.transform(
+            F.coalesce(items_of(e["value"]), F.array(e["value"])), lambda v: child(e["key"], v)
+        )))
+    else:
+        grown = F.transform(entries, lambda e: child(e["key"], e["value"]))
+    return F.coalesce(grown, F.transform(items_of(node), lambda v, i: child(index(i), v)))
 
 
 def document_nodes(
@@ -61,13 +66,16 @@ def document_nodes(
     keep: list[str] | None = None,
     root: str = "$",
     max_depth: int | None = None,
-    collapse_arrays: bool = False,
+    arrays: str = "index",
 ) -> DataFrame:
     """Every node of every JSON document: ``keep..., path, depth, type``.
 
     The tree is unfolded one level per step in a single chain over one scan: each step names the
     type of the deepest nodes, lets go of their values and adds their children. Without
     ``max_depth`` one aggregate job finds how many steps the deepest document needs.
+
+    ``arrays`` says how their items are named: by ``index``, all alike (``collapse``), or as
+    repeats of the array's own path (``repeat``), which is how XML repeats an element.
     """
     kept = [F.col(k) for k in keep or []]
     if max_depth is None:
@@ -80,7 +88,7 @@ def document_nodes(
     named, level = None, 1
     while True:
         last = min(level + LEVELS_PER_ROUND - 1, max_depth)
-        nodes = _unfold(nodes, kept, level, last, last == max_depth, collapse_arrays)
+        nodes = _unfold(nodes, kept, level, last, last == max_depth, arrays)
         done = nodes.select(*kept, "path", "depth", "type")
         if last == max_depth:
             return done if named is None else named.unionByName(done)
@@ -95,14 +103,14 @@ def document_nodes(
 
 
 def _unfold(
-    nodes: DataFrame, kept: list[Column], first: int, last: int, final: bool, collapse_arrays: bool
+    nodes: DataFrame, kept: list[Column], first: int, last: int, final: bool, arrays: str
 ) -> DataFrame:
     """Name the types of the levels ``first`` to ``last``; children of the last are left unnamed,
     or not added at all when it is the final one."""
     path, depth, v = F.col("path"), F.col("depth"), F.col("v")
     for level in range(first, last + 1):
         here = depth == level
-        kids = F.when(here, _children(v, path, level, collapse_arrays)).alias("kids")
+        kids = F.when(here, _children(v, path, level, arrays)).alias("kids")
         found = (
             F.when(~here, F.col("type")).when(F.size("kids") > 0, "object")
             .when(F.col("kids").isNotNull(), "null").otherwise(variant_tag(v)).alias("type")

@@ -1,9 +1,10 @@
-"""YAML and JSON document helpers that need a Python parser, as Arrow-batched UDFs."""
+"""YAML, XML and JSON documents that need a Python parser, as Arrow-batched UDFs."""
 
 from __future__ import annotations
 
 import json
 import math
+from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,6 +48,44 @@ def yaml_to_json(text: Column) -> Column:
     return convert(text)
 
 
+def _element(e: ET.Element):
+    """An element as a JSON value: attributes, own text, then children; repeats become arrays."""
+    out = {f"@{k}": v for k, v in e.attrib.items()}
+    text = (e.text or "").strip()
+    if text and (out or len(e)):
+        out = {**out, "#text": text}
+    for child in e:
+        value = _element(child)
+        if child.tag not in out:
+            out[child.tag] = value
+        elif isinstance(out[child.tag], list):
+            out[child.tag].append(value)
+        else:
+            out[child.tag] = [out[child.tag], value]
+    return out or text or None
+
+
+def xml_to_json(text: Column) -> Column:
+    """One XML document per value as JSON text: strings and nulls only, nothing inferred.
+
+    Null where it is not well-formed; documents that define entities are refused.
+    """
+
+    @F.pandas_udf("string")
+    def convert(batch: pd.Series) -> pd.Series:
+        def one(source):
+            if source is None or "<!ENTITY" in source:
+                return None
+            try:
+                return json.dumps(_element(ET.fromstring(source)), ensure_ascii=False)
+            except (ET.ParseError, ValueError):
+                return None
+
+        return batch.map(one, na_action="ignore")
+
+    return convert(text)
+
+
 def json_to_yaml(text: Column, as_item: bool = False) -> Column:
     """JSON text as block-style YAML, key order kept; ``as_item`` makes it one list entry."""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +11,7 @@ from tabsift.errors import NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
 from tabsift.operators.infer import apply_inferred, apply_types
 from tabsift.sources import workbooks
 from tabsift.sources.detect import detect_formats
-from tabsift.sources.documents import yaml_to_json
+from tabsift.sources.documents import xml_to_json, yaml_to_json
 
 CORRUPT = "_corrupt_record"
 
@@ -151,7 +149,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     ``tree``.
     """
     if row_tag is None:
-        return read_xml_tree(spark, path)
+        return read_xml_tree(spark, path).select("tree")
     return (
         spark.read.format("xml").option("rowTag", row_tag)
         .option("attributePrefix", "@").option("valueTag", "#text")
@@ -161,17 +159,13 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     )
 
 
-def read_xml_tree(spark: SparkSession, path: str, root_tag: str | None = None) -> DataFrame:
-    """Documents as VARIANT: ``tree``. The root element is that of the first file."""
-    if root_tag is None:
-        line = _first_line(spark, path, r"<[A-Za-z_]")
-        root_tag = re.search(r"<([A-Za-z_][\w.:-]*)", line).group(1) if line else "root"
-    return (
-        spark.read.format("xml").option("rowTag", root_tag)
-        .option("attributePrefix", "@").option("valueTag", "#text")
-        .option("ignoreSurroundingSpaces", True)
-        .option("singleVariantColumn", "tree").load(path)
-    )
+def read_xml_tree(spark: SparkSession, path: str) -> DataFrame:
+    """One VARIANT per XML file: ``path, tree``. Values stay text; a file is one task's work, so
+    large ones are better read by ``row_tag``."""
+    texts = _whole_texts(spark, path)
+    # A text declares its own encoding only as bytes; decoded, the declaration must go.
+    body = F.regexp_replace("text", r"^\s*<\?xml[^>]*\?>", "")
+    return texts.select("path", F.try_parse_json(xml_to_json(body)).alias("tree"))
 
 
 def is_tree(df: DataFrame) -> bool:

@@ -9,6 +9,7 @@ from tabsift.operators.paths import (
 from tabsift.operators.trees import (
     as_tree, canonical_hash, canonical_json, rows_to_tree, tree_to_rows, union_keys,
 )
+from tabsift.sources.documents import xml_to_json
 
 
 def docs(spark, *values):
@@ -41,7 +42,7 @@ def walk(value, path, depth, out):
 
 def test_paths_against_a_walk(spark):
     values = [
-        {"a": [1, 2.5, {"b": None}], "c": {}, "d": [], "e": "}{[", "f": {"g": {"h": [[1]]}}},
+        {"a": [1, 2.5, {"b": None}, 5.0, 10 ** 25], "c": {}, "d": [], "e": "}{[", "f": {"g": {"h": [[1]]}}},
         {"a": "x", "c": {"k": True}, "e": 'quo"te\\'}, [1, "y"], 5, {"a": {"b": 1}},
     ]
     want = {}
@@ -56,10 +57,28 @@ def test_paths_against_a_walk(spark):
 
 def test_collapsed_arrays_and_depth_limit(spark):
     df = docs(spark, {"a": [{"b": 1}, {"b": 2}]})
-    assert profile(df, collapse_arrays=True)["$.a.[*].b"].frequency == 2
+    assert profile(df, arrays="collapse")["$.a.[*].b"].frequency == 2
     assert set(profile(df, max_depth=2)) == {"$", "$.a"}
 
 
+def test_repeated_elements_share_a_path(spark):
+    text = '<people n="5"><p id="007"><name> A </name></p><p id="2">x<name/>y</p></people>'
+    df = spark.createDataFrame([(1, text)], "id long, xml string").select(
+        "id", xml_to_json(F.col("xml")).alias("doc")
+    )
+    out = profile(df, arrays="repeat", root="people")
+    assert {p: (r.types, r.depth_max, r.frequency) for p, r in out.items()} == {
+        "people": (["object"], 1, 1), "people.@n": (["string"], 2, 1), "people.p": (["object"], 2, 2),
+        "people.p.@id": (["string"], 3, 2), "people.p.name": (["null", "string"], 3, 2),
+        "people.p.#text": (["string"], 3, 1)}
+
+
+def test_unsafe_or_broken_xml_is_null(spark):
+    texts = ["<a><b></a>", '<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>', "<a>t</a>", "<a/>"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(xml_to_json(F.col("t")))
+    assert [r[0] for r in df.collect()] == [None, None, '"t"', "null"]
+
+
 def test_text_depth_bounds_the_tree(spark):
     df = docs(spark, {"a": [{"b": "[[[["}]}, "7", "")
     assert [r[0] for r in df.orderBy("id").select(text_depth(F.col("doc"))).collect()] == [4, 1, 1]
