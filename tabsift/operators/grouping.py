@@ -7,8 +7,10 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsift.errors import invalid
+from tabsift.operators.infer import to_number
 from tabsift.operators.quantiles import SMALL_INPUT, exact_quantiles, is_small
 
 # The aggregate names.
@@ -26,13 +28,18 @@ def group_by_problems(df: DataFrame, by: list[str], agg: dict[str, list[str]]) -
     return problems
 
 
-def as_number(name: str) -> Column:
-    """A value as a double; text that is no number is skipped by the numeric aggregates."""
-    return F.col(f"`{name}`").try_cast("double")
+def as_number(df: DataFrame, name: str) -> Column:
+    """A value as a double; what is no number is skipped by the numeric aggregates."""
+    value, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return to_number(value)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
+    return F.lit(None).cast("double")
 
 
-def _aggregate(name: str, fn: str) -> Column:
-    value = as_number(name)
+def _aggregate(df: DataFrame, name: str, fn: str) -> Column:
+    value = as_number(df, name)
     return {
         "sum": F.coalesce(F.sum(value), F.lit(0.0)),
         "count": F.count(F.col(f"`{name}`")),
@@ -63,12 +70,12 @@ def group_by(
     pairs = [(c, fn) for c, fns in agg.items() for fn in dict.fromkeys(fns)]
     medians = [c for c, fn in pairs if fn == "median"]
     if not medians or is_small(data, small_input):
-        return data.groupBy(*keys).agg(*[_aggregate(c, fn) for c, fn in pairs])
+        return data.groupBy(*keys).agg(*[_aggregate(data, c, fn) for c, fn in pairs])
 
-    plain = [_aggregate(c, fn) for c, fn in pairs if fn != "median"]
+    plain = [_aggregate(data, c, fn) for c, fn in pairs if fn != "median"]
     totals = data.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
     wide = (
-        exact_quantiles(data, by, {c: as_number(c) for c in medians}, [0.5], small_input=small_input)
+        exact_quantiles(data, by, {c: as_number(data, c) for c in medians}, [0.5], small_input=small_input)
         .groupBy(*keys)
         .agg(*[
             F.max(F.when(F.col("measure") == c, F.col("value"))).alias(f"{c}_median")

@@ -10,7 +10,31 @@ from tabsift.functions.tags import tag_of
 
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
-_BOOLEAN = r"(?i)^(true|false|0|1|yes|no)$"
+# Words that read as booleans.
+BOOLEAN_WORDS = ("true", "false", "0", "1", "yes", "no")
+
+
+# A failed cast costs many times a failed pattern, so casts only see text that passed one.
+_FITS_INTEGER, _FITS_NUMBER, _FITS_BOOLEAN, _FITS_LONG = 1, 2, 4, 8
+
+
+def _digits(text: Column) -> Column:
+    return F.length(F.btrim(text, F.lit(" \t+-")))
+
+
+def _fits(text: Column) -> Column:
+    """What a non-empty value can be read as, as a bit set; null for an empty one."""
+    is_long = (_digits(text) <= 18) | text.try_cast("bigint").isNotNull()
+    whole = _FITS_INTEGER + _FITS_NUMBER
+    bits = F.when(text.isin("0", "1"), _FITS_BOOLEAN).otherwise(0) + F.when(
+        is_long, _FITS_LONG).otherwise(0)
+    return (
+        F.when(text.isNull() | (text == ""), None)
+        .when(text.rlike(_INTEGER), bits + whole)
+        .when(text.rlike(_NUMBER), _FITS_NUMBER)
+        .when(F.lower(text).isin(*BOOLEAN_WORDS), _FITS_BOOLEAN)
+        .otherwise(0)
+    )
 
 
 def value_tag(text: Column) -> Column:
@@ -19,25 +43,14 @@ def value_tag(text: Column) -> Column:
         F.when(text.isNull() | (F.trim(text) == ""), None)
         .when(text.rlike(_INTEGER), "integer")
         .when(text.rlike(_NUMBER), "number")
-        .when(text.rlike(_BOOLEAN), "boolean")
+        .when(F.lower(text).isin(*BOOLEAN_WORDS), "boolean")
         .otherwise("string")
     )
 
 
-def _facts(name: str) -> Column:
-    """What one column needs: which tags every non-empty value fits, and its digit count."""
-    text = F.when(F.col(name) != "", F.col(name))
-    digits = F.length(F.regexp_replace(text, r"[\s+-]", ""))
-    return F.struct(
-        F.lit(name).alias("column"),
-        F.count(text).alias("filled"),
-        F.every(text.rlike(_INTEGER)).alias("all_integer"),
-        F.every(text.rlike(_NUMBER)).alias("all_number"),
-        F.every(text.rlike(_BOOLEAN)).alias("all_boolean"),
-        F.max(digits).alias("digits"),
-        F.every(F.when(text.isNotNull(), text.try_cast("bigint").isNotNull()))
-        .alias("fits_long"),
-    )
+def to_number(text: Column) -> Column:
+    """Text as a double, null where it is no number."""
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def infer_tags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -52,18 +65,30 @@ def infer_tags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     fixed = [n for n in names if n not in text]
     rows = []
     if text:
-        facts = df.agg(*[_facts(n).alias(f"f{i}") for i, n in enumerate(text)])
+        facts = df.select(
+            *[_fits(F.col(f"`{n}`")).alias(f"fits{i}") for i, n in enumerate(text)],
+            *[_digits(F.col(f"`{n}`")).alias(f"digits{i}") for i, n in enumerate(text)],
+        ).agg(*[
+            F.struct(
+                F.lit(n).alias("column"), F.bit_and(f"fits{i}").alias("fits"),
+                F.max(f"digits{i}").alias("digits"),
+            ).alias(f"f{i}") for i, n in enumerate(text)
+        ])
+
+        def all_fit(bit: int) -> Column:
+            return F.col("fits").bitwiseAND(bit) != 0
+
         tag = (
-            F.when(F.col("filled") == 0, "string")
-            .when(F.col("all_integer"), "integer")
-            .when(F.col("all_number"), "number")
-            .when(F.col("all_boolean"), "boolean")
+            F.when(F.col("fits").isNull(), "string")
+            .when(all_fit(_FITS_INTEGER), "integer")
+            .when(all_fit(_FITS_NUMBER), "number")
+            .when(all_fit(_FITS_BOOLEAN), "boolean")
             .otherwise("string")
         )
         cast_to = (
-            F.when(F.col("type") != "integer", F.when(F.col("type") == "number", "double")
-                   .otherwise(F.col("type")))
-            .when(F.col("fits_long"), "bigint")
+            F.when(F.col("type") == "number", "double")
+            .when(F.col("type") != "integer", F.col("type"))
+            .when(all_fit(_FITS_LONG), "bigint")
             .when(F.col("digits") <= 38, "decimal(38,0)")
             .otherwise("string")
         )

@@ -54,7 +54,11 @@ def jsonl_confidence(text: Column) -> Column:
         good = F.size(F.filter(
             lines, lambda x: F.ltrim(x).startswith("{") & whole_json(x).isNotNull()
         ))
-        single = F.when(whole_json(lines[0]).isNotNull(), JSONL_SINGLE).otherwise(_zero())
+        # A failed parse is dear, so only what can begin a JSON value is tried.
+        start = F.regexp_like(lines[0], F.lit(r"""^\s*[\[{"0-9tfn-]"""))
+        single = F.when(
+            whole_json(F.when(start, lines[0])).isNotNull(), JSONL_SINGLE
+        ).otherwise(_zero())
         return (
             F.when(F.size(lines) == 0, _zero())
             .when(F.size(lines) == 1, single)

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 import statistics
@@ -47,6 +48,13 @@ def test_group_by_text_values(spark, small_input):
     assert ("c",) not in out
 
 
+def test_group_by_reads_booleans_and_skips_dates(spark):
+    df = spark.createDataFrame([("a", True, dt.date(2026, 1, 1)), ("a", False, None)],
+                               "k string, f boolean, d date")
+    row = group_by(df, ["k"], {"f": ["sum"], "d": ["count", "max"]}).first()
+    assert (row.f_sum, row.d_count, row.d_max) == (1.0, 1, None)
+
+
 def test_group_by_without_aggregates_has_no_groups(people):
     assert group_by(people, ["country"], {}).count() == 0
 
@@ -222,6 +230,13 @@ def test_report_is_capped_and_worst_first(flawed):
     assert len(out) == 2 and out[0].severity == "high"
 
 
+def test_reports_use_the_fixed_vocabulary(flawed):
+    found = quality.quality_report(flawed).collect()
+    assert {r.kind for r in found} <= set(quality.FINDING_KINDS)
+    assert {r.severity for r in found} <= set(quality.SEVERITIES)
+    assert charts.recommend_chart(flawed).first().kind in charts.CHART_KINDS
+
+
 def test_whole_numbers_fit_a_number_column(spark):
     df = spark.createDataFrame([(str(i + 0.5),) for i in range(50)] + [("7",)], "v string")
     assert quality.type_drift(df).count() == 0

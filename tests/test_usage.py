@@ -383,3 +383,18 @@ def test_cache(spark):
     ).withColumn("cache_key", canonical_hash(F.col("payload")))
     out = audit.answer_cache(asked, cache, now())
     assert {r.id: r.answer for r in out.collect()} == {1: "new", 2: None, 3: None}
+
+
+def test_audit_rows_from_messages(spark):
+    good = ('{"event_id":"%s","action":"login","occurred_at":"2026-05-01T10:00:00Z","trace_id":"t",'
+            '"metadata":{"k":1}}' % U)
+    row, = audit.audit_rows_from_messages(
+        spark.createDataFrame([(good,), ("{}",)], "value string")).collect()
+    assert (row.action, row.metadata, row.month) == ("login", '{"k":1}', "2026_05")
+
+
+def test_keys_of_paths(spark):
+    df = spark.createDataFrame([("s3://store/uploads/users/u-7/a.tar.GZ",)], "p string")
+    key = retention.blob_key(F.col("p"), "uploads")
+    row = df.select(key, retention.owner_of(key), retention.extension_of(key)).first()
+    assert tuple(row) == ("users/u-7/a.tar.GZ", "u-7", "gz")
