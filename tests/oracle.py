@@ -40,9 +40,8 @@ def normal(columns: list[str], rows) -> list[tuple]:
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
-def compare(spark, con, name: str, run, sql: str, sf_dir: str) -> str | None:
+def compare(df, con, sql: str) -> str | None:
     """None when both sides agree, else what differs."""
-    df = run(spark, sf_dir)
     got = normal(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
@@ -77,7 +76,7 @@ def main() -> int:
         start = time.time()
         try:
             if name in sql:
-                problem = compare(spark, con, name, run, sql[name], sf_dir)
+                problem = compare(run(spark, sf_dir), con, sql[name])
             else:
                 problem = None
                 run(spark, sf_dir).collect()
