@@ -212,6 +212,18 @@ def convert_csv_to_jsonl(spark, sf_dir):
     return readers.read_jsonl(spark, target).select("o_orderkey", "o_totalprice")
 
 
+@query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+def convert_jsonl_to_csv(spark, sf_dir):
+    source, target = scratch_path(spark, "in"), scratch_path(spark, "out")
+    writers.write_jsonl(
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus"), source
+    )
+    spec = {"kind": "row", "predicate": {"col": "o_orderstatus", "op": "eq", "value": "F"}}
+    convert(spark, source, target, "csv", spec, "jsonl")
+    return readers.read_csv(spark, target, multi_line=False).drop("o_orderstatus")
+
+
 @query("""SELECT o_orderstatus, count(*) AS o_orderkey_count FROM orders
 WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderstatus""")
 def job_analyze(spark, sf_dir):

@@ -194,29 +194,36 @@ READERS = {
 }
 
 
-# A file beyond this size is recognised by its first lines.
-DETECT_WHOLE, DETECT_LINES = 64 * 1024 * 1024, 1000
+# The first lines decide when they are this telling; else the whole file does, up to this size.
+HEAD_LINES, HEAD_SURE, WHOLE_FILE = 1000, 0.9, 64 * 1024 * 1024
 
 
 def detect_path(spark: SparkSession, path: str) -> str:
-    """Format of the files below a path, told from the smallest one that is not empty."""
+    """Format of the files below a path, told from the largest one a task can judge whole."""
+    fits = F.col("length") <= WHOLE_FILE
+    size = F.when(fits, -F.col("length")).otherwise(F.col("length"))
     try:
-        first = (
-            list_blobs(spark, path).filter(F.col("length") > 0).orderBy("length", "path").first()
-        )
+        chosen = list_blobs(spark, path).filter("length > 0").orderBy(fits.desc(), size, "path").first()
     except AnalysisException as e:
         raise TabsiftError(NOT_FOUND, path) from e
-    if first is None:
+    if chosen is None:
         raise TabsiftError(NOT_FOUND, path)
-    if first["length"] <= DETECT_WHOLE:
-        sample = read_blobs(spark, first["path"]).select("content")
-    else:
-        head = spark.read.text(first["path"]).limit(DETECT_LINES)
-        sample = head.agg(F.concat_ws("\n", F.collect_list("value")).alias("content"))
-    found = detect_formats(sample, "content").first()["format"]
-    if found == "unknown":
+    lines = spark.read.text(chosen["path"]).limit(HEAD_LINES)
+    head = lines.agg(F.concat_ws("\n", F.collect_list("value")).alias("content"))
+    found = detect_formats(head, "content", ["content"]).first()
+    # The start of a long document is no document: what looks like one needs its end as well.
+    lead = found["content"].lstrip()[:1]
+    cut = lead in ("[", "{", "<") and found["format"] not in ("json", "jsonl", "xml")
+    if cut or found["confidence"] < HEAD_SURE:
+        if chosen["length"] <= WHOLE_FILE:
+            found = detect_formats(read_blobs(spark, chosen["path"]), "content").first()
+        elif lead in ("[", "{"):
+            return "json"
+        elif lead == "<":
+            return "xml"
+    if found["format"] == "unknown":
         raise TabsiftError(UNKNOWN_FORMAT, f"no format matches {path}")
-    return found
+    return found["format"]
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:

@@ -165,6 +165,23 @@ def test_yaml_texts(spark):
     assert text.first()[0] == "z: 1\na:\n- é"
 
 
+def test_files_with_only_a_header_do_not_decide(spark, tmp_path):
+    put(tmp_path, "a.csv", "x,y\n")
+    put(tmp_path, "b.csv", "x,y\n" + "1,2\n" * 5000)
+    assert readers.detect_path(spark, str(tmp_path)) == "csv"
+
+
+@pytest.mark.parametrize("text,fmt", [
+    ("[" + ",\n".join('{"a":1}' for _ in range(3000)) + "]", "json"),
+    ("<r>" + "<i>1</i>\n" * 3000 + "</r>", "xml"), ('{"a":1}\n' * 3000, "jsonl"),
+])
+def test_long_files_are_recognised(spark, tmp_path, monkeypatch, text, fmt):
+    path = put(tmp_path, "f", text)
+    assert readers.detect_path(spark, path) == fmt
+    monkeypatch.setattr(readers, "WHOLE_FILE", 100)
+    assert readers.detect_path(spark, path) == fmt
+
+
 def test_missing_path(spark, tmp_path):
     with pytest.raises(TabsiftError) as e:
         readers.read_any(spark, str(tmp_path / "none"))
