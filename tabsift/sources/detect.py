@@ -236,14 +236,19 @@ def detect_formats(df: DataFrame, content: str, keep: list[str] | None = None) -
         # A workbook's bytes are no text, so the text readings skip them.
         F.when(F.col("_xlsx") == 0, text).alias("_text"),
     )
-    data = data.select("*", _delimited(text).alias("_found"))
+    data = data.select(
+        "*", _delimited(text).alias("_found"), json_confidence(text).alias("_json"),
+        xml_confidence(text).alias("_xml"),
+    )
+    # Lines of one parsed document may be even as well; that does not make them rows.
+    parsed = (F.col("_json") > 0) | (F.col("_xml") > XML_MALFORMED)
     readings = {
         "xlsx": F.col("_xlsx"),
-        "json": json_confidence(text),
+        "json": F.col("_json"),
         "jsonl": jsonl_confidence(text),
-        "xml": xml_confidence(text),
-        "tsv": tsv_confidence(text, F.col("_found")),
-        "csv": csv_confidence(text, F.col("_found")),
+        "xml": F.col("_xml"),
+        "tsv": F.when(parsed, 0.0).otherwise(tsv_confidence(text, F.col("_found"))),
+        "csv": F.when(parsed, 0.0).otherwise(csv_confidence(text, F.col("_found"))),
         "yaml": yaml_confidence(text),
     }
     best = F.array_max(F.array(*[
