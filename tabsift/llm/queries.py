@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabsift.llm.common import prepared
 from tabsift.llm.sharding import shard
+from tabsift.llm.warc import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,3 +61,25 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, a8
        row_number() OVER (PARTITION BY a8.place ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot,
        b9.place::INT AS grown_shard
 FROM d JOIN crc USING (t) JOIN a8 ON a8.k = (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 JOIN b9 ON b9.k = a8.k"""
+
+
+# ---- 8: WARC ------------------------------------------------------------------------------------
+
+@query
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
+# Five hexadecimal digits are four letters of base32.
+SQL["op8_warc_archive"] = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+e AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)),
+        'string_agg', '') AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_page,
+             row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS rn FROM e)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN rn = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN rn > 1 THEN first_page END AS refers_to
+FROM f"""

@@ -38,9 +38,6 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def jump_column(key: Column, shards: int) -> Column:
     """``key`` is a long; null goes where 0 goes."""
-    if shards < 1:
-        raise ValueError("at least one shard is needed")
-
     @F.pandas_udf("int")
     def place(values: pd.Series) -> pd.Series:
         return pd.Series(jump(values.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
@@ -68,10 +65,13 @@ def shard(
         F.col(key).cast("long").alias("_key"),
         (F.length(data).cast("long") + 1).alias("size"), F.crc32(data).alias("text_crc32"),
     )
-    edges = docs.select(F.col(key).cast("double").alias("_key")).approxQuantile(
-        "_key", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)
-    )
-    edges = sorted({int(e) for e in edges})
+    if shards < 1 or buckets < 1:
+        raise ValueError("at least one shard and one bucket are needed")
+    edges = []
+    if buckets > 1:
+        cuts = [i / buckets for i in range(1, buckets)]
+        ids = docs.select(F.col(key).cast("double").alias("_key"))
+        edges = sorted({int(e) for e in ids.approxQuantile("_key", cuts, 1 / (4 * buckets))})
     counted = rows.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("_n"))
     placed = counted.withColumns({
         "shard": jump_column(F.col("_key"), shards),
