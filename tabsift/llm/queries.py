@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabsift.llm.common import prepared
+from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
 from tabsift.llm.warc import archive
 
@@ -83,3 +85,24 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN rn = 1 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN rn > 1 THEN first_page END AS refers_to
 FROM f"""
+
+
+# ---- 9: secret scans ----------------------------------------------------------------------------
+
+@query
+def op9_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        own = F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS], F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), "n_layers", "n_unopened")
