@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsift.llm.common import prepared
+from tabsift.llm.langid import identify
 from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
 from tabsift.llm.warc import archive
@@ -27,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# ---- 1: language ID ---------------------------------------------------------------------------
+
+@query
+def op1_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 # ---- 7: jump consistent hashing ---------------------------------------------------------------
 
 @query
