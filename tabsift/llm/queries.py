@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsift.llm.common import prepared
+from tabsift.llm.decontam import contaminated
 from tabsift.llm.langid import identify
 from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
@@ -35,6 +36,32 @@ def op1_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+# ---- 5: benchmark decontamination ---------------------------------------------------------------
+
+@query
+def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("_mark")
+
+
+def shingle_sql(source: str, id: str, lower: str = "lower(coalesce(text, ''))") -> str:
+    """The distinct five-word shingles of a table, or all words where there are fewer."""
+    return f"""
+SELECT DISTINCT {id}, unnest(CASE
+         WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
+FROM (SELECT {id}, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM {source})"""
+
+
+SQL["op5_minhash_containment"] = f"""
+WITH d AS ({shingle_sql('documents', 'doc_id')}), i AS ({shingle_sql('benchmark', 'item_id')}),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_matched FROM d JOIN i USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_matched, n_item, n_matched / n_item AS containment
+FROM m JOIN n USING (item_id) WHERE 100 * n_matched >= 75 * n_item"""
+
+
 # ---- 7: jump consistent hashing ---------------------------------------------------------------
 
 @query
