@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabsift.llm.common import prepared
 from tabsift.llm.decontam import contaminated
 from tabsift.llm.langid import identify
+from tabsift.llm.packing import pack_documents
 from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
 from tabsift.llm.warc import archive
@@ -36,6 +37,13 @@ def op1_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+# ---- 2: best-fit packing ------------------------------------------------------------------------
+
+@query
+def op2_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 # ---- 5: benchmark decontamination ---------------------------------------------------------------
 
 @query
