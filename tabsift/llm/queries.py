@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsift.llm.common import prepared
+from tabsift.llm.common import LOWER, UPPER, prepared
 from tabsift.llm.decontam import contaminated
+from tabsift.llm.jaccard import similar_documents
 from tabsift.llm.langid import identify
 from tabsift.llm.packing import pack_documents
 from tabsift.llm.secrets import KINDS, scan_secrets
@@ -149,3 +150,24 @@ def op9_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k) for k in KINDS], F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"), "n_layers", "n_unopened")
+
+
+# ---- 10: n-gram Jaccard join --------------------------------------------------------------------
+
+@query
+def op10_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_adaptive_jaccard"] = f"""
+WITH RECURSIVE
+d AS ({shingle_sql('documents', 'doc_id', f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")}),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d a JOIN d b USING (s)
+        WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+          WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS c FROM documents
+          UNION SELECT y, c FROM reach JOIN links ON x = doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY ALL"""
