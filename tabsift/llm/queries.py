@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsift.llm.common import LOWER, UPPER, prepared
 from tabsift.llm.decontam import contaminated
+from tabsift.llm.embeddings import near_vectors
 from tabsift.llm.jaccard import similar_documents
 from tabsift.llm.langid import identify
 from tabsift.llm.packing import pack_documents
@@ -71,6 +72,28 @@ SELECT doc_id, item_id, n_matched, n_item, n_matched / n_item AS containment
 FROM m JOIN n USING (item_id) WHERE 100 * n_matched >= 75 * n_item"""
 
 
+# ---- 6: embedding near-dedup --------------------------------------------------------------------
+
+@query
+def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op6_subspace_pigeonhole"] = """
+WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings
+          UNION SELECT y, c FROM reach JOIN links ON x = vec_id),
+n AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(max(n.n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id"""
+
+
 # ---- 7: jump consistent hashing ---------------------------------------------------------------
 
 @query
