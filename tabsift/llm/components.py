@@ -20,8 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     low, high = F.least(a, b), F.greatest(a, b)
     edges = links.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct()
     edges = written(edges, "links")
-    seen = _mark(edges)
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("_u")).agg(F.least("_u", F.min("v")).alias("_m"))
         large = keyed_join(both, least, {"u": "_u"}).filter(F.col("v") > F.col("u")).select(
@@ -32,13 +31,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = hung.filter(F.col("v") != F.col("_m")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
         small = small.unionByName(least.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct()
         edges = written(small, "links")
-        now = _mark(edges)
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, and on one that hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
