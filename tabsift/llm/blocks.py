@@ -33,7 +33,9 @@ def summed(rows: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     number of steps is the logarithm of the number of tasks.
     """
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(d, dtype).astype(dtype) for d in pdf["data"])
+        # In the order of tasks, so that sums of fractions come out alike each time.
+        rows = pdf.sort_values("task")["data"]
+        total = sum(np.frombuffer(d, dtype) for d in rows)
         return pd.DataFrame({"name": pdf["name"][:1], "block": pdf["block"][:1],
                              "task": pdf["task"][:1] // fan_in, "data": [total.tobytes()]})
 

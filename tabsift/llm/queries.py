@@ -12,6 +12,7 @@ from tabsift.llm.decontam import contaminated
 from tabsift.llm.embeddings import near_vectors
 from tabsift.llm.jaccard import similar_documents
 from tabsift.llm.langid import identify
+from tabsift.llm.lm import score_documents
 from tabsift.llm.packing import pack_documents
 from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
@@ -46,6 +47,13 @@ def op2_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+# ---- 3: language-model scoring ------------------------------------------------------------------
+
+@query
+def op3_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 # ---- 5: benchmark decontamination ---------------------------------------------------------------
 
 @query

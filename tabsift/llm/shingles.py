@@ -33,8 +33,10 @@ def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word: runs of bytes but white space, A to Z in lower case.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and last two bytes of every word, as one number.
+
+    Words are runs of bytes but white space, A to Z in lower case.
 
     A rolling sum over the bytes gives each word's polynomial hash as a difference, so the cost
     does not depend on the number of words.
@@ -48,7 +50,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(c) + 1, np.uint64)
     np.cumsum(_BYTE[c] * up, out=sums[1:])
     value = (sums[ends] - sums[starts]) * down[starts]
-    return starts, mixed(value + (ends - starts).astype(np.uint64))
+    tails = c[np.maximum(ends - 2, starts)].astype(np.int64) * 256 + c[ends - 1]
+    return starts, mixed(value + (ends - starts).astype(np.uint64)), tails
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -76,9 +79,9 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for a, b in slices([len(t) + 1 for t in texts], PIECE):
         if b - a == 1 and len(texts[a]) > PIECE:
-            out.append(_distinct(np.concatenate(list(_pieces(texts[a])))))
+            out.append(_distinct(np.concatenate([h for _, h, _ in pieces(texts[a])])))
             continue
-        starts, h = word_hashes(b"\n".join(texts[a:b]))
+        starts, h, _ = word_hashes(b"\n".join(texts[a:b]))
         ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
         stops = np.searchsorted(starts, ends)
         runs = _runs(h) if len(h) >= WORDS else h[:0]
@@ -96,12 +99,12 @@ def _distinct(h: np.ndarray) -> np.ndarray:
     return _short(h) if len(h) else h
 
 
-def _pieces(text: bytes):
-    """Word hashes of a long text, piece by piece; a piece ends where a word does."""
+def pieces(text: bytes):
+    """``word_hashes`` of a long text, piece by piece; a piece ends where a word does."""
     at = 0
     while at < len(text):
         stop = min(at + PIECE, len(text))
         while stop < len(text) and not _SPACE[text[stop]]:
             stop += 1
-        yield word_hashes(text[at:stop])[1]
+        yield word_hashes(text[at:stop])
         at = stop
