@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabsift.llm.common import LOWER, UPPER, prepared
 from tabsift.llm.decontam import contaminated
 from tabsift.llm.embeddings import near_vectors
+from tabsift.llm.fst import token_counts
 from tabsift.llm.jaccard import similar_documents
 from tabsift.llm.langid import identify
 from tabsift.llm.lm import score_documents
@@ -54,6 +55,13 @@ def op3_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+# ---- 4: token counts ----------------------------------------------------------------------------
+
+@query
+def op4_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 # ---- 5: benchmark decontamination ---------------------------------------------------------------
 
 @query
