@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsift.llm.blocks import block_rows, gathered, summed
 from tabsift.llm.common import fold, slices, texts_of
@@ -158,13 +159,15 @@ def predict(
     docs: DataFrame, model: Model | None, keep: list[str], text: str = "text",
     ambiguous_below: float = 0.01,
 ) -> DataFrame:
-    """``keep..., lang_pred, score, ambiguous`` of every row, from the text alone.
+    """``keep..., lang_pred, score, ambiguous`` of every row, from the text alone; ``keep`` may hold it.
 
     A null text or one without a letter is ``und`` with score 0. ``ambiguous`` marks these and
     texts whose nearest two codewords are closer than ``ambiguous_below``. There is no shuffle.
     """
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_t"))
-    schema = rows.drop("_t").schema.add("lang_pred", "string").add("score", "double")
+    own = [F.col(c) for c in keep if c != text]
+    rows = docs.select(*own, F.col(text).cast("string").alias("_t"))
+    schema = T.StructType(rows.schema.fields + [
+        T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +183,28 @@ def predict(
                     known = model is not None and any(map(str.isalpha, t))
                     pred.append(model.langs[k] if known else UNDETERMINED)
                     score.append(float(s) if known else 0.0)
-            columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                [*keep, "lang_pred", "score"])
+                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                [*batch.schema.names, "_lang", "_score"])
 
-    return rows.mapInArrow(run, schema).withColumn("ambiguous", F.col("score") < ambiguous_below)
+    found = rows.mapInArrow(run, schema)
+    return found.select(
+        *[(F.col("_t") if c == text else F.col(c)).alias(c) for c in keep],
+        F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"),
+        (F.col("_score") < ambiguous_below).alias("ambiguous"))
+
+
+def keep_identified(docs: DataFrame, ambiguous_below: float = 0.01) -> DataFrame:
+    """The documents in a language that was learned from ``docs``, with all their columns.
+
+    Rejected are texts that are null or have no letter, and texts between the nearest two codewords,
+    as those in an unknown script are. If nothing can be learned every document is rejected.
+    """
+    model = train(docs.filter(fold(F.col("doc_id")) != 0))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    judged = predict(docs.toDF(*names), model, names, text, ambiguous_below)
+    return judged.filter("not ambiguous").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def identify(docs: DataFrame, ambiguous_below: float = 0.01) -> DataFrame:
