@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsift.catalog.base import query, table
 from tabsift.operators.expression import register_function
-from tabsift.operators.filters import apply_filter, preview
+from tabsift.operators.filters import apply_filter, preview, validate_filter
 
 
 @query("""SELECT l_shipdate, l_orderkey, l_quantity FROM lineitem""")
@@ -115,6 +115,53 @@ def expression_sql_nulls(spark, sf_dir):
     return apply_filter(_sparse_events(spark, sf_dir), spec)
 
 
+@query(_SPARSE + """(NOT coalesce(tag LIKE 'c%', FALSE)) AND (NOT coalesce(tag IN ('view', 'error'), FALSE))
+  AND (NOT coalesce(amount + 1 > 20, FALSE))
+  AND (NOT coalesce(amount BETWEEN 2 AND 5, FALSE) OR coalesce(tag = 'signup', FALSE))""")
+def expression_negations(spark, sf_dir):
+    text = ("NOT tag LIKE 'c%' AND NOT tag IN ('view', 'error') AND NOT amount + 1 > 20 "
+            "AND (NOT amount BETWEEN 2 AND 5 OR tag = 'signup')")
+    return apply_filter(_sparse_events(spark, sf_dir), {"kind": "expression", "expr": text})
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE floor((l_quantity - 30) / 7) = -2 OR power(l_linenumber, power(2, 2)) > 1000
+  OR floor(floor(l_quantity * 2 / 3) / 5) = 6""")
+def expression_arithmetic(spark, sf_dir):
+    text = "(l_quantity - 30) // 7 = -2 OR l_linenumber ** 2 ** 2 > 1000 OR l_quantity * 2 // 3 // 5 = 6"
+    kept = apply_filter(table(spark, sf_dir, "lineitem"), {"kind": "expression", "expr": text})
+    return kept.select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE l_linenumber END > 6""")
+def expression_ternary(spark, sf_dir):
+    text = "if(l_returnflag = 'R', l_quantity, l_linenumber) > 6"
+    kept = apply_filter(table(spark, sf_dir, "lineitem"), {"kind": "expression", "expr": text})
+    return kept.select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE l_shipdate IS NOT NULL AND l_discount < 0.02 AND TRUE""")
+def expression_constants(spark, sf_dir):
+    text = "l_shipdate != None AND l_discount < 2e-2 AND True"
+    kept = apply_filter(table(spark, sf_dir, "lineitem"), {"kind": "expression", "expr": text})
+    return kept.select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT name, problem FROM (SELECT DISTINCT 'l_quantities' AS name,
+  'unknown name: `l_quantities`' AS problem FROM lineitem
+  UNION ALL SELECT DISTINCT 'l_quantity', NULL FROM lineitem)""")
+def expression_names(spark, sf_dir):
+    """What validation says about a name that the table lacks and one that it has."""
+    rows = table(spark, sf_dir, "lineitem")
+    said = {n: validate_filter(rows, {"kind": "expression", "expr": f"{n} > 1"})
+            for n in ("l_quantities", "l_quantity")}
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p[0] if p else None).cast("string").alias("problem"))
+                      for n, p in said.items()])
+    return rows.select(F.inline(pairs)).distinct()
+
+
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 0""")
 def expression_truthy(spark, sf_dir):
     kept = apply_filter(

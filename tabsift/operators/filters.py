@@ -40,9 +40,9 @@ def _column_problems(df: DataFrame, spec: dict) -> list[str]:
     problems = []
     for key in ("keep", "include", "columns", "exclude"):
         if spec.get(key) is not None and not isinstance(spec[key], (list, tuple)):
-            problems.append(f"{key} must be a list of column names")
+            problems.append(f"give {key} as a list of names")
     if not problems and not _kept(spec) and not spec.get("exclude"):
-        problems.append("keep must be a non-empty list of column names")
+        problems.append("name the columns to keep or to exclude")
     return problems
 
 
@@ -70,12 +70,14 @@ def _literal_problem(value, dtype: T.DataType) -> str | None:
         return None
     try:
         if isinstance(dtype, (T.IntegralType, T.FractionalType)):
+            if isinstance(value, bool):
+                raise ValueError
             float(value)
         elif isinstance(dtype, T.BooleanType):
             if str(value).strip().lower() not in ("true", "false", "0", "1", "yes", "no"):
                 raise ValueError
         elif isinstance(dtype, T.DateType):
-            dt.date.fromisoformat(str(value)[:10])
+            dt.datetime.fromisoformat(str(value))
         elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             dt.datetime.fromisoformat(str(value))
     except (TypeError, ValueError):
@@ -130,14 +132,14 @@ def row_predicate(df: DataFrame, col: str, op: str, value=None) -> Column:
 def _row_problems(df: DataFrame, spec: dict) -> list[str]:
     p = spec.get("predicate")
     if not isinstance(p, dict) or "col" not in p or "op" not in p:
-        return ["predicate needs 'col' and 'op'"]
+        return ["a row filter takes a predicate with a column (col) and an operator (op)"]
     problems = []
     if p["op"] not in ROW_OPS:
-        problems.append(f"unknown op: {p['op']}")
+        problems.append(f"{p['op']!r} is no row operator")
     if p["col"] not in df.columns:
-        problems.append(f"unknown column: {p['col']!r} (available: {sorted(df.columns)})")
+        problems.append(f"the table has no column {p['col']!r}")
     if p["op"] in LIST_OPS and not isinstance(p.get("value"), (list, tuple)):
-        problems.append(f"{p['op']} requires a list value")
+        problems.append(f"{p['op']} compares with a list of values")
     if problems or p["op"] in NULL_OPS:
         return problems
     if p["op"] == "regex":
@@ -161,8 +163,11 @@ def pattern_of(pattern: str, flags: str = "") -> str:
 
     Named groups are respelled, and character classes and case folding cover all of Unicode.
     """
+    numbers: dict[str, int] = {}
+
     def name(m: re.Match) -> str:
-        return m.group(1).replace("_", "")
+        # Java's names are letters and digits; numbering keeps distinct names distinct.
+        return f"g{numbers.setdefault(m.group(1), len(numbers))}"
 
     out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m)}>", pattern)
     out = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{name(m)}>", out)
@@ -179,14 +184,14 @@ def _pattern_problems(df: DataFrame, pattern: str) -> list[str]:
         jvm.java.util.regex.Pattern.compile(pattern_of(pattern))
     except Exception as e:
         reason = str(getattr(e, "java_exception", e)).splitlines()[0]
-        return [f"invalid regex: {reason}"]
+        return [f"the pattern does not compile: {reason}"]
     return []
 
 
 def _regex_problems(df: DataFrame, spec: dict) -> list[str]:
-    problems = [f"unknown flag: {f!r}" for f in spec.get("flags") or () if f not in REGEX_FLAGS]
+    problems = [f"{f!r} is no regex flag" for f in spec.get("flags") or () if f not in REGEX_FLAGS]
     if not isinstance(spec.get("pattern"), str):
-        return problems + ["pattern is required"]
+        return problems + ["give the pattern as text"]
     return problems + _pattern_problems(df, spec["pattern"])
 
 
@@ -210,7 +215,7 @@ def _expression_text(spec: dict) -> str | None:
 def _expression_problems(df: DataFrame, spec: dict) -> list[str]:
     text = _expression_text(spec)
     if not isinstance(text, str) or not text.strip():
-        return ["expr is required"]
+        return ["give the condition as text in expr"]
     try:
         expression.condition(df, text, sql_nulls=bool(spec.get("sql_nulls")))
     except AnalysisException as e:
@@ -257,17 +262,18 @@ def explain_filter(spec: dict) -> str:
     """One line saying what a filter keeps."""
     kind = spec.get("kind")
     if kind == "column":
-        excluded = spec.get("exclude")
-        text = f"keep columns: {', '.join(_kept(spec)) or 'all'}"
-        return f"{text}; drop: {', '.join(excluded)}" if excluded else text
+        shown = ", ".join(_kept(spec)) or "every column"
+        left_out = ", ".join(spec.get("exclude") or ())
+        return f"shows {shown}" + (f" but not {left_out}" if left_out else "")
     if kind == "row":
         p = spec["predicate"]
-        return f"keep rows where {p['col']} {p['op']} {p.get('value')!r}"
+        operand = "" if p["op"] in NULL_OPS else f" {p.get('value')!r}"
+        return f"rows whose {p['col']} passes {p['op']}{operand}"
     if kind == "expression":
-        return f"keep rows matching expression: {_expression_text(spec)}"
+        return f"rows for which {_expression_text(spec)} holds"
     if kind == "regex":
-        flags = ",".join(spec.get("flags") or ()) or "none"
-        return f"keep rows where any text column matches /{spec['pattern']}/ (flags: {flags})"
+        flags = "".join(spec.get("flags") or ())
+        return f"rows with a text that matches /{spec['pattern']}/{flags}"
     raise TabsiftError(UNKNOWN_FILTER, f"unknown filter kind: {kind!r}")
 
 

@@ -11,18 +11,18 @@ from pyspark.sql import types as T
 
 from tabsift.errors import invalid
 from tabsift.operators.infer import to_number
-from tabsift.operators.quantiles import SMALL_INPUT, exact_quantiles, is_small
+from tabsift.operators.quantiles import SMALL_INPUT, exact_quantiles
 
 # The aggregate names.
 AGGREGATES = ("sum", "count", "avg", "min", "max", "median")
 
 
 def group_by_problems(df: DataFrame, by: list[str], agg: dict[str, list[str]]) -> list[str]:
-    problems = [] if by else ["group_by requires non-empty 'by'"]
-    problems += [f"unknown column in 'by': {c!r}" for c in by if c not in df.columns]
-    problems += [f"unknown column in 'agg': {c!r}" for c in agg if c not in df.columns]
+    problems = [] if by else ["name at least one column to group by"]
+    problems += [f"cannot group by {c!r}: no such column" for c in by if c not in df.columns]
+    problems += [f"cannot aggregate {c!r}: no such column" for c in agg if c not in df.columns]
     problems += [
-        f"unknown aggregator: {fn!r}" for fns in agg.values() for fn in fns
+        f"{fn!r} is no aggregate" for fns in agg.values() for fn in fns
         if fn not in AGGREGATES
     ]
     return problems
@@ -46,7 +46,6 @@ def _aggregate(df: DataFrame, name: str, fn: str) -> Column:
         "avg": F.coalesce(F.avg(value), F.lit(0.0)),
         "min": F.min(value),
         "max": F.max(value),
-        "median": F.median(value),
     }[fn].alias(f"{name}_{fn}")
 
 
@@ -56,8 +55,8 @@ def group_by(
     """Aggregate numeric readings of columns per group; a null key is a group of its own.
 
     A group shows only if one of the aggregated columns has a value in it. ``sum`` and ``avg`` of
-    nothing are 0, the others null. All but ``median`` combine before the shuffle; the median of a
-    large input goes through ``exact_quantiles``.
+    nothing are 0, the others null. All but ``median`` combine before the shuffle; medians go through
+    ``exact_quantiles``.
     """
     problems = group_by_problems(df, by, agg)
     if problems:
@@ -69,7 +68,7 @@ def group_by(
     data = df.select(*dict.fromkeys([*by, *agg])).filter(present)
     pairs = [(c, fn) for c, fns in agg.items() for fn in dict.fromkeys(fns)]
     medians = [c for c, fn in pairs if fn == "median"]
-    if not medians or is_small(data, small_input):
+    if not medians:
         return data.groupBy(*keys).agg(*[_aggregate(data, c, fn) for c, fn in pairs])
 
     plain = [_aggregate(data, c, fn) for c, fn in pairs if fn != "median"]

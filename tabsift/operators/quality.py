@@ -12,14 +12,15 @@ from tabsift.functions.tags import NUMERIC_TAGS, tag_of
 from tabsift.operators.infer import value_tag
 from tabsift.operators.quantiles import SMALL_INPUT, exact_quantiles
 
-# Finding kinds, severities and the size of a report.
+# Finding kinds and severities.
 FINDING_KINDS = (
     "outlier", "missing_values", "format_inconsistency", "possible_duplicate", "type_drift",
 )
 SEVERITIES = ("low", "medium", "high")
-MAX_FINDINGS = 40
 
 FENCE = 1.5
+# Labels up to this length are counted as they are.
+LONG_LABEL = 64
 MINORITY = 0.1
 _FINDING = ("kind", "column", "severity", "affected", "share", "description", "suggested_action")
 
@@ -65,7 +66,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     cells = F.array(*[
         F.struct(
             F.lit(f.name).alias("column"), (F.col("rows") - F.col(f"c{i}")).alias("affected"),
-            ((F.col("rows") - F.col(f"c{i}")) / F.col("rows")).alias("share"),
+            F.try_divide(F.col("rows") - F.col(f"c{i}"), F.col("rows")).alias("share"),
         ) for i, f in enumerate(df.schema)
     ])
     found = row.select(F.inline(cells)).filter(F.col("affected") > 0)
@@ -110,7 +111,7 @@ def outliers(df: DataFrame, small_input: int = SMALL_INPUT) -> DataFrame:
         ]
         cells.append(F.struct(
             F.lit(n).alias("column"), F.col(f"out{i}").alias("affected"),
-            (F.col(f"out{i}") / F.col(f"n{i}")).alias("share"),
+            F.try_divide(F.col(f"out{i}"), F.col(f"n{i}")).alias("share"),
             F.when(F.col(f"iqr{i}") > 0, F.col(f"reach{i}") / F.col(f"iqr{i}"))
             .otherwise(F.lit(float("inf"))).alias("ranges"),
         ))
@@ -130,34 +131,45 @@ def shape_of(text: Column) -> Column:
     """Shape of a value: runs of digits read 9, of letters A, of blanks one blank."""
     shape = F.regexp_replace(text, r"\p{L}+", "A")
     shape = F.regexp_replace(shape, r"\p{Nd}+", "9")
-    shape = F.regexp_replace(shape, r"\s+", " ")
-    return F.when(F.length(shape) <= 64, shape).otherwise(F.sha2(shape, 256))
+    return F.regexp_replace(shape, r"\s+", " ")
 
 
 def _minority(df: DataFrame, label) -> DataFrame:
     """``column, main, affected, share`` of text columns where few values leave the main label.
 
-    Labels are counted per task before the shuffle; per column only the count of the commonest
-    label and the total remain.
+    Labels are counted per task before the shuffle, long ones under their digest; per column only
+    the count of the commonest label and the total remain. A commonest label that was counted by
+    digest, at most one per column, is looked up again.
     """
     cells = F.array(*[
         F.struct(F.lit(f.name).alias("column"), label(_filled(f)).alias("label"))
         for f in _text_fields(df)
     ])
+    long = F.length("label") > LONG_LABEL
+    labels = df.select(F.inline(cells)).filter(F.col("label").isNotNull())
     counts = (
-        df.select(F.inline(cells)).filter(F.col("label").isNotNull())
+        labels.withColumn("label", F.when(long, F.sha2("label", 256)).otherwise(F.col("label")))
         .groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
     )
     best = F.max_by("label", F.struct("n", "label"))
-    return (
+    found = (
         counts.groupBy("column")
-        .agg(best.alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("total"))
+        .agg(best.alias("key"), F.max("n").alias("main_n"), F.sum("n").alias("total"))
         .select(
-            "column", "main", (F.col("total") - F.col("main_n")).alias("affected"),
+            "column", "key", (F.col("total") - F.col("main_n")).alias("affected"),
             ((F.col("total") - F.col("main_n")) / F.col("total")).alias("share"),
         )
         .filter((F.col("affected") > 0) & (F.col("share") <= MINORITY))
     )
+    wanted = found.select(F.col("column").alias("_column"), F.col("key").alias("_key"))
+    whole = (
+        labels.filter(long).withColumn("_digest", F.sha2("label", 256))
+        .join(wanted, (F.col("column") == F.col("_column")) & (F.col("_digest") == F.col("_key")))
+        .groupBy("_column", "_key").agg(F.first("label").alias("whole"))
+    )
+    return found.join(
+        whole, (F.col("column") == F.col("_column")) & (F.col("key") == F.col("_key")), "left"
+    ).select("column", F.coalesce("whole", "key").alias("main"), "affected", "share")
 
 
 def format_inconsistency(df: DataFrame) -> DataFrame:
@@ -232,18 +244,18 @@ def possible_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataF
 
 
 def quality_report(
-    df: DataFrame, duplicate_keys: list[str] | None = None, limit: int = MAX_FINDINGS,
+    df: DataFrame, duplicate_keys: list[str] | None = None, limit: int | None = None,
     small_input: int = SMALL_INPUT,
 ) -> DataFrame:
-    """All findings, worst first, at most ``limit`` of them."""
+    """All findings, worst first; ``limit`` cuts the report."""
     parts = [
         outliers(df, small_input), missing_values(df), format_inconsistency(df),
         possible_duplicates(df, duplicate_keys), type_drift(df),
     ]
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return (
+    found = (
         reduce(DataFrame.unionByName, parts)
         .select(*_FINDING)
         .orderBy(rank.desc(), F.col("kind"), F.col("column"))
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)

@@ -22,8 +22,9 @@ from tabsift.operators.joins import keyed_join
 from tabsift.session import estimated_bytes
 
 ACCURACY = 10_000
-# Below this estimated input size a whole group fits one task and `percentile` is cheaper.
-SMALL_INPUT = 64 * 1024 * 1024
+# Up to this estimated input size quantiles are counted without a bracket. The default is one plan
+# for all sizes; a caller who knows that every group fits one task may ask for the other.
+SMALL_INPUT = -1
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT) -> bool:
@@ -53,6 +54,11 @@ def _names(by: list[str], keys: list[str], columns: dict[str, Column]) -> list[C
     ]
 
 
+def between(low: Column, high: Column, part: Column) -> Column:
+    """Interpolation that stays exact for equal neighbours, infinite ones among them."""
+    return F.when((part == 0) | (low == high), low).otherwise(low + (high - low) * part)
+
+
 def counted_quantiles(
     df: DataFrame, by: list[str], columns: dict[str, Column], probs: list[float]
 ) -> DataFrame:
@@ -79,7 +85,7 @@ def counted_quantiles(
         low = F.min(F.when(F.col("upto") > F.floor(position), F.col("v")))
         high = F.min(F.when(F.col("upto") > F.ceil(position), F.col("v")))
         part = F.max(position - F.floor(position))
-        return F.struct(F.lit(p).alias("prob"), (low + (high - low) * part).alias("value"))
+        return F.struct(F.lit(p).alias("prob"), between(low, high, part).alias("value"))
 
     picked = ranked.groupBy(*keys, "mi").agg(
         F.count(F.lit(1)).alias("distinct"), F.array(*[pick(p) for p in probs]).alias("q")
@@ -159,5 +165,5 @@ def exact_quantiles(
     outside = (F.coalesce(F.col("skipped"), F.lit(0)) > below) | F.col("high").isNull()
     value = F.when(
         outside, F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy"))
-    ).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (position - below))
+    ).otherwise(between(F.col("low"), F.col("high"), position - below))
     return picked.select(*_names(by, keys, columns), "prob", value.alias("value"))

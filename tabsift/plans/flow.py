@@ -31,7 +31,8 @@ def _schema_infer(df: DataFrame, column: str | None = None, **options) -> DataFr
     if column is None and is_tree(df):
         column = df.columns[0]
     if column is None:
-        return path_profile(df.select(F.to_json(F.struct("*")).alias("_t")), "_t", **options)
+        whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        return path_profile(df.select(whole.alias("_t")), "_t", **options)
     if isinstance(df.schema[column].dataType, T.VariantType):
         df = df.select(F.to_json(column).alias(column))
     return path_profile(df, column, **options)

@@ -122,9 +122,8 @@ def _records(path: str, content: bytes, sheet: str | None, first_only: bool):
         chosen = [(i, n, m) for i, (n, m) in enumerate(parts) if sheet is None or n == sheet]
         for index, name, member in chosen[:1] if first_only else chosen:
             rows = _sheet_rows(book, member)
-            header = [
-                str(h) if h is not None else f"col_{i}" for i, h in enumerate(next(rows, []))
-            ]
+            titles = enumerate(next(rows, []))
+            header = [f"col_{i}" if h is None else str(h) for i, h in titles]
             for at, row in enumerate(rows, start=2):
                 cells = dict(zip(header, row + [None] * (len(header) - len(row))))
                 yield path, index, name, at, json.dumps(cells, ensure_ascii=False, default=str)
@@ -174,15 +173,29 @@ def records_to_table(rows: DataFrame, record: str = "record") -> DataFrame:
     shape = rows.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(record)))).first()[0]
     if not shape or not shape.startswith("OBJECT<"):
         raise TabsiftError(NOT_TABULAR, "the documents are no list of records")
-    ddl = shape.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
-    ddl = re.sub(r"DECIMAL\(\d+, ?[1-9]\d*\)", "DOUBLE", ddl)
-    fields = T.StructType.fromDDL(f"r {ddl}")["r"].dataType.fieldNames()
+    # An object's type reads like a struct's; names are quoted wherever they need it.
+    ddl = re.sub(r"(`(?:[^`]|``)*`)|OBJECT<", lambda m: m.group(1) or "STRUCT<", shape)
+    parsed = T.StructType.fromDDL(f"r {ddl}")["r"].dataType
+    record_type = _readable(parsed)
     kept = [c for c in rows.columns if c != record]
-    return rows.select(*kept, F.from_json(F.col(record), ddl).alias("_r")).select(
-        *kept, *[F.col("_r").getField(n).alias(n) for n in fields]
+    return rows.select(*kept, F.from_json(F.col(record), record_type).alias("_r")).select(
+        *kept, *[F.col("_r").getField(n).alias(n) for n in record_type.fieldNames()]
     )
 
 
+def _readable(dtype: T.DataType) -> T.DataType:
+    """The type to read a JSON value as: what has no one type reads as text, fractions as doubles."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _readable(f.dataType)) for f in dtype])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_readable(dtype.elementType))
+    if isinstance(dtype, (T.NullType, T.VariantType)):
+        return T.StringType()
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return T.DoubleType()
+    return dtype
+
+
 def header_order(rows: DataFrame, table: DataFrame, kept: list[str]) -> DataFrame:
     """Columns in the order of the first header instead of by name."""
     head = rows.select(F.json_object_keys("record")).first()

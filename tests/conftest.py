@@ -28,7 +28,7 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def people(spark):
     return spark.createDataFrame(
-        [(1, "Ada", 37, "UK"), (2, "Grace Hopper", 85, "US"), (3, "Kid", 10, "IN"),
+        [(1, "Mara", 41, "NO"), (2, "Ines Vidal", 88, "CA"), (3, "Tom", 10, "PE"),
          (4, None, None, None)],
         "id long, name string, age long, country string",
     )

@@ -49,7 +49,7 @@ def test_matrix_covers_every_operator():
     assert {m[0] for m in MATRIX} == set(ROW_OPS)
 
 
-@pytest.mark.parametrize("value,kept", [(18, [1, 2]), ("18", [1, 2]), (37.5, [2]), ("10", [1, 2])])
+@pytest.mark.parametrize("value,kept", [(18, [1, 2]), ("18", [1, 2]), (41.5, [2]), ("10", [1, 2])])
 def test_literals_take_the_column_type(people, value, kept):
     assert ids(apply_filter(people, row("age", "gt", value))) == kept
 
@@ -66,10 +66,10 @@ def test_text_operators_read_booleans_capitalised(spark):
 
 
 @pytest.mark.parametrize("spec,text", [
-    (row("nope", "eq", 1), "unknown column"), (row("age", "like", 1), "unknown op"),
-    (row("age", "in", 1), "requires a list"), (row("age", "gt", "old"), "not a bigint"),
-    ({"kind": "regex", "pattern": "(unclosed"}, "invalid regex"),
-    ({"kind": "regex", "pattern": "a", "flags": ["x"]}, "unknown flag"),
+    (row("nope", "eq", 1), "no column 'nope'"), (row("age", "like", 1), "no row operator"),
+    (row("age", "in", 1), "a list of values"), (row("age", "gt", "old"), "not a bigint"),
+    ({"kind": "regex", "pattern": "(unclosed"}, "does not compile"),
+    ({"kind": "regex", "pattern": "a", "flags": ["x"]}, "no regex flag"),
     ({"kind": "expression", "expr": "nope > 1"}, "unknown name"),
     ({"kind": "expression", "expr": "nofn(age) > 1"}, "unknown function"),
     ({"kind": "expression", "expr": "age > > 1"}, "syntax error"),
@@ -78,6 +78,26 @@ def test_validation_messages(people, spec, text):
     assert any(text in p for p in validate_filter(people, spec))
 
 
+def test_literals_that_do_not_fit_are_told(spark, people):
+    assert validate_filter(people, row("age", "gt", True)) == ["True is not a bigint"]
+    df = spark.sql("SELECT 1L AS id, DATE '2023-01-01' AS d")
+    assert validate_filter(df, row("d", "eq", "2023-01-01xyz")) == ["'2023-01-01xyz' is not a date"]
+    assert ids(apply_filter(df, row("d", "eq", "2023-01-01"))) == [1]
+
+
+@pytest.mark.parametrize("text,spark_text", [
+    ("NOT a LIKE 'x%' AND b", "TRUE IS DISTINCT FROM (a LIKE 'x%') AND b"),
+    ("NOT a BETWEEN 1 AND 2 OR NOT b", "TRUE IS DISTINCT FROM (a BETWEEN 1 AND 2) OR TRUE IS DISTINCT FROM (b)"),
+    ("a NOT IN (1) AND b IS NOT NULL", "a NOT IN (1) AND b IS NOT NULL"),
+    ("2 ** 3 ** -x > f(a // 2)", "power(2, power(3, -x)) > f(floor((a) / (2)))"),
+    ("-a * b // c + 1", "floor((- a * b) / (c)) + 1"),
+    ("'NOT a = b' == c", "'NOT a = b' <=> c"),
+    ("exists(l, x -> NOT x = 1)", "exists(l, x -> TRUE IS DISTINCT FROM (x <=> 1))"),
+])
+def test_two_valued_text(text, spark_text):
+    assert two_valued(text) == spark_text
+
+
 def test_unknown_kind(people):
     with pytest.raises(TabsiftError) as e:
         apply_filter(people, {"kind": "nope"})
@@ -86,7 +106,7 @@ def test_unknown_kind(people):
 
 def test_regex_looks_at_every_text_column(spark):
     df = spark.createDataFrame(
-        [(1, "Ada", "math"), (2, "Grace", "COBOL fans"), (3, None, "cobol")],
+        [(1, "Mara", "math"), (2, "Ines", "COBOL fans"), (3, None, "cobol")],
         "id long, name string, note string",
     )
     assert ids(apply_filter(df, {"kind": "regex", "pattern": r"\bCOBOL\b"})) == [2]
@@ -94,6 +114,7 @@ def test_regex_looks_at_every_text_column(spark):
 
 
 @pytest.mark.parametrize("pattern,flags,kept", [
+    (r"^(?P<a_b>n)(?P<ab>é)(?P=ab)$", [], [1]),
     (r"(?P<first_one>\w)(?P=first_one)", [], [1, 2]), (r"^\w+\Z", [], [1, 2]), (r"É", ["i"], [1]),
     (r"^b", ["m"], [3]), (r"^a.b$", ["s"], [3]), (r"^a.b$", [], []), (r"^\d+$", [], [4]),
 ])
@@ -104,21 +125,21 @@ def test_pattern_dialect(spark, pattern, flags, kept):
 
 
 @pytest.mark.parametrize("text,kept", [
-    ("age > 18 AND country = 'UK'", [1]),
-    ("NOT (country = 'US') OR age > 80", [1, 2, 3, 4]),
-    ("NOT (country = 'US')", [1, 3, 4]),
+    ("age > 18 AND country = 'NO'", [1]),
+    ("NOT (country = 'CA') OR age > 80", [1, 2, 3, 4]),
+    ("NOT (country = 'CA')", [1, 3, 4]),
     ("not age > 18", [3, 4]),
-    ("NOT country == 'UK'", [2, 3, 4]),
-    ("country != 'UK'", [2, 3, 4]),
-    ("country <> 'UK' and age >= 10", [2, 3]),
+    ("NOT country == 'NO'", [2, 3, 4]),
+    ("country != 'NO'", [2, 3, 4]),
+    ("country <> 'NO' and age >= 10", [2, 3]),
     ("name = None", [4]),
     ("CASE WHEN age > 50 THEN true ELSE false END", [2]),
-    ("!(country = 'US' OR age > 80)", [1, 3, 4]),
-    ("country IN ('UK', 'IN')", [1, 3]),
-    ("country NOT IN ('UK', 'IN')", [2]),
-    ("age % 2", [1, 2]),
+    ("!(country = 'CA' OR age > 80)", [1, 3, 4]),
+    ("country IN ('NO', 'PE')", [1, 3]),
+    ("country NOT IN ('NO', 'PE')", [2]),
+    ("age % 2", [1]),
     ("name", [1, 2, 3]),
-    ("age * 2 = 74", [1]),
+    ("age * 2 = 82", [1]),
 ])
 def test_expressions(people, text, kept):
     assert ids(apply_filter(people, {"kind": "expression", "expr": text})) == kept
@@ -130,7 +151,7 @@ def test_literals_are_left_alone():
 
 
 def test_sql_nulls(people):
-    spec = {"kind": "expression", "expr": "NOT (country = 'US')", "sql_nulls": True}
+    spec = {"kind": "expression", "expr": "NOT (country = 'CA')", "sql_nulls": True}
     assert ids(apply_filter(people, spec)) == [1, 3]
 
 
@@ -142,7 +163,7 @@ def test_registered_functions(spark, people):
     register_function(spark, "double_it", double_it, signature="double_it(x) -> number")
     register_function(spark, "plus_one", lambda x: None if x is None else x + 1, "long", "plus_one(x)")
     assert ids(apply_filter(people, {"kind": "expression", "expr": "double_it(age) > 100"})) == [2]
-    assert ids(apply_filter(people, {"kind": "expression", "expr": "plus_one(age) = 38"})) == [1]
+    assert ids(apply_filter(people, {"kind": "expression", "expr": "plus_one(age) = 42"})) == [1]
     assert registered_functions()["double_it"] == "double_it(x) -> number"
 
 
@@ -152,8 +173,8 @@ def test_preview_gives_at_least_one_row(people):
 
 
 def test_explain_lines():
-    assert explain_filter({"kind": "column", "keep": ["a", "b"]}) == "keep columns: a, b"
-    assert "age gt 18" in explain_filter(row("age", "gt", 18))
+    assert explain_filter({"kind": "column", "keep": ["a", "b"]}) == "shows a, b"
+    assert explain_filter(row("age", "gt", 18)) == "rows whose age passes gt 18"
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):

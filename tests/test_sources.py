@@ -35,14 +35,14 @@ CASES = [
     ("csv", b"name,age,active\nAlice,30,true\nBob,25,false\n", "csv", 1.0),
     ("csv with quotes", b'\xef\xbb\xbfa,b\n"x,y",2\n"l1\nl2",3\n', "csv", 1.0),
     ("semicolons", b"a;b\r\n1;2\r\n3;4\r\n", "csv", 1.0),
-    ("tsv", b"id\tname\tage\n1\tAda\t37\n2\tGrace\t85\n", "tsv", 0.95),
+    ("tsv", b"id\tname\tage\n1\tMara\t37\n2\tInes\t85\n", "tsv", 0.95),
     ("json table", b'[{"a":1},{"b":2}]', "json", 0.98),
     ("json object", b' {"a":{"b":1}}', "json", 0.95),
     ("json array", b"[1,2]", "json", 0.7),
-    ("jsonl", b'{"id":1,"name":"Ada"}\n\n{"id":2,"name":"G"}\n', "jsonl", 1.0),
+    ("jsonl", b'{"id":1,"name":"Mara"}\n\n{"id":2,"name":"G"}\n', "jsonl", 1.0),
     ("xml declared", b'<?xml version="1.0"?><a/>', "xml", 0.99),
     ("xml bare", b'<p><q id="1>2"><n>A</n></q><!-- <x> --><br/></p>', "xml", 0.85),
-    ("yaml map", b"name: Ada\nage: 37\nlanguages:\n  - python\n", "yaml", 0.8),
+    ("yaml map", b"name: Mara\nage: 41\ntools:\n  - saw\n", "yaml", 0.8),
     ("yaml list", b"# list\n- a\n- b\n", "yaml", 0.8),
     ("yaml marked", b"---\na: 1\n", "yaml", 0.95),
     ("xlsx", WORKBOOK, "xlsx", 0.99),
@@ -108,10 +108,10 @@ def test_untyped_cells_stay_text(spark, tmp_path):
 
 
 def test_detected_reading(spark, tmp_path):
-    for name, text in [("a.tsv", "id\tname\n1\tAda\n"), ("a.json", '[{"id":1,"name":"Ada"}]'),
-                       ("a.jsonl", '{"id":1,"name":"Ada"}\n{"id":2}\n')]:
+    for name, text in [("a.tsv", "id\tname\n1\tMara\n"), ("a.json", '[{"id":1,"name":"Mara"}]'),
+                       ("a.jsonl", '{"id":1,"name":"Mara"}\n{"id":2}\n')]:
         df = readers.read_any(spark, put(tmp_path, name, text))
-        assert (1, "Ada") in rows(df.select("id", "name"))
+        assert (1, "Mara") in rows(df.select("id", "name"))
 
 
 def test_jsonl_order_union_and_bad_lines(spark, tmp_path):
@@ -122,20 +122,20 @@ def test_jsonl_order_union_and_bad_lines(spark, tmp_path):
 
 
 def test_xml(spark, tmp_path):
-    text = ('<?xml version="1.0"?><people><person id="1"><name> Ada </name><age>37</age></person>'
+    text = ('<?xml version="1.0"?><people><person id="1"><name> Mara </name><age>41</age></person>'
             '<person id="2"><name/>note</person></people>')
     df = readers.read_xml(spark, put(tmp_path, "a.xml", text), "person")
     assert set(df.dtypes) == {("@id", "string"), ("name", "string"), ("age", "string"), ("#text", "string")}
     got = rows(df.select("@id", "name", "age", "#text"), "@id")
-    assert got == [("1", "Ada", "37", None), ("2", None, None, "note")]
+    assert got == [("1", "Mara", "41", None), ("2", None, None, "note")]
     tree = readers.read_xml_tree(spark, put(tmp_path, "b.xml", text))
-    assert tree.select(F.variant_get("tree", "$.person[0].name", "string")).first()[0] == "Ada"
+    assert tree.select(F.variant_get("tree", "$.person[0].name", "string")).first()[0] == "Mara"
 
 
 def test_yaml(spark, tmp_path):
-    path = put(tmp_path, "a.yaml", "name: Ada\nage: 37\nlanguages: [python, ada]\nwhen: 2020-01-02\n")
+    path = put(tmp_path, "a.yaml", "name: Mara\nage: 41\ntools: [saw, plane]\nwhen: 2020-01-02\n")
     tree = readers.read_yaml_tree(spark, path).select("tree")
-    assert tree.select(F.variant_get("tree", "$.languages[1]", "string")).first()[0] == "ada"
+    assert tree.select(F.variant_get("tree", "$.tools[1]", "string")).first()[0] == "plane"
     assert tree.select(F.variant_get("tree", "$.when", "string")).first()[0] == "2020-01-02"
     assert readers.is_tree(readers.read_yaml(spark, path))
     listed = readers.read_yaml(spark, put(tmp_path, "b.yaml", "- {a: 1, b: x}\n- {a: 2}\n"))
@@ -258,7 +258,7 @@ def two_sheets():
                    '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>'
                    '<Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>id</t></si><si><t>na</t><t>me</t></si>"
-                   "<si><t>Ada</t></si></sst>")
+                   "<si><t>Mara</t></si></sst>")
         z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/>'
                    "</cellXfs></styleSheet>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData>'
@@ -266,7 +266,7 @@ def two_sheets():
                    '<is><t>born</t></is></c></row>'
                    '<row r="2"><c r="A2"><v>1</v></c><c r="B2" t="s"><v>2</v></c><c r="C2" t="b"><v>1</v></c>'
                    '<c r="D2" s="1"><v>44197.5</v></c></row>'
-                   '<row r="3"><c r="A3"><v>2</v></c><c r="B3" t="str"><v>Grace</v></c></row>'
+                   '<row r="3"><c r="A3"><v>2</v></c><c r="B3" t="str"><v>Ines</v></c></row>'
                    '</sheetData></worksheet>')
         z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {main}><sheetData><row><c t="inlineStr"><is>'
                    '<t>order_id</t></is></c><c t="inlineStr"><is><t>total</t></is></c></row>'
@@ -281,7 +281,7 @@ def test_workbook_sheets(spark, tmp_path):
         ["people", "orders"]
     first = readers.read_any(spark, path)
     assert first.columns == ["id", "name", "col_2", "born"]
-    assert rows(first, "id") == [(1, "Ada", True, "2021-01-01 12:00:00"), (2, "Grace", None, None)]
+    assert rows(first, "id") == [(1, "Mara", True, "2021-01-01 12:00:00"), (2, "Ines", None, None)]
     second = readers.read_xlsx(spark, path, "orders")
     assert second.dtypes == [("order_id", "bigint"), ("total", "double")] and rows(second) == [(1001, 25.5)]
     both = workbooks.workbook_rows(books, all_sheets=True)

@@ -324,7 +324,7 @@ JOB = ('{"job_id":"%s","user_id":"%s","kind":"convert","params":{},"priority":3,
 @pytest.mark.parametrize("contract,message,errors", [
     ("jobs", JOB, []),
     ("jobs", JOB.replace("convert", "ai-anomaly-full"), []),
-    ("jobs", "this is not json", ["not a JSON object"]),
+    ("jobs", "neither here nor there", ["not a JSON object"]),
     ("jobs", "[1]", ["not a JSON object"]),
     ("jobs", None, ["not a JSON object"]),
     ("jobs", JOB.replace('"priority":3', '"priority":11'), ["invalid priority"]),
@@ -335,7 +335,7 @@ JOB = ('{"job_id":"%s","user_id":"%s","kind":"convert","params":{},"priority":3,
     ("jobs", JOB.replace('"t"', "null"), ["invalid trace_id"]),
     ("jobs", JOB.replace("2026-05-01T10:00:00Z", "May"), ["invalid created_at"]),
     ("jobs", JOB.replace("{", '{"z":1,"b":2,', 1), ["unexpected b", "unexpected z"]),
-    ("jobs", '{"job_id":"not-a-uuid"}', ["invalid job_id"] + [
+    ("jobs", '{"job_id":"job seven"}', ["invalid job_id"] + [
         f"missing {k}" for k in ("user_id", "kind", "params", "priority", "created_at", "trace_id")]),
     ("job-results", '{"job_id":"%s","status":"failed","finished_at":"2026-05-01T10:00:00+02:00",'
      '"trace_id":"t","progress":99.5,"error":{"code":"X","message":"m"}}' % U, []),
