@@ -12,7 +12,7 @@ from tabsift.operators.trees import tree_to_rows
 from tabsift.plans.flow import convert, preview_path, run_job
 from tabsift.session import scratch_path
 from tabsift.sources import readers, workbooks, writers
-from tabsift.sources.detect import detect_formats
+from tabsift.sources.detect import detect_files, detect_formats
 from tabsift.sources.documents import json_to_yaml, xml_to_json, yaml_to_json
 
 _CUSTOMER = """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment
@@ -46,6 +46,54 @@ def roundtrip_detected(spark, sf_dir):
     return readers.read_any(spark, path).select(*_COLUMNS)
 
 
+@query(_CUSTOMER)
+def roundtrip_semicolons(spark, sf_dir):
+    """Semicolon-separated Latin-1 text; the reader finds the delimiter."""
+    path = scratch_path(spark, "semicolons")
+    rows = table(spark, sf_dir, "customer").select(*_COLUMNS).withColumn("note", F.lit("año; été"))
+    rows.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    back = readers.read_csv(spark, path, sep="auto", encoding="ISO-8859-1")
+    return back.filter(F.col("note") == "año; été").select(*_COLUMNS)
+
+
+@query(_CUSTOMER)
+def roundtrip_two_headers(spark, sf_dir):
+    """Files of one folder that list their columns in two orders are read by name."""
+    path = scratch_path(spark, "headers")
+    rows = table(spark, sf_dir, "customer").select(*_COLUMNS)
+    odd = F.col("c_custkey") % 2 == 1
+    writers.write_csv(rows.filter(odd), path)
+    writers.write_csv(rows.filter(~odd).select(*_COLUMNS[::-1]), path, mode="append")
+    return readers.read_csv(spark, path).select(*_COLUMNS)
+
+
+def _mixed_folder(spark, sf_dir) -> str:
+    """The customers of each market segment in a format of their own, below one folder."""
+    path = scratch_path(spark, "mixed")
+    rows = table(spark, sf_dir, "customer").select(*_COLUMNS)
+    for segment, fmt in (("BUILDING", "csv"), ("AUTOMOBILE", "jsonl"), ("MACHINERY", "tsv")):
+        writers.write_any(rows.filter(F.col("c_mktsegment") == segment), f"{path}/{fmt}", fmt)
+    return path
+
+
+@query("""SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'csv' WHEN 'AUTOMOBILE' THEN 'jsonl' ELSE 'tsv' END
+  AS format, count(*) + CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 0 ELSE 1 END AS lines
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') GROUP BY c_mktsegment""")
+def mixed_folder_formats(spark, sf_dir):
+    """Each file is judged for itself, by all of its lines."""
+    files = detect_files(spark, _mixed_folder(spark, sf_dir))
+    by_format = files.groupBy("format").agg(F.sum("lines").alias("lines"), F.count("*").alias("n"))
+    headers = F.when(F.col("format") == "jsonl", 0).otherwise(F.col("n") - 1)
+    return by_format.select("format", (F.col("lines") - headers).alias("lines"))
+
+
+@query(_CUSTOMER + " WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')")
+def mixed_folder_rows(spark, sf_dir):
+    parts = readers.read_each(spark, _mixed_folder(spark, sf_dir))
+    rows = [p.select(*_COLUMNS) for p in parts.values()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("""SELECT doc_id, text, source FROM documents""")
 def roundtrip_csv_documents(spark, sf_dir):
     """Texts with quotes, commas and line ends survive a CSV file."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 # The codes callers match on.
 NOT_FOUND = "NOT_FOUND"
 UNKNOWN_FORMAT = "UNKNOWN_FORMAT"
+MIXED_FORMATS = "MIXED_FORMATS"
 NOT_TABULAR = "NOT_TABULAR"
 VALIDATION_FAILED = "VALIDATION_FAILED"
 UNKNOWN_FILTER = "UNKNOWN_FILTER"

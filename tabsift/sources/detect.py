@@ -89,7 +89,7 @@ def well_formed(text: Column) -> Column:
                 .alias("open"),
                 (
                     acc["ok"] & (F.size(acc["open"]) > 0)
-                    & F.try_element_at(acc["open"], F.lit(-1)).eqNullSafe(F.substring(tag, 2, 1000))
+                    & F.try_element_at(acc["open"], F.lit(-1)).eqNullSafe(F.substr(tag, F.lit(2)))
                 ).alias("ok"),
                 acc["roots"].alias("roots"),
             ),
@@ -265,6 +265,138 @@ def detect_formats(df: DataFrame, content: str, keep: list[str] | None = None) -
     )
 
 
+# ---- files, from their lines ---------------------------------------------------------------------
+
+_ENTRY = (
+    r"""^(-( |$)|("[^"]*"|'[^']*'|[^\s#&*!|>'"%@`{}\[\],][^:#]*?)\s*:(\s|$)|---|\.\.\.)"""
+)
+
+
+def _line_facts(lines: DataFrame) -> DataFrame:
+    """What one line says: its place, its ends, its delimiters and what it could be a part of."""
+    value = F.col("value")
+    bare = F.regexp_replace(value, r'"[^"]*"', "")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
+    lead = F.substring(F.ltrim(value), 1, 1)
+    strings = F.when(lead.isNotNull(), F.regexp_replace(value, r'"(?:[^"\\]|\\.)*"', ""))
+    brackets = {sign: F.length(strings) - F.length(F.translate(strings, sign, ""))
+                for sign in ("{[", "}]")}
+    commented = F.ltrim(value).startswith("#")
+    margin = ~value.startswith(" ") & ~commented
+    return lines.select(
+        "path", F.struct("start", "seq").alias("place"), lead.alias("lead"),
+        F.substring(F.rtrim(value), -1, 1).alias("trail"),
+        F.substring(F.ltrim(value), 1, 5).alias("mark"),
+        (quotes % 2 == 1).alias("wraps"),
+        *[(F.length(bare) - F.length(F.replace(bare, F.lit(d)))).alias(f"d{i}")
+          for i, d in enumerate(DELIMITERS)],
+        ((lead == "{") & whole_json(F.when(lead == "{", value)).isNotNull()).alias("object"),
+        (brackets["{["] - brackets["}]"]).alias("depth"),
+        commented.alias("comment"), margin.alias("margin"),
+        (margin & F.regexp_like(value, F.lit(_ENTRY))).alias("entry"),
+        F.regexp_like(value, F.lit(r":[ \t]|:$|\s#")).alias("marked"),
+        value.contains("xl/workbook.xml").alias("workbook"),
+        value.contains("PK\u0005\u0006").alias("directory"),
+    )
+
+
+def detect_files(spark, path: str) -> DataFrame:
+    """``path, lines, format, confidence, delimiter, wraps`` of every file below a path; blank files
+    have no row.
+
+    One scan in splits: lines are judged where they are read, lines with equal delimiters merge
+    before the shuffle, and a file is the sum of its lines, so its size does not matter and files of
+    a folder are judged each for itself. A document over many lines counts as JSON where its
+    brackets balance between a first and a last one, and as XML where it lies between ``<`` and
+    ``>``. ``delimiter`` is that of delimited rows, ``wraps`` tells whether a quoted cell may hold a
+    line end.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = reader.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("seq"),
+    ).filter(F.trim(F.col("value")) != "")
+    counts = [f"d{i}" for i in range(len(DELIMITERS))]
+    facts = _line_facts(lines)
+    alike = facts.groupBy("path", "wraps", *counts).agg(
+        F.count("*").alias("n"), F.min("place").alias("first"),
+        F.min_by(F.struct("lead", "mark"), "place").alias("opens"), F.max_by("trail", "place").alias("closes"),
+        F.max("place").alias("last"), F.count_if("object").alias("objects"), F.sum("depth").alias("depth"),
+        F.count_if("comment").alias("comments"), F.count_if("margin").alias("margins"),
+        F.count_if("entry").alias("entries"), F.max("marked").alias("marked"),
+        F.max("workbook").alias("workbook"), F.max("directory").alias("directory"),
+    )
+    head = alike.groupBy(F.col("path").alias("_path")).agg(
+        F.min_by(F.struct(*counts), "first").alias("head"))
+    same = [F.sum(F.when((F.col(c) == F.col(f"head.{c}")) & ~F.col("wraps"), F.col("n")).otherwise(0)).alias(f"s{i}")
+            for i, c in enumerate(counts)]
+    joined = alike.join(head, F.col("path") == F.col("_path"))
+    files = joined.groupBy("path").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("wraps"), 0).otherwise(F.col("n"))).alias("rows"),
+        F.min_by("opens", "first").alias("opens"), F.max_by("closes", "last").alias("closes"),
+        F.first("head").alias("head"), *same,
+        *[F.sum(c).alias(c) for c in ("objects", "depth", "comments", "margins", "entries")],
+        *[F.max(c).alias(c) for c in ("wraps", "marked", "workbook", "directory")],
+    )
+    return files.select("path", F.col("n").alias("lines"), *_file_reading()).select(
+        "path", "lines",
+        F.when(F.col("b.confidence") >= ACCEPT, F.col("b.format")).otherwise("unknown").alias("format"),
+        F.col("b.confidence").alias("confidence"), F.col("found.delimiter").alias("delimiter"), "wraps",
+    )
+
+
+def _file_reading() -> list[Column]:
+    """The best reading of a file's sums, by the same worth as that of a whole text."""
+    n, rows = F.col("n"), F.col("rows")
+    lead, mark, closes = F.col("opens.lead"), F.col("opens.mark"), F.col("closes")
+    balanced = (F.col("depth") == 0) & (((lead == "{") & (closes == "}")) | ((lead == "[") & (closes == "]")))
+    lines_of_objects = (F.col("objects") == n) & (n > 1)
+    json = (
+        F.when(~balanced | lines_of_objects, _zero())
+        .when(lead == "{", JSON_OBJECT).otherwise(JSON_TABLE)
+    )
+    jsonl = F.when(lead == "[", _zero()).when(
+        n == 1, F.when(F.col("objects") == 1, JSONL_SINGLE).otherwise(_zero())
+    ).otherwise(F.col("objects") / n)
+    xml = (
+        F.when(mark == "<?xml", XML_DECLARED).when(lead != "<", _zero())
+        .when(closes == ">", XML_WELL_FORMED).otherwise(XML_MALFORMED)
+    )
+    found = F.array_max(F.array_compact(F.array(*[
+        F.when(
+            (F.col(f"head.d{i}") > 0) & (F.col(f"s{i}") >= rows * F.lit(_EVEN_SHARE)),
+            F.struct(F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), rows.alias("rows"),
+                     (F.col(f"s{i}") - 1).alias("body_even")),
+        ) for i, d in enumerate(DELIMITERS)
+    ])))
+    zipped = F.substring(mark, 1, 4) == "PK\u0003\u0004"
+    xlsx = (
+        F.when(~zipped, _zero()).when(~F.col("directory"), XLSX_BROKEN)
+        .when(F.col("workbook"), XLSX_SURE).otherwise(XLSX_OTHER_ZIP)
+    )
+    structured = (F.col("margins") > 0) & (F.col("entries") == F.col("margins"))
+    clean = ~F.col("marked") & ~lead.isin(*"%@`&*!|>'\"[]{},")
+    yaml = (
+        F.when(F.substring(mark, 1, 3) == "---", YAML_MARKED)
+        .when(lead.isin("{", "["), F.when(closes.isin("}", "]"), YAML_JSON).otherwise(_zero()))
+        .when(F.col("comments") == n, YAML_NULL)
+        .when(structured, YAML_TREE).when(clean, YAML_SCALAR).otherwise(_zero())
+    )
+    sure = (json > 0) | (xml > XML_MALFORMED) | zipped
+    readings = {
+        "xlsx": xlsx, "json": json, "jsonl": jsonl, "xml": xml,
+        "tsv": F.when(sure, 0.0).otherwise(tsv_confidence(F.lit(""), found)),
+        "csv": F.when(sure, 0.0).otherwise(csv_confidence(F.lit(""), found)), "yaml": yaml,
+    }
+    best = F.array_max(F.array(*[
+        F.struct(F.coalesce(readings[f], _zero()).alias("confidence"), F.lit(-i).alias("order"),
+                 F.lit(f).alias("format"))
+        for i, f in enumerate(FORMATS)
+    ]))
+    return [best.alias("b"), found.alias("found"), "wraps"]
+
+
 def confidences(df: DataFrame, content: str, keep: list[str] | None = None) -> DataFrame:
     """``keep...`` and one confidence column per format."""
     text = F.regexp_replace(F.col(content).cast("string"), "^﻿", "")

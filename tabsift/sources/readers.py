@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tabsift.errors import NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
+from tabsift.errors import MIXED_FORMATS, NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
 from tabsift.operators.infer import apply_inferred, apply_types
 from tabsift.sources import workbooks
-from tabsift.sources.detect import detect_formats
+from tabsift.sources.detect import DELIMITERS, detect_files
 from tabsift.sources.documents import xml_to_json, yaml_to_json
 
 CORRUPT = "_corrupt_record"
@@ -40,16 +40,45 @@ def _has_wrapped_cells(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
+def _by_header(spark: SparkSession, path) -> list:
+    """The paths, or, where files have different first lines, their paths by first line."""
+    if list_blobs(spark, path).limit(2).count() < 2:
+        return [path]
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    first = lines.filter(F.trim(F.col("value")) != "").groupBy("path").agg(
+        F.min_by("value", "place").alias("header"))
+    headers = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    if len(headers) < 2:
+        return [path]
+    return [sorted(r["paths"]) for r in sorted(headers, key=lambda r: r["header"])]
+
+
 def _delimited(
-    spark: SparkSession, path: str, sep: str, multi_line: bool | None, infer: bool,
-    schema: str | None,
+    spark: SparkSession, path, sep: str, multi_line: bool | None, infer: bool,
+    schema: str | None, encoding: str | None = None,
 ) -> DataFrame:
     if multi_line is None:
         multi_line = _has_wrapped_cells(spark, path)
+    parts = [_one_header(spark, p, sep, multi_line, encoding) for p in _by_header(spark, path)]
+    df = parts[0]
+    for other in parts[1:]:
+        # Files whose columns stand in another order are matched by name.
+        df = df.unionByName(other, allowMissingColumns=True)
+    if schema is not None:
+        known = T.StructType.fromDDL(schema)
+        return apply_types(df, {f.name: f.dataType.simpleString() for f in known})
+    return apply_inferred(df) if infer else df
+
+
+def _one_header(spark: SparkSession, path, sep: str, multi_line: bool, encoding: str | None) -> DataFrame:
     reader = (
         spark.read.option("sep", sep).option("escape", '"').option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
     )
+    if encoding is not None:
+        reader = reader.option("encoding", encoding)
     df = reader.option("header", True).csv(path)
     head = reader.option("header", False).csv(path).limit(1).first()
     if head is not None:
@@ -60,19 +89,26 @@ def _delimited(
             df = df.toDF(*[f"_c{i}" for i in range(len(names))]).select(
                 *[F.col(f"_c{i}").alias(n or "_empty") for n, i in last.items()]
             )
-    if schema is not None:
-        known = T.StructType.fromDDL(schema)
-        return apply_types(df, {f.name: f.dataType.simpleString() for f in known})
-    return apply_inferred(df) if infer else df
+    return df
 
 
-def read_csv(spark, path, sep=",", multi_line=None, infer=True, schema=None) -> DataFrame:
-    """Comma-separated text with a header row, typed unless ``infer`` is off.
+def read_csv(
+    spark, path, sep=",", multi_line=None, infer=True, schema=None, encoding=None,
+) -> DataFrame:
+    """Delimited text with a header row, typed unless ``infer`` is off.
 
-    Inference reads every row. With ``schema`` (types of the columns to cast) and ``multi_line``
-    (whether quoted cells hold line ends) nothing is read ahead, so a preview stops early.
+    ``sep="auto"`` takes the delimiter that detection finds; ``encoding`` names one other than
+    UTF-8. Files of one folder may list their columns in different orders. Inference reads every
+    row. With ``schema`` (types of the columns to cast) and ``multi_line`` (whether quoted cells
+    hold line ends) a single file is not read ahead, so a preview stops early.
     """
-    return _delimited(spark, path, sep, multi_line, infer, schema)
+    if sep == "auto":
+        rows = detect_files(spark, path).select("delimiter").distinct().collect()
+        known = {r["delimiter"] for r in rows} & set(DELIMITERS)
+        if len(known) != 1:
+            raise TabsiftError(MIXED_FORMATS, f"no one delimiter below {path}")
+        sep = known.pop()
+    return _delimited(spark, path, sep, multi_line, infer, schema, encoding)
 
 
 def read_tsv(spark, path, multi_line=None, infer=True, schema=None) -> DataFrame:
@@ -194,46 +230,74 @@ READERS = {
 }
 
 
-# The first lines decide when they are this telling; else the whole file does, up to this size.
-HEAD_LINES, HEAD_SURE, WHOLE_FILE = 1000, 0.9, 64 * 1024 * 1024
-
-
-def detect_path(spark: SparkSession, path: str) -> str:
-    """Format of the files below a path, told from the largest one a task can judge whole."""
-    fits = F.col("length") <= WHOLE_FILE
-    size = F.when(fits, -F.col("length")).otherwise(F.col("length"))
+def _found(spark: SparkSession, path: str):
+    """Format, delimiter and whether cells wrap, of all files below a path; mixed ones are refused."""
     try:
-        chosen = list_blobs(spark, path).filter("length > 0").orderBy(fits.desc(), size, "path").first()
+        files = detect_files(spark, path)
     except AnalysisException as e:
         raise TabsiftError(NOT_FOUND, path) from e
-    if chosen is None:
+    kinds = files.groupBy("format", (F.col("lines") > 1).alias("telling")).agg(
+        F.count("*").alias("n"), F.max("wraps").alias("wraps"),
+        F.collect_set("delimiter").alias("delimiters")).collect()
+    if not kinds:
         raise TabsiftError(NOT_FOUND, path)
-    lines = spark.read.text(chosen["path"]).limit(HEAD_LINES)
-    head = lines.agg(F.concat_ws("\n", F.collect_list("value")).alias("content"))
-    found = detect_formats(head, "content", ["content"]).first()
-    # The start of a long document is no document: what looks like one needs its end as well.
-    lead = found["content"].lstrip()[:1]
-    cut = lead in ("[", "{", "<") and found["format"] not in ("json", "jsonl", "xml")
-    if cut or found["confidence"] < HEAD_SURE:
-        if chosen["length"] <= WHOLE_FILE:
-            found = detect_formats(read_blobs(spark, chosen["path"]), "content").first()
-        elif lead in ("[", "{"):
-            return "json"
-        elif lead == "<":
-            return "xml"
-    if found["format"] == "unknown":
+    # A file of one line, a header alone for instance, says little where others say more.
+    kinds = [r for r in kinds if r["telling"]] or kinds
+    if len(kinds) > 1:
+        said = ", ".join(f"{r['n']} {r['format']}" for r in sorted(kinds, key=lambda r: r["format"]))
+        raise TabsiftError(MIXED_FORMATS, f"files of several formats below {path}: {said}")
+    if kinds[0]["format"] == "unknown":
         raise TabsiftError(UNKNOWN_FORMAT, f"no format matches {path}")
-    return found["format"]
+    return kinds[0]
+
+
+def detect_path(spark: SparkSession, path: str) -> str:
+    """The one format of all files below a path, each judged by all of its lines."""
+    return _found(spark, path)["format"]
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Read a path in the given or the detected format."""
-    fmt = fmt or detect_path(spark, path)
+    """Read a path in the given or the detected format.
+
+    Detection also tells the delimiter of delimited files and whether their cells wrap.
+    """
+    if fmt is None:
+        found = _found(spark, path)
+        fmt = found["format"]
+        if fmt in ("csv", "tsv"):
+            options.setdefault("multi_line", found["wraps"])
+        if fmt == "csv" and "sep" not in options:
+            if len(found["delimiters"]) > 1:
+                raise TabsiftError(MIXED_FORMATS, f"files of several delimiters below {path}")
+            options["sep"] = found["delimiters"][0]
     if fmt not in READERS:
         raise TabsiftError(UNKNOWN_FORMAT, f"no reader for {fmt}")
     return READERS[fmt](spark, path, **options)
 
 
+def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """The files of a mixed folder, one table per format. The paths come to the driver, as they do
+    for any listing that Spark reads."""
+    paths: dict[tuple, list[str]] = {}
+    wraps: dict[tuple, bool] = {}
+    for r in detect_files(spark, path).collect():
+        key = (r["format"], r["delimiter"] if r["format"] == "csv" else None)
+        paths.setdefault(key, []).append(r["path"])
+        wraps[key] = wraps.get(key, False) or r["wraps"]
+    out: dict[str, DataFrame] = {}
+    for (fmt, sep), files in sorted(paths.items(), key=str):
+        if fmt not in READERS:
+            continue
+        own = dict(options)
+        if fmt in ("csv", "tsv"):
+            own.setdefault("multi_line", wraps[fmt, sep])
+        if fmt == "csv":
+            own.setdefault("sep", sep)
+        df = READERS[fmt](spark, files, **own)
+        out[fmt] = out[fmt].unionByName(df, allowMissingColumns=True) if fmt in out else df
+    return out
+
+
 def read_topic(spark: SparkSession, servers: str, topics: list[str], **options) -> DataFrame:
     """A message stream from the earliest offset: ``key, value, topic, ts`` (needs the Kafka
     connector on the class path)."""

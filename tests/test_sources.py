@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsift.errors import TabsiftError
 from tabsift.sources import readers, workbooks, writers
-from tabsift.sources.detect import confidences, detect_formats
+from tabsift.sources.detect import confidences, detect_files, detect_formats
 from tabsift.sources.documents import json_to_yaml, yaml_to_json
 
 
@@ -175,11 +175,36 @@ def test_files_with_only_a_header_do_not_decide(spark, tmp_path):
     ("[" + ",\n".join('{"a":1}' for _ in range(3000)) + "]", "json"),
     ("<r>" + "<i>1</i>\n" * 3000 + "</r>", "xml"), ('{"a":1}\n' * 3000, "jsonl"),
 ])
-def test_long_files_are_recognised(spark, tmp_path, monkeypatch, text, fmt):
-    path = put(tmp_path, "f", text)
-    assert readers.detect_path(spark, path) == fmt
-    monkeypatch.setattr(readers, "WHOLE_FILE", 100)
-    assert readers.detect_path(spark, path) == fmt
+def test_long_files_are_recognised(spark, tmp_path, text, fmt):
+    assert readers.detect_path(spark, put(tmp_path, "f", text)) == fmt
+
+
+def test_a_mixed_folder_is_refused_and_read_apart(spark, tmp_path):
+    put(tmp_path, "a.csv", "x,y\n" + "1,2\n" * 1500)
+    put(tmp_path, "b.jsonl", '{"x":3,"y":4}\n' * 10)
+    with pytest.raises(TabsiftError) as e:
+        readers.read_any(spark, str(tmp_path))
+    assert e.value.code == "MIXED_FORMATS"
+    parts = readers.read_each(spark, str(tmp_path))
+    assert {k: v.count() for k, v in parts.items()} == {"csv": 1500, "jsonl": 10}
+
+
+def test_the_end_of_a_file_counts_as_much_as_its_start(spark, tmp_path):
+    path = put(tmp_path, "f", '{"a":1}\n' * 2000 + "free text here, and more\n" * 4000)
+    assert detect_files(spark, path).first()["format"] != "jsonl"
+
+
+@pytest.mark.parametrize("sep", [",", ";", "|"])
+def test_delimiters_are_found(spark, tmp_path, sep):
+    path = put(tmp_path, "a", f"a{sep}b\n" + f"1{sep}x\n2{sep}y\n" * 3)
+    assert rows(readers.read_csv(spark, path, sep="auto"), "a")[0] == (1, "x")
+    assert readers.read_any(spark, path).columns == ["a", "b"]
+
+
+def test_headers_in_two_orders_are_matched_by_name(spark, tmp_path):
+    put(tmp_path, "a.csv", "a,b\n1,x\n")
+    put(tmp_path, "b.csv", "b,a\ny,2\n")
+    assert rows(readers.read_csv(spark, str(tmp_path)).select("a", "b"), "a") == [(1, "x"), (2, "y")]
 
 
 def test_missing_path(spark, tmp_path):
