@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsift.catalog.base import as_long, query, rounded, table
+from tabsift.catalog.base import SQL, as_long, query, rounded, table
 from tabsift.functions.tags import variant_tag
 from tabsift.operators import charts, quality
 from tabsift.operators.grouping import group_by
@@ -498,14 +498,18 @@ def quality_duplicates(spark, sf_dir):
     return quality.possible_duplicates(table(spark, sf_dir, "documents"), ["text"]).select(*_FINDING)
 
 
-@query(_FLAWED + """, m AS (SELECT 'missing_values' AS kind, 'status' AS "column",
-  (count(*) - count(status)) AS a, count(*) AS t FROM flawed)
-SELECT count(*) AS findings FROM (SELECT kind FROM m WHERE a > 0
-  UNION ALL SELECT 'outlier' FROM flawed HAVING max(price) > 1000000
-  UNION ALL SELECT 'format' FROM flawed HAVING sum((day LIKE '% %')::INT) > 0
-  UNION ALL SELECT 'format' FROM flawed HAVING sum((customer = 'n/a')::INT) > 0
-  UNION ALL SELECT 'drift' FROM flawed HAVING sum((customer = 'n/a')::INT) > 0)""")
+@query(" UNION ALL ".join(
+    f'SELECT kind, "column", severity, affected FROM ({SQL[name]})'
+    for name in ("quality_missing", "quality_outlier", "quality_format", "quality_drift")
+))
 def quality_findings(spark, sf_dir):
-    return quality.quality_report(_flawed_orders(spark, sf_dir)).agg(
-        F.count(F.lit(1)).alias("findings")
-    )
+    """The whole report; no order repeats another."""
+    return quality.quality_report(_flawed_orders(spark, sf_dir)).select(*_FINDING)
+
+
+@query("""SELECT count(*) AS rows, 0 AS findings FROM orders WHERE o_orderkey < 0""")
+def quality_of_nothing(spark, sf_dir):
+    """An empty table has no findings."""
+    none = _flawed_orders(spark, sf_dir).filter("o_orderkey < 0")
+    return quality.quality_report(none).agg(
+        F.lit(0).cast("bigint").alias("rows"), F.count("*").alias("findings"))

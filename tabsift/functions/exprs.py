@@ -18,3 +18,26 @@ def whole_json(text: Column) -> Column:
         F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]"))), "$", "array<variant>"
     )
     return F.when(F.size(items) == 1, items[0])
+
+
+# A text beyond this many bytes may not fit a VARIANT.
+VARIANT_BYTES = 16 << 20
+
+
+def whole_json_or_fail(text: Column) -> Column:
+    """``whole_json`` that fails, instead of giving null, where a text may be too large to tell."""
+    message = F.concat(
+        F.lit("a text of "), F.octet_length(text).cast("string"),
+        F.lit(" bytes is no JSON or more than a VARIANT holds"))
+    return F.when(F.octet_length(text) <= VARIANT_BYTES, whole_json(text)).when(
+        F.octet_length(text) > VARIANT_BYTES,
+        F.coalesce(whole_json(text), F.raise_error(message).cast("variant")))
+
+
+def unread_reason(text: Column, tree: Column) -> Column:
+    """Why a text has no tree: ``empty``, ``too large`` or ``malformed``; null where it has one."""
+    return (
+        F.when(tree.isNotNull(), F.lit(None).cast("string"))
+        .when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
+        .when(F.octet_length(text) > VARIANT_BYTES, "too large").otherwise("malformed")
+    )

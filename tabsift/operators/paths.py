@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsift.functions.exprs import whole_json
+from tabsift.functions.exprs import whole_json_or_fail
 from tabsift.functions.tags import variant_tag
 from tabsift.session import reliable_checkpoint
 
@@ -70,6 +70,8 @@ def document_nodes(
 ) -> DataFrame:
     """Every node of every JSON document: ``keep..., path, depth, type``.
 
+    Texts that are no JSON have none; a text too large for a VARIANT fails the job.
+
     The tree is unfolded one level per step in a single chain over one scan: each step names the
     type of the deepest nodes, lets go of their values and adds their children. Without
     ``max_depth`` one aggregate job finds how many steps the deepest document needs.
@@ -80,7 +82,7 @@ def document_nodes(
     kept = [F.col(k) for k in keep or []]
     if max_depth is None:
         max_depth = df.agg(F.max(text_depth(F.col(text)))).first()[0] or 1
-    nodes = df.select(*kept, whole_json(F.col(text)).alias("v")).filter(F.col("v").isNotNull())
+    nodes = df.select(*kept, whole_json_or_fail(F.col(text)).alias("v")).filter(F.col("v").isNotNull())
     nodes = nodes.select(
         *kept, F.lit(root).alias("path"), F.lit(1).alias("depth"),
         F.lit(None).cast("string").alias("type"), "v",

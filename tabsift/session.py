@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +26,33 @@ _SETTINGS = {
 }
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings the operators rely on; cluster sizing is left alone."""
+    """Apply the SQL settings the operators rely on; cluster sizing is left alone.
+
+    On a cluster the package goes to the executors once per application.
+    """
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local") and context.applicationId not in _shipped:
+        context.addPyFile(packed_package())
+        _shipped.add(context.applicationId)
     return spark
 
 
+def packed_package() -> str:
+    """A zip of this package's modules, for ``addPyFile``; Spark's file server hands it out."""
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="tabsift-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for module in sorted(root.rglob("*.py")):
+            out.write(module, module.relative_to(root.parent))
+    return str(target)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tabsift.errors import MIXED_FORMATS, NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
+from tabsift.functions.exprs import unread_reason
 from tabsift.operators.infer import apply_inferred, apply_types
 from tabsift.sources import workbooks
 from tabsift.sources.detect import DELIMITERS, detect_files
@@ -155,14 +156,19 @@ def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_tree(spark: SparkSession, path: str) -> DataFrame:
-    """One VARIANT per file: ``path, tree``."""
-    return _whole_texts(spark, path).select("path", F.try_parse_json("text").alias("tree"))
+    """One VARIANT per file: ``path, tree, reason``; the reason says why a file has no tree."""
+    return _with_reason(_whole_texts(spark, path).select("path", "text", F.try_parse_json("text").alias("tree")))
+
+
+def _with_reason(trees: DataFrame) -> DataFrame:
+    return trees.select("path", "tree", unread_reason(F.col("text"), F.col("tree")).alias("reason"))
 
 
 def read_yaml_tree(spark: SparkSession, path: str) -> DataFrame:
-    """One VARIANT per YAML file: ``path, tree``."""
+    """One VARIANT per YAML file: ``path, tree, reason``."""
     texts = _whole_texts(spark, path)
-    return texts.select("path", F.try_parse_json(yaml_to_json(F.col("text"))).alias("tree"))
+    tree = F.try_parse_json(yaml_to_json(F.col("text"))).alias("tree")
+    return _with_reason(texts.select("path", "text", tree))
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
@@ -196,12 +202,12 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
 
 
 def read_xml_tree(spark: SparkSession, path: str) -> DataFrame:
-    """One VARIANT per XML file: ``path, tree``. Values stay text; a file is one task's work, so
+    """One VARIANT per XML file: ``path, tree, reason``. Values stay text; a file is one task's work, so
     large ones are better read by ``row_tag``."""
     texts = _whole_texts(spark, path)
     # A text declares its own encoding only as bytes; decoded, the declaration must go.
     body = F.regexp_replace("text", r"^\s*<\?xml[^>]*\?>", "")
-    return texts.select("path", F.try_parse_json(xml_to_json(body)).alias("tree"))
+    return _with_reason(texts.select("path", "text", F.try_parse_json(xml_to_json(body)).alias("tree")))
 
 
 def is_tree(df: DataFrame) -> bool:

@@ -154,3 +154,13 @@ def test_scratch_lies_in_the_shared_folder(spark):
 
 def test_writers_cover_every_readable_format():
     assert set(writers.WRITERS) == set(readers.READERS) | {"json"}
+
+
+def test_the_package_can_be_shipped():
+    import zipfile
+
+    from tabsift.session import packed_package
+
+    names = zipfile.ZipFile(packed_package()).namelist()
+    assert {"tabsift/__init__.py", "tabsift/session.py", "tabsift/operators/filters.py"} <= set(names)
+    assert all(n.startswith("tabsift/") for n in names)

@@ -321,3 +321,12 @@ def test_made_workbooks(spark, tmp_path, odd):
     back = readers.read_xlsx(spark, str(tmp_path))
     assert rows(back.select(*odd.columns), "id") == rows(odd, "id")
     assert detect_formats(spark.createDataFrame(books), "content").first()["format"] == "xlsx"
+
+
+def test_unread_documents_say_why(spark, tmp_path):
+    for name, text in (("a.json", '{"a":1}'), ("b.json", '{"a":'), ("c.json", " ")):
+        put(tmp_path, name, text)
+    got = {r.path[-6:]: (r.tree is None, r.reason) for r in readers.read_json_tree(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": (False, None), "b.json": (True, "malformed"), "c.json": (True, "empty")}
+    put(tmp_path, "x.xml", "<!DOCTYPE r [<!ENTITY e 'v'>]><r>&e;</r>")
+    assert readers.read_xml_tree(spark, str(tmp_path / "x.xml")).first().reason == "malformed"

@@ -134,3 +134,12 @@ def test_deep_documents_take_several_rounds(spark):
     walk(shallow, "$", 1, want)
     got = profile(docs(spark, deep, shallow, "[" * 500))
     assert {p: (set(r.types), r.depth_min, r.depth_max, r.frequency) for p, r in got.items()} == want
+
+
+def test_documents_too_large_for_a_tree_are_not_lost(spark):
+    small = '{"a":"' + "x" * 1000 + '"}'
+    df = spark.createDataFrame([(1, small)], "id long, doc string")
+    assert path_profile(df, "doc").count() == 2
+    df = df.withColumn("doc", F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 160 << 20), F.lit('"}')))
+    with pytest.raises(Exception, match="more than a VARIANT holds"):
+        path_profile(df, "doc").collect()
