@@ -7,9 +7,11 @@ quantile, then only the values inside the bracket are counted and ranked:
 1. ``percentile_approx`` at ``p - margin`` and ``p + margin`` per group; its rank error is at most
    ``1 / accuracy`` of the group, so the bracket holds the wanted value;
 2. rows below the bracket collapse into one count, rows inside are counted per value, both before
-   the shuffle; a running count picks the value at the wanted rank.
+   the shuffle;
+3. the bracket is cut into equal steps, whose counts, at most ``STEPS`` per group, tell the steps
+   that hold the wanted ranks; only values of these are ranked.
 
-A group of n rows leaves about ``4 n / accuracy`` candidates to sort, and that sort spills.
+A group of n rows leaves about ``4 n / accuracy`` candidates, and a task ranks those of one step.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from tabsift.operators.joins import keyed_join
 from tabsift.session import estimated_bytes
 
 ACCURACY = 10_000
+STEPS = 1024
 # Up to this estimated input size quantiles are counted without a bracket. The default is one plan
 # for all sizes; a caller who knows that every group fits one task may ask for the other.
 SMALL_INPUT = -1
@@ -93,6 +96,16 @@ def counted_quantiles(
     return picked.select(*_names(by, keys, columns), "distinct", F.inline("q"))
 
 
+def _step(v: Column, low: Column, high: Column) -> Column:
+    """The step of the bracket that a value lies in; it never falls as the value rises. Rows below
+    the bracket are step -1."""
+    inside = F.floor((v - low) / (high - low) * STEPS).cast("int")
+    return (
+        F.when(v.isNull(), -1).when(v <= low, 0).when(v >= high, STEPS - 1)
+        .otherwise(F.least(inside, F.lit(STEPS - 1)))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     by: list[str],
@@ -144,19 +157,30 @@ def exact_quantiles(
                         F.lit(p).alias("prob"),
                         F.col(f"b_{v}.n").alias("n"),
                         F.when(few | (F.col(v) >= low), F.col(v)).alias("v"),
+                        low.alias("lo"), high.alias("hi"),
                     ),
                 )
             )
     counted = (
         joined.select(*keys, F.inline(F.array_compact(F.array(*entries))))
-        .groupBy(*keys, "mi", "prob", "n", "v")
+        .groupBy(*keys, "mi", "prob", "n", "lo", "hi", "v")
         .agg(F.count(F.lit(1)).alias("m"))
+        .withColumn("step", _step(F.col("v"), F.col("lo"), F.col("hi")))
     )
     group = [*keys, "mi", "prob", "n"]
-    running = W.partitionBy(*group).orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("m").over(running))
     position = (F.col("n") - 1) * F.col("prob")
     below, above = F.floor(position), F.ceil(position)
+    running = W.partitionBy(*group).orderBy("step")
+    steps = counted.groupBy(*group, "step").agg(F.sum("m").alias("_held")).withColumn(
+        "_upto", F.sum("_held").over(running))
+    # The rows below the bracket, and the steps from the lower to the upper wanted rank.
+    wanted = steps.filter(
+        (F.col("step") < 0) | ((F.col("_upto") > below) & (F.col("_upto") - F.col("_held") <= above)))
+    wanted = wanted.select(*[F.col(c).alias(f"w_{c}") for c in (*group, "step")],
+                           (F.col("_upto") - F.col("_held")).alias("_before"))
+    few_left = keyed_join(counted, wanted, {c: f"w_{c}" for c in (*group, "step")})
+    within = W.partitionBy(*group, "step").orderBy("v")
+    ranked = few_left.withColumn("upto", F.col("_before") + F.sum("m").over(within))
     picked = ranked.groupBy(*group).agg(
         F.max(F.when(F.col("v").isNull(), F.col("upto"))).alias("skipped"),
         F.min(F.when(F.col("upto") > below, F.col("v"))).alias("low"),
