@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,29 +275,45 @@ _ENTRY = (
 )
 
 
+# How a file may begin, kept with the code of its first letter in one number.
+_CODES = 1024
+_MARKS = ("<?xml", "---", "PK\u0003\u0004")
+
+
 def _line_facts(lines: DataFrame) -> DataFrame:
     """What one line says: its place, its ends, its delimiters and what it could be a part of."""
     value = F.col("value")
-    bare = F.regexp_replace(value, r'"[^"]*"', "")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
+    # Most lines hold none of what the patterns look for, so a plain search goes first.
+    quoted = value.contains('"')
+    bare = F.when(quoted, F.regexp_replace(value, r'"[^"]*"', "")).otherwise(value)
+    quotes = F.when(quoted, F.length(value) - F.length(F.replace(value, F.lit('"')))).otherwise(0)
     lead = F.substring(F.ltrim(value), 1, 1)
-    strings = F.when(lead.isNotNull(), F.regexp_replace(value, r'"(?:[^"\\]|\\.)*"', ""))
-    brackets = {sign: F.length(strings) - F.length(F.translate(strings, sign, ""))
-                for sign in ("{[", "}]")}
+    strings = F.when(quoted, F.regexp_replace(value, r'"(?:[^"\\]|\\.)*"', "")).otherwise(value)
+    bracketed = reduce(or_, [value.contains(sign) for sign in "{}[]"])
+
+    def signs(some: str) -> Column:
+        return F.length(strings) - F.length(F.translate(strings, some, ""))
+
+    keyed = value.contains(":")
+    listed = value.startswith("-") | value.startswith("...")
     commented = F.ltrim(value).startswith("#")
     margin = ~value.startswith(" ") & ~commented
     return lines.select(
-        "path", F.struct("start", "seq").alias("place"), lead.alias("lead"),
-        F.substring(F.rtrim(value), -1, 1).alias("trail"),
-        F.substring(F.ltrim(value), 1, 5).alias("mark"),
+        "path", F.col("place"), (
+            F.least(F.ascii(lead), F.lit(_CODES - 1))
+            + reduce(add, [F.when(F.ltrim(value).startswith(m), _CODES << i).otherwise(0)
+                           for i, m in enumerate(_MARKS)])
+        ).alias("opens"),
+        F.ascii(F.substring(F.rtrim(value), -1, 1)).alias("closes"),
         (quotes % 2 == 1).alias("wraps"),
         *[(F.length(bare) - F.length(F.replace(bare, F.lit(d)))).alias(f"d{i}")
           for i, d in enumerate(DELIMITERS)],
         ((lead == "{") & whole_json(F.when(lead == "{", value)).isNotNull()).alias("object"),
-        (brackets["{["] - brackets["}]"]).alias("depth"),
+        F.when(bracketed, signs("{[") - signs("}]")).otherwise(0).alias("depth"),
         commented.alias("comment"), margin.alias("margin"),
-        (margin & F.regexp_like(value, F.lit(_ENTRY))).alias("entry"),
-        F.regexp_like(value, F.lit(r":[ \t]|:$|\s#")).alias("marked"),
+        F.when(margin & (keyed | listed), F.regexp_like(value, F.lit(_ENTRY))).otherwise(False).alias("entry"),
+        F.when(keyed | value.contains("#"), F.regexp_like(value, F.lit(r":[ \t]|:$|\s#")))
+        .otherwise(False).alias("marked"),
         value.contains("xl/workbook.xml").alias("workbook"),
         value.contains("PK\u0005\u0006").alias("directory"),
     )
@@ -314,28 +333,31 @@ def detect_files(spark, path: str) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
     lines = reader.text(path).select(
         F.regexp_replace("value", "^\ufeff", "").alias("value"),
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("seq"),
+        F.col("_metadata.file_path").alias("path"),
+        # A task reads fewer lines than the splits of a file lie apart in bytes, so this number
+        # rises through a file; whole numbers keep the sums below in hash tables.
+        (F.col("_metadata.file_block_start")
+         + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("place"),
     ).filter(F.trim(F.col("value")) != "")
     counts = [f"d{i}" for i in range(len(DELIMITERS))]
     facts = _line_facts(lines)
     alike = facts.groupBy("path", "wraps", *counts).agg(
         F.count("*").alias("n"), F.min("place").alias("first"),
-        F.min_by(F.struct("lead", "mark"), "place").alias("opens"), F.max_by("trail", "place").alias("closes"),
+        F.min_by("opens", "place").alias("opens"), F.max_by("closes", "place").alias("closes"),
         F.max("place").alias("last"), F.count_if("object").alias("objects"), F.sum("depth").alias("depth"),
         F.count_if("comment").alias("comments"), F.count_if("margin").alias("margins"),
         F.count_if("entry").alias("entries"), F.max("marked").alias("marked"),
         F.max("workbook").alias("workbook"), F.max("directory").alias("directory"),
     )
     head = alike.groupBy(F.col("path").alias("_path")).agg(
-        F.min_by(F.struct(*counts), "first").alias("head"))
-    same = [F.sum(F.when((F.col(c) == F.col(f"head.{c}")) & ~F.col("wraps"), F.col("n")).otherwise(0)).alias(f"s{i}")
+        *[F.min_by(c, "first").alias(f"h{i}") for i, c in enumerate(counts)])
+    same = [F.sum(F.when((F.col(c) == F.col(f"h{i}")) & ~F.col("wraps"), F.col("n")).otherwise(0)).alias(f"s{i}")
             for i, c in enumerate(counts)]
     joined = alike.join(head, F.col("path") == F.col("_path"))
     files = joined.groupBy("path").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("wraps"), 0).otherwise(F.col("n"))).alias("rows"),
         F.min_by("opens", "first").alias("opens"), F.max_by("closes", "last").alias("closes"),
-        F.first("head").alias("head"), *same,
+        *[F.max(f"h{i}").alias(f"h{i}") for i in range(len(counts))], *same,
         *[F.sum(c).alias(c) for c in ("objects", "depth", "comments", "margins", "entries")],
         *[F.max(c).alias(c) for c in ("wraps", "marked", "workbook", "directory")],
     )
@@ -349,7 +371,10 @@ def detect_files(spark, path: str) -> DataFrame:
 def _file_reading() -> list[Column]:
     """The best reading of a file's sums, by the same worth as that of a whole text."""
     n, rows = F.col("n"), F.col("rows")
-    lead, mark, closes = F.col("opens.lead"), F.col("opens.mark"), F.col("closes")
+    code = F.col("opens").bitwiseAND(F.lit(_CODES - 1))
+    declared, dashed, zipped = (
+        F.col("opens").bitwiseAND(F.lit(_CODES << i)) != 0 for i in range(len(_MARKS)))
+    lead, closes = (F.when(c < 128, F.char(c)).otherwise("") for c in (code, F.col("closes")))
     balanced = (F.col("depth") == 0) & (((lead == "{") & (closes == "}")) | ((lead == "[") & (closes == "]")))
     lines_of_objects = (F.col("objects") == n) & (n > 1)
     json = (
@@ -360,17 +385,16 @@ def _file_reading() -> list[Column]:
         n == 1, F.when(F.col("objects") == 1, JSONL_SINGLE).otherwise(_zero())
     ).otherwise(F.col("objects") / n)
     xml = (
-        F.when(mark == "<?xml", XML_DECLARED).when(lead != "<", _zero())
+        F.when(declared, XML_DECLARED).when(lead != "<", _zero())
         .when(closes == ">", XML_WELL_FORMED).otherwise(XML_MALFORMED)
     )
     found = F.array_max(F.array_compact(F.array(*[
         F.when(
-            (F.col(f"head.d{i}") > 0) & (F.col(f"s{i}") >= rows * F.lit(_EVEN_SHARE)),
+            (F.col(f"h{i}") > 0) & (F.col(f"s{i}") >= rows * F.lit(_EVEN_SHARE)),
             F.struct(F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), rows.alias("rows"),
                      (F.col(f"s{i}") - 1).alias("body_even")),
         ) for i, d in enumerate(DELIMITERS)
     ])))
-    zipped = F.substring(mark, 1, 4) == "PK\u0003\u0004"
     xlsx = (
         F.when(~zipped, _zero()).when(~F.col("directory"), XLSX_BROKEN)
         .when(F.col("workbook"), XLSX_SURE).otherwise(XLSX_OTHER_ZIP)
@@ -378,7 +402,7 @@ def _file_reading() -> list[Column]:
     structured = (F.col("margins") > 0) & (F.col("entries") == F.col("margins"))
     clean = ~F.col("marked") & ~lead.isin(*"%@`&*!|>'\"[]{},")
     yaml = (
-        F.when(F.substring(mark, 1, 3) == "---", YAML_MARKED)
+        F.when(dashed, YAML_MARKED)
         .when(lead.isin("{", "["), F.when(closes.isin("}", "]"), YAML_JSON).otherwise(_zero()))
         .when(F.col("comments") == n, YAML_NULL)
         .when(structured, YAML_TREE).when(clean, YAML_SCALAR).otherwise(_zero())
