@@ -20,7 +20,7 @@ BUCKETS = 1 << 14
 SMOOTHING = 1e-6
 #: A document's n-gram frequencies are summed as integers of this scale, so sums do not depend on order.
 SCALE = 1 << 30
-PIECE = 4 << 20
+PIECE = 1 << 20
 UNDETERMINED = "und"
 
 # Letters of ASCII in lower case, bytes of other letters as they are, everything else a space.
