@@ -104,7 +104,7 @@ def write_archive(
     standard's own form for it, so a row is never longer than a chunk and segments may lie in
     different files. Files are written by Spark's committer: a lost executor's files are redone.
     """
-    chunks = written(chunk_rows(pages, chunk_bytes), "records")
+    chunks = written(chunk_rows(pages, chunk_bytes), "records", "zstd")
     again = written(revisits(chunks, min_revisit_bytes), "revisits")
     ends = chunks.filter("last and chunk > 0").select(
         "uid", F.lit(None).cast("long").alias("origin"), F.col("bytes_so_far").alias("_total"),
