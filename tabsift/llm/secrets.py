@@ -9,11 +9,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +20,8 @@ from tabsift.llm.common import texts_of
 
 #: The kinds of secrets, in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex")
+#: What masking puts in place of a payload that was left unopened.
+UNOPENED = "unopened"
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     re.IGNORECASE | re.ASCII,
@@ -36,7 +36,13 @@ ESCAPE = re.compile(
     r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters all layers of one document may add up to; a layer beyond it is reported, not opened.
+#: Chains such as ``%252525...``: each level takes one link away, in the end the first character is left.
+PERCENTS = re.compile(r"%(?:25){8,}(?=[0-9A-Fa-f]{2})")
+CHAINS = re.compile(r"\\(?:u005[cC]){8,}(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC]){8,}(?=x[0-9A-Fa-f]{2})|&(?:#38;){8,}(?=#)")
+#: What no secret and no encoding can hold or cross, so that what lies between is decoded apart.
+HARD = re.compile(r"[^A-Za-z0-9+/_.=:\-\"'%\\{}&#;\x20\t\r\n]|\n\r?\n")
+#: Bytes that one payload of a document, with what is compressed inside it, may decompress to; what
+#: goes beyond is reported, not opened. Nothing else is bounded.
 MAX_DECODED = 64 << 20
 
 Span = tuple[int, int, int]
@@ -55,104 +61,221 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-@dataclass
 class Layer:
-    """A text, and for every character the range of the document it comes from (None: itself)."""
+    """A stretch of text, and where its parts stand in the layer it was decoded from.
 
-    text: str
-    starts: np.ndarray | None = None
-    ends: np.ndarray | None = None
+    A part is ``start, skip, from, to, where``: from ``start`` on there are the characters from
+    ``skip`` on of what ``[from, to)`` of the parent stands for. ``where`` maps a character to its
+    range in there; None is the whole range, and ``_SAME`` the text as it is.
+    """
+
+    def __init__(self, parent: Layer | None = None, text: str = "") -> None:
+        self.parent, self.text = parent, text
+        self.texts: list[str] = []
+        self.parts: list[tuple] = []
+        self.size = self.grown = 0
+        #: Digests of the payloads that were decompressed on the way here.
+        self.opened: frozenset = parent.opened if parent else frozenset()
+
+    def add(self, text: str, skip: int, start: int, end: int, where) -> None:
+        if text:
+            self.texts.append(text)
+            self.parts.append((self.size, skip, start, end, where))
+            self.size += len(text)
+
+    def closed(self) -> Layer:
+        self.text = "".join(self.texts)
+        self.texts = []
+        return self
+
+    def _range(self, i: int) -> tuple[int, int]:
+        at, skip, start, end, where = self.parts[bisect_right(self.parts, i, key=lambda p: p[0]) - 1]
+        if where is None:
+            return start, end
+        i += skip - at
+        if where is _SAME:
+            return start + i, start + i + 1
+        low, high = where(i)
+        return start + low, start + high
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        if self.starts is None:
-            return a, b
-        return int(self.starts[a:b].min()), int(self.ends[a:b].max())
+        """The range of the document that characters ``[a, b)`` come from; ranges never go back."""
+        layer, last = self, b - 1
+        while layer.parent is not None:
+            a, last = layer._range(a)[0], layer._range(last)[1] - 1
+            layer = layer.parent
+        return a, last + 1
+
+
+def _SAME(i: int) -> tuple[int, int]:
+    return i, i + 1
+
+
+class Budget:
+    """What the payloads of a document have been decompressed to, each by where it stands."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.spent: dict[tuple[int, int], int] = {}
+        self.known: set = set()
+        self.left: dict[tuple, tuple[int, int]] = {}
+
+    def refuse(self, place: tuple[int, int], mark: bytes) -> None:
+        self.left[place, mark] = place
 
 
 def scan(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans, the number of layers, and the number of layers left unopened.
+    """Base spans, all spans, the number of layers, and the number of payloads left unopened.
 
-    Layers are worked off one by one. Each gives up to three more: the same text with its percent
-    sequences, its character escapes, or its base64 words (and what is compressed inside them)
-    replaced by what they stand for. A layer seen before is not opened again, which ends cycles.
-    Every layer is scanned whole, so a secret may be encoded in part, and its span is the range of
-    the document that it was decoded from.
+    Layers are worked off one by one. Each gives more: the same text with its percent sequences,
+    its character escapes, or its base64 words (and what is compressed inside them) replaced by
+    what they stand for. A layer seen before is not opened again, which ends cycles, and neither is
+    a compressed payload inside itself. Every layer is scanned whole, so a secret may be encoded in
+    part, and its span is the range of the document that it was decoded from.
+
+    A layer is as much of the text as one change can touch: the stretch around it up to a character
+    that neither a secret nor an encoding can hold. All plain decodings are followed to the end,
+    whatever the length of the document; ``max_decoded`` bounds decompression, per payload.
     """
+    base, every, layers, left = _scanned(text, max_decoded)
+    return base, every, layers, len(left)
+
+
+def _scanned(text: str, max_decoded: int) -> tuple[list[Span], list[Span], int, list[tuple[int, int]]]:
+    """Like ``scan``, with the ranges of the payloads left unopened."""
     base = base_spans(text)
-    found, layers, left, decoded = set(base), 1, 0, 0
-    todo, seen = deque([Layer(text)]), {_digest(text)}
+    found, layers, budget, seen = set(base), 1, Budget(max_decoded), set()
+    todo = [_children(Layer(None, text), budget)]
     while todo:
-        layer = todo.popleft()
-        for decode in (_percent, _escapes, _base64):
-            pieces, refused = decode(layer.text, max_decoded - decoded)
-            left += refused
-            if not pieces:
-                continue
-            size = len(layer.text) + sum(len(p[2]) - (p[1] - p[0]) for p in pieces)
-            if decoded + size > max_decoded:
-                left += 1
-                continue
-            child = _replaced(layer, pieces)
-            mark = _digest(child.text)
-            if mark in seen:
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        mark = (_digest(layer.text), layer.source(0, layer.size))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        for a, kind, b in base_spans(layer.text):
+            start, end = layer.source(a, b)
+            found.add((start, kind, end))
+        todo.append(_children(layer, budget))
+    return base, sorted(found), layers, list(budget.left.values())
+
+
+def _children(layer: Layer, budget: Budget) -> Iterator[Layer]:
+    """The changed stretches of a layer, decoding by decoding; they are cut as they are read."""
+    for decode in (_percent, _escapes, _base64):
+        yield from _stretches(layer, decode(layer, budget), budget)
+
+
+def _stretches(layer: Layer, pieces, budget: Budget) -> Iterator[Layer]:
+    text, at, child = layer.text, 0, None
+    for a, b, plain, where, mark in pieces:
+        if child is not None:
+            cut = HARD.search(text, at, a)
+            if cut:
+                child.add(text[at:cut.start()], 0, at, cut.start(), _SAME)
+                yield child.closed()
+                child = None
+            else:
+                child.add(text[at:a], 0, at, a, _SAME)
+        if child is None:
+            child = Layer(layer)
+            start = _last_cut(text, at, a)
+            child.add(text[start:a], 0, start, a, _SAME)
+        at = b
+        if mark is not None:
+            # Payloads with nothing to cut at between them end up in one text.
+            if child.grown and child.grown + len(plain) > budget.most:
+                budget.refuse(layer.source(a, b), mark)
+                child.add(text[a:b], 0, a, b, _SAME)
                 continue
-            seen.add(mark)
-            decoded += len(child.text)
-            layers += 1
-            for a, kind, b in base_spans(child.text):
-                start, end = child.source(a, b)
-                found.add((start, kind, end))
-            todo.append(child)
-    return base, sorted(found), layers, left
+            child.grown += len(plain)
+            child.opened |= {mark}
+        cut = _last_cut(plain, 0, len(plain)) if mark is not None else 0
+        if cut:
+            # What follows the last cut goes on as a stretch of its own.
+            child.add(plain[:cut], 0, a, b, where)
+            yield child.closed()
+            child = Layer(layer)
+            child.opened |= {mark}
+            child.grown = len(plain) - cut
+        child.add(plain[cut:], cut, a, b, where)
+    if child is not None:
+        cut = HARD.search(text, at)
+        end = cut.start() if cut else len(text)
+        child.add(text[at:end], 0, at, end, _SAME)
+        yield child.closed()
+
+
+def _last_cut(text: str, a: int, b: int) -> int:
+    """Where what follows the last cut in ``[a, b)`` begins; ``a`` if there is none."""
+    size = 128
+    while True:
+        low = max(a, b - size)
+        end = None
+        for m in HARD.finditer(text, low, b):
+            end = m.end()
+        if end is not None:
+            return end
+        if low == a:
+            return a
+        size *= 4
 
 
 def _digest(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
-# A piece is ``start, end, replacement, (relative starts, relative ends) or None for the whole``.
+# A piece is ``start, end, replacement, where (as in a layer), digest of what was decompressed or None``.
+
+def _even(width: int):
+    return lambda i: (i * width, i * width + width)
 
-def _percent(text: str, room: int):
-    pieces, refused = [], 0
-    if "%" in text:
-        for m in PERCENT.finditer(text):
-            data = bytes.fromhex(m[0].replace("%", ""))
-            plain, over = _opened(data, room)
-            refused += over
-            if plain is None:
-                continue
-            where = None
-            if len(plain) == len(data):
-                at = np.arange(len(data)) * 3
-                where = (at, at + 3)
-            pieces.append((m.start(), m.end(), plain, where))
-    return pieces, refused
-
-
-def _escapes(text: str, room: int):
-    pieces = []
-    if "\\" in text or "&#" in text:
-        for m in ESCAPE.finditer(text):
-            raw = m[0]
-            if raw.startswith("\\x"):
-                data = bytes.fromhex(raw.replace("\\x", ""))
-                plain, step = _text(data), 4
-            elif raw.startswith("\\u") and raw[2] != "{":
-                plain, step = _utf16(raw), 6
-            else:
-                digits = raw.strip("\\uU{}&#;")
-                code = int(digits[1:] if digits[0] in "xX" else digits,
-                           10 if raw[0] == "&" and digits[0] not in "xX" else 16)
-                ok = code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF
-                plain, step = (chr(code) if ok else None), len(raw)
-            if plain is None:
-                continue
-            where = None
-            if len(plain) * step == len(raw):
-                at = np.arange(len(plain)) * step
-                where = (at, at + step)
-            pieces.append((m.start(), m.end(), plain, where))
-    return pieces, 0
+
+def _percent(layer: Layer, budget: Budget):
+    text = layer.text
+    if "%" not in text:
+        return
+    for m in PERCENT.finditer(text):
+        chain = PERCENTS.match(text, m.start())
+        if chain:
+            yield chain.start(), chain.end(), "%", None, None
+            continue
+        data = bytes.fromhex(m[0].replace("%", ""))
+        plain, mark = _opened(data, layer, m.span(), budget)
+        if plain is not None:
+            yield m.start(), m.end(), plain, _even(3) if len(plain) == len(data) else None, mark
+
+
+def _escapes(layer: Layer, budget: Budget):
+    text = layer.text
+    if "\\" not in text and "&#" not in text:
+        return
+    end = 0
+    for m in ESCAPE.finditer(text):
+        if m.start() < end:
+            continue
+        chain = CHAINS.match(text, m.start())
+        if chain:
+            end = chain.end()
+            yield chain.start(), end, text[chain.start()], None, None
+            continue
+        raw = m[0]
+        if raw.startswith("\\x"):
+            data = bytes.fromhex(raw.replace("\\x", ""))
+            plain, step = _text(data), 4
+        elif raw.startswith("\\u") and raw[2] != "{":
+            plain, step = _utf16(raw), 6
+        else:
+            digits = raw.strip("\\uU{}&#;")
+            code = int(digits[1:] if digits[0] in "xX" else digits,
+                       10 if raw[0] == "&" and digits[0] not in "xX" else 16)
+            ok = code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF
+            plain, step = (chr(code) if ok else None), len(raw)
+        if plain is not None:
+            yield m.start(), m.end(), plain, _even(step) if len(plain) * step == len(raw) else None, None
 
 
 def _utf16(raw: str) -> str | None:
@@ -162,9 +285,8 @@ def _utf16(raw: str) -> str | None:
         return None
 
 
-def _base64(text: str, room: int):
-    pieces, refused = [], 0
-    for m in BASE64.finditer(text):
+def _base64(layer: Layer, budget: Budget):
+    for m in BASE64.finditer(layer.text):
         word = m[0].rstrip("=")
         if len(word) % 4 == 1:
             continue
@@ -173,35 +295,44 @@ def _base64(text: str, room: int):
                 word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        plain, over = _opened(data, room)
-        refused += over
-        if plain is None:
-            continue
-        where = None
-        if len(plain) == len(data):
-            at = np.arange(len(data)) // 3 * 4
-            where = (at, np.minimum(at + 4, len(m[0])))
-        pieces.append((m.start(), m.end(), plain, where))
-    return pieces, refused
+        plain, mark = _opened(data, layer, m.span(), budget)
+        if plain is not None:
+            where = _fourths(len(m[0])) if len(plain) == len(data) and mark is None else None
+            yield m.start(), m.end(), plain, where, mark
+
+
+def _fourths(length: int):
+    return lambda i: (i // 3 * 4, min(i // 3 * 4 + 4, length))
+
 
+def _opened(data: bytes, layer: Layer, span: tuple[int, int], budget: Budget) -> tuple[str | None, bytes | None]:
+    """The text that bytes hold, decompressed if need be, and then the digest of the bytes.
 
-def _opened(data: bytes, room: int) -> tuple[str | None, int]:
-    """The text that bytes hold, decompressed if need be, and 1 if that would not fit."""
-    seen = set()
+    What decompression gives is charged once to the place of the document where it stands.
+    """
+    seen, mark = set(), None
     while True:
-        if data in seen:
-            return None, 0
         kind = _compression(data)
         if kind is None:
-            return _text(data), 0
-        seen.add(data)
+            return _text(data), mark
+        now = hashlib.sha256(data).digest()
+        if now in seen or now in layer.opened:
+            return None, None
+        seen.add(now)
+        place = layer.source(*span)
+        known = (place, now) in budget.known
+        spent = budget.spent.get(place, 0)
         try:
-            opened = kind(data, room)
+            opened = kind(data, budget.most if known else budget.most - spent)
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            return _text(data), 0
+            return _text(data), mark
         if opened is None:
-            return None, 1
-        data = opened
+            budget.refuse(place, now)
+            return None, None
+        if not known:
+            budget.known.add((place, now))
+            budget.spent[place] = spent + len(opened)
+        data, mark = opened, mark or now
 
 
 def _compression(data: bytes):
@@ -235,38 +366,6 @@ def _text(data: bytes) -> str | None:
 _SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c   "}
 
 
-def _replaced(layer: Layer, pieces) -> Layer:
-    """The layer with the pieces put in place, and where each character comes from."""
-    parts, starts, ends, at = [], [], [], 0
-
-    def own(a: int, b: int) -> None:
-        parts.append(layer.text[a:b])
-        if layer.starts is None:
-            starts.append(np.arange(a, b))
-            ends.append(np.arange(a + 1, b + 1))
-        else:
-            starts.append(layer.starts[a:b])
-            ends.append(layer.ends[a:b])
-
-    for a, b, plain, where in pieces:
-        own(at, a)
-        parts.append(plain)
-        if where is None:
-            start, end = layer.source(a, b)
-            starts.append(np.full(len(plain), start))
-            ends.append(np.full(len(plain), end))
-        elif layer.starts is None:
-            starts.append(a + where[0])
-            ends.append(a + where[1])
-        else:
-            both = [layer.source(int(x), int(y)) for x, y in zip(a + where[0], a + where[1])]
-            starts.append(np.array([x for x, _ in both], np.int64))
-            ends.append(np.array([y for _, y in both], np.int64))
-        at = b
-    own(at, len(layer.text))
-    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
-
-
 # ---- Spark ------------------------------------------------------------------------------------
 
 FOUND = ("_spans array<struct<kind:string,start:long,end:long,base:boolean>>, "
@@ -309,7 +408,8 @@ def scan_secrets(
 def mask_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The same rows and columns, with each secret replaced by its kind in square brackets.
 
-    Spans that overlap are replaced together, by the kind of the first. Texts without secrets,
+    Spans that overlap are replaced together, by the kind of the first. A payload too large to be
+    opened becomes ``[unopened]``, so that nothing hidden in it goes on. Texts without secrets,
     nulls included, stay as they are. If there is a column ``length`` it is set to the new number
     of characters of a changed text.
     """
@@ -328,10 +428,13 @@ def mask_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -
 
 
 def masked(text: str, max_decoded: int = MAX_DECODED) -> str:
+    """The text without its secrets; a payload too large to be opened is masked whole."""
+    _, spans, _, left = _scanned(text, max_decoded)
+    names = [(a, KINDS[kind], b) for a, kind, b in spans] + [(a, UNOPENED, b) for a, b in left]
     out, at = [], 0
-    for start, kind, end in scan(text, max_decoded)[1]:
+    for start, name, end in sorted(names, key=lambda n: n[0]):
         if start >= at:
-            out += [text[at:start], f"[{KINDS[kind]}]"]
+            out += [text[at:start], f"[{name}]"]
         at = max(at, end)
     return "".join(out) + text[at:]
 

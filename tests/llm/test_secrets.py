@@ -146,3 +146,43 @@ def test_query_against_the_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
         assert set(listed.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_layers_do_not_depend_on_the_length_of_the_text():
+    bodies = [wrap(k, f"xx {SECRET} yy") for k in ("url", "unicode", "base64")]
+    body = f"{bodies[0]} {bodies[1]}, {bodies[2]} {wrap('url', wrap('base64', wrap('byte', 'xx ' + SECRET)))}"
+    long = "plain words, " * 1000 + body + ", plain words" * 1000
+    few = scan(long, max_decoded=100)
+    assert few[1] == scan(long)[1] and few[3] == 0 and len(few[1]) >= 4
+    assert "hunter2" not in masked(long, 100)
+    n = 24 << 20
+    base, every, _, left = scan("x" + "," * n + body)
+    at = n + 1
+    assert [(a - at, k, b - at) for a, k, b in every] == scan(body)[1] and left == 0
+
+
+def test_each_payload_has_its_own_bound():
+    # Different texts of 60,000 characters each; only one of them may be opened by all together.
+    words = [wrap("gzip", f"{'lorem, ipsum ' * 4600} {i} {SECRET}") for i in range(20)]
+    for sep in (", ", " "):
+        base, every, _, left = scan(sep.join(words), max_decoded=100_000)
+        assert left == 0 and len({(a, b) for a, k, b in every if k == 0}) == 20
+    # The same payload is met in several orders of decoding and charged once.
+    mixed = f"%41%42 \\u0041 {words[0]}"
+    assert scan(mixed, max_decoded=70_000)[3] == 0
+
+
+def test_unopened_payloads_are_masked():
+    bomb = wrap("gzip", "a" * 5_000_000 + SECRET)
+    text = f"a {bomb} b"
+    assert scan(text, 1_000_000)[3] == 1
+    assert masked(text, 1_000_000) == "a [unopened] b"
+    assert masked(text) == "a [assign] b"
+
+
+def test_long_chains_of_percent_and_escapes():
+    for chain, tail in (("%" + "25" * 40_000, "41"), ("\\" + "u005c" * 20_000, "u0041"),
+                        ("\\" + "x5c" * 20_000, "x41"), ("&" + "#38;" * 20_000, "#65;")):
+        text = f"password=abcdefghijk{chain}{tail} x {chain}{tail}"
+        found = scan(text)[1]
+        assert any(a == 0 and k == 0 and b == text.index(" x ") for a, k, b in found)
