@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -11,6 +10,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +36,18 @@ ESCAPE = re.compile(
     r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A word that goes on in the next line, as in mails and keys.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+URLSAFE = str.maketrans("-_", "+/")
+#: How compressed data begins: gzip, bzip2, xz, zlib.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+#: Text among other bytes: UTF-16 of either order, or UTF-8.
+STRETCH = re.compile(
+    rb"((?:[\t\n\r\x20-\x7e]\x00){8,})|((?:\x00[\t\n\r\x20-\x7e]){8,})"
+    rb"|(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+#: Compressed data within compressed data; what is deeper counts as unopened.
+DEPTH = 100
 #: Chains such as ``%252525...``: each level takes one link away, in the end the first character is left.
 PERCENTS = re.compile(r"%(?:25){8,}(?=[0-9A-Fa-f]{2})")
 CHAINS = re.compile(r"\\(?:u005[cC]){8,}(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC]){8,}(?=x[0-9A-Fa-f]{2})|&(?:#38;){8,}(?=#)")
@@ -151,6 +163,8 @@ def _scanned(text: str, max_decoded: int) -> tuple[list[Span], list[Span], int,
         if layer is None:
             todo.pop()
             continue
+        if not layer.size:
+            continue
         mark = (_digest(layer.text), layer.source(0, layer.size))
         if mark in seen:
             continue
@@ -165,8 +179,12 @@ def _scanned(text: str, max_decoded: int) -> tuple[list[Span], list[Span], int,
 
 def _children(layer: Layer, budget: Budget) -> Iterator[Layer]:
     """The changed stretches of a layer, decoding by decoding; they are cut as they are read."""
-    for decode in (_percent, _escapes, _base64):
+    for decode in (_percent, _escapes):
         yield from _stretches(layer, decode(layer, budget), budget)
+    for words, wrapped in ((BASE64, False), (WRAPPED, True)):
+        spans = [m.span() for m in words.finditer(layer.text) if m.end() - m.start() >= 16]
+        for shift in range(4 if spans else 0):
+            yield from _stretches(layer, _base64(layer, budget, spans, wrapped, shift), budget)
 
 
 def _stretches(layer: Layer, pieces, budget: Budget) -> Iterator[Layer]:
@@ -243,10 +261,23 @@ def _percent(layer: Layer, budget: Budget):
         if chain:
             yield chain.start(), chain.end(), "%", None, None
             continue
-        data = bytes.fromhex(m[0].replace("%", ""))
-        plain, mark = _opened(data, layer, m.span(), budget)
-        if plain is not None:
-            yield m.start(), m.end(), plain, _even(3) if len(plain) == len(data) else None, mark
+        yield from _run_of_bytes(bytes.fromhex(m[0].replace("%", "")), 3, layer, m.span(), budget)
+
+
+def _run_of_bytes(data: bytes, width: int, layer: Layer, span: tuple[int, int], budget: Budget):
+    """Bytes that are written out one by one, each ``width`` characters."""
+    found = _contents(data, layer, span, budget) if MAGIC.search(data) else []
+    if not any(mark for *_, mark in found):
+        # Without an encoding every byte is a character, so that no part of the run is lost.
+        try:
+            plain = data.decode()
+        except UnicodeDecodeError:
+            plain = data.decode("latin-1")
+        yield *span, plain, _even(width) if len(plain) == len(data) else None, None
+        return
+    for a, b, plain, step, mark in found:
+        where = _even(width * step) if step else None
+        yield span[0] + a * width, span[0] + b * width, plain, where, mark
 
 
 def _escapes(layer: Layer, budget: Budget):
@@ -264,9 +295,9 @@ def _escapes(layer: Layer, budget: Budget):
             continue
         raw = m[0]
         if raw.startswith("\\x"):
-            data = bytes.fromhex(raw.replace("\\x", ""))
-            plain, step = _text(data), 4
-        elif raw.startswith("\\u") and raw[2] != "{":
+            yield from _run_of_bytes(bytes.fromhex(raw.replace("\\x", "")), 4, layer, m.span(), budget)
+            continue
+        if raw.startswith("\\u") and raw[2] != "{":
             plain, step = _utf16(raw), 6
         else:
             digits = raw.strip("\\uU{}&#;")
@@ -285,85 +316,126 @@ def _utf16(raw: str) -> str | None:
         return None
 
 
-def _base64(layer: Layer, budget: Budget):
-    for m in BASE64.finditer(layer.text):
-        word = m[0].rstrip("=")
-        if len(word) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(
-                word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4), validate=True)
-        except (binascii.Error, ValueError):
+def _base64(layer: Layer, budget: Budget, spans: list[tuple[int, int]], wrapped: bool, shift: int):
+    """Words read from their ``shift``-th character on: what is glued to a payload is left as it is."""
+    for start, end in spans:
+        raw = layer.text[start:end]
+        if wrapped:
+            lines = [m.span() for m in LINE.finditer(raw)]
+            word = "".join(raw[a:b] for a, b in lines)
+            firsts = list(accumulate((b - a for a, b in lines), initial=0))[:-1]
+            place = _in_lines([a for a, _ in lines], firsts, start)
+        else:
+            word, place = raw.rstrip("="), _in_word(start)
+        size = len(word) - ((len(word) - shift) % 4 == 1)
+        if size - shift < 12:
             continue
-        plain, mark = _opened(data, layer, m.span(), budget)
-        if plain is not None:
-            where = _fourths(len(m[0])) if len(plain) == len(data) and mark is None else None
-            yield m.start(), m.end(), plain, where, mark
+        data = binascii.a2b_base64(word[shift:size].translate(URLSAFE) + "=" * (-(size - shift) % 4))
+        at = start
+        for a, b, plain, step, mark in _contents(data, layer, (start, end), budget):
+            whole = (a, b, size) == (0, len(data), len(word))
+            low = max(at, start if whole and not shift else place(shift + a // 3 * 4))
+            high = end if b == len(data) and size == len(word) else place(min(shift + -(-b // 3) * 4, size) - 1) + 1
+            if low >= high:
+                continue
+            where = _fourths(place, shift, a, step, size, low, end if len(word) == size else None) if step else None
+            yield low, high, plain, where, mark
+            at = high
+
+
+def _in_word(start: int):
+    return lambda i: start + i
+
 
+def _in_lines(starts: list[int], firsts: list[int], start: int):
+    """Where the ``i``-th character of a wrapped word stands."""
+    def place(i: int) -> int:
+        line = bisect_right(firsts, i) - 1
+        return start + starts[line] + i - firsts[line]
+    return place
 
-def _fourths(length: int):
-    return lambda i: (i // 3 * 4, min(i // 3 * 4 + 4, length))
 
+def _fourths(place, shift: int, first: int, step: int, size: int, low: int, end: int | None):
+    def where(i: int) -> tuple[int, int]:
+        a = shift + (first + i * step) // 3 * 4
+        b = shift + (first + i * step + step - 1) // 3 * 4 + 4
+        # The padding belongs to the last fourth.
+        stop = end if end is not None and b > size else place(min(b, size) - 1) + 1
+        return place(a) - low, stop - low
+    return where
 
-def _opened(data: bytes, layer: Layer, span: tuple[int, int], budget: Budget) -> tuple[str | None, bytes | None]:
-    """The text that bytes hold, decompressed if need be, and then the digest of the bytes.
 
-    What decompression gives is charged once to the place of the document where it stands.
+def _contents(data: bytes, layer: Layer, span: tuple[int, int], budget: Budget,
+              within: frozenset = frozenset()) -> list[tuple]:
+    """``from, to, text, bytes a character or 0, digest or None`` of the texts that bytes hold.
+
+    Compressed data may begin anywhere and follow other compressed data. What it gives is charged
+    once to the place of the document where it stands.
     """
-    seen, mark = set(), None
-    while True:
-        kind = _compression(data)
-        if kind is None:
-            return _text(data), mark
-        now = hashlib.sha256(data).digest()
-        if now in seen or now in layer.opened:
-            return None, None
-        seen.add(now)
-        place = layer.source(*span)
-        known = (place, now) in budget.known
-        spent = budget.spent.get(place, 0)
+    out, at = [], 0
+    for m in MAGIC.finditer(data):
+        if m.start() < at:
+            continue
+        found = _decompressed(data, m.start(), layer, span, budget, within)
+        if found is not None:
+            out += _plain(data, at, m.start())
+            out.append((m.start(), found[0], found[1], 0, found[2]))
+            at = found[0]
+    return out + _plain(data, at, len(data))
+
+
+def _plain(data: bytes, a: int, b: int) -> list[tuple]:
+    part = data[a:b]
+    if part and 0 not in part:
         try:
-            opened = kind(data, budget.most if known else budget.most - spent)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            return _text(data), mark
-        if opened is None:
-            budget.refuse(place, now)
-            return None, None
-        if not known:
-            budget.known.add((place, now))
-            budget.spent[place] = spent + len(opened)
-        data, mark = opened, mark or now
-
-
-def _compression(data: bytes):
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and data[0] * 256 % 31 == -data[1] % 31):
-        return lambda d, room: _bounded(zlib.decompressobj(47), d, room)
-    if data[:3] == b"BZh":
-        return lambda d, room: _bounded(bz2.BZ2Decompressor(), d, room)
-    if data[:6] == b"\xfd7zXZ\x00":
-        return lambda d, room: _bounded(lzma.LZMADecompressor(), d, room)
-    return None
-
-
-def _bounded(opener, data: bytes, room: int) -> bytes | None:
-    out = opener.decompress(data, max(room, 0) + 1)
-    if len(out) > room:
-        return None
-    if not opener.eof:
-        raise ValueError("cut short")
+            text = part.decode()
+            return [(a, b, text, int(len(text) == len(part)), None)]
+        except UnicodeDecodeError:
+            pass
+    out = []
+    for m in STRETCH.finditer(part):
+        kind = "utf-16-le" if m[1] else "utf-16-be" if m[2] else "utf-8"
+        text = m[0].decode(kind, "replace")
+        step = len(m[0]) // len(text) if len(m[0]) in (len(text), 2 * len(text)) and m[0].isascii() else 0
+        out.append((a + m.start(), a + m.end(), text, step, None))
     return out
 
 
-def _text(data: bytes) -> str | None:
-    """The bytes as text if they are UTF-8 without control characters."""
+def _decompressed(data: bytes, start: int, layer: Layer, span: tuple[int, int], budget: Budget,
+                  within: frozenset) -> tuple[int, str, bytes] | None:
+    """The end of the compressed data at ``start``, its text and its digest, if it can be opened."""
+    place = layer.source(*span)
+    opener = _opener(data[start:start + 1])
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        opened = opener.decompress(memoryview(data)[start:], budget.most + 1)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
-    return text if text and text.translate(_SPACES).isprintable() else None
-
-
-_SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c   "}
+    # Data that is cut short holds what comes before the cut.
+    if not opened and not opener.eof:
+        return None
+    end = len(data) - len(opener.unused_data) if opener.eof else len(data)
+    now = hashlib.sha256(memoryview(data)[start:end]).digest()
+    if now in within or now in layer.opened:
+        return None
+    if (place, now) not in budget.known:
+        spent = budget.spent.get(place, 0) + len(opened)
+        if spent > budget.most or len(within) >= DEPTH:
+            budget.refuse(place, now)
+            return None
+        budget.known.add((place, now))
+        budget.spent[place] = spent
+    texts, last = [], 0
+    for a, b, text, _, _ in _contents(opened, layer, span, budget, within | {now}):
+        # Texts with other bytes between them do not go on in each other.
+        texts += ["\0" if a > last else "", text]
+        last = b
+    return end, "".join(texts), now
+
+
+def _opener(first: bytes):
+    if first == b"B":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if first == b"\xfd" else zlib.decompressobj(47)
 
 
 # ---- Spark ------------------------------------------------------------------------------------

@@ -186,3 +186,45 @@ def test_long_chains_of_percent_and_escapes():
         text = f"password=abcdefghijk{chain}{tail} x {chain}{tail}"
         found = scan(text)[1]
         assert any(a == 0 and k == 0 and b == text.index(" x ") for a, k, b in found)
+
+
+def lines_of(word, width, end="\n"):
+    return end.join(word[i:i + width] for i in range(0, len(word), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("kind", ["base64", "gzip", "xz"])
+def test_base64_in_lines(kind, end):
+    payload = f"some text, {SECRET} and {ACCESS}, the end"
+    text = "Header: x\n" + lines_of(wrap(kind, payload), 20, end) + "\n\nafter"
+    assert {0, 1} <= {k for _, k, _ in scan(text)[1]}
+    assert "hunter2" not in "".join(m for m in masked(text)) and masked(text).endswith("\n\nafter")
+    if kind == "base64":
+        a, _, b = next(s for s in scan(text)[1] if s[1] == 0)
+        assert text.index("\n") < a < b < text.index("\n\nafter")
+
+
+@pytest.mark.parametrize("kind", ["base64", "gzip", "bz2", "xz", "zlib"])
+@pytest.mark.parametrize("before", ["host.com/x/", "a-", "ab_", "abc/", "abcd", "x" * 21])
+def test_base64_glued_to_a_word(kind, before):
+    word = wrap(kind, f"some text {SECRET} end").rstrip("=")
+    for text in (before + word, f"({before}{word}/more/words)"):
+        assert 0 in {k for _, k, _ in scan(text)[1]}
+
+
+def test_bytes_that_are_not_all_text():
+    for data in (SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\xef\xbb\xbf" + SECRET.encode(),
+                 f"a​b \x01 {SECRET}".encode(), b"\xff\xfe\x80\x81 " + SECRET.encode() + b" \xff\x00\x80",
+                 gzip.compress(b"a first one") + gzip.compress(f"b {SECRET}".encode()),
+                 gzip.compress(b"x password=hunt") + gzip.compress(b"er2hunter2 y"),
+                 b"\x00\x01\xff\x93" + zlib.compress(SECRET.encode()) + b"\xff\xff",
+                 gzip.compress((f"{SECRET} " + "words of all sorts, " * 50).encode())[:-9]):
+        text = f"x {base64.b64encode(data).decode()} y"
+        assert 0 in {k for _, k, _ in scan(text)[1]}, data
+    assert 0 in {k for _, k, _ in scan("%E9 %E9%70assword=abcdefghijkl")[1]}
+
+
+def test_span_within_a_glued_word():
+    word = base64.b64encode(f"12345 {SECRET} 6789".encode()).decode()
+    (a, _, b), = scan(f"ab/{word}")[1]
+    assert (a, b) == (3 + 8, 3 + scan(word)[1][0][2])
