@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsift.catalog.base import query, table
+from tabsift.errors import MIXED_FORMATS, TabsiftError
 from tabsift.operators.filters import apply_filter
 from tabsift.operators.infer import apply_inferred
 from tabsift.operators.paths import path_profile
@@ -94,6 +98,28 @@ def mixed_folder_rows(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query("""SELECT 'csv' AS format, count(*) AS rows FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'json', 1 UNION ALL SELECT 'unread', 1""")
+def mixed_folder_leftovers(spark, sf_dir):
+    """A document of one line and a file of no known format beside CSV files: refused as one table,
+    and each accounted for when read apart."""
+    path = scratch_path(spark, "leftovers")
+    rows = table(spark, sf_dir, "customer").select(*_COLUMNS)
+    writers.write_csv(rows.filter(F.col("c_mktsegment") == "BUILDING"), f"{path}/csv")
+    for name, line in (("json", '{"c_custkey": 1, "c_name": "one"}'), ("text", "%%% @@@")):
+        spark.createDataFrame([(line,)], "value string").write.text(f"{path}/{name}")
+    try:
+        readers.read_any(spark, path)
+    except TabsiftError as e:
+        if e.code != MIXED_FORMATS:
+            raise
+    else:
+        raise AssertionError("a mixed folder was read as one table")
+    counts = [df.agg(F.lit(fmt).alias("format"), F.count("*").alias("rows"))
+              for fmt, df in readers.read_each(spark, path).items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query("""SELECT doc_id, text, source FROM documents""")
 def roundtrip_csv_documents(spark, sf_dir):
     """Texts with quotes, commas and line ends survive a CSV file."""

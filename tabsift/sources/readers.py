@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tabsift.errors import MIXED_FORMATS, NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
-from tabsift.functions.exprs import unread_reason
+from tabsift.functions.exprs import unread_reason, whole_json
 from tabsift.operators.infer import apply_inferred, apply_types
 from tabsift.sources import workbooks
 from tabsift.sources.detect import DELIMITERS, detect_files
 from tabsift.sources.documents import xml_to_json, yaml_to_json
 
 CORRUPT = "_corrupt_record"
+#: What ``read_each`` lists the files under that it cannot read.
+UNREAD = "unread"
 
 
 def list_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -41,16 +45,20 @@ def _has_wrapped_cells(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
-def _by_header(spark: SparkSession, path) -> list:
-    """The paths, or, where files have different first lines, their paths by first line."""
-    if list_blobs(spark, path).limit(2).count() < 2:
-        return [path]
+def _first_lines(spark: SparkSession, path) -> DataFrame:
+    """``path, header`` of every file that is not blank."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
-    first = lines.filter(F.trim(F.col("value")) != "").groupBy("path").agg(
+    return lines.filter(F.trim(F.col("value")) != "").groupBy("path").agg(
         F.min_by("value", "place").alias("header"))
-    headers = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+
+
+def _by_header(spark: SparkSession, path) -> list:
+    """The paths, or, where files have different first lines, their paths by first line."""
+    if list_blobs(spark, path).limit(2).count() < 2:
+        return [path]
+    headers = _first_lines(spark, path).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
     if len(headers) < 2:
         return [path]
     return [sorted(r["paths"]) for r in sorted(headers, key=lambda r: r["header"])]
@@ -236,6 +244,32 @@ READERS = {
 }
 
 
+def _odd_lines(spark: SparkSession, path: str, files: DataFrame, others) -> list[str]:
+    """Some files of one line that do not go with the other files of a folder, if there are any.
+
+    With delimited files goes a bare header of their columns, with JSON Lines one object, and else
+    a file of the same format.
+    """
+    fmt = others["format"]
+    single = F.col("lines") == 1
+    if fmt in ("csv", "tsv"):
+        if len(others["delimiters"]) > 1:
+            return []
+        sep = "\t" if fmt == "tsv" else others["delimiters"][0]
+        cells = F.array_sort(F.split("header", re.escape(sep)))
+        first = files.join(_first_lines(spark, path), "path").select("path", "lines", cells.alias("cells"))
+        known = first.filter(~single).select("cells").distinct()
+        odd = first.filter(single).join(known, "cells", "left_anti")
+    elif fmt == "jsonl":
+        line = F.regexp_replace("header", "^\ufeff", "")
+        one = F.ltrim(line).startswith("{") & whole_json(line).isNotNull()
+        odd = files.filter(single).join(_first_lines(spark, path), "path").filter(~one)
+    else:
+        same = [fmt, "jsonl"] if fmt == "json" else [fmt]
+        odd = files.filter(single & ~F.col("format").isin(same))
+    return sorted(r["path"] for r in odd.select("path").limit(5).collect())
+
+
 def _found(spark: SparkSession, path: str):
     """Format, delimiter and whether cells wrap, of all files below a path; mixed ones are refused."""
     try:
@@ -247,8 +281,13 @@ def _found(spark: SparkSession, path: str):
         F.collect_set("delimiter").alias("delimiters")).collect()
     if not kinds:
         raise TabsiftError(NOT_FOUND, path)
-    # A file of one line, a header alone for instance, says little where others say more.
-    kinds = [r for r in kinds if r["telling"]] or kinds
+    telling = [r for r in kinds if r["telling"]]
+    if len(telling) == 1 and len(kinds) > 1:
+        odd = _odd_lines(spark, path, files, telling[0])
+        if odd:
+            raise TabsiftError(MIXED_FORMATS, f"files of one line below {path} are no {telling[0]['format']} "
+                               f"of the same columns: {', '.join(odd)}")
+        kinds = telling
     if len(kinds) > 1:
         said = ", ".join(f"{r['n']} {r['format']}" for r in sorted(kinds, key=lambda r: r["format"]))
         raise TabsiftError(MIXED_FORMATS, f"files of several formats below {path}: {said}")
@@ -283,7 +322,10 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, **options)
 
 def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
     """The files of a mixed folder, one table per format. The paths come to the driver, as they do
-    for any listing that Spark reads."""
+    for any listing that Spark reads.
+
+    Files without a known format or a reader are listed under ``UNREAD``: ``path, format``.
+    """
     paths: dict[tuple, list[str]] = {}
     wraps: dict[tuple, bool] = {}
     for r in detect_files(spark, path).collect():
@@ -291,8 +333,10 @@ def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
         paths.setdefault(key, []).append(r["path"])
         wraps[key] = wraps.get(key, False) or r["wraps"]
     out: dict[str, DataFrame] = {}
+    unread: list[tuple[str, str]] = []
     for (fmt, sep), files in sorted(paths.items(), key=str):
         if fmt not in READERS:
+            unread += [(path, fmt) for path in files]
             continue
         own = dict(options)
         if fmt in ("csv", "tsv"):
@@ -301,6 +345,8 @@ def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
             own.setdefault("sep", sep)
         df = READERS[fmt](spark, files, **own)
         out[fmt] = out[fmt].unionByName(df, allowMissingColumns=True) if fmt in out else df
+    if unread:
+        out[UNREAD] = spark.createDataFrame(unread, "path string, format string")
     return out
 
 

@@ -189,6 +189,31 @@ def test_a_mixed_folder_is_refused_and_read_apart(spark, tmp_path):
     assert {k: v.count() for k, v in parts.items()} == {"csv": 1500, "jsonl": 10}
 
 
+@pytest.mark.parametrize("line", ['{"x":3,"y":4}', '[{"x":3,"y":4}]', "free text", "p,q", "x;y", "3,4"])
+def test_one_line_that_is_no_header_is_refused(spark, tmp_path, line):
+    put(tmp_path, "a.csv", "x,y\n" + "1,2\n" * 10)
+    put(tmp_path, "b", line + "\n")
+    with pytest.raises(TabsiftError) as e:
+        readers.read_any(spark, str(tmp_path))
+    assert e.value.code == "MIXED_FORMATS"
+
+
+def test_one_line_that_goes_with_the_others_is_read(spark, tmp_path):
+    put(tmp_path, "a.jsonl", '{"x":1}\n' * 10)
+    put(tmp_path, "b.jsonl", '{"x":2}\n')
+    assert readers.read_any(spark, str(tmp_path)).count() == 11
+
+
+def test_files_that_cannot_be_read_are_listed(spark, tmp_path):
+    put(tmp_path, "a.csv", "x,y\n" + "1,2\n" * 10)
+    put(tmp_path, "b.json", '{"x":3}\n')
+    put(tmp_path, "c", "%%% @@@\n")
+    parts = readers.read_each(spark, str(tmp_path))
+    assert {k: v.count() for k, v in parts.items()} == {"csv": 10, "json": 1, "unread": 1}
+    row = parts["unread"].first()
+    assert row["path"].endswith("/c") and row["format"] == "unknown"
+
+
 def test_the_end_of_a_file_counts_as_much_as_its_start(spark, tmp_path):
     path = put(tmp_path, "f", '{"a":1}\n' * 2000 + "free text here, and more\n" * 4000)
     assert detect_files(spark, path).first()["format"] != "jsonl"
