@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsift.functions.exprs import whole_json
+from tabsift.functions.exprs import unread_reason, whole_json
 
 # Formats of identifiers and times.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -95,7 +95,11 @@ def _at(key: str, dtype: str) -> Column:
 def _staged(df: DataFrame, value: str, rules: dict[str, Field]) -> DataFrame:
     """Parse each message once and read each field once, as columns the checks refer to."""
     parsed = df.withColumn("_tree", whole_json(F.col(value)))
-    reads = {"_keys": F.map_keys(F.try_variant_get("_tree", "$", "map<string,variant>"))}
+    reads = {
+        # A message too large for a VARIANT may well be valid, so it gets an error of its own.
+        "_large": F.coalesce(unread_reason(F.col(value), F.col("_tree")) == "too large", F.lit(False)),
+        "_keys": F.map_keys(F.try_variant_get("_tree", "$", "map<string,variant>")),
+    }
     for i, (key, rule) in enumerate(rules.items()):
         reads[f"_kind{i}"] = F.schema_of_variant(_at(key, "variant"))
         if rule.kind in ("integer", "number"):
@@ -149,7 +153,8 @@ def _errors(rules: dict[str, Field]) -> Column:
         lambda k: F.concat(F.lit("unexpected "), k),
     )
     problems = F.concat(F.array_compact(F.array(*found)), F.array_sort(extra))
-    return F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(problems)
+    return F.when(F.col("_large"), F.array(F.lit("too large to check"))).when(
+        keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(problems)
 
 
 def _typed(rules: dict[str, Field]) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsift.functions.exprs import whole_json
+from tabsift.functions.exprs import whole_json_or_fail
 
 
 def as_tree(df: DataFrame, text: str, tree: str = "tree") -> DataFrame:
-    """JSON text to a VARIANT column; text that is no JSON gives null."""
-    return df.withColumn(tree, whole_json(F.col(text)))
+    """JSON text to a VARIANT column; text that is no JSON gives null, but text that may be too large
+    for a VARIANT fails."""
+    return df.withColumn(tree, whole_json_or_fail(F.col(text)))
 
 
 def rows_to_tree(df: DataFrame, tree: str = "tree") -> DataFrame:
@@ -53,8 +54,9 @@ def tree_to_rows(
 
 
 def canonical_json(text: Column) -> Column:
-    """Compact JSON with sorted keys."""
-    return F.to_json(whole_json(text))
+    """Compact JSON with sorted keys; null for text that is no JSON, but text that may be too large for
+    a VARIANT fails, as all such texts would be alike."""
+    return F.to_json(whole_json_or_fail(text))
 
 
 def canonical_hash(text: Column) -> Column:

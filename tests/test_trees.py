@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tabsift.functions.contracts import check_messages
 from tabsift.operators.paths import (
     corpus_totals, document_totals, path_profile, struct_paths, text_depth,
 )
@@ -143,3 +144,21 @@ def test_documents_too_large_for_a_tree_are_not_lost(spark):
     df = df.withColumn("doc", F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 160 << 20), F.lit('"}')))
     with pytest.raises(Exception, match="more than a VARIANT holds"):
         path_profile(df, "doc").collect()
+
+
+def test_large_texts_are_read_or_fail(spark):
+    def text(end):
+        return F.concat(F.lit('{"k":7,"a":"'), F.repeat(F.lit("x"), 17 << 20), F.lit(end)).alias("doc")
+
+    good, bad = (spark.range(1).select(text(end)) for end in ('"}', '"'))
+    assert tree_to_rows(as_tree(good, "doc"), "tree", {"k": ("$.k", "bigint")}).first()["k"] == 7
+    assert good.select(canonical_hash(F.col("doc"))).first()[0] is not None
+    for lost in (tree_to_rows(as_tree(bad, "doc"), "tree", {"k": ("$.k", "bigint")}),
+                 tree_to_rows(as_tree(bad, "doc"), "tree", {"x": ("@.x", "bigint")}, explode_at="$.tags"),
+                 bad.select(canonical_hash(F.col("doc")))):
+        with pytest.raises(Exception, match="bytes is no JSON or more than a VARIANT holds"):
+            lost.collect()
+    row, = check_messages(bad, "doc", "jobs").select("errors").collect()
+    assert row["errors"] == ["too large to check"]
+    row, = check_messages(good, "doc", "jobs").select("errors").collect()
+    assert "unexpected k" in row["errors"]
