@@ -176,6 +176,21 @@ def summary_top(spark, sf_dir):
     )
 
 
+@query("""WITH cells AS (SELECT text AS v, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL
+  SELECT repeat('the same start ', 10) || text, count(*) FROM documents WHERE text IS NOT NULL GROUP BY text),
+ranked AS (SELECT CASE WHEN v LIKE 'the same start the same start %' THEN 'copies' ELSE 'text' END AS c, v, n FROM cells)
+SELECT c AS "column", row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS rank, v AS value, n AS count
+FROM ranked QUALIFY rank <= 5""")
+def summary_top_documents(spark, sf_dir):
+    """Long texts that start alike rank by the whole text."""
+    start = F.lit("the same start " * 10)
+    rows = table(spark, sf_dir, "documents").select("text", F.concat(start, "text").alias("copies"))
+    out = summary(rows, top_n=5).select("column", F.posexplode("top").alias("at", "t"))
+    return out.select(
+        "column", (F.col("at") + 1).cast("bigint").alias("rank"), "t.value", "t.count"
+    )
+
+
 @query("""SELECT 'p_partkey' AS "column", count(DISTINCT p_partkey) AS "distinct" FROM part
 UNION ALL SELECT 'p_name', count(DISTINCT p_name) FROM part
 UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part

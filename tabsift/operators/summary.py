@@ -13,8 +13,6 @@ from tabsift.operators.quantiles import (
 )
 
 
-# A table of at most this many digests is sent to every task.
-BROADCAST_ROWS = 100_000
 # Texts up to this length are counted as they are, longer ones by digest.
 HEAD = 128
 
@@ -100,15 +98,14 @@ def _head_and_digest() -> list[Column]:
 
 
 def _top_texts(df: DataFrame, counts: DataFrame, columns: list[str], top_n: int) -> DataFrame:
-    """``column, rank, value, n`` of the most frequent values.
+    """``column, rank, value, n`` of the most frequent values; equal counts rank by value.
 
-    The winners that were counted by digest are looked up again; there are at most ``top_n`` per
-    column.
+    Long texts among the winners, and all that tie with the last one by count and start, are looked
+    up again and ranked by the whole text.
     """
-    order = W.partitionBy("column").orderBy(
-        F.col("n").desc(), F.col("head").asc(), F.col("digest").asc_nulls_first()
-    )
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    by_column = W.partitionBy("column")
+    start = by_column.orderBy(F.col("n").desc(), F.col("head").asc())
+    ranked = counts.withColumn("rank", F.rank().over(start)).filter(F.col("rank") <= top_n)
     fields = [
         f for f in df.schema if f.name in columns
         and not isinstance(f.dataType, (T.BooleanType, T.DatetimeType, T.TimestampNTZType))
@@ -116,8 +113,6 @@ def _top_texts(df: DataFrame, counts: DataFrame, columns: list[str], top_n: int)
     if not fields:
         return ranked.select("column", "rank", F.col("head").alias("value"), "n")
     wanted = ranked.filter(F.col("digest").isNotNull()).select("column", "digest")
-    if top_n * len(columns) <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     cells = F.array(*[
         F.struct(F.lit(f.name).alias("column"), _as_key(f).alias("value")) for f in fields
     ])
@@ -127,8 +122,12 @@ def _top_texts(df: DataFrame, counts: DataFrame, columns: list[str], top_n: int)
         .join(wanted, ["column", "digest"])
         .groupBy("column", "digest").agg(F.first("value").alias("whole"))
     )
-    return ranked.join(texts, ["column", "digest"], "left").select(
-        "column", "rank", F.coalesce("whole", "head").alias("value"), "n"
+    whole = ranked.join(texts, ["column", "digest"], "left").select(
+        "column", F.coalesce("whole", "head").alias("value"), "n"
+    )
+    order = by_column.orderBy(F.col("n").desc(), F.col("value").asc())
+    return whole.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n).select(
+        "column", "rank", "value", "n"
     )
 
 

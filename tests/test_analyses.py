@@ -259,3 +259,11 @@ def test_profile(flawed):
     texts = [r.observation for r in observations(flawed, limit=1).collect()]
     assert texts == ["email misses 29.7% of its values"]
     assert table_profile(flawed, total_bytes=5).first().total_size_bytes == 5
+
+
+def test_top_texts_that_start_alike_rank_by_value(spark):
+    texts = [f"{'same start ' * 20}{i:03d}" for i in range(40)]
+    shuffled = texts[::-1] + texts[7:9]
+    out = summary(spark.createDataFrame([(t,) for t in shuffled], "t string"), top_n=5).first()
+    assert [(t["value"], t["count"]) for t in out["top"]] == \
+        [(texts[7], 2), (texts[8], 2), (texts[0], 1), (texts[1], 1), (texts[2], 1)]
