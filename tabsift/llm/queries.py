@@ -13,6 +13,7 @@ from tabsift.llm.embeddings import near_vectors
 from tabsift.llm.fst import token_counts
 from tabsift.llm.jaccard import similar_documents
 from tabsift.llm.langid import identify
+from tabsift.llm.lexical import search
 from tabsift.llm.lm import score_documents
 from tabsift.llm.packing import pack_documents
 from tabsift.llm.secrets import KINDS, scan_secrets
@@ -210,3 +211,34 @@ reach AS (SELECT doc_id, doc_id AS c FROM documents
           UNION SELECT y, c FROM reach JOIN links ON x = doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY ALL"""
+
+
+# ---- 13: ranked lexical search ------------------------------------------------------------------
+
+@query
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _terms_sql(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+            r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+SQL["op13_bag_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql('text')} AS w FROM documents),
+t AS (SELECT r, unnest(w) AS term FROM d),
+n AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+f AS (SELECT r, term, count(*) AS tf FROM t GROUP BY ALL),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, g),
+m AS (SELECT r, 100 - 25 + (25 * n * docs) // terms AS m FROM n, g),
+q AS (SELECT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark),
+p AS (SELECT item_id, term, count(*) AS q FROM q GROUP BY ALL),
+s AS (SELECT item_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM p JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 20"""
