@@ -16,6 +16,7 @@ from tabsift.llm.langid import identify
 from tabsift.llm.lexical import search
 from tabsift.llm.lm import score_documents
 from tabsift.llm.packing import pack_documents
+from tabsift.llm.repair import audit_damaged
 from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
 from tabsift.llm.warc import archive
@@ -213,6 +214,72 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY ALL"""
 
 
+# ---- 11: conversation structure repair ------------------------------------------------------------
+
+@query
+def op11_block_table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_damaged(table(spark, sf_dir, "conversations"))
+
+
+def _edit_sql(cost: str, letter: str, *states: str) -> str:
+    """The cheapest of some states after an edit: eight digits of cost, then the letters so far."""
+    done = [f"(lpad(({s}[1:8]::INT + {cost})::VARCHAR, 8, '0') || {s}[9:] || '{letter}')" for s in states]
+    return done[0] if len(done) == 1 else f"least({', '.join(done)})"
+
+
+# One step per row; a state holds its cheapest edits, of equal ones the least. Null: not reached.
+SQL["op11_block_table_repair"] = f"""
+WITH RECURSIVE
+bits AS (SELECT i, list_reduce(range(0, 9), lambda c, n: CASE WHEN n = 0 THEN c
+         WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS v FROM range(256) r(i)),
+lookup AS (SELECT list(v ORDER BY i) AS l FROM bits),
+ids AS (SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+raw AS (SELECT k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+        FROM conversations c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id),
+dealt AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295::BIGINT,
+            list_transform(range(0, strlen(key)), lambda p: ascii(substr(key, (p + 1)::INT, 1))::BIGINT)),
+            lambda c, x: xor(c // 256, l[xor(c % 256, x) + 1])), 4294967295) % 20 AS deal FROM raw, lookup),
+bad AS (SELECT k, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+               CASE deal WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN deal = 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM dealt WHERE deal <> 0),
+seen AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM bad),
+r AS (SELECT *, left(role, 1) AS c, body = '' OR nth > 1 AS must,
+             (right(body, 1) NOT IN ('.', '!', '?'))::INT AS cut,
+             lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) AS pair FROM seen),
+dp AS (
+  SELECT k, 0::BIGINT AS i, '00000000' AS v0, NULL::VARCHAR AS v1, '00000002I' AS v2, '00000004II' AS v3 FROM ids
+  UNION ALL
+  SELECT k, i, n0, n1, m2, least(n3, {_edit_sql('2', 'I', 'm2')}) FROM (
+    SELECT *, least(n2, {_edit_sql('2', 'I', 'n0', 'n1', 'n3')}) AS m2 FROM (
+      SELECT r.k, r.i, {_edit_sql('3', 'D', 'v0')} AS n0,
+        least({_edit_sql('3', 'D', 'v1')}, CASE WHEN NOT must AND c = 's' THEN {_edit_sql('cut', 'K', 'v0')} END) AS n1,
+        least({_edit_sql('3', 'D', 'v2')}, CASE WHEN NOT must THEN least({_edit_sql('2 + cut', 'R', 'v0', 'v1', 'v3')},
+              CASE WHEN c = 'u' THEN {_edit_sql('cut', 'K', 'v0', 'v1', 'v3')} END) END) AS n2,
+        least({_edit_sql('3', 'D', 'v3')}, CASE WHEN NOT must THEN least({_edit_sql('2 + cut', 'R', 'v2')},
+              CASE WHEN c = 'a' THEN {_edit_sql('cut', 'K', 'v2')} END) END) AS n3
+      FROM dp JOIN r ON r.k = dp.k AND r.i = dp.i + 1))),
+best AS (SELECT k, arg_max(least(v0, v3), i) AS b FROM dp GROUP BY k),
+steps AS (SELECT k, b[9:] AS audit, unnest(range(1, strlen(b) - 7)) AS p FROM best),
+edits AS (SELECT s.k, p, audit[p:p] AS e, r.role, r.text, strlen(replace(audit[1:p], 'D', '')) AS j
+          FROM steps s LEFT JOIN r ON r.k = s.k AND r.i = strlen(replace(audit[1:p], 'I', '')) AND audit[p:p] <> 'I'),
+system AS (SELECT k, bool_or(j = 1 AND e = 'K' AND role[1:1] = 's') AS s FROM edits WHERE e <> 'D' GROUP BY k),
+done AS (SELECT k, string_agg(CASE WHEN e = 'K' THEN role WHEN (j % 2 = 1) <> s THEN 'user' ELSE 'assistant' END
+                              || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS t
+         FROM edits JOIN system USING (k) WHERE e <> 'D' GROUP BY k),
+f AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (body = '') AS blank, count(*) FILTER (body <> '' AND nth > 1) AS duplicate,
+             count(*) FILTER (NOT must AND cut = 1) AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b[1:8]::BIGINT AS cost,
+       b[9:] AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids JOIN best USING (k) LEFT JOIN f USING (k) LEFT JOIN done USING (k)"""
+
+
 # ---- 13: ranked lexical search ------------------------------------------------------------------
 
 @query
