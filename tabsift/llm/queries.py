@@ -19,6 +19,7 @@ from tabsift.llm.packing import pack_documents
 from tabsift.llm.repair import audit_damaged
 from tabsift.llm.secrets import KINDS, scan_secrets
 from tabsift.llm.sharding import shard
+from tabsift.llm.suffixes import remove_repeats
 from tabsift.llm.warc import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,6 +281,32 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM ids JOIN best USING (k) LEFT JOIN f USING (k) LEFT JOIN done USING (k)"""
 
 
+# ---- 12: suffix-array dedup -----------------------------------------------------------------------
+
+@query
+def op12_index_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+# Two hexadecimal digits are a byte; the strings are told apart by their MD5.
+SQL["op12_index_family"] = """
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, hex(coalesce(text, '')) AS h,
+                  strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, (2 * i + 1)::INT, 200)) AS s
+      FROM (SELECT r, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+gone AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM w) WHERE k > 1),
+steps AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -101) + 100)::INT AS fresh FROM gone),
+runs AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM steps),
+spans AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY r, g),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM spans),
+kept AS (SELECT r, string_agg(substr(h, (2 * p + 1)::INT, (2 * (a - p))::INT), '' ORDER BY a)
+                   || substr(any_value(h), (2 * max(b) + 1)::INT) AS h, sum(b - a) AS n_removed, count(*) AS n_spans
+         FROM cuts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
 # ---- 13: ranked lexical search ------------------------------------------------------------------
 
 @query
