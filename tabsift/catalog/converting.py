@@ -120,6 +120,81 @@ def mixed_folder_leftovers(spark, sf_dir):
     return reduce(DataFrame.unionAll, counts)
 
 
+def _files_of_customers(spark, sf_dir, lines) -> str:
+    """A file for every 100 customers; ``lines`` turns the rows' texts and the file's kind into one text."""
+    path = scratch_path(spark, "documents")
+    rows = table(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_custkey") / 100).alias("file"), F.struct(*_COLUMNS).alias("row"))
+    files = rows.groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    files = files.withColumn("kind", F.col("file") % 4)
+    files.select("file", lines(F.col("rows"), F.col("kind")).alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+def _json_files(rows, kind):
+    """Lists of objects; with a comma lost, with the last bracket wrong, and settings in brackets."""
+    texts = F.transform(rows, lambda r: F.to_json(r))
+    settings = F.transform(rows, lambda r: F.concat(r["c_custkey"].cast("string"), F.lit("="), r["c_name"]))
+    return (
+        F.when(kind == 0, F.concat(F.lit("[\n"), F.array_join(texts, ",\n"), F.lit("\n]")))
+        .when(kind == 1, F.concat(F.lit("[\n"), F.array_join(texts, "\n"), F.lit("\n]")))
+        .when(kind == 2, F.concat(F.lit("[\n"), F.array_join(texts, ",\n"), F.lit("\n}")))
+        .otherwise(F.concat(F.lit("[customers]\n"), F.array_join(settings, "\n"), F.lit("\n[end]")))
+    )
+
+
+def _xml_files(rows, kind):
+    """One root; with its closer lost, with another name in it, and with two roots."""
+    items = F.array_join(F.transform(rows, lambda r: F.concat(
+        F.lit("<c\n id='"), r["c_custkey"].cast("string"), F.lit("'><!-- </c> -->"), r["c_name"], F.lit("</c>"))), "\n")
+    end = F.when(kind == 0, "</all>").when(kind == 1, "<all>").when(kind == 2, "</other>").otherwise("</all>\n<all>\n</all>")
+    return F.concat(F.lit("<all>\n"), items, F.lit("\n"), end)
+
+
+_FILES = """SELECT CASE c_custkey // 100 % 4 WHEN 0 THEN '{0}' ELSE '{1}' END AS format,
+       count(DISTINCT c_custkey // 100) AS files FROM customer GROUP BY 1"""
+
+
+@query(_FILES.format("json", "unknown"))
+def detect_json_files(spark, sf_dir):
+    """Files that begin and end like JSON, of which only those that parse are."""
+    files = detect_files(spark, _files_of_customers(spark, sf_dir, _json_files))
+    return files.groupBy("format").agg(F.count("*").alias("files"))
+
+
+@query(_FILES.format("xml", "other"))
+def detect_xml_files(spark, sf_dir):
+    """Files between tags, of which only those whose tags nest around one root are XML."""
+    files = detect_files(spark, _files_of_customers(spark, sf_dir, _xml_files))
+    kind = F.when(F.col("format") == "xml", "xml").otherwise("other").alias("format")
+    return files.groupBy(kind).agg(F.count("*").alias("files"))
+
+
+@query(f"{_CUSTOMER} WHERE c_custkey // 100 % 4 = 0")
+def json_files_rows(spark, sf_dir):
+    """A folder of broken and whole documents, read apart: the whole ones lose nothing."""
+    path = _files_of_customers(spark, sf_dir, _json_files)
+    return readers.read_each(spark, path)["json"].select(*_COLUMNS)
+
+
+@query(_CUSTOMER)
+def manifest_rows(spark, sf_dir):
+    """A folder read twice, with files added in between: the first reading is known by then, and the
+    cells of the new files change a column's type."""
+    path = scratch_path(spark, "known")
+    rows = table(spark, sf_dir, "customer").select(*_COLUMNS)
+    debt = F.col("c_acctbal") < 0
+    # Whole amounts only, then all of them.
+    writers.write_csv(rows.filter(debt).withColumn("c_acctbal", F.floor("c_acctbal")), f"{path}/debt")
+    before = readers.read_any(spark, f"{path}").agg(F.count("*").alias("n")).first()["n"]
+    writers.write_csv(rows.filter(~debt), f"{path}/rest")
+    writers.write_csv(rows.filter(debt), f"{path}/debt", mode="overwrite")
+    after = readers.read_any(spark, path)
+    if before != rows.filter(debt).count():
+        raise AssertionError("the first reading lost rows")
+    return after.select(*_COLUMNS)
+
+
 @query("""SELECT doc_id, text, source FROM documents""")
 def roundtrip_csv_documents(spark, sf_dir):
     """Texts with quotes, commas and line ends survive a CSV file."""

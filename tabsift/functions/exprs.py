@@ -38,6 +38,6 @@ def unread_reason(text: Column, tree: Column) -> Column:
     """Why a text has no tree: ``empty``, ``too large`` or ``malformed``; null where it has one."""
     return (
         F.when(tree.isNotNull(), F.lit(None).cast("string"))
-        .when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
+        .when(~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"\S")), "empty")
         .when(F.octet_length(text) > VARIANT_BYTES, "too large").otherwise("malformed")
     )

@@ -53,6 +53,54 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+def column_facts(df: DataFrame, text: list[str], by: str | None = None) -> DataFrame:
+    """``column, fits, digits`` of text columns, for each value of ``by`` where it is given.
+
+    One scan; a row of numbers per group and task is shuffled. The facts of two sets of rows merge.
+    """
+    kept = [by] if by else []
+    facts = df.select(
+        *kept, *[_fits(F.col(f"`{n}`")).alias(f"fits{i}") for i, n in enumerate(text)],
+        *[_digits(F.col(f"`{n}`")).alias(f"digits{i}") for i, n in enumerate(text)],
+    ).groupBy(*kept).agg(
+        *[F.bit_and(f"fits{i}").alias(f"fits{i}") for i in range(len(text))],
+        *[F.max(f"digits{i}").alias(f"digits{i}") for i in range(len(text))],
+    )
+    found = F.array(*[F.struct(
+        F.lit(n).alias("column"), F.col(f"fits{i}").alias("fits"), F.col(f"digits{i}").alias("digits"),
+    ) for i, n in enumerate(text)])
+    return facts.select(*kept, F.inline(found))
+
+
+def merged_types(facts: DataFrame, text: list[str]) -> dict[str | None, str]:
+    """The types to cast to, from the facts of several sets of rows; null stands for sets without."""
+    merged = facts.filter(F.col("column").isin(*text) | F.col("column").isNull()).groupBy("column").agg(
+        F.bit_and("fits").alias("fits"), F.max("digits").alias("digits"))
+    return {r["column"]: r["cast_to"] for r in _typed(merged).select("column", "cast_to").collect()}
+
+
+def _typed(facts: DataFrame) -> DataFrame:
+    """The tag that all values fit, and what they are cast to."""
+    def all_fit(bit: int) -> Column:
+        return F.col("fits").bitwiseAND(bit) != 0
+
+    tag = (
+        F.when(F.col("fits").isNull(), "string")
+        .when(all_fit(_FITS_INTEGER), "integer")
+        .when(all_fit(_FITS_NUMBER), "number")
+        .when(all_fit(_FITS_BOOLEAN), "boolean")
+        .otherwise("string")
+    )
+    cast_to = (
+        F.when(F.col("type") == "number", "double")
+        .when(F.col("type") != "integer", F.col("type"))
+        .when(all_fit(_FITS_LONG), "bigint")
+        .when(F.col("digits") <= 38, "decimal(38,0)")
+        .otherwise("string")
+    )
+    return facts.withColumn("type", tag).withColumn("cast_to", cast_to)
+
+
 def infer_tags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: ``column, position, type, cast_to``.
 
@@ -65,39 +113,7 @@ def infer_tags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     fixed = [n for n in names if n not in text]
     rows = []
     if text:
-        facts = df.select(
-            *[_fits(F.col(f"`{n}`")).alias(f"fits{i}") for i, n in enumerate(text)],
-            *[_digits(F.col(f"`{n}`")).alias(f"digits{i}") for i, n in enumerate(text)],
-        ).agg(*[
-            F.struct(
-                F.lit(n).alias("column"), F.bit_and(f"fits{i}").alias("fits"),
-                F.max(f"digits{i}").alias("digits"),
-            ).alias(f"f{i}") for i, n in enumerate(text)
-        ])
-
-        def all_fit(bit: int) -> Column:
-            return F.col("fits").bitwiseAND(bit) != 0
-
-        tag = (
-            F.when(F.col("fits").isNull(), "string")
-            .when(all_fit(_FITS_INTEGER), "integer")
-            .when(all_fit(_FITS_NUMBER), "number")
-            .when(all_fit(_FITS_BOOLEAN), "boolean")
-            .otherwise("string")
-        )
-        cast_to = (
-            F.when(F.col("type") == "number", "double")
-            .when(F.col("type") != "integer", F.col("type"))
-            .when(all_fit(_FITS_LONG), "bigint")
-            .when(F.col("digits") <= 38, "decimal(38,0)")
-            .otherwise("string")
-        )
-        rows.append(
-            facts.select(F.inline(F.array(*[f"f{i}" for i in range(len(text))])))
-            .withColumn("type", tag)
-            .withColumn("cast_to", cast_to)
-            .select("column", "type", "cast_to")
-        )
+        rows.append(_typed(column_facts(df, text)).select("column", "type", "cast_to"))
     if fixed:
         spark = df.sparkSession
         rows.append(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsift.functions.exprs import once, whole_json
+from tabsift.session import scratch_path
+from tabsift.sources.structure import shapes
 
 # Formats and the confidence each finding is worth.
 FORMATS = ("xlsx", "json", "jsonl", "xml", "tsv", "csv", "yaml")  # first wins a tie
@@ -299,7 +301,7 @@ def _line_facts(lines: DataFrame) -> DataFrame:
     commented = F.ltrim(value).startswith("#")
     margin = ~value.startswith(" ") & ~commented
     return lines.select(
-        "path", F.col("place"), (
+        "path", "time", "length", F.xxhash64("value").alias("head"), F.col("place"), (
             F.least(F.ascii(lead), F.lit(_CODES - 1))
             + reduce(add, [F.when(F.ltrim(value).startswith(m), _CODES << i).otherwise(0)
                            for i, m in enumerate(_MARKS)])
@@ -319,21 +321,54 @@ def _line_facts(lines: DataFrame) -> DataFrame:
     )
 
 
-def detect_files(spark, path: str) -> DataFrame:
-    """``path, lines, format, confidence, delimiter, wraps`` of every file below a path; blank files
-    have no row.
+FILE_COLUMNS = ("path string, time timestamp, length long, lines long, format string, confidence double, "
+                "delimiter string, wraps boolean, head long")
+
+
+def detect_files(spark, path) -> DataFrame:
+    """``path, time, length, lines, format, confidence, delimiter, wraps, head`` of every file below a
+    path; blank files have no row.
 
     One scan in splits: lines are judged where they are read, lines with equal delimiters merge
     before the shuffle, and a file is the sum of its lines, so its size does not matter and files of
-    a folder are judged each for itself. A document over many lines counts as JSON where its
-    brackets balance between a first and a last one, and as XML where it lies between ``<`` and
-    ``>``. ``delimiter`` is that of delimited rows, ``wraps`` tells whether a quoted cell may hold a
-    line end.
+    a folder are judged each for itself. Only files that begin and end like a JSON or XML document
+    are read once more, for the structure of the whole file (``structure``): what does not parse is
+    none. ``delimiter`` is that of delimited rows, ``wraps`` tells whether a quoted cell may hold a
+    line end, ``head`` is a hash of the first line.
     """
+    target = scratch_path(spark, "files")
+    _file_facts(spark, path).write.parquet(target)
+    files = spark.read.parquet(target)
+    shaped = files.withColumns({
+        "_json": (F.col("opens") < 128) & F.col("opens").isin(ord("{"), ord("[")) & (F.col("depth") == 0)
+        & F.col("closes").isin(ord("}"), ord("]")) & ((F.col("objects") < F.col("n")) | (F.col("n") == 1)),
+        "_xml": (F.col("opens") == ord("<")) & (F.col("closes") == ord(">")),
+    })
+    shape = spark.createDataFrame([], "path string, shape string")
+    for kind in ("json", "xml"):
+        paths = [r["path"] for r in shaped.filter(F.col(f"_{kind}")).select("path").collect()]
+        if paths:
+            # The whole folder, where all of it is meant, is listed by Spark itself.
+            every = isinstance(path, str) and len(paths) == files.count()
+            shape = shape.unionByName(shapes(spark, path if every else paths, kind))
+    known = files.join(shape.withColumnRenamed("path", "_shaped"), F.col("path") == F.col("_shaped"), "left")
+    known = known.select("path", "time", "length", F.col("n").alias("lines"), "head", *_file_reading()).select(
+        "path", "time", "length", "lines",
+        F.when(F.col("b.confidence") >= ACCEPT, F.col("b.format")).otherwise("unknown").alias("format"),
+        F.col("b.confidence").alias("confidence"), F.col("found.delimiter").alias("delimiter"), "wraps", "head",
+    )
+    target = scratch_path(spark, "formats")
+    known.write.parquet(target)
+    return spark.read.parquet(target)
+
+
+def _file_facts(spark, path) -> DataFrame:
+    """The sums of every file's lines."""
     reader = spark.read.option("recursiveFileLookup", True)
     lines = reader.text(path).select(
         F.regexp_replace("value", "^\ufeff", "").alias("value"),
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_size").alias("length"),
         # A task reads fewer lines than the splits of a file lie apart in bytes, so this number
         # rises through a file; whole numbers keep the sums below in hash tables.
         (F.col("_metadata.file_block_start")
@@ -344,6 +379,7 @@ def detect_files(spark, path: str) -> DataFrame:
     alike = facts.groupBy("path", "wraps", *counts).agg(
         F.count("*").alias("n"), F.min("place").alias("first"),
         F.min_by("opens", "place").alias("opens"), F.max_by("closes", "place").alias("closes"),
+        F.min_by("head", "place").alias("head"), F.max("time").alias("time"), F.max("length").alias("length"),
         F.max("place").alias("last"), F.count_if("object").alias("objects"), F.sum("depth").alias("depth"),
         F.count_if("comment").alias("comments"), F.count_if("margin").alias("margins"),
         F.count_if("entry").alias("entries"), F.max("marked").alias("marked"),
@@ -354,18 +390,14 @@ def detect_files(spark, path: str) -> DataFrame:
     same = [F.sum(F.when((F.col(c) == F.col(f"h{i}")) & ~F.col("wraps"), F.col("n")).otherwise(0)).alias(f"s{i}")
             for i, c in enumerate(counts)]
     joined = alike.join(head, F.col("path") == F.col("_path"))
-    files = joined.groupBy("path").agg(
+    return joined.groupBy("path").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("wraps"), 0).otherwise(F.col("n"))).alias("rows"),
         F.min_by("opens", "first").alias("opens"), F.max_by("closes", "last").alias("closes"),
+        F.min_by("head", "first").alias("head"), F.max("time").alias("time"), F.max("length").alias("length"),
         *[F.max(f"h{i}").alias(f"h{i}") for i in range(len(counts))], *same,
         *[F.sum(c).alias(c) for c in ("objects", "depth", "comments", "margins", "entries")],
         *[F.max(c).alias(c) for c in ("wraps", "marked", "workbook", "directory")],
     )
-    return files.select("path", F.col("n").alias("lines"), *_file_reading()).select(
-        "path", "lines",
-        F.when(F.col("b.confidence") >= ACCEPT, F.col("b.format")).otherwise("unknown").alias("format"),
-        F.col("b.confidence").alias("confidence"), F.col("found.delimiter").alias("delimiter"), "wraps",
-    )
 
 
 def _file_reading() -> list[Column]:
@@ -375,18 +407,16 @@ def _file_reading() -> list[Column]:
     declared, dashed, zipped = (
         F.col("opens").bitwiseAND(F.lit(_CODES << i)) != 0 for i in range(len(_MARKS)))
     lead, closes = (F.when(c < 128, F.char(c)).otherwise("") for c in (code, F.col("closes")))
-    balanced = (F.col("depth") == 0) & (((lead == "{") & (closes == "}")) | ((lead == "[") & (closes == "]")))
-    lines_of_objects = (F.col("objects") == n) & (n > 1)
     json = (
-        F.when(~balanced | lines_of_objects, _zero())
-        .when(lead == "{", JSON_OBJECT).otherwise(JSON_TABLE)
+        F.when(F.col("shape") == "object", JSON_OBJECT).when(F.col("shape") == "table", JSON_TABLE)
+        .when(F.col("shape") == "list", JSON_ARRAY).otherwise(_zero())
     )
     jsonl = F.when(lead == "[", _zero()).when(
         n == 1, F.when(F.col("objects") == 1, JSONL_SINGLE).otherwise(_zero())
     ).otherwise(F.col("objects") / n)
     xml = (
         F.when(declared, XML_DECLARED).when(lead != "<", _zero())
-        .when(closes == ">", XML_WELL_FORMED).otherwise(XML_MALFORMED)
+        .when(F.col("shape") == "element", XML_WELL_FORMED).otherwise(XML_MALFORMED)
     )
     found = F.array_max(F.array_compact(F.array(*[
         F.when(

@@ -11,10 +11,11 @@ from pyspark.sql.utils import AnalysisException
 
 from tabsift.errors import MIXED_FORMATS, NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
 from tabsift.functions.exprs import unread_reason, whole_json
-from tabsift.operators.infer import apply_inferred, apply_types
+from tabsift.operators.infer import apply_types
 from tabsift.sources import workbooks
-from tabsift.sources.detect import DELIMITERS, detect_files
+from tabsift.sources.detect import DELIMITERS
 from tabsift.sources.documents import xml_to_json, yaml_to_json
+from tabsift.sources.manifest import format_groups, known_formats, known_types
 
 CORRUPT = "_corrupt_record"
 #: What ``read_each`` lists the files under that it cannot read.
@@ -35,63 +36,118 @@ def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def _has_wrapped_cells(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell holds a line end: some line then has an odd number of quotes.
-
-    The lines are scanned in splits, so large files keep being read in parallel unless they need
-    the slower whole-file mode.
-    """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-
-
 def _first_lines(spark: SparkSession, path) -> DataFrame:
     """``path, header`` of every file that is not blank."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
     return lines.filter(F.trim(F.col("value")) != "").groupBy("path").agg(
-        F.min_by("value", "place").alias("header"))
-
-
-def _by_header(spark: SparkSession, path) -> list:
-    """The paths, or, where files have different first lines, their paths by first line."""
-    if list_blobs(spark, path).limit(2).count() < 2:
-        return [path]
-    headers = _first_lines(spark, path).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    if len(headers) < 2:
-        return [path]
-    return [sorted(r["paths"]) for r in sorted(headers, key=lambda r: r["header"])]
+        F.regexp_replace(F.min_by("value", "place"), "^\ufeff", "").alias("header"))
+
+
+def _one_head(groups: list) -> bool:
+    return len({g["head"] for g in groups}) == 1 and not any(g["heads"] for g in groups)
+
+
+class _Delimited:
+    """The rows of delimited files, whatever their number of orders of columns."""
+
+    def __init__(self, spark: SparkSession, path, sep: str, multi_line: bool | None, encoding: str | None,
+                 one_header: bool | None = None):
+        self.spark, self.path, self.sep, self.encoding = spark, path, sep, encoding
+        if one_header is None:
+            one_header = list_blobs(spark, path).limit(2).count() < 2
+        if multi_line is None or not one_header:
+            groups = format_groups(spark, path)
+            one_header = one_header or _one_head(groups)
+            multi_line = any(g["wraps"] for g in groups) if multi_line is None else multi_line
+        self.multi_line = multi_line
+        self.orders, self.names, self.width = None, None, 0
+        if not one_header:
+            self._match_headers()
+
+    def _reader(self):
+        reader = (
+            self.spark.read.option("sep", self.sep).option("escape", '"').option("multiLine", self.multi_line)
+            .option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
+        )
+        return reader if self.encoding is None else reader.option("encoding", self.encoding)
+
+    def _match_headers(self) -> None:
+        """A row per file with the place of every column in it, unless all files have one first line."""
+        first = _first_lines(self.spark, self.path)
+        if first.select("header").distinct().limit(2).count() < 2:
+            return
+        # No header has more cells than delimiters and one.
+        self.width = first.agg(F.max(F.size(F.split("header", re.escape(self.sep))))).first()[0]
+        cells = self._from_csv()
+        heads = first.select("path", cells.alias("cells"))
+        n = heads.count()
+        names = heads.select("path", F.posexplode("cells").alias("at", "name")).groupBy("name").agg(
+            F.count_distinct("path").alias("files"), F.min(F.struct("at", "path")).alias("first"))
+        if names.filter(F.col("files") == n).isEmpty():
+            raise TabsiftError(
+                MIXED_FORMATS, f"the first lines of the files below {self.path} share no column; "
+                "files without headers are read by Spark's own csv reader")
+        lead = heads.orderBy("path").first()
+        known = [r["name"] for r in names.orderBy("first.at", "first.path").select("name").collect()]
+        self.names = lead["cells"] + [c for c in known if c not in set(lead["cells"])]
+        self.names = list(dict.fromkeys(self.names))
+        at = F.transform(F.array(*map(F.lit, self.names)), lambda c: F.array_position("cells", c).cast("int"))
+        self.orders = heads.select(F.col("path").alias("_file"), at.alias("_at"))
+
+    def _from_csv(self):
+        schema = ", ".join(f"_c{i} string" for i in range(self.width))
+        row = F.from_csv("header", F.lit(schema), {"sep": self.sep, "escape": '"'})
+        return F.array_compact(F.array(*[row[f"_c{i}"] for i in range(self.width)]))
+
+    def rows(self, paths: list[str] | None = None, with_path: bool = False) -> DataFrame:
+        """All columns as text; with the file they come from in ``_path`` where it is asked for."""
+        path = paths or self.path
+        if self.orders is None:
+            df = _one_header(self._reader(), self.path if paths is None else paths)
+            return df.select("*", F.col("_metadata.file_path").alias("_path")) if with_path else df
+        # The first line of a file is left out by the reader, which tells columns by their place.
+        schema = ", ".join(f"_c{i} string" for i in range(self.width))
+        rows = self._reader().option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+        rows = rows.select(
+            F.array(*[f"_c{i}" for i in range(self.width)]).alias("_cells"), F.col("_metadata.file_path").alias("_path"))
+        # One row per file: broadcast by Catalyst where that is small.
+        rows = rows.join(self.orders, rows["_path"] == self.orders["_file"])
+        cells = [
+            F.when(F.col("_at")[i] > 0, F.try_element_at("_cells", F.col("_at")[i])).alias(n or "_empty")
+            for i, n in enumerate(self.names)]
+        return rows.select(*cells, *["_path"] * with_path)
+
+    def typed(self) -> DataFrame:
+        """Columns cast to the types that all their cells fit."""
+        df = self.rows()
+        text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        if not text:
+            return df
+        reading = f"csv {self.sep!r} {self.multi_line} {self.encoding} {len(self.names or [])}"
+        return apply_types(df, known_types(
+            self.spark, self.path, reading, text, lambda paths: self.rows(paths, with_path=True)))
 
 
 def _delimited(
     spark: SparkSession, path, sep: str, multi_line: bool | None, infer: bool,
-    schema: str | None, encoding: str | None = None,
+    schema: str | None, encoding: str | None = None, one_header: bool | None = None,
 ) -> DataFrame:
-    if multi_line is None:
-        multi_line = _has_wrapped_cells(spark, path)
-    parts = [_one_header(spark, p, sep, multi_line, encoding) for p in _by_header(spark, path)]
-    df = parts[0]
-    for other in parts[1:]:
-        # Files whose columns stand in another order are matched by name.
-        df = df.unionByName(other, allowMissingColumns=True)
+    source = _Delimited(spark, path, sep, multi_line, encoding, one_header)
     if schema is not None:
         known = T.StructType.fromDDL(schema)
-        return apply_types(df, {f.name: f.dataType.simpleString() for f in known})
-    return apply_inferred(df) if infer else df
+        return apply_types(source.rows(), {f.name: f.dataType.simpleString() for f in known})
+    return source.typed() if infer else source.rows()
 
 
-def _one_header(spark: SparkSession, path, sep: str, multi_line: bool, encoding: str | None) -> DataFrame:
-    reader = (
-        spark.read.option("sep", sep).option("escape", '"').option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-    )
-    if encoding is not None:
-        reader = reader.option("encoding", encoding)
+def _one_header(reader, path) -> DataFrame:
     df = reader.option("header", True).csv(path)
-    head = reader.option("header", False).csv(path).limit(1).first()
+    # The reader tells repeated names apart by their places.
+    stems = [n[:-len(str(i))] for i, n in enumerate(df.columns) if n.endswith(str(i))]
+    head = reader.option("header", False).csv(path).limit(1).first() if len(set(stems)) < len(stems) else None
     if head is not None:
-        names = ["" if n is None else n.lstrip("﻿") for n in head]
+        names = ["" if n is None else n.lstrip("\ufeff") for n in head]
         if len(set(names)) < len(names) and len(names) == len(df.columns):
             # A repeated header keeps the last column of that name, in the first one's place.
             last = {n: i for i, n in enumerate(names)}
@@ -102,26 +158,27 @@ def _one_header(spark: SparkSession, path, sep: str, multi_line: bool, encoding:
 
 
 def read_csv(
-    spark, path, sep=",", multi_line=None, infer=True, schema=None, encoding=None,
+    spark, path, sep=",", multi_line=None, infer=True, schema=None, encoding=None, one_header=None,
 ) -> DataFrame:
     """Delimited text with a header row, typed unless ``infer`` is off.
 
     ``sep="auto"`` takes the delimiter that detection finds; ``encoding`` names one other than
     UTF-8. Files of one folder may list their columns in different orders. Inference reads every
     row. With ``schema`` (types of the columns to cast) and ``multi_line`` (whether quoted cells
-    hold line ends) a single file is not read ahead, so a preview stops early.
+    hold line ends) a single file is not read ahead, so a preview stops early; ``one_header`` says that
+    all files have the same first line.
     """
     if sep == "auto":
-        rows = detect_files(spark, path).select("delimiter").distinct().collect()
+        rows = known_formats(spark, path).select("delimiter").distinct().collect()
         known = {r["delimiter"] for r in rows} & set(DELIMITERS)
         if len(known) != 1:
             raise TabsiftError(MIXED_FORMATS, f"no one delimiter below {path}")
         sep = known.pop()
-    return _delimited(spark, path, sep, multi_line, infer, schema, encoding)
+    return _delimited(spark, path, sep, multi_line, infer, schema, encoding, one_header)
 
 
-def read_tsv(spark, path, multi_line=None, infer=True, schema=None) -> DataFrame:
-    return _delimited(spark, path, "\t", multi_line, infer, schema)
+def read_tsv(spark, path, multi_line=None, infer=True, schema=None, one_header=None) -> DataFrame:
+    return _delimited(spark, path, "\t", multi_line, infer, schema, one_header=one_header)
 
 
 def _first_line(spark: SparkSession, path: str, pattern: str) -> str | None:
@@ -132,7 +189,7 @@ def _first_line(spark: SparkSession, path: str, pattern: str) -> str | None:
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON array of objects per file as a table with the union of their keys; any other
-    document as a ``tree``."""
+    document as a ``tree``. A file that is no JSON fails the query that reads it."""
     reader = spark.read.option("multiLine", True)
     if schema is not None:
         return reader.schema(schema).json(path)
@@ -141,7 +198,14 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
         table = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
         if table.columns != [CORRUPT]:
             return table
-    return read_json_tree(spark, path).select("tree")
+    return _trees(read_json_tree(spark, path))
+
+
+def _trees(files: DataFrame) -> DataFrame:
+    """The ``tree`` of every file; blank files have none, and one without a tree fails by its name."""
+    message = F.concat(F.col("path"), F.lit(" has no tree: "), F.col("reason"))
+    tree = F.coalesce("tree", F.raise_error(message).cast("variant"))
+    return files.filter("reason IS NULL OR reason <> 'empty'").select(tree.alias("tree"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -165,7 +229,7 @@ def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_tree(spark: SparkSession, path: str) -> DataFrame:
     """One VARIANT per file: ``path, tree, reason``; the reason says why a file has no tree."""
-    return _with_reason(_whole_texts(spark, path).select("path", "text", F.try_parse_json("text").alias("tree")))
+    return _with_reason(_whole_texts(spark, path).select("path", "text", whole_json(F.col("text")).alias("tree")))
 
 
 def _with_reason(trees: DataFrame) -> DataFrame:
@@ -181,7 +245,7 @@ def read_yaml_tree(spark: SparkSession, path: str) -> DataFrame:
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """YAML lists of maps as a table with the union of their keys; other documents as a ``tree``."""
-    trees = read_yaml_tree(spark, path).select("tree")
+    trees = _trees(read_yaml_tree(spark, path))
     items = F.try_variant_get("tree", "$", "array<variant>")
     listed = trees.agg(F.every(
         (F.size(items) > 0) & F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
@@ -199,7 +263,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     ``tree``.
     """
     if row_tag is None:
-        return read_xml_tree(spark, path).select("tree")
+        return _trees(read_xml_tree(spark, path))
     return (
         spark.read.format("xml").option("rowTag", row_tag)
         .option("attributePrefix", "@").option("valueTag", "#text")
@@ -271,34 +335,35 @@ def _odd_lines(spark: SparkSession, path: str, files: DataFrame, others) -> list
 
 
 def _found(spark: SparkSession, path: str):
-    """Format, delimiter and whether cells wrap, of all files below a path; mixed ones are refused."""
+    """Format, delimiter and whether cells wrap, of all files below a path, and whether their first lines
+    differ; mixed ones are refused."""
     try:
-        files = detect_files(spark, path)
+        kinds = format_groups(spark, path)
     except AnalysisException as e:
         raise TabsiftError(NOT_FOUND, path) from e
-    kinds = files.groupBy("format", (F.col("lines") > 1).alias("telling")).agg(
-        F.count("*").alias("n"), F.max("wraps").alias("wraps"),
-        F.collect_set("delimiter").alias("delimiters")).collect()
     if not kinds:
         raise TabsiftError(NOT_FOUND, path)
     telling = [r for r in kinds if r["telling"]]
+    if len(telling) == 1 and telling[0]["format"] in ("csv", "tsv") and _one_head(kinds):
+        # Files of one line are bare headers.
+        return telling[0], False
     if len(telling) == 1 and len(kinds) > 1:
-        odd = _odd_lines(spark, path, files, telling[0])
+        odd = _odd_lines(spark, path, known_formats(spark, path), telling[0])
         if odd:
             raise TabsiftError(MIXED_FORMATS, f"files of one line below {path} are no {telling[0]['format']} "
                                f"of the same columns: {', '.join(odd)}")
-        kinds = telling
+        return telling[0], True
     if len(kinds) > 1:
         said = ", ".join(f"{r['n']} {r['format']}" for r in sorted(kinds, key=lambda r: r["format"]))
         raise TabsiftError(MIXED_FORMATS, f"files of several formats below {path}: {said}")
     if kinds[0]["format"] == "unknown":
         raise TabsiftError(UNKNOWN_FORMAT, f"no format matches {path}")
-    return kinds[0]
+    return kinds[0], kinds[0]["heads"]
 
 
 def detect_path(spark: SparkSession, path: str) -> str:
     """The one format of all files below a path, each judged by all of its lines."""
-    return _found(spark, path)["format"]
+    return _found(spark, path)[0]["format"]
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
@@ -307,10 +372,11 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, **options)
     Detection also tells the delimiter of delimited files and whether their cells wrap.
     """
     if fmt is None:
-        found = _found(spark, path)
+        found, differ = _found(spark, path)
         fmt = found["format"]
         if fmt in ("csv", "tsv"):
             options.setdefault("multi_line", found["wraps"])
+            options.setdefault("one_header", not differ)
         if fmt == "csv" and "sep" not in options:
             if len(found["delimiters"]) > 1:
                 raise TabsiftError(MIXED_FORMATS, f"files of several delimiters below {path}")
@@ -328,7 +394,7 @@ def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
     """
     paths: dict[tuple, list[str]] = {}
     wraps: dict[tuple, bool] = {}
-    for r in detect_files(spark, path).collect():
+    for r in known_formats(spark, path).collect():
         key = (r["format"], r["delimiter"] if r["format"] == "csv" else None)
         paths.setdefault(key, []).append(r["path"])
         wraps[key] = wraps.get(key, False) or r["wraps"]

@@ -1,13 +1,17 @@
 import io
+import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabsift.errors import TabsiftError
-from tabsift.sources import readers, workbooks, writers
+from tabsift.operators.infer import apply_inferred
+from tabsift.sources import manifest, readers, workbooks, writers
 from tabsift.sources.detect import confidences, detect_files, detect_formats
 from tabsift.sources.documents import json_to_yaml, yaml_to_json
+from tabsift.sources.structure import json_shape, json_summary, shapes
 
 
 def put(folder, name, data):
@@ -274,7 +278,7 @@ def test_round_trip(spark, tmp_path, odd, fmt, options):
     writers.write_any(odd, path, fmt)
     back = readers.read_any(spark, path, fmt, **options)
     if fmt == "xml":
-        back = readers.apply_inferred(back)
+        back = apply_inferred(back)
     got = back.select("id", "text", F.col("num").cast("double"), "flag")
     # Markup readers strip the text of an element.
     want = odd.withColumn("text", F.rtrim("text", F.lit("\t"))) if fmt == "xml" else odd
@@ -355,3 +359,133 @@ def test_unread_documents_say_why(spark, tmp_path):
     assert got == {"a.json": (False, None), "b.json": (True, "malformed"), "c.json": (True, "empty")}
     put(tmp_path, "x.xml", "<!DOCTYPE r [<!ENTITY e 'v'>]><r>&e;</r>")
     assert readers.read_xml_tree(spark, str(tmp_path / "x.xml")).first().reason == "malformed"
+
+
+# ---- what a file holds, and what is known of it ------------------------------------------------
+
+@pytest.mark.parametrize("text", [
+    "[section]\nkey=value\nother=1\n[end]\n", "{ this is\nplain text }\n", "[1,\n2\n3]\n", '[{"a":1}\n{"a":2}]\n',
+    '{"a":1,\n"b"}\n', '{"a":[1,\n2}\n]', "[1,\n2,\n]\n",
+])
+def test_brackets_alone_are_no_json(spark, tmp_path, text):
+    path = put(tmp_path, "f", text)
+    assert detect_files(spark, path).first()["format"] == "unknown"
+    with pytest.raises(TabsiftError):
+        readers.read_any(spark, path)
+
+
+def test_tags_must_nest(spark, tmp_path):
+    for text in ("<a>\n<b>\n", "<a>\n</b>\n</a>\n", "<a/>\n<b/>\n", "<a>\n</a>\nx <b/>\n"):
+        assert detect_files(spark, put(tmp_path, "f", text)).first()["format"] != "xml"
+    good = "<a x='1>'\n y=\"<!--\">\n<!-- <b> -->\n<![CDATA[</a>]]>\n</a>\n"
+    assert detect_files(spark, put(tmp_path, "f", good.replace("<!--\"", "z\""))).first()["format"] == "xml"
+
+
+def test_a_broken_document_is_no_silent_null(spark, tmp_path):
+    for name, fmt, text in (("a", "json", '{"a":\n'), ("b", "json", '{"a":1} x'), ("c", "xml", "<a>\n<b>")):
+        path = put(tmp_path, name, text)
+        with pytest.raises(Exception, match="has no tree: malformed"):
+            readers.read_any(spark, path, fmt).collect()
+    assert readers.read_json(spark, put(tmp_path, "d", " \n")).count() == 0
+
+
+def test_structure_across_splits(spark, tmp_path):
+    """Files cut into many splits are judged as a whole."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows_ = ",\n".join('{"k": %d, "s": "a, [b] \\"c\\" {"}' % i for i in range(60))
+        cases = {"table": f"[\n{rows_}\n]\n", "none": f"[\n{rows_}\n}}\n", "object": '{"x": [\n' + rows_ + "\n]}\n",
+                 "list": f"[\n1,\n{rows_}\n]\n"}
+        for shape, text in cases.items():
+            assert shapes(spark, put(tmp_path, f"{shape}.json", text), "json").first()["shape"] == shape
+        items = "".join(f"<i\n n='{i}>'><!-- <x>\n -->text\n<![CDATA[ </r>\n ]]></i\n>\n" for i in range(40))
+        for shape, text in (("element", f"<r>\n{items}</r>\n"), ("none", f"<r>\n{items}<i>\n</r>\n")):
+            path = put(tmp_path, f"{shape}.xml", text)
+            assert spark.read.text(path).rdd.getNumPartitions() > 4
+            assert shapes(spark, path, "xml").first()["shape"] == shape
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _json_parts(text, cuts):
+    lines, out, at = text.split("\n"), "", 0
+    parts = []
+    for cut in [*sorted(cuts), len(lines)]:
+        parts.append(json_summary("\n".join(lines[at:cut]) + "\n"))
+        at = cut
+    return parts
+
+
+def test_json_summaries_against_a_parser():
+    r = random.Random(4)
+
+    def value(depth):
+        k = r.random()
+        if depth > 3 or k < 0.3:
+            return r.choice([1, -2.5e3, "a,b", '{]"\\x', True, None, ""])
+        if k < 0.6:
+            return [value(depth + 1) for _ in range(r.randint(0, 4))]
+        return {r.choice("abc:d"): value(depth + 1) for _ in range(r.randint(0, 4))}
+
+    for _ in range(3000):
+        text = json.dumps(value(0), indent=r.choice([None, 1]))
+        if r.random() < 0.6:
+            at = r.randrange(len(text) + 1)
+            text = text[:at] + r.choice([",", "]", "}", "[", "{", "\n", '"', ":", "1", " x", ""]) + text[at + r.randint(0, 2):]
+        if text.lstrip()[:1] not in ("{", "["):
+            continue
+        try:
+            tree = json.loads(text, parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            want = "none"
+        else:
+            table = isinstance(tree, list) and all(isinstance(x, dict) for x in tree)
+            want = "object" if isinstance(tree, dict) else "table" if table else "list"
+        lines = text.count("\n") + 1
+        assert json_shape(_json_parts(text, [r.randrange(lines + 1) for _ in range(r.randint(0, 3))])) == want
+
+
+def test_known_files_are_not_read_again(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a.csv", "x,y\n1,a\n")
+    put(tmp_path, "blank.csv", "\n")
+    read = []
+    judge = manifest.detect_files
+    monkeypatch.setattr(manifest, "detect_files", lambda s, p: read.append(p) or judge(s, p))
+    facts = manifest.column_facts
+    monkeypatch.setattr(manifest, "column_facts", lambda *a: read.append("types") or facts(*a))
+    first = readers.read_any(spark, str(tmp_path))
+    assert rows(first, "x") == [(1, "a")] and read == [str(tmp_path), "types"]
+    read.clear()
+    assert readers.read_any(spark, str(tmp_path)).dtypes == first.dtypes and read == []
+    # A new file is judged alone, and its cells change the type.
+    put(tmp_path, "b.csv", "x,y\n2.5,b\n3,c\n")
+    assert rows(readers.read_any(spark, str(tmp_path)), "y") == [(1.0, "a"), (2.5, "b"), (3.0, "c")]
+    assert len(read) == 2 and len(read[0]) == 1 and read[0][0].endswith("b.csv")
+    # So is one that has changed.
+    read.clear()
+    put(tmp_path, "b.csv", "x,y\n2.5,b\n3,c\nz,d\n")
+    assert readers.read_any(spark, str(tmp_path)).dtypes[0] == ("x", "string") and len(read[0]) == 1
+
+
+def test_headers_of_many_files_make_one_scan(spark, tmp_path):
+    orders = (["a", "b", "c"], ["c", "a", "b"], ["b", "a"])
+    for i in range(60):
+        names = orders[i % 3]
+        put(tmp_path, f"f{i}.csv", ",".join(names) + "\n" + ",".join(str(i) if n == "a" else f"{n}{i}" for n in names) + "\n")
+    df = readers.read_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "c": "string"}
+    got = {r["a"]: (r["b"], r["c"]) for r in df.collect()}
+    assert got == {i: (f"b{i}", f"c{i}" if i % 3 < 2 else None) for i in range(60)}
+    # One scan: the number of orders is not the number of branches.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan csv") == plan.count("FileScan csv") == 1 or plan.count("FileScan csv") == 1
+
+
+def test_files_without_common_columns_are_refused(spark, tmp_path):
+    for i in range(5):
+        put(tmp_path, f"f{i}.csv", f"{i},a{i}\n{i + 100},b{i}\n")
+    with pytest.raises(TabsiftError) as e:
+        readers.read_csv(spark, str(tmp_path))
+    assert e.value.code == "MIXED_FORMATS" and "share no column" in e.value.message
