@@ -5,10 +5,11 @@ Update-mode queries store each micro-batch's changes; the last change per key is
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabsift.catalog.base import (
-    SQL_REQUESTS, SQL_TIERS, job_events, query, requests, table,
+    SQL_JOB_EVENTS, SQL_REQUESTS, SQL_TIERS, job_events, query, requests, table,
 )
 from tabsift.catalog.usage import (
     _FOLD, _LOW, SQL_REQUEST_FOLD, _tiers, job_messages, request_updates, shown_states,
@@ -110,6 +111,41 @@ def stream_job_states(spark, sf_dir):
     return shown_states(full)
 
 
+@query("""WITH {events}, last AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT job_id, epoch_us(max(ts) FILTER (status = 'running')) AS last_seen FROM job_events, last
+GROUP BY job_id, mark HAVING count(*) FILTER (status IN ('completed', 'failed', 'cancelled')) = 0
+  AND max(ts) FILTER (status = 'running') + INTERVAL 1 HOUR <= mark""".replace("{events}", SQL_JOB_EVENTS))
+def stream_stale_jobs(spark, sf_dir):
+    """Running jobs whose ticks have stopped, told by timers."""
+    events = job_events(_event_stream(spark, sf_dir))
+    rows = _rows(spark, streams.stale_jobs(events, pd.Timedelta(hours=1)), "stale")
+    return rows.select("job_id", F.unix_micros("last_seen").alias("last_seen"))
+
+
+@query("""SELECT j.event_id AS id, r.event_id AS result, r.event_type AS status
+FROM events j JOIN events r ON j.user_id = r.user_id AND j.event_type = 'signup'
+  AND r.event_type IN ('view', 'error') AND r.ts >= j.ts AND r.ts <= j.ts + INTERVAL 6 HOUR""")
+def stream_applied_results(spark, sf_dir):
+    """Results joined to the jobs they reach, both as streams."""
+    jobs_in = _event_stream(spark, sf_dir).filter(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("job_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
+    results = _event_stream(spark, sf_dir).filter(F.col("event_type").isin("view", "error")).select(
+        F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts",
+        F.col("event_id").alias("result_ref"), F.lit(None).cast("string").alias("error"))
+    out = streams.applied_results(jobs_in, results, within="6 hours")
+    return _rows(spark, out, "applied").select("id", F.col("result_ref").alias("result"), "status")
+
+
+@query("""SELECT event_id, CASE WHEN value < 0.5 OR event_type IN ('signup', 'view') THEN 1
+       WHEN event_type = 'error' THEN 2 END::BIGINT AS problems
+FROM events WHERE NOT (value >= 0.5 AND event_type IN ('click', 'purchase'))""")
+def stream_dead_letters(spark, sf_dir):
+    """Messages that break their contract, with what is wrong."""
+    split = split_messages(_messages(spark, sf_dir), "value", "jobs")
+    out = split.filter(F.col("message").isNull()).select("event_id", F.size("errors").cast("bigint").alias("problems"))
+    return _rows(spark, out, "dead")
+
+
 @query(SQL_REQUEST_FOLD)
 def stream_request_fold(spark, sf_dir):
     """The request fold is a plain aggregate, so it runs on a stream as it is."""

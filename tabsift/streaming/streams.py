@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,27 +193,30 @@ _STATE = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 _CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE.fields])
+_STALE = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("last_seen", T.TimestampType())])
 
 
-def _position(event) -> tuple:
-    return event.ts, event.event_id
+def _earliest(frame: pd.DataFrame) -> pd.DataFrame:
+    """The one row that comes first."""
+    first = frame[frame["ts"] == frame["ts"].min()]
+    return first[first["event_id"] == first["event_id"].min()].head(1)
 
 
-def _essential(events: Iterator[Row]) -> list[Row]:
+def _essential(frames: Iterator[pd.DataFrame]) -> list[Row]:
     """The events that can change a job, in order: its first running, its first stop and its
-    completions. Heartbeats, the bulk of a busy job's events, go as they are read."""
-    run, stop, done = None, None, []
-    for event in events:
-        if event.status == RUNNING:
-            run = event if run is None else min(run, event, key=_position)
-        elif event.status == "completed":
-            done.append(event)
-        elif event.status in TERMINAL:
-            stop = event if stop is None else min(stop, event, key=_position)
-    return sorted([e for e in (run, stop) if e] + done, key=_position)
-
-
-def _advance(state: tuple, event: Row) -> tuple:
+    completions. Of a frame only those are kept, so heartbeats, the bulk of a busy job's events,
+    cost no row; a completion counts once the run before it is known."""
+    runs, stops, done = [], [], []
+    for frame in frames:
+        runs.append(_earliest(frame[frame["status"] == RUNNING]))
+        stops.append(_earliest(frame[frame["status"].isin([s for s in TERMINAL if s != "completed"])]))
+        done.append(frame[frame["status"] == "completed"].drop_duplicates(["ts", "event_id"]))
+    kept = [_earliest(pd.concat(runs)), _earliest(pd.concat(stops)), *done] if runs else []
+    rows = pd.concat(kept).sort_values(["ts", "event_id"]) if kept else pd.DataFrame()
+    return list(rows.itertuples(index=False))
+
+
+def _advance(state: tuple, event) -> tuple:
     """The state after one event; an illegal transition changes nothing."""
     status, started, finished, result_ref, error = state
     if event.status not in TRANSITIONS.get(status, ()):
@@ -226,41 +230,153 @@ def _advance(state: tuple, event: Row) -> tuple:
     )
 
 
-class _JobMachine(StatefulProcessor):
-    """One small row of state per job."""
+class _Timed(StatefulProcessor):
+    """State of one value that goes away some time after the last event of its key."""
+
+    schema: T.StructType
+    kept_ms = 0
+
+    def __init__(self, kept_ms: int):
+        self.kept_ms = kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._held = handle.getValueState("job", _STATE)
+        self._handle = handle
+        self._held = handle.getValueState("job", self.schema)
+
+    def _end_after(self, last_ms: int) -> None:
+        """One timer, counted from the latest event of the job."""
+        timers = list(self._handle.listTimers())
+        end = max([last_ms + self.kept_ms, *timers])
+        for timer in timers:
+            if timer != end:
+                self._handle.deleteTimer(timer)
+        if end not in timers:
+            self._handle.registerTimer(end)
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(ts) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1000)
+
+
+def _looked_at(frames: Iterator[pd.DataFrame], seen: list) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        if len(frame):
+            seen.append(frame["ts"].max())
+            yield frame
+
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+class _JobMachine(_Timed):
+    """One small row of state per job, until nothing has been heard of it for the time it is kept."""
+
+    schema = _STATE
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = self._held.get()
         before = tuple(before) if before is not None else (QUEUED, None, None, None, None)
-        after = before
-        for event in _essential(rows):
+        after, seen = before, []
+        for event in _essential(_looked_at(rows, seen)):
             after = _advance(after, event)
+        if seen:
+            self._end_after(_millis(max(seen)))
         if after != before:
-            self._held.update(after)
-            yield Row(job_id=str(key[0]), **dict(zip(_STATE.fieldNames(), after)))
+            status, started, finished, result_ref, error = after
+            times = [None if t is None else pd.Timestamp(t).to_pydatetime() for t in (started, finished)]
+            self._held.update((status, *times, result_ref, error))
+            yield pd.DataFrame([[str(key[0]), status, *map(pd.Timestamp, times), result_ref, error]], columns=_CHANGE.names)
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._held.clear()
+        return iter(())
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Changed jobs per micro-batch from ``job_id, status, ts, event_id, result_ref, error``.
-
-    Micro-batches apply in arrival order, the events of one micro-batch by ``(ts, event_id)``.
-    """
-    data = events.select(
+def _job_rows(events: DataFrame, late: str) -> DataFrame:
+    return events.select(
         F.col("job_id").cast("string").alias("job_id"), "status",
         F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.col("result_ref").cast("string").alias("result_ref"),
         F.col("error").cast("string").alias("error"),
+    ).withWatermark("ts", late)
+
+
+def job_states(events: DataFrame, late: str = KEY_LIFETIME, kept: pd.Timedelta = pd.Timedelta(days=7)) -> DataFrame:
+    """Changed jobs per micro-batch from ``job_id, status, ts, event_id, result_ref, error``.
+
+    Micro-batches apply in arrival order, the events of one micro-batch by ``(ts, event_id)``. Events
+    older than the watermark (``late`` behind the newest) are dropped. A job's state ends when the
+    watermark is ``kept`` beyond its last event, so what is held follows from the jobs of that time.
+    """
+    return _job_rows(events, late).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_JobMachine(int(kept.total_seconds() * 1000)), outputStructType=_CHANGE,
+        outputMode="Update", timeMode="EventTime",
     )
-    return data.groupBy("job_id").transformWithState(
-        statefulProcessor=_JobMachine(), outputStructType=_CHANGE, outputMode="Update",
-        timeMode="None",
+
+
+class _Silence(_Timed):
+    """The last tick of a running job; a timer tells when the next one is overdue."""
+
+    schema = T.StructType([T.StructField("last_seen", T.TimestampType()), T.StructField("ended", T.BooleanType())])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held.get()
+        last, ended = (held[0], held[1]) if held is not None else (None, False)
+        seen = []
+        for frame in _looked_at(rows, seen):
+            ended = ended or bool(frame["status"].isin(TERMINAL).any())
+            ticks = frame.loc[frame["status"] == RUNNING, "ts"]
+            if len(ticks):
+                tick = ticks.max().to_pydatetime()
+                last = tick if last is None else max(last, tick)
+        if seen:
+            self._held.update((last, ended))
+            # An ended job is held as long as a running one, so that a late tick does not revive it.
+            self._end_after(_millis(last if last is not None and not ended else max(seen)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, ended = self._held.get()
+        self._held.clear()
+        if last is not None and not ended:
+            yield pd.DataFrame([[str(key[0]), pd.Timestamp(last)]], columns=_STALE.names)
+
+
+def stale_jobs(events: DataFrame, silent: pd.Timedelta = pd.Timedelta(minutes=10), late: str = COUNTER_DELAY) -> DataFrame:
+    """``job_id, last_seen`` of running jobs that have not ticked for ``silent``, once for each silence.
+
+    A job is stale when the watermark (``late`` behind the newest event of all) has passed its last
+    tick by that time and it has neither completed, failed nor been cancelled.
+    """
+    return _job_rows(events, late).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Silence(int(silent.total_seconds() * 1000)), outputStructType=_STALE,
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
+# ---- results of jobs -----------------------------------------------------------------------------
+
+def applied_results(
+    jobs: DataFrame, results: DataFrame, within: str = KEY_LIFETIME, late: str = COUNTER_DELAY,
+    unanswered: bool = False,
+) -> DataFrame:
+    """Jobs (``job_id, created_at``, other columns) with the results that reach them: ``status, ts,
+    result_ref, error``.
+
+    Both are streams. A result counts from its job's creation until ``within`` after it; one of an
+    unknown job, one before its job, and one behind the watermark change nothing. The time range
+    bounds what both sides hold. With ``unanswered`` a job without a result shows once no result can
+    come any more, with nulls.
+    """
+    left = jobs.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+    right = results.select(
+        F.col("job_id").alias("_job"), "status", F.col("ts").cast("timestamp").alias("ts"), "result_ref", "error",
+    ).withWatermark("ts", late)
+    reached = (
+        (left["job_id"] == right["_job"]) & (right["ts"] >= left["created_at"])
+        & (right["ts"] <= left["created_at"] + F.expr(f"INTERVAL {within}"))
     )
+    return left.join(right, reached, "left_outer" if unanswered else "inner").drop("_job")
 
 
 def latest_states(changes: DataFrame) -> DataFrame:

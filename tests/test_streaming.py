@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_usage import EVENT_DDL, JOB, U, random_job_events, run_machine
@@ -89,6 +90,81 @@ def test_job_states_over_two_runs_equal_the_machine(spark, feed, tmp_path):
         assert {k: got[job][k] for k in want} == want
 
 
+EVENTS = "job_id string, status string, ts timestamp, event_id long, result_ref string, error string"
+
+
+def event(job, status, seconds, i=0):
+    return job, status, at(seconds), i, None, None
+
+
+def test_the_state_of_a_finished_job_goes_away(spark, feed, tmp_path):
+    sink, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        states = streams.job_states(feed.stream(EVENTS), late="1 minute", kept=pd.Timedelta(hours=1))
+        streams.run_batches(states, streams.change_sink(sink), checkpoint)
+        held = spark.read.format("statestore").option("stateVarName", "job").load(checkpoint)
+        return sorted(r[0] for r in held.select("key.job_id").collect())
+
+    feed.add([event("a", "running", 0), event("a", "completed", 9, 1), event("b", "running", 5), event("c", "beat", 5)], EVENTS)
+    assert run() == ["a", "b"]
+    # Two hours later a has gone; b has ticked meanwhile.
+    feed.add([event("b", "running", 7000), event("d", "running", 7200)], EVENTS)
+    assert run() == ["b", "d"]
+    last = streams.latest_states(spark.read.parquet(f"{sink}/b*"))
+    assert {r.job_id: r.status for r in last.collect()} == {"a": "completed", "b": "running", "d": "running"}
+
+
+def test_silent_jobs_are_told_once(spark, feed, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        stale = streams.stale_jobs(feed.stream(EVENTS), pd.Timedelta(minutes=10), late="1 minute")
+        streams.run_available(stale, out, checkpoint)
+        return sorted((r.job_id, r.last_seen) for r in spark.read.parquet(out).collect())
+
+    feed.add([event("a", "running", 0), event("b", "running", 0), event("c", "running", 0), event("c", "failed", 3),
+              event("q", "queued", 0)], EVENTS)
+    assert run() == []
+    feed.add([event("b", "running", 500), event("x", "running", 700)], EVENTS)
+    assert run() == [("a", at(0))]
+    feed.add([event("a", "running", 800), event("x", "running", 1300)], EVENTS)
+    assert run() == [("a", at(0)), ("b", at(500))]
+    feed.add([event("x", "running", 2000)], EVENTS)
+    assert run() == [("a", at(0)), ("a", at(800)), ("b", at(500))]
+
+
+def test_results_reach_known_jobs_in_time(spark, tmp_path):
+    jobs_path, results_path = str(tmp_path / "jobs"), str(tmp_path / "results")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    job_ddl, result_ddl = "job_id string, created_at timestamp", "job_id string, status string, ts timestamp, result_ref string, error string"
+
+    def add(path, rows, ddl):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(path)
+
+    def result(job, seconds):
+        return job, "completed", at(seconds), f"r{seconds}", None
+
+    def run():
+        joined = streams.applied_results(
+            streams.file_stream(spark, jobs_path, job_ddl), streams.file_stream(spark, results_path, result_ddl),
+            within="1 hour", late="1 minute", unanswered=True)
+        streams.run_available(joined, out, checkpoint)
+        return sorted((r.job_id, r.result_ref or "") for r in spark.read.parquet(out).collect())
+
+    add(jobs_path, [("a", at(100)), ("b", at(100)), ("c", at(100))], job_ddl)
+    # One of an unknown job, one before its job, one after its time.
+    add(results_path, [result("a", 150), result("z", 150), result("b", 50), result("c", 3800)], result_ddl)
+    assert run() == [("a", "r150")]
+    add(jobs_path, [("d", at(9000))], job_ddl)
+    add(results_path, [result("d", 9001)], result_ddl)
+    assert run() == [("a", "r150"), ("b", ""), ("c", ""), ("d", "r9001")]
+    # Behind the watermark on either side.
+    add(jobs_path, [("e", at(200))], job_ddl)
+    add(results_path, [result("b", 300), result("e", 300)], result_ddl)
+    assert run() == [("a", "r150"), ("b", ""), ("c", ""), ("d", "r9001")]
+
+
 def test_good_and_bad_messages(spark, feed, tmp_path):
     feed.add([(JOB,), ("neither here nor there",), ('{"job_id":"job seven"}',)], "value string")
     split = split_messages(feed.stream("value string"), "value", "jobs")
