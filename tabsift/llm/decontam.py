@@ -24,23 +24,39 @@ def words(text: Column) -> Column:
         F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _shingled(text: Column, make) -> Column:
-    """``make`` of every run of five words; of all words where there are fewer, and none of none."""
-    def of(ws: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(ws) - (WORDS - 1))
-        return (
-            F.when(F.size(ws) >= WORDS, F.transform(starts, lambda i: make(F.slice(ws, i, WORDS))))
-            .when(F.size(ws) > 0, F.array(make(ws)))
-        )
-    return once(words(text), of)
+def _runs(ws: Column, size: int, make) -> Column:
+    """``make`` of every run of ``size`` words; none where there are fewer."""
+    starts = F.sequence(F.lit(1), F.size(ws) - (size - 1))
+    none = F.transform(F.array().cast("array<int>"), lambda i: make(F.slice(ws, i, size)))
+    return F.when(F.size(ws) >= size, F.transform(starts, lambda i: make(F.slice(ws, i, size)))).otherwise(none)
+
+
+def _document(text: Column, short: list[int], make) -> Column:
+    """Runs of five words, and of each size that a shorter item has."""
+    return once(words(text), lambda ws: F.concat(*[_runs(ws, n, make) for n in (WORDS, *short)]))
+
+
+def _hash(ws: Column) -> Column:
+    return F.xxhash64(ws)
+
 
+def _joined(ws: Column) -> Column:
+    return F.array_join(ws, " ")
 
-def shingle_hashes(text: Column) -> Column:
-    return _shingled(text, lambda ws: F.xxhash64(ws))
 
+def shingle_hashes(text: Column, short: list[int] = ()) -> Column:
+    return _document(text, short, _hash)
 
-def shingles(text: Column) -> Column:
-    return F.array_distinct(_shingled(text, lambda ws: F.array_join(ws, " ")))
+
+def shingles(text: Column, short: list[int] = ()) -> Column:
+    return F.array_distinct(_document(text, short, _joined))
+
+
+def _item(text: Column) -> Column:
+    """Runs of five words; all words of an item that has fewer, and none of none."""
+    def of(ws: Column) -> Column:
+        return F.when(F.size(ws).between(1, WORDS - 1), F.array(_joined(ws))).otherwise(_runs(ws, WORDS, _joined))
+    return F.array_distinct(once(words(text), of))
 
 
 def item_shingles(benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
@@ -48,18 +64,15 @@ def item_shingles(benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> D
 
     Items are partitioned by size into classes of doubling width. An item of n shingles that is
     contained to ``percent`` misses at most n - need of them, so any n - need + 1 of them hold one
-    that is there. A class takes that many for its largest size, by the smallest hashes among the
-    shingles that the fewest items share: its MinHash sketch, which loses no item.
+    that is there. A class takes that many for its largest size, those of smallest hash: its MinHash
+    sketch, which loses no item.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     rows = rows.groupBy("item_id").agg(F.collect_set("text").alias("_texts"))
     # Texts of a repeated id are one item: all their shingles.
-    every = F.array_distinct(F.flatten(F.transform("_texts", lambda t: F.coalesce(
-        shingles(t), F.array().cast("array<string>")))))
+    every = F.array_distinct(F.flatten(F.transform("_texts", _item)))
     rows = rows.select("item_id", every.alias("_s")).select(
         "item_id", F.size("_s").cast("long").alias("n_item"), F.explode("_s").alias("shingle"))
-    held = rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("_items"))
-    rows = rows.join(held, rows["shingle"] == held["_shingle"]).drop("_shingle")
     share = percent / 100
     rows = rows.withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
     largest = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
@@ -68,7 +81,7 @@ def item_shingles(benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> D
         "need": F.expr(f"(n_item * {percent} + 99) div 100"),
         "_sketch": largest - F.ceil(largest * share) + 1,
     })
-    order = F.array_sort(F.collect_list(F.struct("_items", "hash", "shingle")))
+    order = F.array_sort(F.collect_list(F.struct("hash", "shingle")))
     ranked = rows.groupBy("item_id", "n_item", "need", "size_class", "_sketch").agg(order.alias("_o"))
     return ranked.select(
         "item_id", "n_item", "need", "size_class", "_sketch", F.posexplode("_o").alias("_rank", "_v")
@@ -76,6 +89,12 @@ def item_shingles(benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> D
              (F.col("_rank") < F.col("_sketch")).alias("in_sketch"))
 
 
+def short_sizes(items: DataFrame) -> list[int]:
+    """The numbers of words under five that items have: four at most."""
+    size = F.size(F.split("shingle", " ")).alias("n")
+    return sorted(r["n"] for r in items.select(size).filter(F.col("n") < WORDS).distinct().collect())
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT,
     id: str = "doc_id", text: str = "text",
@@ -83,8 +102,8 @@ def contaminated(
     """``id, _mark, item_id, n_matched, n_item, containment`` of every item found in a document.
 
     A document holds an item if at least ``percent`` of the item's distinct shingles (five
-    lower-cased words; all words of an item that has fewer, which only a document of just these
-    words holds) are among its own. Documents are probed with all their shingles, however long
+    lower-cased words; all words of an item that has fewer) are among its runs of as many words, so
+    an item of few words is found wherever these stand in a row. Documents are probed with all their shingles, however long
     they are, against the items' sketches; what is found is verified by the shingles themselves.
     Sketches are read back from a table, so Catalyst knows their size: small ones are broadcast,
     others joined by a shuffle. ``_mark`` is a hash of the text that tells rows of one id apart.
@@ -95,14 +114,15 @@ def contaminated(
     items = written(item_shingles(benchmark, percent), "items")
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_t"))
     rows = rows.withColumn("_mark", F.xxhash64("_t"))
-    probes = rows.select("_id", "_mark", F.explode(shingle_hashes(F.col("_t"))).alias("_h"))
+    short = short_sizes(items)
+    probes = rows.select("_id", "_mark", F.explode(shingle_hashes(F.col("_t"), short)).alias("_h"))
     sketch = items.filter("in_sketch").select(F.col("hash").alias("_h"), "item_id")
     found = written(probes.join(sketch, "_h").select("_id", "_mark", "item_id").distinct(), "found")
 
     keys = found.select(F.col("_id").alias("_cid"), F.col("_mark").alias("_cmark")).distinct()
     near = rows.join(keys, rows["_id"].eqNullSafe(keys["_cid"]) & (rows["_mark"] == keys["_cmark"]), "left_semi")
     own = near.dropDuplicates(["_id", "_mark"]).select(
-        "_id", "_mark", F.explode(shingles(F.col("_t"))).alias("shingle"))
+        "_id", "_mark", F.explode(shingles(F.col("_t"), short)).alias("shingle"))
     pairs = found.join(items.select("item_id", "shingle", "n_item", "need"), "item_id").select(
         F.col("_id").alias("_fid"), F.col("_mark").alias("_fmark"), "item_id",
         F.col("shingle").alias("_shingle"), "n_item", "need")

@@ -84,7 +84,11 @@ FROM (SELECT {id}, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM
 
 
 SQL["op5_minhash_containment"] = f"""
-WITH d AS ({shingle_sql('documents', 'doc_id')}), i AS ({shingle_sql('benchmark', 'item_id')}),
+WITH i AS ({shingle_sql('benchmark', 'item_id')}),
+sizes AS (SELECT 5 AS k UNION SELECT len(string_split(s, ' ')) FROM i WHERE len(string_split(s, ' ')) < 5),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s
+      FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), sizes
+      WHERE len(w) >= k),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_matched FROM d JOIN i USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_matched, n_item, n_matched / n_item AS containment

@@ -15,11 +15,17 @@ def plain_set(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
 
 
+def runs(text, sizes):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[i:i + n]) for n in sizes for i in range(len(w) - n + 1)}
+
+
 def plain(docs, items, percent=75):
     out = set()
     for d, t in docs:
         for i, u in items:
-            a, b = plain_set(t), plain_set(u)
+            b = plain_set(u)
+            a = runs(t, {len(s) for s in b})
             if b and 100 * len(a & b) >= percent * len(b):
                 out.add((d, i, len(a & b), len(b)))
     return out
@@ -31,7 +37,8 @@ def text(*parts):
 
 LONG = " ".join(f"w{i}" for i in range(40))
 ITEMS = [(1, LONG), (2, "One two  three\tfour five six"), (3, "only three words"), (4, ""), (5, None),
-         (6, " ".join(f"w{i}" for i in range(20, 60))), (7, "Ünï cödé straße a b c d"), (8, "a a a a a a a a a")]
+         (6, " ".join(f"w{i}" for i in range(20, 60))), (7, "Ünï cödé straße a b c d"), (8, "a a a a a a a a a"),
+         (9, "alpha beta gamma"), (10, "Zeta"), (11, "one two"), (12, "has only three words")]
 
 
 def docs_of():
@@ -39,7 +46,8 @@ def docs_of():
     filler = " ".join(f"f{i}" for i in range(3000))
     rows = [(0, text(filler, LONG, filler)), (1, "x ONE two three four FIVE six y"), (2, "only three words"),
             (3, "has only three words in it"), (4, None), (5, ""), (6, "  \n "), (None, LONG),
-            (8, "a a a a a"), (9, "b ünï cödé STRASSE a b c d"), (10, filler), (11, LONG), (11, filler)]
+            (8, "a a a a a"), (9, "b ünï cödé STRASSE a b c d"), (10, filler), (12, text(filler, "ALPHA  beta\tgamma", filler)), (13, "alpha beta"),
+            (14, "x alpha beta zeta gamma"), (15, "zeta"), (16, "beta gamma alpha beta gamma"), (11, LONG), (11, filler)]
     for k in range(0, 40, 2):
         rows.append((100 + k, text("p", *words[k:], "q")))
         rows.append((101 + k, text(*[w if i != k else "zzz" for i, w in enumerate(words)])))
@@ -66,7 +74,8 @@ def test_sketches_cannot_miss(spark):
 
 def test_hashes_are_one_per_shingle(spark):
     df = spark.createDataFrame([(t,) for t in ("a b c d e f", "a b", "", None)], "t string")
-    assert [None if r.h is None else len(r.h) for r in df.select(shingle_hashes(F.col("t")).alias("h")).collect()] == [2, 1, None, None]
+    assert [len(r.h) for r in df.select(shingle_hashes(F.col("t")).alias("h")).collect()] == [2, 0, 0, 0]
+    assert [len(r.h) for r in df.select(shingle_hashes(F.col("t"), [1, 2]).alias("h")).collect()] == [13, 3, 0, 0]
 
 
 def test_documents_go_and_clean_ones_stay(spark):
