@@ -36,6 +36,9 @@ ESCAPE = re.compile(
     r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A shorter word that stands alone: one before a colon or an equals sign, which may be its padding.
+SHORT = re.compile(r"""(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{2,15}+(?==|["']?\x20*[:=])""")
+PRINTABLE = re.compile(r"[\x20-\x7e]+")
 #: A word that goes on in the next line, as in mails and keys.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -54,7 +57,7 @@ CHAINS = re.compile(r"\\(?:u005[cC]){8,}(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC]){8,}(?=x
 #: What no secret and no encoding can hold or cross, so that what lies between is decoded apart.
 HARD = re.compile(r"[^A-Za-z0-9+/_.=:\-\"'%\\{}&#;\x20\t\r\n]|\n\r?\n")
 #: Bytes that one payload of a document, with what is compressed inside it, may decompress to; what
-#: goes beyond is reported, not opened. Nothing else is bounded.
+#: goes beyond is reported, not opened.
 MAX_DECODED = 64 << 20
 
 Span = tuple[int, int, int]
@@ -146,8 +149,11 @@ def scan(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Sp
     part, and its span is the range of the document that it was decoded from.
 
     A layer is as much of the text as one change can touch: the stretch around it up to a character
-    that neither a secret nor an encoding can hold. All plain decodings are followed to the end,
-    whatever the length of the document; ``max_decoded`` bounds decompression, per payload.
+    that neither a secret nor an encoding can hold. Plain decodings are followed to the end, whatever
+    the length of the document; ``max_decoded`` bounds decompression, per payload. A base64 word of
+    under 16 letters is read where a key may stand or where it ends in padding; as a value its own
+    letters count already. Glued to other letters it is not told from them, and texts of under 8
+    characters (UTF-16) or 12 (UTF-8) among other bytes are taken for bytes.
     """
     base, every, layers, left = _scanned(text, max_decoded)
     return base, every, layers, len(left)
@@ -185,6 +191,8 @@ def _children(layer: Layer, budget: Budget) -> Iterator[Layer]:
         spans = [m.span() for m in words.finditer(layer.text) if m.end() - m.start() >= 16]
         for shift in range(4 if spans else 0):
             yield from _stretches(layer, _base64(layer, budget, spans, wrapped, shift), budget)
+    for padded in (True, False):
+        yield from _stretches(layer, _short_words(layer.text, padded), budget)
 
 
 def _stretches(layer: Layer, pieces, budget: Budget) -> Iterator[Layer]:
@@ -343,6 +351,22 @@ def _base64(layer: Layer, budget: Budget, spans: list[tuple[int, int]], wrapped:
             at = high
 
 
+def _short_words(text: str, padded: bool):
+    """Base64 words of few letters that stand where a key may stand, or end in padding.
+
+    An equals sign after a word is its padding or goes with what follows: both are tried.
+    """
+    for m in SHORT.finditer(text):
+        missing = -len(m[0]) % 4
+        end = m.end()
+        if missing == 3 or padded and (missing == 0 or text[end:end + missing] != "=" * missing):
+            continue
+        data = binascii.a2b_base64(m[0].translate(URLSAFE) + "=" * missing)
+        plain = data.decode("latin-1")
+        if PRINTABLE.fullmatch(plain):
+            yield m.start(), end + missing * padded, plain, None, None
+
+
 def _in_word(start: int):
     return lambda i: start + i
 
@@ -486,15 +510,18 @@ def mask_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -
     of characters of a changed text.
     """
     cleaned = F.pandas_udf(_mask, "string")
-    rows = docs.withColumn("_masked", cleaned(F.col(text)))
+    name = "_masked"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, cleaned(F.col(text)))
     out = []
     for c in docs.columns:
         value = F.col(c)
         if c == text:
-            value = F.col("_masked").alias(c)
+            value = F.col(name).alias(c)
         elif c == length:
-            now = F.char_length("_masked").cast(docs.schema[c].dataType)
-            value = F.when(F.col("_masked") != F.col(text), now).otherwise(value).alias(c)
+            now = F.char_length(name).cast(docs.schema[c].dataType)
+            value = F.when(F.col(name) != F.col(text), now).otherwise(value).alias(c)
         out.append(value)
     return rows.select(*out)
 

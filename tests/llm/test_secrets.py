@@ -228,3 +228,30 @@ def test_span_within_a_glued_word():
     word = base64.b64encode(f"12345 {SECRET} 6789".encode()).decode()
     (a, _, b), = scan(f"ab/{word}")[1]
     assert (a, b) == (3 + 8, 3 + scan(word)[1][0][2])
+
+
+@pytest.mark.parametrize("key", ["token", "secret", "passwd", "Password", "api_key", "APIKEY", "x-token"])
+@pytest.mark.parametrize("between", ["=", ": ", "  = '", '": "'])
+def test_short_keys(key, between):
+    for padding in (True, False):
+        word = base64.b64encode(key.encode()).decode()
+        word = word if padding else word.rstrip("=")
+        text = f"see {word}{between}abcdefghijklmnop end"
+        spans = scan(text)[1]
+        assert (4, 0, text.index(" end")) in [(a, k, b) for a, k, b in spans], text
+
+
+def test_short_words_elsewhere():
+    # A word of an access key and one of a run of digits, told by their padding.
+    for text, kind in (("x QUtJQQ==ABCDEFGHIJKLMNOP y", 1), ("x ZGVhZGI=0123456789abcdef y", 2)):
+        assert any(k == kind and (a, b) == (2, len(text) - 2) for a, k, b in scan(text)[1])
+    # A short encoded value counts by its own letters.
+    assert scan("password=c2VjcmV0c2VjcmU=")[0] == [(0, 0, 25)]
+    assert scan("note: dGhl, ratio=abcd: nothing here")[1] == []
+
+
+def test_masking_keeps_a_column_of_the_same_name(spark):
+    df = spark.createDataFrame([(1, "password=abcdefghijklmnop", "mine", "also")],
+                               "doc_id long, text string, _masked string, _masked_ string")
+    row = mask_secrets(df).first()
+    assert (row["text"], row["_masked"], row["_masked_"]) == ("[assign]", "mine", "also")
