@@ -12,6 +12,8 @@ from tabsift.operators.joins import keyed_join
 
 #: Fixed values of jump consistent hashing (Lamping and Veach): the generator's multiplier.
 MULTIPLIER = 2862933555777941757
+#: Ranges of checksums that a hot key is cut into.
+PARTS = 256
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -54,8 +56,9 @@ def shard(
     one shard more. Slots number a shard's rows from 0 in the order of key, checksum and size, null
     keys first. Rows equal in all three are interchangeable: they are counted before the shuffle
     and dealt out again afterwards, so a key that a third of all rows carry is one row on the way.
-    The order of a shard is cut into ``buckets`` ranges of keys; each is numbered by itself and
-    starts where the counts of the ranges before it end, so no task holds a whole shard.
+    The order of a shard is cut into ``buckets`` ranges of keys, and a key that fills more than one
+    of them, as well as the null key, into ranges of checksums; each is numbered by itself and starts
+    where the counts of the ranges before it end, so no task holds a whole shard or a hot key.
 
     Null and empty texts have size 1 and checksum 0. An empty table gives an empty table; other
     columns are not read.
@@ -71,14 +74,14 @@ def shard(
     if buckets > 1:
         cuts = [i / buckets for i in range(1, buckets)]
         ids = docs.select(F.col(key).cast("double").alias("_key"))
-        edges = sorted({int(e) for e in ids.approxQuantile("_key", cuts, 1 / (4 * buckets))})
+        edges = [int(e) for e in ids.approxQuantile("_key", cuts, 1 / (4 * buckets))]
     counted = rows.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("_n"))
     placed = counted.withColumns({
         "shard": jump_column(F.col("_key"), shards),
         "grown_shard": jump_column(F.col("_key"), shards + 1),
-        "_bucket": _bucket(F.col("_key"), edges),
+        "_bucket": _bucket(F.col("_key"), F.col("text_crc32"), edges),
     })
-    # At most shards x buckets rows, whatever the input.
+    # At most shards x buckets x (1 + PARTS / 2) rows, whatever the input.
     totals = placed.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_total"))
     before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(
@@ -100,10 +103,21 @@ def shard(
     )
 
 
-def _bucket(key: Column, edges: list[int]) -> Column:
-    """How many edges lie below the key; null keys come first."""
+def _bucket(key: Column, crc: Column, edges: list[int]) -> Column:
+    """The range of a row: rises with its key and, within a key that several edges name, its checksum.
+
+    Null keys come first.
+    """
+    part = F.floor(crc / (2**32 / PARTS))
     if not edges:
-        return F.lit(0)
-    table = F.array(*[F.lit(e).cast("long") for e in edges])
-    below = F.aggregate(table, F.lit(0), lambda n, e: n + (e < key).cast("int"))
-    return F.coalesce(below, F.lit(0))
+        return F.lit(0).cast("long")
+    known = sorted(set(edges))
+    below = F.aggregate(_longs(known), F.lit(0), lambda n, e: n + (e < key).cast("int"))
+    hot = key.isin([e for e in known if edges.count(e) > 1])
+    # A hot key is the last of its range.
+    return F.when(key.isNull(), part).otherwise(
+        (below + 1) * (2 * PARTS) + F.when(hot, PARTS + part).otherwise(0)).cast("long")
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])

@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tabsift.llm.sharding import jump, shard
+from tabsift.llm.sharding import _bucket, jump, shard
 
 
 def walk(key, shards):
@@ -55,6 +56,22 @@ def test_shard_against_brute_force(spark, buckets):
     assert sorted((tuple(r) for r in got), key=str) == plain(rows)
 
 
+def test_a_hot_key_is_cut_by_checksum(spark):
+    rows = [(7, f"text {i}") for i in range(600)] + [(None, f"none {i}") for i in range(300)]
+    rows += [(i, "x") for i in range(-100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shard(df, buckets=16).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows)
+    edges = [3, 7, 7, 7, 50]
+    placed = df.select("doc_id", "text", _bucket(F.col("doc_id"), F.crc32(F.col("text").cast("binary")), edges).alias("b"))
+    seen = {}
+    for r in placed.collect():
+        seen.setdefault(r.b, []).append(r.doc_id)
+    assert max(len(v) for k, v in seen.items() if 7 in v) < 20 and max(len(v) for v in seen.values() if None in v) < 20
+    order = [r.b for r in placed.orderBy("doc_id", F.crc32(F.col("text").cast("binary"))).collect()]
+    assert order == sorted(order)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shard(df).columns == [
