@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabsift.errors import invalid
 from tabsift.operators.infer import to_number
-from tabsift.operators.quantiles import SMALL_INPUT, exact_quantiles
+from tabsift.operators.quantiles import SMALL_INPUT, exact_quantiles, is_small, totals_and_quantiles
 
 # The aggregate names.
 AGGREGATES = ("sum", "count", "avg", "min", "max", "median")
@@ -72,15 +72,16 @@ def group_by(
         return data.groupBy(*keys).agg(*[_aggregate(data, c, fn) for c, fn in pairs])
 
     plain = [_aggregate(data, c, fn) for c, fn in pairs if fn != "median"]
-    totals = data.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
-    wide = (
-        exact_quantiles(data, by, {c: as_number(data, c) for c in medians}, [0.5], small_input=small_input)
-        .groupBy(*keys)
-        .agg(*[
-            F.max(F.when(F.col("measure") == c, F.col("value"))).alias(f"{c}_median")
-            for c in medians
-        ])
-    )
+    values = {c: as_number(data, c) for c in medians}
+    if is_small(data, small_input):
+        totals = data.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
+        middle = exact_quantiles(data, by, values, [0.5], small_input=small_input)
+    else:
+        # One scan for the totals and where the medians lie, one for the medians.
+        totals, middle = totals_and_quantiles(data, by, values, [0.5], plain)
+    wide = middle.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("measure") == c, F.col("value"))).alias(f"{c}_median") for c in medians
+    ])
     side = wide.select(
         *[F.col(f"`{b}`").alias(f"_k{i}") for i, b in enumerate(by)],
         *[f"{c}_median" for c in medians],

@@ -134,23 +134,22 @@ def _top_texts(df: DataFrame, counts: DataFrame, columns: list[str], top_n: int)
 def _distinct_numbers(df: DataFrame) -> DataFrame:
     """``column, d`` for the numeric columns, counted in their own types: text costs more."""
     out = df.sparkSession.createDataFrame([], "column string, d bigint")
-    for whole, dtype in ((True, "bigint"), (False, "double")):
-        names = [
-            f.name for f in df.schema
-            if tag_of(f.dataType) in NUMERIC_TAGS
-            and isinstance(f.dataType, T.IntegralType) == whole
-            and not isinstance(f.dataType, T.DecimalType)
-        ]
-        if not names:
-            continue
+    numbers = [f for f in df.schema if tag_of(f.dataType) in NUMERIC_TAGS and not isinstance(f.dataType, T.DecimalType)]
+    if numbers:
+        def only(f, whole: bool, dtype: str) -> Column:
+            fits = isinstance(f.dataType, T.IntegralType) == whole
+            return (F.col(f"`{f.name}`") if fits else F.lit(None)).cast(dtype)
+
+        # One scan for both types.
         cells = F.array(*[
-            F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast(dtype).alias("value"))
-            for n in names
+            F.struct(F.lit(i).alias("i"), only(f, True, "bigint").alias("w"), only(f, False, "double").alias("v"))
+            for i, f in enumerate(numbers)
         ])
+        names = F.array(*[F.lit(f.name) for f in numbers])
         out = out.unionAll(
-            df.select(F.inline(cells)).filter(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("column").agg(F.count(F.lit(1)).alias("d"))
+            df.select(F.inline(cells)).filter("w IS NOT NULL OR v IS NOT NULL")
+            .groupBy("i", "w", "v").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("i").agg(F.count(F.lit(1)).alias("d")).select(names[F.col("i")].alias("column"), "d")
         )
     decimals = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
     if decimals:
@@ -164,9 +163,9 @@ def _digest(text: Column) -> Column:
     return F.when(F.length(text) <= 64, text).otherwise(F.sha2(text, 256))
 
 
-def _column_moments(df: DataFrame) -> DataFrame:
-    """Counts and moments of every column in one scan; one row shuffled per task."""
-    aggregates, cells = [], []
+def _moments(df: DataFrame) -> tuple[list[Column], Column]:
+    """Aggregates for the counts and moments of every column, and the rows to make of them."""
+    aggregates, cells = [F.count(F.lit(1)).alias("rows")], []
     for i, f in enumerate(df.schema):
         c = F.col(f"`{f.name}`")
         filled = F.nullif(c, F.lit("")) if isinstance(f.dataType, T.StringType) else c
@@ -188,8 +187,13 @@ def _column_moments(df: DataFrame) -> DataFrame:
                 for m in ("min", "max", "mean", "stddev")
             ],
         ))
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggregates)
-    return row.select(F.inline(F.array(*cells)))
+    return aggregates, F.inline(F.array(*cells))
+
+
+def _column_moments(df: DataFrame) -> DataFrame:
+    """Counts and moments of every column in one scan; one row shuffled per task."""
+    aggregates, cells = _moments(df)
+    return df.agg(*aggregates).select(cells)
 
 
 def _medians(df: DataFrame, numeric: list[str], small: bool, distinct: bool) -> DataFrame:
@@ -199,7 +203,7 @@ def _medians(df: DataFrame, numeric: list[str], small: bool, distinct: bool) ->
     if small and not _beyond_double(df, numeric):
         ranked = counted_quantiles(df, [], values, [0.5])
         return ranked.select(name, F.col("value").alias("median"), F.col("distinct").alias("d"))
-    medians = exact_quantiles(df, [], values, [0.5], small_input=0)
+    medians = exact_quantiles(df, [], values, [0.5], small_input=-1)
     medians = medians.select(name, F.col("value").alias("median"))
     if not distinct:
         return medians.withColumn("d", F.lit(None).cast("bigint"))
@@ -238,9 +242,7 @@ def summary(
     numeric = [f.name for f in fields if tag_of(f.dataType) in NUMERIC_TAGS]
     texts = [f.name for f in fields if f.name not in numeric]
     out = _column_moments(df)
-    facts = []
-    if numeric:
-        facts.append(_medians(df, numeric, is_small(df, small_input), distinct=not approx))
+    facts = [_medians(df, numeric, is_small(df, small_input), distinct=not approx)] if numeric else []
     if texts:
         counts = _text_counts(df, texts)
         # Summing over n keeps the column in the plan, so both uses of the counts share a shuffle.
