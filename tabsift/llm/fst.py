@@ -180,9 +180,9 @@ class Transducer:
         ``codes`` are code points, ``starts`` tells where texts begin. All chunks of equal length
         run side by side, one letter of each at a time. Where a text begins, a space follows another
         letter or an unknown letter stands, the state does not depend on what came before: a chunk
-        that holds such a place has a constant state map behind it and starts there. Then the maps
-        are composed along the row: the state at a chunk's end enters the next one's first letters;
-        chunks without such a place pass it on.
+        that holds such a place starts there. The letters before it follow from the state at the left
+        neighbour's end, chunk after chunk where several in a row hold no such place; no state map is
+        built for states that no chunk is entered in.
         """
         if len(self.states) > MOST_STATES:
             self.restart()
