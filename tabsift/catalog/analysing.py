@@ -382,6 +382,24 @@ def chart_points(spark, sf_dir):
     )
 
 
+@query("""WITH c AS (SELECT column_name AS n, row_number() OVER () AS i,
+  CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'temporal' WHEN data_type = 'VARCHAR' THEN 'nominal'
+       ELSE 'quantitative' END AS t
+  FROM (DESCRIBE SELECT ts, user_id, event_type, value FROM events)),
+p AS (SELECT a.n AS x, b.n AS y, a.t, least(a.i, b.i) AS lo, greatest(a.i, b.i) AS hi,
+  CASE a.t WHEN 'temporal' THEN 'line' WHEN 'nominal' THEN 'bar' ELSE 'point' END AS mark,
+  CASE a.t WHEN 'temporal' THEN 0.95 WHEN 'nominal' THEN 0.85 ELSE 0.7 END AS score
+  FROM c a JOIN c b ON b.t = 'quantitative' AND (a.t <> 'quantitative' OR a.i < b.i))
+SELECT row_number() OVER (ORDER BY score DESC, lo, hi) AS rank, mark, score::DOUBLE AS score, x, y,
+  t || ' x against quantitative y' AS rationale,
+  '{"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": "' || mark || '", "encoding": {"x": {"field": "'
+    || x || '", "type": "' || t || '"}, "y": {"field": "' || y || '", "type": "quantitative"}}}' AS spec FROM p""")
+def chart_suggest(spark, sf_dir):
+    """Suggestions for columns of which one was read as text and got its type from its values."""
+    rows = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", F.col("value").cast("string").alias("value"))
+    return charts.chart_suggestions(apply_inferred(rows))
+
+
 @query("""WITH d AS (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p
   FROM orders)
 SELECT 'line' AS kind, 'o_orderdate' AS x, 'o_totalprice' AS y,

@@ -241,7 +241,7 @@ FILTERS = {
 def _lookup(spec: dict):
     kind = spec.get("kind")
     if kind not in FILTERS:
-        raise TabsiftError(UNKNOWN_FILTER, f"unknown filter kind: {kind!r}")
+        raise TabsiftError(UNKNOWN_FILTER, f"rows cannot be filtered by {kind!r}")
     return FILTERS[kind]
 
 
@@ -274,7 +274,7 @@ def explain_filter(spec: dict) -> str:
     if kind == "regex":
         flags = "".join(spec.get("flags") or ())
         return f"rows with a text that matches /{spec['pattern']}/{flags}"
-    raise TabsiftError(UNKNOWN_FILTER, f"unknown filter kind: {kind!r}")
+    raise TabsiftError(UNKNOWN_FILTER, f"rows cannot be filtered by {kind!r}")
 
 
 def preview(df: DataFrame, spec: dict | None = None, sample_size: int = 20) -> DataFrame:
