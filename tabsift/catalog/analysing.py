@@ -383,7 +383,7 @@ def chart_points(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT column_name AS n, row_number() OVER () AS i,
-  CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'temporal' WHEN data_type = 'VARCHAR' THEN 'nominal'
+  CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 'temporal' WHEN column_type = 'VARCHAR' THEN 'nominal'
        ELSE 'quantitative' END AS t
   FROM (DESCRIBE SELECT ts, user_id, event_type, value FROM events)),
 p AS (SELECT a.n AS x, b.n AS y, a.t, least(a.i, b.i) AS lo, greatest(a.i, b.i) AS hi,
