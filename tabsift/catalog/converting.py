@@ -205,6 +205,17 @@ def roundtrip_csv_documents(spark, sf_dir):
     )
 
 
+@query("""SELECT doc_id, text, source FROM documents""")
+def csv_documents_in_splits(spark, sf_dir):
+    """One file of all texts, whose wrapped cells are cut by the edges of its splits."""
+    path = scratch_path(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    writers.write_csv(rows.repartition(1), path)
+    return readers.read_csv(spark, path, multi_line=True, infer=False, in_splits=True).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source"
+    )
+
+
 @query("""SELECT o_orderkey, o_orderstatus, o_custkey FROM orders""")
 def roundtrip_json_tree(spark, sf_dir):
     path = scratch_path(spark, "tree")

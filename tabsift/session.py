@@ -86,3 +86,9 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, the figure it sizes broadcasts with."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """The most bytes of a file that one task reads."""
+    named = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named))

@@ -12,10 +12,12 @@ from pyspark.sql.utils import AnalysisException
 from tabsift.errors import MIXED_FORMATS, NOT_FOUND, UNKNOWN_FORMAT, TabsiftError
 from tabsift.functions.exprs import unread_reason, whole_json
 from tabsift.operators.infer import apply_types
+from tabsift.session import split_bytes
 from tabsift.sources import workbooks
 from tabsift.sources.detect import DELIMITERS
 from tabsift.sources.documents import xml_to_json, yaml_to_json
 from tabsift.sources.manifest import format_groups, known_formats, known_types
+from tabsift.sources.wrapped import wrapped_rows
 
 CORRUPT = "_corrupt_record"
 #: What ``read_each`` lists the files under that it cannot read.
@@ -53,8 +55,9 @@ class _Delimited:
     """The rows of delimited files, whatever their number of orders of columns."""
 
     def __init__(self, spark: SparkSession, path, sep: str, multi_line: bool | None, encoding: str | None,
-                 one_header: bool | None = None):
+                 one_header: bool | None = None, in_splits: bool | None = None):
         self.spark, self.path, self.sep, self.encoding = spark, path, sep, encoding
+        self.in_splits = in_splits
         if one_header is None:
             one_header = list_blobs(spark, path).limit(2).count() < 2
         if multi_line is None or not one_header:
@@ -103,15 +106,12 @@ class _Delimited:
 
     def rows(self, paths: list[str] | None = None, with_path: bool = False) -> DataFrame:
         """All columns as text; with the file they come from in ``_path`` where it is asked for."""
-        path = paths or self.path
+        path = self.path if paths is None else paths
         if self.orders is None:
-            df = _one_header(self._reader(), self.path if paths is None else paths)
-            return df.select("*", F.col("_metadata.file_path").alias("_path")) if with_path else df
+            return _one_header(self._reader(), path, self._placed, with_path)
         # The first line of a file is left out by the reader, which tells columns by their place.
-        schema = ", ".join(f"_c{i} string" for i in range(self.width))
-        rows = self._reader().option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-        rows = rows.select(
-            F.array(*[f"_c{i}" for i in range(self.width)]).alias("_cells"), F.col("_metadata.file_path").alias("_path"))
+        rows = self._placed(path, self.width).select(
+            F.array(*[f"_c{i}" for i in range(self.width)]).alias("_cells"), "_path")
         # One row per file: broadcast by Catalyst where that is small.
         rows = rows.join(self.orders, rows["_path"] == self.orders["_file"])
         cells = [
@@ -119,6 +119,23 @@ class _Delimited:
             for i, n in enumerate(self.names)]
         return rows.select(*cells, *["_path"] * with_path)
 
+    def _placed(self, path, width: int) -> DataFrame:
+        """``_c0 ... , _path``: the cells of all rows but the first of a file, by their place."""
+        # Lines are cut as UTF-8, so files of another encoding are not read in splits.
+        if self.multi_line and self.encoding is None and (self.in_splits or self._longer_than_a_split(path)):
+            rows = wrapped_rows(self.spark, path, self.sep, width)
+            if rows is not None:
+                return rows
+        schema = ", ".join(f"_c{i} string" for i in range(width))
+        rows = self._reader().option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+        return rows.select("*", F.col("_metadata.file_path").alias("_path"))
+
+    def _longer_than_a_split(self, path) -> bool:
+        if self.in_splits is not None:
+            return False
+        longest = list_blobs(self.spark, path).agg(F.max("length")).first()[0] or 0
+        return longest > split_bytes(self.spark)
+
     def typed(self) -> DataFrame:
         """Columns cast to the types that all their cells fit."""
         df = self.rows()
@@ -132,33 +149,32 @@ class _Delimited:
 
 def _delimited(
     spark: SparkSession, path, sep: str, multi_line: bool | None, infer: bool,
-    schema: str | None, encoding: str | None = None, one_header: bool | None = None,
+    schema: str | None, encoding: str | None = None, one_header: bool | None = None, in_splits: bool | None = None,
 ) -> DataFrame:
-    source = _Delimited(spark, path, sep, multi_line, encoding, one_header)
+    source = _Delimited(spark, path, sep, multi_line, encoding, one_header, in_splits)
     if schema is not None:
         known = T.StructType.fromDDL(schema)
         return apply_types(source.rows(), {f.name: f.dataType.simpleString() for f in known})
     return source.typed() if infer else source.rows()
 
 
-def _one_header(reader, path) -> DataFrame:
-    df = reader.option("header", True).csv(path)
-    # The reader tells repeated names apart by their places.
-    stems = [n[:-len(str(i))] for i, n in enumerate(df.columns) if n.endswith(str(i))]
+def _one_header(reader, path, placed, with_path: bool) -> DataFrame:
+    """The rows of files with one header, whose names the reader makes different by their places."""
+    names = reader.option("header", True).csv(path).columns
+    rows = placed(path, len(names))
+    stems = [n[:-len(str(i))] for i, n in enumerate(names) if n.endswith(str(i))]
     head = reader.option("header", False).csv(path).limit(1).first() if len(set(stems)) < len(stems) else None
+    kept = dict(zip(names, range(len(names))))
     if head is not None:
-        names = ["" if n is None else n.lstrip("\ufeff") for n in head]
-        if len(set(names)) < len(names) and len(names) == len(df.columns):
+        said = ["" if n is None else n.lstrip("\ufeff") for n in head]
+        if len(set(said)) < len(said) and len(said) == len(names):
             # A repeated header keeps the last column of that name, in the first one's place.
-            last = {n: i for i, n in enumerate(names)}
-            df = df.toDF(*[f"_c{i}" for i in range(len(names))]).select(
-                *[F.col(f"_c{i}").alias(n or "_empty") for n, i in last.items()]
-            )
-    return df
+            kept = {n or "_empty": i for n, i in {n: i for i, n in enumerate(said)}.items()}
+    return rows.select(*[F.col(f"_c{i}").alias(n) for n, i in kept.items()], *["_path"] * with_path)
 
 
 def read_csv(
-    spark, path, sep=",", multi_line=None, infer=True, schema=None, encoding=None, one_header=None,
+    spark, path, sep=",", multi_line=None, infer=True, schema=None, encoding=None, one_header=None, in_splits=None,
 ) -> DataFrame:
     """Delimited text with a header row, typed unless ``infer`` is off.
 
@@ -166,7 +182,8 @@ def read_csv(
     UTF-8. Files of one folder may list their columns in different orders. Inference reads every
     row. With ``schema`` (types of the columns to cast) and ``multi_line`` (whether quoted cells
     hold line ends) a single file is not read ahead, so a preview stops early; ``one_header`` says that
-    all files have the same first line.
+    all files have the same first line. Files whose cells wrap are read in splits where one is longer
+    than a split, or as ``in_splits`` says; the rows are the same.
     """
     if sep == "auto":
         rows = known_formats(spark, path).select("delimiter").distinct().collect()
@@ -174,11 +191,11 @@ def read_csv(
         if len(known) != 1:
             raise TabsiftError(MIXED_FORMATS, f"no one delimiter below {path}")
         sep = known.pop()
-    return _delimited(spark, path, sep, multi_line, infer, schema, encoding, one_header)
+    return _delimited(spark, path, sep, multi_line, infer, schema, encoding, one_header, in_splits)
 
 
-def read_tsv(spark, path, multi_line=None, infer=True, schema=None, one_header=None) -> DataFrame:
-    return _delimited(spark, path, "\t", multi_line, infer, schema, one_header=one_header)
+def read_tsv(spark, path, multi_line=None, infer=True, schema=None, one_header=None, in_splits=None) -> DataFrame:
+    return _delimited(spark, path, "\t", multi_line, infer, schema, one_header=one_header, in_splits=in_splits)
 
 
 def _first_line(spark: SparkSession, path: str, pattern: str) -> str | None:

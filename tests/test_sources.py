@@ -489,3 +489,84 @@ def test_files_without_common_columns_are_refused(spark, tmp_path):
     with pytest.raises(TabsiftError) as e:
         readers.read_csv(spark, str(tmp_path))
     assert e.value.code == "MIXED_FORMATS" and "share no column" in e.value.message
+
+
+# ---- delimited files in splits -----------------------------------------------------------------
+
+@pytest.fixture
+def small_splits(spark):
+    def cut(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    yield cut
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _odd_cell(rnd, sep):
+    text = "".join(rnd.choice(["a", "b", sep, "\n", '"', "é", " ", "\n\n"]) for _ in range(rnd.randint(0, 12)))
+    if rnd.random() < 0.5:
+        return '"' + text.replace('"', '""') + '"' + rnd.choice(["", "", "", " ", "z"])
+    bare = "".join(c for c in text if c not in sep + '\n"')
+    return rnd.choice(["", "", "k"]) and f'k{bare}' + rnd.choice(['"', '5" x', '""']) or bare
+
+
+@pytest.mark.parametrize("size,sep,end", [(64, ",", "\n"), (300, ";", "\r\n"), (150, "\t", "\n")])
+def test_wrapped_cells_in_splits(spark, tmp_path, small_splits, size, sep, end):
+    rnd = random.Random(size)
+    for name in "ab":
+        lines = [sep.join(("x", "y", "z"))] + [
+            sep.join(_odd_cell(rnd, sep) for _ in range(rnd.choice([2, 3, 3, 3, 4]))) for _ in range(60)]
+        (tmp_path / f"{name}.csv").write_text(end.join(lines) + rnd.choice(["", end]), newline="")
+    read = dict(sep=sep, multi_line=True, infer=False, one_header=True)
+    whole = [tuple(r) for r in readers.read_csv(spark, str(tmp_path), in_splits=False, **read).collect()]
+    small_splits(size)
+    parts = readers.read_csv(spark, str(tmp_path), **read)
+    assert parts.columns == ["x", "y", "z"]
+    assert sorted(map(tuple, parts.collect()), key=str) == sorted(whole, key=str)
+    assert parts.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_wrapped_records_over_many_splits(spark, tmp_path, small_splits):
+    long = "line, one\n" * 100
+    path = put(tmp_path, "a.csv", f'﻿"a\nb",c\n"{long}",1\n\n2,"{long}"\n3,"open {long[:-1]}')
+    small_splits(150)
+    df = readers.read_csv(spark, path, multi_line=True, infer=False)
+    assert df.columns == ["a\nb", "c"]
+    whole = readers.read_csv(spark, path, multi_line=True, infer=False, in_splits=False)
+    assert rows(df, "c") == rows(whole, "c")
+    assert (long, "1") in rows(df) and df.count() == 3
+
+
+def test_wrapped_files_without_rows_and_other_line_ends(spark, tmp_path):
+    def read(name, text):
+        whole, parts = (rows(readers.read_csv(spark, put(tmp_path, name, text), multi_line=True, infer=False, in_splits=s))
+                        for s in (False, True))
+        assert parts == whole
+        return parts
+
+    assert read("head.csv", "a,b\n") == [] and read("quoted.csv", '"a\n",b') == []
+    # Lines that end in a bare CR are read by one task.
+    assert read("mac.csv", 'a,b\r1,"x\ry"\r') == [("1", "x\ny")]
+    assert read("one.csv", 'a,a\n1,"x\r\ny"\r\n') == [("x\r\ny",)]
+
+
+def test_wrapped_files_in_two_orders(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n' * 1 + '2,"p\n""q"""\n' * 20)
+    (tmp_path / "b.csv").write_text('b,c,a\n"z\n\n,",7,3\n')
+    small_splits(64)
+    df = readers.read_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "c": "bigint"}
+    assert sorted(df.select("a", "b", "c").distinct().collect()) == [
+        (1, "x\ny", None), (2, 'p\n"q"', None), (3, "z\n\n,", 7)]
+    assert df.count() == 22
+
+
+def test_splits_that_changed_are_refused(spark, tmp_path, small_splits):
+    path = put(tmp_path, "a.csv", "a,b\n" + '1,"x\ny"\n' * 100)
+    small_splits(128)
+    df = readers.read_csv(spark, path, multi_line=True, infer=False)
+    small_splits(70)
+    with pytest.raises(Exception, match="read it again"):
+        df.select("*").collect()
