@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsift.catalog.base import query, table
@@ -216,6 +216,20 @@ def csv_documents_in_splits(spark, sf_dir):
     )
 
 
+@query("""SELECT doc_id, text, source FROM documents""")
+def json_arrays_in_splits(spark, sf_dir):
+    """One array of all texts of a source, an element a line, read in splits."""
+    path = scratch_path(spark, "arrays")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    first = F.min("doc_id").over(Window.partitionBy("source"))
+    line = F.concat(F.when(F.col("doc_id") == first, "[").otherwise(","), F.to_json(F.struct("doc_id", "text", "source")))
+    lines = rows.select(F.col("source").alias("file"), F.col("doc_id").alias("place"), line.alias("value"))
+    ends = lines.groupBy("file").agg((F.max("place") + 1).alias("place"), F.lit("]").alias("value"))
+    lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy(
+        "file").text(path)
+    return readers.read_json(spark, path, in_splits=True).select("doc_id", "text", "source")
+
+
 @query("""SELECT o_orderkey, o_orderstatus, o_custkey FROM orders""")
 def roundtrip_json_tree(spark, sf_dir):
     path = scratch_path(spark, "tree")

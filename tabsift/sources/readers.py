@@ -14,6 +14,7 @@ from tabsift.functions.exprs import unread_reason, whole_json
 from tabsift.operators.infer import apply_types
 from tabsift.session import split_bytes
 from tabsift.sources import workbooks
+from tabsift.sources.arrays import LINE_END, array_lines
 from tabsift.sources.detect import DELIMITERS
 from tabsift.sources.documents import xml_to_json, yaml_to_json
 from tabsift.sources.manifest import format_groups, known_formats, known_types
@@ -38,6 +39,10 @@ def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def _longer_than_a_split(spark: SparkSession, path) -> bool:
+    return (list_blobs(spark, path).agg(F.max("length")).first()[0] or 0) > split_bytes(spark)
+
+
 def _first_lines(spark: SparkSession, path) -> DataFrame:
     """``path, header`` of every file that is not blank."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
@@ -122,7 +127,8 @@ class _Delimited:
     def _placed(self, path, width: int) -> DataFrame:
         """``_c0 ... , _path``: the cells of all rows but the first of a file, by their place."""
         # Lines are cut as UTF-8, so files of another encoding are not read in splits.
-        if self.multi_line and self.encoding is None and (self.in_splits or self._longer_than_a_split(path)):
+        if self.multi_line and self.encoding is None and (
+                _longer_than_a_split(self.spark, path) if self.in_splits is None else self.in_splits):
             rows = wrapped_rows(self.spark, path, self.sep, width)
             if rows is not None:
                 return rows
@@ -130,12 +136,6 @@ class _Delimited:
         rows = self._reader().option("header", True).option("enforceSchema", True).schema(schema).csv(path)
         return rows.select("*", F.col("_metadata.file_path").alias("_path"))
 
-    def _longer_than_a_split(self, path) -> bool:
-        if self.in_splits is not None:
-            return False
-        longest = list_blobs(self.spark, path).agg(F.max("length")).first()[0] or 0
-        return longest > split_bytes(self.spark)
-
     def typed(self) -> DataFrame:
         """Columns cast to the types that all their cells fit."""
         df = self.rows()
@@ -204,16 +204,28 @@ def _first_line(spark: SparkSession, path: str, pattern: str) -> str | None:
     return row["value"] if row else None
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, schema: str | None = None, in_splits: bool | None = None,
+) -> DataFrame:
     """A JSON array of objects per file as a table with the union of their keys; any other
-    document as a ``tree``. A file that is no JSON fails the query that reads it."""
+    document as a ``tree``. A file that is no JSON fails the query that reads it.
+
+    Arrays are read in splits where a file is longer than a split, or as ``in_splits`` says: their elements
+    are written to the shared folder first, as a table of JSON texts.
+    """
     reader = spark.read.option("multiLine", True)
+    lead = _first_line(spark, path, r"\S")
+    listed = lead is not None and lead.lstrip("\ufeff \t").startswith("[")
+    lines = None
+    if listed and (_longer_than_a_split(spark, path) if in_splits is None else in_splits):
+        lines = array_lines(spark, path)
+    if lines is not None:
+        reader, path = spark.read.option("lineSep", LINE_END), lines
     if schema is not None:
         return reader.schema(schema).json(path)
-    lead = _first_line(spark, path, r"\S")
-    if lead is not None and lead.lstrip("\ufeff \t").startswith("["):
+    if listed:
         table = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
-        if table.columns != [CORRUPT]:
+        if lines is not None or table.columns != [CORRUPT]:
             return table
     return _trees(read_json_tree(spark, path))
 

@@ -54,7 +54,7 @@ def _lines(spark: SparkSession, paths, sep: str) -> DataFrame:
     return lines.select("path", "start", _line_map(value, sep).alias("map"), "value")
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
     """Path, start, first and next row of the stretches of a batch that lie in one split."""
     n = batch.num_rows
     if not n:
@@ -82,7 +82,7 @@ def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         maps = batch.column("map").to_numpy()
-        for path, start, a, b in _stretches(batch):
+        for path, start, a, b in stretches(batch):
             if (path, start) != key:
                 if key is not None:
                     yield row()
@@ -114,10 +114,10 @@ def _begins(splits: DataFrame) -> DataFrame:
         F.when(F.col("end"), 1).otherwise(F.col("inside")).alias("inside")).filter("start <> 0")
 
 
-_RECORDS = "path string, start long, place int, record string"
+PIECES = "path string, start long, place int, record string"
 # Places of the pieces of a record that a split edge cuts; whole records have their number in the split.
-# _FIRST is the tail of a file's first split that begins with it.
-_TAIL, _MIDDLE, _HEAD, _FIRST = -1, -2, -3, -4
+# FIRST is the tail of a file's first split that begins with it.
+TAIL, MIDDLE, HEAD, FIRST = -1, -2, -3, -4
 
 
 def _cut_records(pieces: bool):
@@ -136,13 +136,13 @@ def _cut_records(pieces: bool):
         def ended():
             """What is open at the end of a split."""
             if key is not None and inside and pieces:
-                tail = _TAIL if key[1] or count else _FIRST
-                yield rows([tail if begun else _MIDDLE], ["\n".join(open_lines)])
+                tail = TAIL if key[1] or count else FIRST
+                yield rows([tail if begun else MIDDLE], ["\n".join(open_lines)])
 
         for batch in batches:
             maps = batch.column("map").to_numpy()
             states, values = batch.column("inside"), batch.column("value")
-            for path, start, a, b in _stretches(batch):
+            for path, start, a, b in stretches(batch):
                 if (path, start) != key:
                     yield from ended()
                     key, open_lines, count = (path, start), [], 0
@@ -173,7 +173,7 @@ def _cut_records(pieces: bool):
                         if begun:
                             records.append(whole)
                         elif pieces:
-                            yield rows([_HEAD], [whole])
+                            yield rows([HEAD], [whole])
                         open_lines, begun, at = [], True, i + 1
                     elif not was and not inside:
                         records.append(texts[i])
@@ -188,17 +188,15 @@ def _cut_records(pieces: bool):
     return run
 
 
-def _joined_pieces(pieces: DataFrame) -> DataFrame:
-    """The records that split edges cut, each at the split it begins in."""
+def joined_pieces(pieces: DataFrame, glue: str) -> DataFrame:
+    """``path, record, place`` of the records that split edges cut; the place is that of the first piece."""
     order = Window.partitionBy("path").orderBy("start", "place")
-    begins = F.last(F.when(F.col("place").isin(_TAIL, _FIRST), F.col("start")), ignorenulls=True).over(order)
+    begins = F.last(F.when(F.col("place").isin(TAIL, FIRST), F.col("start")), ignorenulls=True).over(order)
     # The texts stay out of the window.
     owners = pieces.select("path", "start", "place").withColumn("owner", begins)
     texts = pieces.join(owners, ["path", "start", "place"]).groupBy("path", F.col("owner").alias("start")).agg(
         F.array_sort(F.collect_list(F.struct("start", "record"))).alias("parts"), F.min("place").alias("place"))
-    record = F.regexp_replace(F.array_join(F.col("parts.record"), "\n"), r"\r\z", "")
-    # The first record of a file is its header.
-    return texts.filter(F.col("place") > _FIRST).select("path", record.alias("record"))
+    return texts.select("path", F.array_join(F.col("parts.record"), glue).alias("record"), "place")
 
 
 def wrapped_records(spark: SparkSession, paths, sep: str) -> DataFrame | None:
@@ -225,11 +223,14 @@ def wrapped_records(spark: SparkSession, paths, sep: str) -> DataFrame | None:
     edges = F.broadcast(edges.select(F.col("path").alias("_path"), F.col("start").alias("_start"), "inside"))
     known = lines.join(edges, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")), "left").select(
         "path", "start", "map", "value", F.when(F.col("start") == 0, 0).otherwise(F.col("inside")).alias("inside"))
-    records = known.mapInArrow(_cut_records(False), _RECORDS).filter("start > 0 OR place > 0").select("path", "record")
+    records = known.mapInArrow(_cut_records(False), PIECES).filter("start > 0 OR place > 0").select("path", "record")
     if not facts["cut"]:
         return records
     target = scratch_path(spark, "pieces")
-    _joined_pieces(known.mapInArrow(_cut_records(True), _RECORDS)).write.parquet(target)
+    cut = joined_pieces(known.mapInArrow(_cut_records(True), PIECES), "\n")
+    # The first record of a file is its header.
+    cut.filter(F.col("place") > FIRST).select(
+        "path", F.regexp_replace("record", r"\r\z", "").alias("record")).write.parquet(target)
     return records.unionByName(spark.read.parquet(target))
 
 

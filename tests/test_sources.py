@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabsift.errors import TabsiftError
 from tabsift.operators.infer import apply_inferred
 from tabsift.sources import manifest, readers, workbooks, writers
+from tabsift.sources.arrays import LINE_END, array_lines
 from tabsift.sources.detect import confidences, detect_files, detect_formats
 from tabsift.sources.documents import json_to_yaml, yaml_to_json
 from tabsift.sources.structure import json_shape, json_summary, shapes
@@ -570,3 +571,48 @@ def test_splits_that_changed_are_refused(spark, tmp_path, small_splits):
     small_splits(70)
     with pytest.raises(Exception, match="read it again"):
         df.select("*").collect()
+
+
+def _object(rnd):
+    return {"id": rnd.randint(0, 99), "t": rnd.choice(["a,", "[x", "}", 'q"\\', "é", ""]),
+            "n": [rnd.randint(0, 9) for _ in range(rnd.randint(0, 3))], "o": {"k": [{"z": 1}, {"z": [2]}]}}
+
+
+def _array_texts(rnd):
+    """Indented, an element a line, commas first, and two long lines."""
+    a, b, c, d = ([_object(rnd) for _ in range(40)] for _ in range(4))
+    return [json.dumps(a, indent=1), "[\n" + ",\n".join(map(json.dumps, b)) + "\n]\n",
+            "\ufeff[ " + "\n ,".join(json.dumps(x, indent=2) for x in c) + "]",
+            json.dumps(d[:20])[:-1] + ",\r\n" + json.dumps(d[20:])[1:]]
+
+
+@pytest.mark.parametrize("size", [300, 900])
+def test_arrays_in_splits(spark, tmp_path, small_splits, size):
+    for i, text in enumerate(_array_texts(random.Random(size))):
+        put(tmp_path, f"{i}.json", text)
+    whole = readers.read_json(spark, str(tmp_path), in_splits=False)
+    want = sorted(map(str, whole.collect()))
+    small_splits(size)
+    parts = readers.read_json(spark, str(tmp_path))
+    assert parts.schema == whole.schema and len(want) == 160
+    assert sorted(map(str, parts.collect())) == want
+    typed = readers.read_json(spark, str(tmp_path), "id long, t string")
+    assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, whole.select("id", "t").collect()))
+
+
+def test_elements_are_cut_at_every_line_that_ends_one(spark, tmp_path, small_splits):
+    put(tmp_path, "a.json", "[\n" + ",\n".join(json.dumps({"id": i}) for i in range(100)) + "\n]")
+    small_splits(50)
+    lines = spark.read.option("lineSep", LINE_END).text(array_lines(spark, str(tmp_path)))
+    # None of the lines holds more than what one edge brings together.
+    assert lines.agg(F.max(F.length("value"))).first()[0] < 40 and lines.count() > 60
+
+
+def test_only_lists_of_objects_are_read_in_splits(spark, tmp_path):
+    for name, text in [("a", "[1, 2]"), ("b", '{"a": 1}'), ("c", '[{"a": 1}')]:
+        assert array_lines(spark, put(tmp_path, f"{name}.json", text)) is None
+    tree = readers.read_json(spark, str(tmp_path / "a.json"), in_splits=True)
+    assert readers.is_tree(tree) and tree.count() == 1
+    empty = put(tmp_path, "e.json", "[\n]\n")
+    got = readers.read_json(spark, empty, in_splits=True)
+    assert got.collect() == readers.read_json(spark, empty, in_splits=False).collect()
