@@ -161,28 +161,34 @@ def _typed(rules: dict[str, Field]) -> Column:
     return F.struct(*[_at(k, r.sql).alias(k) for k, r in rules.items()])
 
 
+def _kept(df: DataFrame, columns: list[str], *made: str) -> DataFrame:
+    """``columns`` and what was ``made`` of a message. A filter on that would be pushed below the parse and
+    repeat it for every check; below the unfolding of one row it is not."""
+    return df.select(*columns, F.inline(F.array(F.struct(*made))))
+
+
 def check_messages(df: DataFrame, value: str, contract: str) -> DataFrame:
     """Adds ``errors``, what is wrong with each JSON message; empty for a valid one.
 
     Works on batches and streams alike.
     """
     rules = CONTRACTS[contract]
-    return _staged(df, value, rules).select(*df.columns, _errors(rules).alias("errors"))
+    checked = _staged(df, value, rules).select(*df.columns, _errors(rules).alias("errors"))
+    return _kept(checked, df.columns, "errors")
 
 
 def split_messages(df: DataFrame, value: str, contract: str) -> DataFrame:
     """Adds ``errors`` and the typed ``message``, a struct that is null for an invalid one."""
     rules = CONTRACTS[contract]
     checked = _staged(df, value, rules).select(*df.columns, "_tree", _errors(rules).alias("errors"))
-    return checked.select(
-        *df.columns, "errors", F.when(F.size("errors") == 0, _typed(rules)).alias("message")
-    )
+    split = checked.select(
+        *df.columns, "errors", F.when(F.size("errors") == 0, _typed(rules)).alias("message"))
+    return _kept(split, df.columns, "errors", "message")
 
 
 def valid_messages(df: DataFrame, value: str, contract: str) -> DataFrame:
     """Valid messages only, with their typed fields beside the other columns."""
     others = [c for c in df.columns if c != value]
-    # A filter would be pushed below the parse and repeat it; unfolding zero or one message is not.
     return split_messages(df, value, contract).select(
         *others, F.inline(F.array_compact(F.array("message")))
     )

@@ -134,6 +134,42 @@ def test_silent_jobs_are_told_once(spark, feed, tmp_path):
     assert run() == [("a", at(0)), ("a", at(800)), ("b", at(500))]
 
 
+def test_a_busy_group_of_jobs_is_kept_by_few_calls(spark, feed, tmp_path, monkeypatch):
+    """Jobs of one group, over two runs, each judged for itself."""
+    monkeypatch.setattr(streams, "TICK_GROUPS", 1)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        stale = streams.stale_jobs(feed.stream(EVENTS), pd.Timedelta(minutes=10), late="1 minute")
+        streams.run_available(stale, out, checkpoint)
+        return sorted((r.job_id, r.last_seen) for r in spark.read.parquet(out).collect())
+
+    feed.add([event(f"j{i}", "running", i) for i in range(300)] + [event("j7", "cancelled", 9)], EVENTS)
+    assert run() == []
+    # The watermark comes to 799 s: j0 to j199 are overdue, but for the cancelled one and one that ticked.
+    feed.add([event("j8", "running", 500), event("x", "queued", 859)], EVENTS)
+    assert run() == sorted((f"j{i}", at(i)) for i in range(200) if i not in (7, 8))
+
+
+def test_events_without_a_time_change_no_order(spark, feed, tmp_path):
+    sink = str(tmp_path / "out")
+    late = ("a", "running", None, 2, None, None)
+    feed.add([event("a", "running", 0), late, event("a", "completed", 9, 1), ("b", "running", None, 1, None, None)], EVENTS)
+    states = streams.job_states(feed.stream(EVENTS))
+    assert "transformWithStateInPandas" not in states._jdf.queryExecution().logical().toString()
+    streams.run_batches(states, streams.change_sink(sink), str(tmp_path / "cp"))
+    row, = streams.latest_states(spark.read.parquet(f"{sink}/b*")).collect()
+    assert (row.job_id, row.status, row.started_at, row.finished_at) == ("a", "completed", at(0), at(9))
+
+
+def test_filtered_messages_are_parsed_once(spark):
+    split = split_messages(spark.createDataFrame([(JOB,), ("nothing",)], "value string"), "value", "jobs")
+    bad = split.filter(F.col("message").isNull()).select(F.size("errors").alias("n"))
+    assert [r.n for r in bad.collect()] == [1]
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 2, plan
+
+
 def test_results_reach_known_jobs_in_time(spark, tmp_path):
     jobs_path, results_path = str(tmp_path / "jobs"), str(tmp_path / "results")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
