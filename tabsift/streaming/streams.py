@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -193,27 +194,31 @@ _STATE = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 _CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE.fields])
-_STALE = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("last_seen", T.TimestampType())])
 
 
-def _earliest(frame: pd.DataFrame) -> pd.DataFrame:
-    """The one row that comes first."""
-    first = frame[frame["ts"] == frame["ts"].min()]
-    return first[first["event_id"] == first["event_id"].min()].head(1)
+def _place(event) -> tuple:
+    """The order of events; those without a time come last."""
+    return event.ts is None, event.ts, event.event_id
 
 
-def _essential(frames: Iterator[pd.DataFrame]) -> list[Row]:
+def _essential(events: Iterator[Row], seen: list) -> list[Row]:
     """The events that can change a job, in order: its first running, its first stop and its
-    completions. Of a frame only those are kept, so heartbeats, the bulk of a busy job's events,
-    cost no row; a completion counts once the run before it is known."""
-    runs, stops, done = [], [], []
-    for frame in frames:
-        runs.append(_earliest(frame[frame["status"] == RUNNING]))
-        stops.append(_earliest(frame[frame["status"].isin([s for s in TERMINAL if s != "completed"])]))
-        done.append(frame[frame["status"] == "completed"].drop_duplicates(["ts", "event_id"]))
-    kept = [_earliest(pd.concat(runs)), _earliest(pd.concat(stops)), *done] if runs else []
-    rows = pd.concat(kept).sort_values(["ts", "event_id"]) if kept else pd.DataFrame()
-    return list(rows.itertuples(index=False))
+    completions. Only those are kept, so a busy job's heartbeats, the bulk of its events, are not
+    held; a completion counts once the run before it is known. ``seen`` gets the time of the last event."""
+    run, stop, done, last = None, None, {}, None
+    for event in events:
+        if event.ts is not None and (last is None or event.ts > last):
+            last = event.ts
+        if event.status == "completed":
+            done.setdefault(_place(event), event)
+        elif event.ts is None:
+            continue
+        elif event.status == RUNNING:
+            run = event if run is None or _place(event) < _place(run) else run
+        elif event.status in TERMINAL:
+            stop = event if stop is None or _place(event) < _place(stop) else stop
+    seen.append(last)
+    return sorted([e for e in (run, stop) if e is not None] + [*done.values()], key=_place)
 
 
 def _advance(state: tuple, event) -> tuple:
@@ -230,67 +235,47 @@ def _advance(state: tuple, event) -> tuple:
     )
 
 
-class _Timed(StatefulProcessor):
-    """State of one value that goes away some time after the last event of its key."""
+def _millis(ts: datetime) -> int:
+    return int(ts.timestamp()) * 1000 + ts.microsecond // 1000
 
-    schema: T.StructType
-    kept_ms = 0
+
+class _JobMachine(StatefulProcessor):
+    """One small row of state per job, until nothing has been heard of it for the time it is kept.
+
+    A call of the state store is what a job costs, so a timer is registered and not looked up: of
+    several timers of a job the last one ends its state.
+    """
 
     def __init__(self, kept_ms: int):
         self.kept_ms = kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getValueState("job", self.schema)
-
-    def _end_after(self, last_ms: int) -> None:
-        """One timer, counted from the latest event of the job."""
-        timers = list(self._handle.listTimers())
-        end = max([last_ms + self.kept_ms, *timers])
-        for timer in timers:
-            if timer != end:
-                self._handle.deleteTimer(timer)
-        if end not in timers:
-            self._handle.registerTimer(end)
-
-    def close(self) -> None:
-        pass
-
-
-def _millis(ts) -> int:
-    return int(pd.Timestamp(ts).timestamp() * 1000)
-
+        self._held = handle.getValueState("job", _STATE)
 
-def _looked_at(frames: Iterator[pd.DataFrame], seen: list) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        if len(frame):
-            seen.append(frame["ts"].max())
-            yield frame
-
-
-class _JobMachine(_Timed):
-    """One small row of state per job, until nothing has been heard of it for the time it is kept."""
-
-    schema = _STATE
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._held.get()
-        before = tuple(before) if before is not None else (QUEUED, None, None, None, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self._held.get()
+        before = tuple(held) if held is not None else (QUEUED, None, None, None, None)
         after, seen = before, []
-        for event in _essential(_looked_at(rows, seen)):
+        for event in _essential(rows, seen):
             after = _advance(after, event)
-        if seen:
-            self._end_after(_millis(max(seen)))
         if after != before:
-            status, started, finished, result_ref, error = after
-            times = [None if t is None else pd.Timestamp(t).to_pydatetime() for t in (started, finished)]
-            self._held.update((status, *times, result_ref, error))
-            yield pd.DataFrame([[str(key[0]), status, *map(pd.Timestamp, times), result_ref, error]], columns=_CHANGE.names)
+            self._held.update(after)
+        # Without a state there is nothing to end.
+        if held is not None or after != before:
+            last = timerValues.getCurrentWatermarkInMs() if seen[0] is None else _millis(seen[0])
+            self._handle.registerTimer(last + self.kept_ms)
+        if after != before:
+            yield Row(*_CHANGE.names)(str(key[0]), *after)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._held.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if all(t <= expiredTimerInfo.getExpiryTimeInMs() for t in self._handle.listTimers()):
+            self._held.clear()
         return iter(())
 
+    def close(self) -> None:
+        pass
+
 
 def _job_rows(events: DataFrame, late: str) -> DataFrame:
     return events.select(
@@ -308,38 +293,79 @@ def job_states(events: DataFrame, late: str = KEY_LIFETIME, kept: pd.Timedelta =
     older than the watermark (``late`` behind the newest) are dropped. A job's state ends when the
     watermark is ``kept`` beyond its last event, so what is held follows from the jobs of that time.
     """
-    return _job_rows(events, late).groupBy("job_id").transformWithStateInPandas(
+    return _job_rows(events, late).groupBy("job_id").transformWithState(
         statefulProcessor=_JobMachine(int(kept.total_seconds() * 1000)), outputStructType=_CHANGE,
         outputMode="Update", timeMode="EventTime",
     )
 
 
-class _Silence(_Timed):
-    """The last tick of a running job; a timer tells when the next one is overdue."""
+#: Groups of jobs whose last ticks are kept as one list: a call of the state store serves many jobs.
+TICK_GROUPS = 1024
+_TICKS = T.StructType([
+    T.StructField("job_id", T.StringType()), T.StructField("last_seen", T.LongType()),
+    T.StructField("ended", T.BooleanType()), T.StructField("ends", T.LongType()),
+])
 
-    schema = T.StructType([T.StructField("last_seen", T.TimestampType()), T.StructField("ended", T.BooleanType())])
+
+class _Silence(StatefulProcessor):
+    """The last ticks of a group of running jobs; a timer tells when the next of them is overdue."""
+
+    def __init__(self, kept_ms: int):
+        self.kept_ms = kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getListState("jobs", _TICKS)
+
+    def _known(self) -> pd.DataFrame:
+        held = pd.DataFrame([tuple(r) for r in self._held.get()], columns=_TICKS.names)
+        return held.astype({"last_seen": "Int64", "ended": "bool", "ends": "Int64"})
+
+    def _keep(self, jobs: pd.DataFrame) -> None:
+        if jobs.empty:
+            self._held.clear()
+            return
+        columns = [jobs[c].astype(object).where(jobs[c].notna(), None) for c in _TICKS.names]
+        self._held.put(list(zip(*columns)))
+        self._handle.registerTimer(int(jobs["ends"].min()))
+
+    @staticmethod
+    def _merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby("job_id", dropna=False, as_index=False, sort=False).agg(
+            {"last_seen": "max", "ended": "max", "ends": "max", "seen": "max"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held.get()
-        last, ended = (held[0], held[1]) if held is not None else (None, False)
-        seen = []
-        for frame in _looked_at(rows, seen):
-            ended = ended or bool(frame["status"].isin(TERMINAL).any())
-            ticks = frame.loc[frame["status"] == RUNNING, "ts"]
-            if len(ticks):
-                tick = ticks.max().to_pydatetime()
-                last = tick if last is None else max(last, tick)
-        if seen:
-            self._held.update((last, ended))
-            # An ended job is held as long as a running one, so that a late tick does not revive it.
-            self._end_after(_millis(last if last is not None and not ended else max(seen)))
+        news = None
+        for frame in rows:
+            at = frame["at"].astype("Int64")
+            part = pd.DataFrame({
+                "job_id": frame["job_id"], "last_seen": at.where(frame["tick"].astype(bool)),
+                "ended": frame["ended"].astype(bool), "ends": pd.array([None] * len(frame), "Int64"), "seen": at})
+            news = self._merged([part] if news is None else [news, part])
+        if news is None or news.empty:
+            return iter(())
+        known = self._known()
+        jobs = self._merged([known.assign(seen=pd.array([None] * len(known), "Int64")), news]) if len(known) else news
+        touched = jobs["job_id"].isin(news["job_id"])
+        # An ended job is held as long as a running one, so that a late tick does not revive it.
+        last = jobs["last_seen"].mask(jobs["ended"].astype(bool)).fillna(jobs["seen"]) // 1000
+        ends = last.fillna(timerValues.getCurrentWatermarkInMs()) + self.kept_ms
+        later = ends.where(jobs["ends"].isna() | (ends > jobs["ends"]), jobs["ends"])
+        jobs["ends"] = later.where(touched, jobs["ends"])
+        self._keep(jobs)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, ended = self._held.get()
-        self._held.clear()
-        if last is not None and not ended:
-            yield pd.DataFrame([[str(key[0]), pd.Timestamp(last)]], columns=_STALE.names)
+        jobs = self._known()
+        due = jobs["ends"] <= timerValues.getCurrentWatermarkInMs()
+        if due.any():
+            self._keep(jobs[~due])
+        stale = jobs[due & jobs["last_seen"].notna() & ~jobs["ended"]]
+        if len(stale):
+            yield pd.DataFrame({"job_id": stale["job_id"].map(str), "last_seen": stale["last_seen"].astype("int64")})
+
+    def close(self) -> None:
+        pass
 
 
 def stale_jobs(events: DataFrame, silent: pd.Timedelta = pd.Timedelta(minutes=10), late: str = COUNTER_DELAY) -> DataFrame:
@@ -348,10 +374,16 @@ def stale_jobs(events: DataFrame, silent: pd.Timedelta = pd.Timedelta(minutes=10
     A job is stale when the watermark (``late`` behind the newest event of all) has passed its last
     tick by that time and it has neither completed, failed nor been cancelled.
     """
-    return _job_rows(events, late).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Silence(int(silent.total_seconds() * 1000)), outputStructType=_STALE,
-        outputMode="Append", timeMode="EventTime",
+    status = F.col("status")
+    rows = _job_rows(events, late).select(
+        F.pmod(F.xxhash64("job_id"), F.lit(TICK_GROUPS)).cast("int").alias("jobs"), "job_id", "ts",
+        F.unix_micros("ts").alias("at"), *[F.coalesce(is_so, F.lit(False)).alias(name) for name, is_so in (
+            ("tick", status == RUNNING), ("ended", status.isin(*TERMINAL)))])
+    stale = rows.groupBy("jobs").transformWithStateInPandas(
+        statefulProcessor=_Silence(int(silent.total_seconds() * 1000)),
+        outputStructType="job_id string, last_seen long", outputMode="Append", timeMode="EventTime",
     )
+    return stale.select("job_id", F.timestamp_micros("last_seen").alias("last_seen"))
 
 
 # ---- results of jobs -----------------------------------------------------------------------------
