@@ -362,6 +362,23 @@ def detect_files(spark, path) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def beside_others(files: DataFrame) -> DataFrame:
+    """``detect_files`` with files of one line judged by those beside them, as writers leave such files of
+    partitions with no row or one: a bare header goes with the delimited files that begin with it, and one
+    object with JSON Lines."""
+    telling = files.filter("lines > 1")
+    heads = telling.filter(F.col("format").isin("csv", "tsv")).groupBy("head").agg(
+        F.min(F.struct("format", "delimiter")).alias("_with"))
+    listed = telling.filter("format = 'jsonl'").limit(1).select(F.lit(True).alias("_jsonl"))
+    known = files.join(heads, "head", "left").join(F.broadcast(listed), F.col("lines") == 1, "left")
+    bare = (F.col("lines") == 1) & F.col("_with").isNotNull()
+    single = F.col("_jsonl") & (F.col("format") == "json") & (F.col("confidence") == JSON_OBJECT)
+    return known.withColumns({
+        "format": F.when(bare, F.col("_with.format")).when(single, "jsonl").otherwise(F.col("format")),
+        "delimiter": F.when(bare, F.col("_with.delimiter")).otherwise(F.col("delimiter")),
+    }).select(*files.columns)
+
+
 def _file_facts(spark, path) -> DataFrame:
     """The sums of every file's lines."""
     reader = spark.read.option("recursiveFileLookup", True)

@@ -15,7 +15,7 @@ from tabsift.operators.infer import apply_types
 from tabsift.session import split_bytes
 from tabsift.sources import workbooks
 from tabsift.sources.arrays import LINE_END, array_lines
-from tabsift.sources.detect import DELIMITERS
+from tabsift.sources.detect import DELIMITERS, beside_others
 from tabsift.sources.documents import xml_to_json, yaml_to_json
 from tabsift.sources.manifest import format_groups, known_formats, known_types
 from tabsift.sources.wrapped import wrapped_rows
@@ -419,11 +419,12 @@ def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
     """The files of a mixed folder, one table per format. The paths come to the driver, as they do
     for any listing that Spark reads.
 
+    A bare header goes with the files that begin with it, and a file of one object with JSON Lines.
     Files without a known format or a reader are listed under ``UNREAD``: ``path, format``.
     """
     paths: dict[tuple, list[str]] = {}
     wraps: dict[tuple, bool] = {}
-    for r in known_formats(spark, path).collect():
+    for r in beside_others(known_formats(spark, path)).collect():
         key = (r["format"], r["delimiter"] if r["format"] == "csv" else None)
         paths.setdefault(key, []).append(r["path"])
         wraps[key] = wraps.get(key, False) or r["wraps"]

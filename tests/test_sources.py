@@ -616,3 +616,62 @@ def test_only_lists_of_objects_are_read_in_splits(spark, tmp_path):
     empty = put(tmp_path, "e.json", "[\n]\n")
     got = readers.read_json(spark, empty, in_splits=True)
     assert got.collect() == readers.read_json(spark, empty, in_splits=False).collect()
+
+
+def test_bare_headers_and_single_objects_go_with_the_files_beside_them(spark, tmp_path):
+    path = str(tmp_path / "mixed")
+    for name, lines in (
+        ("a.csv", ["id,name", "1,x", "2,y"]), ("b.csv", ["id,name"]), ("a.jsonl", ['{"id": 3}', '{"id": 4}']),
+        ("b.jsonl", ['{"id": 5}']), ("a.tsv", ["id\tname", "6\tz"]), ("b.tsv", ["id\tname"]),
+    ):
+        spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{path}/{name}")
+    parts = readers.read_each(spark, path)
+    assert {fmt: sorted(r["id"] for r in df.collect()) for fmt, df in parts.items()} == {
+        "csv": [1, 2], "jsonl": [3, 4, 5], "tsv": [6]}
+
+
+def test_a_long_yaml_list_is_loaded_in_parts(monkeypatch):
+    import yaml
+
+    from tabsift.sources import documents
+
+    sizes = []
+    load = yaml.load
+
+    def seen(text, Loader):
+        sizes.append(text.count("\n- ") + 1)
+        return load(text, Loader=Loader)
+
+    monkeypatch.setattr(yaml, "load", seen)
+    monkeypatch.setattr(documents, "YAML_ENTRIES", 10)
+
+    def same(text):
+        sizes.clear()
+        whole = load(text, Loader=yaml.SafeLoader)
+        assert documents.yaml_document(text, yaml.SafeLoader) == documents._dumped({} if whole is None else whole)
+
+    same("\n".join(f"- a: {i}\n  b: 'x\n\n    - y'" for i in range(95)))
+    assert max(sizes) == 10 and len(sizes) == 10
+    # A quoted text over an edge, an alias of another part, entries that are no maps, nothing at all.
+    same("\n".join(["- 1"] * 9) + '\n- "a\n- b"\n' + "\n".join(["- 2"] * 9))
+    same("- &x 1\n" + "- 2\n" * 20 + "- *x\n")
+    same("- null\n" * 25 + "-\n- [1, 2]\n")
+    same("")
+    for broken in ("- 1\n" * 12 + "...\n- 2\n", "- 1\n" * 12 + "- [\n"):
+        with pytest.raises(yaml.YAMLError):
+            documents.yaml_document(broken, yaml.SafeLoader)
+
+
+def test_documents_in_splits_are_written_by_more_than_one_task(spark, tmp_path):
+    from tabsift.catalog import QUERIES
+
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('a,\n\"', repeat('x', 3000)) AS text", "'s' AS source")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        found = QUERIES["csv_documents_in_splits"](spark, str(tmp_path))
+        assert len({f for f in found.inputFiles() if f.endswith('.csv')}) > 1
+        assert sorted(found.collect()) == sorted(rows.select("doc_id", "text", "source").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
