@@ -14,9 +14,9 @@ from tabsift.operators.infer import apply_inferred
 from tabsift.operators.paths import path_profile
 from tabsift.operators.trees import tree_to_rows
 from tabsift.plans.flow import convert, preview_path, run_job
-from tabsift.session import scratch_path
+from tabsift.session import scratch_path, split_bytes
 from tabsift.sources import readers, workbooks, writers
-from tabsift.sources.detect import detect_files, detect_formats
+from tabsift.sources.detect import beside_others, detect_files, detect_formats
 from tabsift.sources.documents import json_to_yaml, xml_to_json, yaml_to_json
 
 _CUSTOMER = """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment
@@ -85,7 +85,7 @@ def _mixed_folder(spark, sf_dir) -> str:
 FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') GROUP BY c_mktsegment""")
 def mixed_folder_formats(spark, sf_dir):
     """Each file is judged for itself, by all of its lines."""
-    files = detect_files(spark, _mixed_folder(spark, sf_dir))
+    files = beside_others(detect_files(spark, _mixed_folder(spark, sf_dir)))
     by_format = files.groupBy("format").agg(F.sum("lines").alias("lines"), F.count("*").alias("n"))
     headers = F.when(F.col("format") == "jsonl", 0).otherwise(F.col("n") - 1)
     return by_format.select("format", (F.col("lines") - headers).alias("lines"))
@@ -205,12 +205,17 @@ def roundtrip_csv_documents(spark, sf_dir):
     )
 
 
+# A file is one task's to write, so its size follows from the splits and not from the table.
+_SPLITS_PER_FILE = 4
+
+
 @query("""SELECT doc_id, text, source FROM documents""")
 def csv_documents_in_splits(spark, sf_dir):
-    """One file of all texts, whose wrapped cells are cut by the edges of its splits."""
+    """Files longer than a split, or one of all texts, whose wrapped cells are cut by the edges of splits."""
     path = scratch_path(spark, "csv")
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    writers.write_csv(rows.repartition(1), path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    writers.write_csv(rows.repartition(max(1, size // (_SPLITS_PER_FILE * split_bytes(spark)))), path)
     return readers.read_csv(spark, path, multi_line=True, infer=False, in_splits=True).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source"
     )
