@@ -310,16 +310,21 @@ def detect_workbooks(spark, sf_dir):
     return found.groupBy("format", "confidence").agg(F.sum("rows").alias("rows"))
 
 
+# Each event makes nine texts.
+_EVENTS_PER_TASK = 50_000
+
+
 def _corpus(spark, sf_dir):
     """Documents, pages, event properties and made-up table files as one corpus."""
     docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), F.col("text").alias("content"))
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("page-"), F.col("page_id")).alias("id"), F.col("html").alias("content"))
-    events = table(spark, sf_dir, "events")
-    props = events.select(F.concat(F.lit("props-"), F.col("event_id")).alias("id"),
-                          F.col("props").alias("content"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    # Few bytes of a file make many texts, so the splits of a file are no measure of the work.
+    events = events.repartition(max(1, -(-events.count() // _EVENTS_PER_TASK)))
     lines = [
+        ("props", F.col("props")),
         ("jsonl", F.concat("props", F.lit("\n"), "props", F.lit("\n"))),
         ("array", F.concat(F.lit("["), "props", F.lit(", "), "props", F.lit("]"))),
         ("csv", F.concat(F.lit("id,type\n"), "event_id", F.lit(","), "event_type", F.lit("\n"))),
@@ -333,7 +338,7 @@ def _corpus(spark, sf_dir):
         F.struct(F.concat(F.lit(f"{name}-"), F.col("event_id")).alias("id"), text.alias("content"))
         for name, text in lines
     ])).alias("m")
-    return docs.unionAll(pages).unionAll(props).unionAll(events.select(made).select("m.*"))
+    return docs.unionAll(pages).unionAll(events.select(made).select("m.*"))
 
 
 # The same judgement in SQL, for texts whose quotes, JSON and markup need no parsing by hand.

@@ -13,11 +13,16 @@ def once(value: Column, use) -> Column:
 
 def whole_json(text: Column) -> Column:
     """The parsed text if it is one JSON value and nothing else, else null."""
+    items = json_items(text)
+    return F.when(F.size(items) == 1, items[0])
+
+
+def json_items(text: Column) -> Column:
+    """The JSON values in a text, between commas; null if there is anything else in it."""
     # The parser stops after the first value; inside an array anything that follows is an error.
-    items = F.try_variant_get(
+    return F.try_variant_get(
         F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]"))), "$", "array<variant>"
     )
-    return F.when(F.size(items) == 1, items[0])
 
 
 # A text beyond this many bytes may not fit a VARIANT.

@@ -8,7 +8,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsift.functions.exprs import once, whole_json
+from tabsift.functions.exprs import json_items, once, whole_json
 from tabsift.session import scratch_path
 from tabsift.sources.structure import shapes
 
@@ -35,50 +35,68 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"[\r\n]+$", ""), r"\r\n|\r|\n")
+def _line_ends(text: Column) -> Column:
+    """All line ends as ``\\n``. Here and below a plain search goes before a pattern, as it costs far less."""
+    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+
+
+def _rare_end(text: Column) -> Column:
+    """Whether a Unicode line end is last, which a pattern with ``$`` looks past."""
+    return reduce(or_, [text.endswith(c) for c in "\u0085\u2028\u2029"])
 
 
 def json_confidence(text: Column) -> Column:
     lead = F.substring(F.ltrim(text), 1, 1)
-    tree = whole_json(F.when(lead.isin("{", "["), text))
-    items = F.try_variant_get(tree, "$", "array<variant>")
-    objects = F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return (
-        F.when(tree.isNull(), _zero())
-        .when(lead == "{", JSON_OBJECT)
-        .when(objects, JSON_TABLE)
-        .otherwise(JSON_ARRAY)
-    )
+
+    def judged(found: Column) -> Column:
+        # Parsed once: what is named twice inside a lambda would be parsed twice.
+        items = F.try_variant_get(found[0], "$", "array<variant>")
+        objects = F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+        return F.when(F.size(found) == 1, F.when(lead == "{", JSON_OBJECT).when(objects, JSON_TABLE).otherwise(
+            JSON_ARRAY)).otherwise(_zero())
+
+    return F.when(lead.isin("{", "["), once(json_items(text), judged)).otherwise(_zero())
 
 
 def jsonl_confidence(text: Column) -> Column:
     """Share of the non-blank lines that are JSON objects."""
+    return F.when(text.isNotNull(), F.coalesce(_objects_by_line(text), _value_in_line(text)))
+
+
+def _value_in_line(text: Column) -> Column:
+    # A failed parse is dear, so only what can begin a JSON value is tried.
+    start = F.regexp_like(text, F.lit(r"""^\s*[\[{"0-9tfn-]"""))
+    return F.when(whole_json(F.when(start, text)).isNotNull(), JSONL_SINGLE).otherwise(_zero())
+
+
+def _objects_by_line(text: Column) -> Column:
+    """The share of the non-blank lines that are JSON objects; null for a text of one line."""
 
     def judged(lines: Column) -> Column:
-        good = F.size(F.filter(
-            lines, lambda x: F.ltrim(x).startswith("{") & whole_json(x).isNotNull()
-        ))
-        # A failed parse is dear, so only what can begin a JSON value is tried.
-        start = F.regexp_like(lines[0], F.lit(r"""^\s*[\[{"0-9tfn-]"""))
-        single = F.when(
-            whole_json(F.when(start, lines[0])).isNotNull(), JSONL_SINGLE
-        ).otherwise(_zero())
-        return (
-            F.when(F.size(lines) == 0, _zero())
-            .when(F.size(lines) == 1, single)
-            .otherwise(good / F.size(lines))
-        )
+        good = F.size(F.filter(lines, lambda x: F.when(F.ltrim(x).startswith("{"), F.size(json_items(x)) == 1)))
+        return F.when(F.size(lines) == 0, _zero()).when(F.size(lines) > 1, good / F.size(lines))
 
-    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    return F.when(F.ltrim(text).startswith("["), _zero()).otherwise(once(lines, judged))
+    lines = F.filter(F.split(_line_ends(text), "\n"), lambda x: F.trim(x) != "")
+    return F.when(F.ltrim(text).startswith("["), _zero()).when(
+        text.contains("\n") | text.contains("\r") | (F.trim(text) == ""), once(lines, judged))
 
 
 def well_formed(text: Column) -> Column:
     """Whether the tags of a markup text nest properly around a single root."""
-    bare = F.regexp_replace(text, _NOT_ELEMENT, "")
+    odd = text.contains("<!") | text.contains("<?")
+    bare = F.when(odd, F.regexp_replace(text, _NOT_ELEMENT, "")).otherwise(text)
+    return once(bare, lambda b: once(
+        F.regexp_extract_all(b, F.lit(_TAG), F.lit(0)), lambda tags: _nested(b, tags)))
+
+
+def _nested(bare: Column, found: Column) -> Column:
+    """Whether the tags found nest around one root and no other ``<`` is left beside them."""
+
+    def openers(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit("<")))
+
     tags = F.transform(
-        F.filter(F.regexp_extract_all(bare, F.lit(_TAG), F.lit(0)), lambda t: ~t.endswith("/>")),
+        F.filter(found, lambda t: ~t.endswith("/>")),
         lambda t: F.regexp_extract(t, r"^<(/?[\w:.\-]+)", 1),
     )
     nested = F.aggregate(
@@ -105,9 +123,8 @@ def well_formed(text: Column) -> Column:
         )),
         lambda acc: acc["ok"] & (F.size(acc["open"]) == 0) & (acc["roots"] <= 1),
     )
-    stray = F.regexp_replace(bare, _TAG, "").contains("<")
-    any_tag = F.regexp_like(bare, F.lit(_TAG))
-    return any_tag & ~stray & nested
+    stray = openers(bare) > openers(F.array_join(found, ""))
+    return F.when((F.size(found) == 0) | stray, False).otherwise(nested)
 
 
 def xml_confidence(text: Column) -> Column:
@@ -127,9 +144,22 @@ def _delimited(text: Column) -> Column:
     with the header's run of delimiters.
     """
     # Quoted cells go first, with the delimiters and line ends in them.
-    bare = F.regexp_replace(text, r'"[^"]*"', "")
-    ends = F.regexp_replace(F.regexp_replace(bare, r"\r\n?", "\n"), r"\n+$", "")
-    marks = F.regexp_replace(ends, r"[^,\t;|\n]+", "")
+    bare = F.when(text.contains('"'), F.regexp_replace(text, r'"[^"]*"', "")).otherwise(text)
+
+    def judged_text(text: Column) -> Column:
+        header = F.substring_index(text, "\n", 1)
+        marked = reduce(or_, [header.contains(d) for d in DELIMITERS])
+        return F.when(marked, F.when(text.contains("\n"), judged_rows(text)).otherwise(one_row(text)))
+
+    def one_row(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.contains(d), F.struct(
+            F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), F.lit(1).alias("rows"),
+            F.lit(0).alias("body_even"))) for i, d in enumerate(DELIMITERS)])
+
+    def judged_rows(text: Column) -> Column:
+        return once(F.regexp_replace(text, r"[^,\t;|\n]+", ""), lambda m: F.array_max(F.array_compact(F.array(*[
+            reading(m, i, d) for i, d in enumerate(DELIMITERS)
+        ]))))
 
     def reading(marks: Column, order: int, delimiter: str) -> Column:
         runs = F.split(F.regexp_replace(marks, rf"[^{delimiter}\n]+", ""), "\n")
@@ -148,9 +178,10 @@ def _delimited(text: Column) -> Column:
         header = F.substring_index(marks, "\n", 1)
         return F.when(header.contains(delimiter), once(runs, judged))
 
-    return once(marks, lambda m: F.array_max(F.array_compact(F.array(*[
-        reading(m, i, d) for i, d in enumerate(DELIMITERS)
-    ]))))
+    def unended(text: Column) -> Column:
+        return F.when(_rare_end(text), F.regexp_replace(text, r"\n+$", "")).otherwise(F.rtrim(text, F.lit("\n")))
+
+    return once(bare, lambda b: once(_line_ends(b), lambda e: once(unended(e), judged_text)))
 
 
 def csv_confidence(text: Column, found: Column | None = None) -> Column:
@@ -187,9 +218,9 @@ def yaml_confidence(text: Column) -> Column:
     entry = F.lit(
         r"""^(-( |$)|("[^"]*"|'[^']*'|[^\s#&*!|>'"%@`{}\[\],][^:#]*?)\s*:(\s|$)|---|\.\.\.)"""
     )
-    clean = ~F.regexp_like(text, F.lit(r"(?m):[ \t]|:$|\s#")) & ~F.regexp_like(
-        lead, F.lit(r"""^[%@`&*!|>'"\[\]{},]""")
-    )
+    clean = ~F.substring(lead, 1, 1).isin(*"%@`&*!|>'\"[]{},") & (
+        ~text.contains(":") | ~F.regexp_like(text, F.lit(r"(?m):(?:[ \t]|$)"))) & (
+        ~text.contains("#") | ~F.regexp_like(text, F.lit(r"\s#")))
 
     def block(lines: Column) -> Column:
         margin = F.filter(lines, lambda x: ~x.startswith(" "))
@@ -201,7 +232,9 @@ def yaml_confidence(text: Column) -> Column:
             .otherwise(_zero())
         )
 
-    lines = F.filter(_lines(text), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
+    # Blank lines are dropped, so the line ends at the end need not go first.
+    body = F.when(_rare_end(text), F.regexp_replace(text, r"[\r\n]+$", "")).otherwise(text)
+    lines = F.filter(F.split(_line_ends(body), "\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
     return (
         F.when(F.trim(text) == "", _zero())
         .when(lead.startswith("---"), YAML_MARKED)
@@ -224,6 +257,10 @@ def xlsx_confidence(content: Column) -> Column:
     )
 
 
+def _unmarked(text: Column) -> Column:
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, (1 << 31) - 1)).otherwise(text)
+
+
 def detect_formats(df: DataFrame, content: str, keep: list[str] | None = None) -> DataFrame:
     """``keep..., format, confidence`` per document; under 0.4 the format is ``unknown``.
 
@@ -233,7 +270,7 @@ def detect_formats(df: DataFrame, content: str, keep: list[str] | None = None) -
     raw = F.col(content).cast("binary")
     data = df.select(
         *kept, raw.alias("_raw"),
-        F.regexp_replace(F.col(content).cast("string"), "^﻿", "").alias("_text"),
+        _unmarked(F.col(content).cast("string")).alias("_text"),
     )
     text = F.col("_text")
     data = data.select("*", xlsx_confidence(F.col("_raw")).alias("_xlsx")).select(
@@ -242,15 +279,22 @@ def detect_formats(df: DataFrame, content: str, keep: list[str] | None = None) -
         F.when(F.col("_xlsx") == 0, text).alias("_text"),
     )
     data = data.select(
-        "*", _delimited(text).alias("_found"), json_confidence(text).alias("_json"),
-        xml_confidence(text).alias("_xml"),
+        "*", _delimited(text).alias("_found"), _objects_by_line(text).alias("_objects"), xml_confidence(text).alias("_xml"),
     )
+    # Of two neighbouring lines of one document, one is no whole object, nor is the first or the last; so a
+    # text half of whose lines are objects is no document, and is not parsed as one. A bracket too many may
+    # end the parse early, so that texts with one are parsed in any case.
+    single = F.col("_objects").isNull()
+    parses = single | (F.col("_objects") < 0.5) | text.contains("]")
+    data = data.select("*", json_confidence(F.when(parses, text)).alias("_json"))
     # Lines of one parsed document may be even as well; that does not make them rows.
     parsed = (F.col("_json") > 0) | (F.col("_xml") > XML_MALFORMED)
     readings = {
         "xlsx": F.col("_xlsx"),
         "json": F.col("_json"),
-        "jsonl": jsonl_confidence(text),
+        # A text of one line in brackets has been parsed.
+        "jsonl": F.when(~single, F.col("_objects")).when(F.col("_json") > 0, JSONL_SINGLE)
+        .when(~F.ltrim(text).startswith("{"), _value_in_line(text)),
         "xml": F.col("_xml"),
         "tsv": F.when(parsed, 0.0).otherwise(tsv_confidence(text, F.col("_found"))),
         "csv": F.when(parsed, 0.0).otherwise(csv_confidence(text, F.col("_found"))),
