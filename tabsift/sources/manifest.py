@@ -42,18 +42,18 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/manifest-1/{name}"
 
 
-def _formats(spark: SparkSession, path) -> DataFrame:
-    """All files below a path with what is known of them; ``lines`` is null where nothing is."""
-    return listed(spark, path).join(_table(spark, "formats", FILE_COLUMNS), KEY, "left")
+def _formats(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Listed files with what is known of them; ``lines`` is null where nothing is."""
+    return files.join(_table(spark, "formats", FILE_COLUMNS), KEY, "left")
 
 
-def _judge(spark: SparkSession, path, new: DataFrame) -> None:
+def _judge(spark: SparkSession, path, files: DataFrame, new: DataFrame) -> None:
     """Detect the formats of new files and write them down; a blank file gets 0 lines and no format."""
     new = new.select(*KEY)
     paths = [r["path"] for r in new.collect()]
-    every = isinstance(path, str) and len(paths) == listed(spark, path).count()
+    every = isinstance(path, str) and len(paths) == files.count()
     found = detect_files(spark, path if every else paths)
-    rows = listed(spark, path if every else paths).join(found.drop("time", "length"), "path", "left")
+    rows = new.join(found.drop("time", "length"), "path", "left")
     rows.withColumn("lines", F.coalesce("lines", F.lit(0).cast("long"))).select(*found.columns).write.mode(
         "append").parquet(_folder(spark, "formats"))
 
@@ -63,25 +63,28 @@ def known_formats(spark: SparkSession, path) -> DataFrame:
 
     Blank files have no row.
     """
-    new = _formats(spark, path).filter("lines IS NULL")
+    # Listed once: a DataFrame of files keeps its listing.
+    files = listed(spark, path)
+    new = _formats(spark, files).filter("lines IS NULL")
     if not new.isEmpty():
-        _judge(spark, path, new)
-    return _formats(spark, path).filter("lines > 0")
+        _judge(spark, path, files, new)
+    return _formats(spark, files).filter("lines > 0")
 
 
 def format_groups(spark: SparkSession, path) -> list:
     """``format, telling, n, wraps, delimiters, head, heads`` of the files below a path, by format and by
     whether a file has more than one line; ``heads`` tells whether their first lines differ, ``head`` is
     the hash of one of them."""
+    every = listed(spark, path)
     for _ in range(2):
-        files = _formats(spark, path)
+        files = _formats(spark, every)
         groups = files.groupBy(
             "format", (F.col("lines") > 1).alias("telling"), F.col("lines").isNull().alias("new")).agg(
             F.count("*").alias("n"), F.max("wraps").alias("wraps"), F.collect_set("delimiter").alias("delimiters"),
             F.min("head").alias("head"), (F.min("head") != F.max("head")).alias("heads")).collect()
         if not any(r["new"] for r in groups):
             break
-        _judge(spark, path, files.filter("lines IS NULL"))
+        _judge(spark, path, every, files.filter("lines IS NULL"))
     return [r for r in groups if r["format"] is not None]
 
 

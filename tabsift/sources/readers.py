@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,12 +225,22 @@ def read_json(
     if schema is not None:
         return reader.schema(schema).json(path)
     if listed:
-        table = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        if isinstance(path, list) and lines is None:
+            reader = reader.schema(_json_schema(spark, path))
+        table = reader.json(path)
         if lines is not None or table.columns != [CORRUPT]:
             return table
     return _trees(read_json_tree(spark, path))
 
 
+def _json_schema(spark: SparkSession, paths: list[str]) -> T.StructType:
+    """The schema of whole documents, a text each. Spark infers that of files in few tasks and copies the list
+    of all paths for every file, which grows with the square of their number."""
+    texts = spark.read.text(paths, wholetext=True).select(F.regexp_replace("value", "^\ufeff", ""))
+    return spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(texts.rdd.map(itemgetter(0))).schema
+
+
 def _trees(files: DataFrame) -> DataFrame:
     """The ``tree`` of every file; blank files have none, and one without a tree fails by its name."""
     message = F.concat(F.col("path"), F.lit(" has no tree: "), F.col("reason"))
@@ -424,10 +435,12 @@ def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
     """
     paths: dict[tuple, list[str]] = {}
     wraps: dict[tuple, bool] = {}
+    longest: dict[tuple, int] = {}
     for r in beside_others(known_formats(spark, path)).collect():
         key = (r["format"], r["delimiter"] if r["format"] == "csv" else None)
         paths.setdefault(key, []).append(r["path"])
         wraps[key] = wraps.get(key, False) or r["wraps"]
+        longest[key] = max(longest.get(key, 0), r["length"])
     out: dict[str, DataFrame] = {}
     unread: list[tuple[str, str]] = []
     for (fmt, sep), files in sorted(paths.items(), key=str):
@@ -439,6 +452,8 @@ def read_each(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
             own.setdefault("multi_line", wraps[fmt, sep])
         if fmt == "csv":
             own.setdefault("sep", sep)
+        if fmt == "json":
+            own.setdefault("in_splits", longest[fmt, sep] > split_bytes(spark))
         df = READERS[fmt](spark, files, **own)
         out[fmt] = out[fmt].unionByName(df, allowMissingColumns=True) if fmt in out else df
     if unread:
