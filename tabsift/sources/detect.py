@@ -413,8 +413,10 @@ def beside_others(files: DataFrame) -> DataFrame:
     telling = files.filter("lines > 1")
     heads = telling.filter(F.col("format").isin("csv", "tsv")).groupBy("head").agg(
         F.min(F.struct("format", "delimiter")).alias("_with"))
-    listed = telling.filter("format = 'jsonl'").limit(1).select(F.lit(True).alias("_jsonl"))
-    known = files.join(heads, "head", "left").join(F.broadcast(listed), F.col("lines") == 1, "left")
+    listed = telling.filter("format = 'jsonl'").groupBy(F.col("format").alias("_kind")).agg(
+        F.max(F.col("lines") > 1).alias("_jsonl"))
+    known = files.join(heads, "head", "left").join(
+        F.broadcast(listed), F.when(F.col("lines") == 1, "jsonl") == F.col("_kind"), "left")
     bare = (F.col("lines") == 1) & F.col("_with").isNotNull()
     single = F.col("_jsonl") & (F.col("format") == "json") & (F.col("confidence") == JSON_OBJECT)
     return known.withColumns({
