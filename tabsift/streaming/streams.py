@@ -7,12 +7,14 @@ bounded by a watermark or by one small row per key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import pickle
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from datetime import datetime
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -186,91 +188,242 @@ def audit_log(messages: DataFrame, value: str = "value", lifetime: str = KEY_LIF
 
 # ---- job state -----------------------------------------------------------------------------------
 
-_STATE = T.StructType([
+_STATE = [
     T.StructField("status", T.StringType()),
-    T.StructField("started_at", T.TimestampType()),
-    T.StructField("finished_at", T.TimestampType()),
+    T.StructField("started_at", T.LongType()),
+    T.StructField("finished_at", T.LongType()),
     T.StructField("result_ref", T.StringType()),
     T.StructField("error", T.StringType()),
+]
+_HELD = T.StructType([*_STATE, T.StructField("ends", T.LongType())])
+_CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE])
+_ENDING = T.StructType([
+    T.StructField("jobs", T.ArrayType(T.StringType())), T.StructField("ends", T.ArrayType(T.LongType())),
 ])
-_CHANGE = T.StructType([T.StructField("job_id", T.StringType()), *_STATE.fields])
-
-
-def _place(event) -> tuple:
-    """The order of events; those without a time come last."""
-    return event.ts is None, event.ts, event.event_id
-
-
-def _essential(events: Iterator[Row], seen: list) -> list[Row]:
-    """The events that can change a job, in order: its first running, its first stop and its
-    completions. Only those are kept, so a busy job's heartbeats, the bulk of its events, are not
-    held; a completion counts once the run before it is known. ``seen`` gets the time of the last event."""
-    run, stop, done, last = None, None, {}, None
-    for event in events:
-        if event.ts is not None and (last is None or event.ts > last):
-            last = event.ts
-        if event.status == "completed":
-            done.setdefault(_place(event), event)
-        elif event.ts is None:
-            continue
-        elif event.status == RUNNING:
-            run = event if run is None or _place(event) < _place(run) else run
-        elif event.status in TERMINAL:
-            stop = event if stop is None or _place(event) < _place(stop) else stop
-    seen.append(last)
-    return sorted([e for e in (run, stop) if e is not None] + [*done.values()], key=_place)
-
-
-def _advance(state: tuple, event) -> tuple:
+_EVENT = ("job", "at", "event_id", "status", "result_ref", "error")
+_KNOWN = T.StructType([T.StructField("known", T.BooleanType())])
+
+#: Groups of jobs that are handed to Python together.
+JOB_GROUPS = 1024
+#: Jobs are listed by the period their state ends in, so many to the time it is kept.
+PERIODS = 8
+#: Calls of the state store that go out together: of so many keys, with so many letters.
+CALLS, CALL_LETTERS = 128, 1 << 13
+
+
+class _Heard:
+    """The events of a job that can change it: its first running, its first stop and its completions.
+    Only those are kept, so a busy job's heartbeats, the bulk of its events, are not held; a completion
+    counts once the run before it is known. ``last`` is the time of the last event.
+
+    An event begins with its place in the order, (without a time, time, id): those without a time come last.
+    """
+
+    __slots__ = ("run", "stop", "done", "last")
+
+    def __init__(self):
+        self.run, self.stop, self.done, self.last = None, None, {}, None
+
+    def add(self, event: tuple) -> None:
+        timeless, at, _, status, *_ = event
+        if not timeless and (self.last is None or at > self.last):
+            self.last = at
+        if status == "completed":
+            self.done.setdefault(event[:3], event)
+        elif timeless:
+            return
+        elif status == RUNNING:
+            self.run = event if self.run is None or event[:3] < self.run[:3] else self.run
+        elif status in TERMINAL:
+            self.stop = event if self.stop is None or event[:3] < self.stop[:3] else self.stop
+
+    def in_order(self) -> list[tuple]:
+        events = [e for e in (self.run, self.stop) if e is not None] + [*self.done.values()]
+        return sorted(events, key=lambda e: e[:3])
+
+
+def _advance(state: tuple, event: tuple) -> tuple:
     """The state after one event; an illegal transition changes nothing."""
     status, started, finished, result_ref, error = state
-    if event.status not in TRANSITIONS.get(status, ()):
+    _, at, _, told, ref, problem = event
+    if told not in TRANSITIONS.get(status, ()):
         return state
     return (
-        event.status,
-        event.ts if event.status == RUNNING and started is None else started,
-        event.ts if event.status in TERMINAL else finished,
-        event.result_ref or result_ref,
-        event.error or error,
+        told,
+        at if told == RUNNING and started is None else started,
+        at if told in TERMINAL else finished,
+        ref or result_ref,
+        problem or error,
     )
 
 
-def _millis(ts: datetime) -> int:
-    return int(ts.timestamp()) * 1000 + ts.microsecond // 1000
+def _portions(keys: Iterable) -> Iterator[list]:
+    """Keys whose calls may go out together."""
+    some, letters = [], 0
+    for key in keys:
+        size = len(key) if isinstance(key, str) else 0
+        if some and (len(some) == CALLS or letters + size > CALL_LETTERS):
+            yield some
+            some, letters = [], 0
+        some.append(key)
+        letters += size
+    if some:
+        yield some
+
+
+class _Calls:
+    """Calls of the state store under keys of one's choice, sent together before their answers are read.
+
+    Spark's client waits for every answer, which costs far more than the call. The store answers in
+    order. Nobody reads while calls go out, so either they or their answers have to be short.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self._client = handle._statefulProcessorApiClient
+        # Keys and values are plain here and need none of the client's conversions.
+        self._client._serialize_to_bytes = lambda schema, data: pickle.dumps(tuple(data), pickle.HIGHEST_PROTOCOL)
+
+    def under(self, *key) -> None:
+        """The calls that follow are for this key."""
+        self._client.set_implicit_key(key)
+
+    def read(self, value: bytes) -> tuple | None:
+        return tuple(self._client._deserialize_from_bytes(value)) if value else None
+
+    @contextmanager
+    def together(self) -> Iterator[list]:
+        """Status and value of every call that the body makes; what a call returns in there says nothing."""
+        client, answers, sent = self._client, [], 0
+        line, receive = client.sockfile, client._receive_proto_message
+
+        def later() -> tuple:
+            nonlocal sent
+            sent += 1
+            return 0, "", b""
+
+        client.sockfile, client._receive_proto_message = io.BytesIO(), later
+        try:
+            yield answers
+            calls = client.sockfile.getvalue()
+        finally:
+            client.sockfile, client._receive_proto_message = line, receive
+        line.write(calls)
+        line.flush()
+        for _ in range(sent):
+            status, message, value = receive()
+            # 2: there is no such value.
+            if status not in (0, 2):
+                raise RuntimeError(f"state store: {message}")
+            answers.append((status, value))
 
 
 class _JobMachine(StatefulProcessor):
     """One small row of state per job, until nothing has been heard of it for the time it is kept.
 
-    A call of the state store is what a job costs, so a timer is registered and not looked up: of
-    several timers of a job the last one ends its state.
+    A call of the state store is what a job costs, so jobs come in groups and calls for many jobs go
+    out together. A job's row is under ``(jobs, None, job_id)``. While the period of its end has not
+    begun, the end stands in the list under ``(jobs, period, None)``, which has one timer, for the
+    period's begin; a job's last entry there counts, and one without an end says that it moved. In a
+    period that has begun every end has its own timer, and the last one of a job ends its state.
     """
 
     def __init__(self, kept_ms: int):
-        self.kept_ms = kept_ms
+        self.kept_ms, self.period_ms = kept_ms, max(kept_ms // PERIODS, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._held = handle.getValueState("job", _STATE)
+        self._handle, self._calls = handle, _Calls(handle)
+        self._held = handle.getValueState("job", _HELD)
+        self._ending = handle.getListState("ending", _ENDING)
+        self._known = handle.getValueState("known", _KNOWN)
+
+    def _states(self, group: int, jobs: list) -> list[tuple | None]:
+        with self._calls.together() as answers:
+            for job in jobs:
+                self._calls.under(group, None, job)
+                self._held.get()
+        return [self._calls.read(value) for _, value in answers[1::2]]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self._held.get()
-        before = tuple(held) if held is not None else (QUEUED, None, None, None, None)
-        after, seen = before, []
-        for event in _essential(rows, seen):
-            after = _advance(after, event)
-        if after != before:
-            self._held.update(after)
-        # Without a state there is nothing to end.
-        if held is not None or after != before:
-            last = timerValues.getCurrentWatermarkInMs() if seen[0] is None else _millis(seen[0])
-            self._handle.registerTimer(last + self.kept_ms)
-        if after != before:
-            yield Row(*_CHANGE.names)(str(key[0]), *after)
+        group, mark, heard, ending, fields = key[0], timerValues.getCurrentWatermarkInMs(), {}, {}, None
+        for row in rows:
+            fields = fields or itemgetter(*[row.__fields__.index(c) for c in _EVENT])
+            job, at, *event = fields(row)
+            if job not in heard:
+                heard[job] = _Heard()
+            heard[job].add((at is None, at, *event))
+        # A group that never had a state is not asked for those of its jobs.
+        new, wrote = not self._known.exists(), False
+        change = Row(*_CHANGE.names)
+        for jobs in _portions(heard):
+            changes = []
+            states = [None] * len(jobs) if new else self._states(group, jobs)
+            with self._calls.together():
+                for job, held in zip(jobs, states):
+                    *before, ends = held or (QUEUED, None, None, None, None, None)
+                    after = before = tuple(before)
+                    for event in heard[job].in_order():
+                        after = _advance(after, event)
+                    # Without a state there is nothing to end.
+                    if held is None and after == before:
+                        continue
+                    last = heard[job].last
+                    until = (mark if last is None else last // 1000) + self.kept_ms
+                    until = until if ends is None else max(until, ends)
+                    if after != before:
+                        changes.append(change(str(job), *after))
+                    elif until == ends:
+                        continue
+                    self._calls.under(group, None, job)
+                    self._held.update((*after, until))
+                    wrote = True
+                    if until == ends:
+                        continue
+                    # Also where the period has begun: its list may be read in this very micro-batch.
+                    if ends is not None:
+                        ending.setdefault(ends // self.period_ms, []).append((job, None))
+                    if until // self.period_ms * self.period_ms <= mark:
+                        self._handle.registerTimer(until)
+                    else:
+                        ending.setdefault(until // self.period_ms, []).append((job, until))
+            yield from changes
+        self._list(group, ending)
+        if new and wrote:
+            self._calls.under(*key)
+            self._known.update((True,))
+
+    def _list(self, group: int, ending: dict[int, list]) -> None:
+        for periods in _portions(ending):
+            with self._calls.together() as answers:
+                for period in periods:
+                    self._calls.under(group, period, None)
+                    self._ending.exists()
+            with self._calls.together():
+                for period, (missing, _) in zip(periods, answers[1::2]):
+                    self._calls.under(group, period, None)
+                    self._ending.appendValue(tuple(map(list, zip(*ending[period]))))
+                    if missing:
+                        self._handle.registerTimer(period * self.period_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if all(t <= expiredTimerInfo.getExpiryTimeInMs() for t in self._handle.listTimers()):
-            self._held.clear()
+        group, period, _ = key
+        mark = timerValues.getCurrentWatermarkInMs()
+        if period is None:
+            held = self._held.get()
+            if held is not None and held[-1] <= mark:
+                self._held.clear()
+            return iter(())
+        ends = {job: end for jobs, moments in self._ending.get() for job, end in zip(jobs, moments)}
+        self._ending.clear()
+        for jobs in _portions(job for job, end in ends.items() if end is not None):
+            with self._calls.together():
+                for job in jobs:
+                    self._calls.under(group, None, job)
+                    if ends[job] <= mark:
+                        self._held.clear()
+                    else:
+                        self._handle.registerTimer(ends[job])
+        # Spark ends the timer of the key that was called last.
+        self._calls.under(*key)
         return iter(())
 
     def close(self) -> None:
@@ -286,6 +439,10 @@ def _job_rows(events: DataFrame, late: str) -> DataFrame:
     ).withWatermark("ts", late)
 
 
+def _group(groups: int) -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(groups)).cast("int").alias("jobs")
+
+
 def job_states(events: DataFrame, late: str = KEY_LIFETIME, kept: pd.Timedelta = pd.Timedelta(days=7)) -> DataFrame:
     """Changed jobs per micro-batch from ``job_id, status, ts, event_id, result_ref, error``.
 
@@ -293,10 +450,18 @@ def job_states(events: DataFrame, late: str = KEY_LIFETIME, kept: pd.Timedelta =
     older than the watermark (``late`` behind the newest) are dropped. A job's state ends when the
     watermark is ``kept`` beyond its last event, so what is held follows from the jobs of that time.
     """
-    return _job_rows(events, late).groupBy("job_id").transformWithState(
+    # Events come by group; keys with a period or a job are those under which the machine keeps state.
+    none = F.col("jobs") < 0
+    rows = _job_rows(events, late).select("*", _group(JOB_GROUPS), F.unix_micros("ts").alias("at")).select(
+        "jobs", F.when(none, F.col("at")).alias("period"), F.when(none, F.col("job_id")).alias("job_id"),
+        F.col("job_id").alias("job"), "status", "ts", "at", "event_id", "result_ref", "error",
+    )
+    changes = rows.groupBy("jobs", "period", "job_id").transformWithState(
         statefulProcessor=_JobMachine(int(kept.total_seconds() * 1000)), outputStructType=_CHANGE,
         outputMode="Update", timeMode="EventTime",
     )
+    return changes.select("job_id", "status", *[F.timestamp_micros(c).alias(c) for c in ("started_at", "finished_at")],
+                          "result_ref", "error")
 
 
 #: Groups of jobs whose last ticks are kept as one list: a call of the state store serves many jobs.
@@ -376,7 +541,7 @@ def stale_jobs(events: DataFrame, silent: pd.Timedelta = pd.Timedelta(minutes=10
     """
     status = F.col("status")
     rows = _job_rows(events, late).select(
-        F.pmod(F.xxhash64("job_id"), F.lit(TICK_GROUPS)).cast("int").alias("jobs"), "job_id", "ts",
+        _group(TICK_GROUPS), "job_id", "ts",
         F.unix_micros("ts").alias("at"), *[F.coalesce(is_so, F.lit(False)).alias(name) for name, is_so in (
             ("tick", status == RUNNING), ("ended", status.isin(*TERMINAL)))])
     stale = rows.groupBy("jobs").transformWithStateInPandas(

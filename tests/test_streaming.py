@@ -1,9 +1,19 @@
 import datetime as dt
+import io
 import json
+import random
+import struct
 
 import pandas as pd
 import pytest
+from pyspark.serializers import CPickleSerializer
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessorHandle
+from pyspark.sql.streaming.proto import StateMessage_pb2
+from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming.stateful_processor_api_client import StatefulProcessorApiClient
 from test_usage import EVENT_DDL, JOB, U, random_job_events, run_machine
 
 from tabsift.functions.contracts import split_messages
@@ -115,6 +125,70 @@ def test_the_state_of_a_finished_job_goes_away(spark, feed, tmp_path):
     assert {r.job_id: r.status for r in last.collect()} == {"a": "completed", "b": "running", "d": "running"}
 
 
+def test_jobs_end_when_they_have_been_silent_for_long_enough(spark, feed, tmp_path):
+    """Ends that move within a period and to others, jobs that start again, one without an id."""
+    sink, checkpoint, seed = str(tmp_path / "out"), str(tmp_path / "cp"), random.Random(5)
+    kept, late, number, last, status = 480, 60, 2, {}, {}
+    for since, until in ((0, 300), (300, 500), (500, 900), (900, 1000), (1000, 1900)):
+        rows = [event(seed.choice([*"abcdefghijkl", None]), seed.choice(["running", "running", "failed", "beat"]), s, i)
+                for i, s in enumerate(range(since + 1, until + 1, 9), number)]
+        # The watermark comes to 500 and 900 s, where v and w end.
+        rows += [event("y", "beat", until + late, number - 1)]
+        rows += [event(j, "running", s, number - 2) for j, s in (("v", 20), ("w", 420)) if since < s <= until]
+        number += len(rows)
+        for job, told, ts, *_ in sorted(rows, key=lambda r: r[2]):
+            seconds, before = (ts - DAY).total_seconds(), status.get(job)
+            if before in (None, "running") and told in ("running", "failed"):
+                status[job] = told
+            if job in status:
+                last[job] = seconds
+        feed.add(rows, EVENTS)
+        states = streams.job_states(feed.stream(EVENTS), late=f"{late} seconds", kept=pd.Timedelta(seconds=kept))
+        streams.run_batches(states, streams.change_sink(sink), checkpoint)
+        for job in [j for j, seconds in last.items() if seconds + kept <= until]:
+            del last[job], status[job]
+        held = spark.read.format("statestore").option("stateVarName", "job").load(checkpoint)
+        got = {r.job_id: r.status for r in held.select("key.job_id", "value.status").collect()}
+        assert got == status, (since, until)
+        assert held.count() == len(status)
+
+
+class EmptyStore:
+    """The far end of a line to the state store; it counts how often it is waited for."""
+
+    def __init__(self):
+        self.waits, self.calls, self.heard, self.said = 0, 0, b"", io.BytesIO()
+
+    def write(self, data):
+        self.heard += bytes(data)
+
+    def flush(self):
+        line, self.heard, said = io.BytesIO(self.heard), b"", self.said.read()
+        self.waits += 1
+        while line.read(4):
+            call = StateMessage_pb2.StateRequest.FromString(line.read(*struct.unpack(">i", line.read(4))))
+            answer = StateMessage_pb2.StateResponse(statusCode=2 if "exists" in str(call) else 0).SerializeToString()
+            said += struct.pack(">i", len(answer)) + answer
+            self.calls += 1
+        self.said = io.BytesIO(said)
+
+    def read(self, size):
+        return self.said.read(size)
+
+
+def test_many_jobs_wait_for_the_state_store_a_few_times(spark):
+    store, client = EmptyStore(), StatefulProcessorApiClient.__new__(StatefulProcessorApiClient)
+    client.key_schema, client.sockfile = T.StructType.fromDDL("jobs int, period long, job_id string"), store
+    client.utf8_deserializer, client.pickleSer = None, CPickleSerializer()
+    machine = streams._JobMachine(1000)
+    machine.init(StatefulProcessorHandle(client))
+    told = Row("jobs", "period", "job_id", "job", "status", "ts", "at", "event_id", "result_ref", "error")
+    rows = [told(0, None, None, f"j{i}", "running", at(i), i * 10**6, i, None, None) for i in range(1000)]
+    changes = list(machine.handleInputRows((0, None, None), iter(rows), TimerValues(-1, 0)))
+    assert [c.job_id for c in changes] == [f"j{i}" for i in range(1000)]
+    assert store.calls > 2000 and store.waits < 100, (store.calls, store.waits)
+
+
 def test_silent_jobs_are_told_once(spark, feed, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
 
